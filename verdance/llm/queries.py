@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import language, quality, toxicity
-from verdance.llm.common import crc_mod, table
+from verdance.llm import language, licenses, pii, quality, rules, toxicity
+from verdance.llm.common import crc_mod, materialise, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, crc_mod("doc_id", 5) != 0)
@@ -33,6 +37,26 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = pii.find(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{pii.KINDS[k]}") for k in (pii.EMAIL, pii.IP, pii.CARD, pii.PHONE)),
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("all")).alias("spans"),
+    )
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = materialise(rules.measure(table(spark, sf_dir, "documents")), "rules")
+    own = rules.verdicts(counts, rules.thresholds(counts.filter(~rules.failed_base())))
+    failed = F.lit(False)
+    for r in rules.RULES:
+        failed = failed | F.col(f"fail_{r.name}")
+    return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.failed_base().alias("base_failed"), (~rules.failed_base() & ~failed).alias("kept"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, crc_mod("doc_id", 3) != 1)
@@ -46,7 +70,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op3_licenses": op3_licenses,
     "op6_toxicity": op6_toxicity,
+    "op7_pii": op7_pii,
+    "op8_rules": op8_rules,
     "op10_language": op10_language,
 }
 
