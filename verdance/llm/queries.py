@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import language, licenses, packing, pii, quality, rules, toxicity
+from verdance.llm import language, licenses, near, packing, pii, quality, rules, toxicity
 from verdance.llm.common import crc_mod, materialise, table
 
 
@@ -30,6 +30,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.groups(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, crc_mod("doc_id", 5) != 0)
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
+    "op4_near": op4_near,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_rules": op8_rules,
