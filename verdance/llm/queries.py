@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import language, licenses, near, packing, pii, quality, rules, toxicity
+from verdance.llm import language, licenses, mixing, near, packing, pii, quality, rules, search, toxicity
 from verdance.llm.common import crc_mod, materialise, table
 
 
@@ -34,6 +34,15 @@ def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+#: Shares of the tokens that the mix is to have, by domain: languages of good documents, and documents of low quality.
+WEIGHTS = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.12, "low": 0.02}
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, _, model = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id"])
+    return own.select("doc_id", "tokens", *(F.get("p", F.lit(j)).alias(f"p_{name}") for j, name in enumerate(model.domains)), "rate", "copies")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, crc_mod("doc_id", 5) != 0)
@@ -65,6 +74,10 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", rules.failed_base().alias("base_failed"), (~rules.failed_base() & ~failed).alias("kept"))
 
 
+def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, crc_mod("doc_id", 3) != 1)
@@ -81,10 +94,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
     "op4_near": op4_near,
+    "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
     "op7_pii": op7_pii,
     "op8_rules": op8_rules,
+    "op9_search": op9_search,
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_search": search.ORACLE}
