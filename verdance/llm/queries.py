@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm import language, licenses, mixing, near, packing, pii, quality, rules, search, toxicity
 from verdance.llm.common import crc_mod, materialise, table
+from verdance.plans.registry import Registry
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,17 +88,17 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_quality": op1_quality,
-    "op2_packing": op2_packing,
-    "op3_licenses": op3_licenses,
-    "op4_near": op4_near,
-    "op5_mixing": op5_mixing,
-    "op6_toxicity": op6_toxicity,
-    "op7_pii": op7_pii,
-    "op8_rules": op8_rules,
-    "op9_search": op9_search,
-    "op10_language": op10_language,
-}
-
-ORACLES: dict[str, str] = {"op9_search": search.ORACLE}
+R = Registry()
+for _query, _sql in (
+    (op1_quality, None),
+    (op2_packing, None),
+    (op3_licenses, None),
+    (op4_near, None),
+    (op5_mixing, None),
+    (op6_toxicity, None),
+    (op7_pii, None),
+    (op8_rules, None),
+    (op9_search, search.ORACLE),
+    (op10_language, None),
+):
+    R.add(_query.__name__, _sql)(_query)
