@@ -73,17 +73,20 @@ class DomainModel:
     buckets: int
 
 
-def fit_domains(labelled: DataFrame, rows: int = 2000, buckets: int = 4096, most_domains: int = 64, smooth: float = 0.5) -> DomainModel:
-    """Learn from ``labelled`` (doc_id, text, domain), at most about ``rows`` documents a domain.
+def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = 2000, buckets: int = 4096, most_domains: int = 64, smooth: float = 0.5) -> DomainModel:
+    """Learn from ``labelled`` (doc_id, domain), at most about ``rows`` documents a domain.
 
-    What is collected are counts by bucket and domain, at most ``buckets * most_domains``.
+    Ids are sampled before texts are read: what is broadcast to the scan are at
+    most about ``rows * most_domains`` ids, and what is collected are counts by
+    bucket and domain, at most ``buckets * most_domains``.
     """
-    own = labelled.filter(F.col("domain").isNotNull() & F.col("text").isNotNull())
+    own = materialise(labelled.filter(F.col("domain").isNotNull()).select("doc_id", "domain"), "domains")
     shares = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(most_domains).collect()}
     domains = tuple(sorted(shares))
     if not domains:
         return DomainModel((), (), np.zeros((buckets + REPEATS + 1, 0)), buckets)
-    sample = bounded_sample(own.filter(F.col("domain").isin(list(domains))), "doc_id", ["domain"], rows)
+    picked = bounded_sample(own.filter(F.col("domain").isin(list(domains))), "doc_id", ["domain"], rows)
+    sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
     counts = bucket_counts(sample, ["domain"], buckets).select("domain", F.explode("_b").alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     table = np.full((buckets + REPEATS + 1, len(domains)), smooth)
     at = {d: i for i, d in enumerate(domains)}
@@ -173,10 +176,25 @@ def copies(key: Column, rates: Column, seed: int = 11) -> Column:
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, low: str = "low") -> DataFrame:
-    """(doc_id, text, domain) of labelled documents: the language of good ones, ``low`` for those of quality 0."""
+    """(doc_id, domain) of labelled documents: the language of good ones, ``low`` for those of quality 0."""
     own = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    own = docs.select("doc_id", "text", "lang").join(own, "doc_id")
-    return own.select("doc_id", "text", F.when(F.col("quality") == 0, F.lit(low)).otherwise(F.col("lang")).alias("domain"))
+    own = docs.select("doc_id", "lang").join(own, "doc_id")
+    return own.select("doc_id", F.when(F.col("quality") == 0, F.lit(low)).otherwise(F.col("lang")).alias("domain"))
+
+
+def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", budget: float = 1.0, most: float = 1.0) -> DataFrame:
+    """Rows of ``docs``, each as often as the mix has it; rows with a null key are kept once.
+
+    The fit needs tokens and posteriors only, which are written; the draw works
+    them out again beside the row, so that whole texts are never joined.
+    """
+    _, fit, model = mixed(docs, labels, weights, [key], budget, most)
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), "text")
+    times = F.when(F.col("_key").isNull(), 1).otherwise(copies(F.col("_key"), F.col("_rate")))
+    own = posteriors(row, model, ["_row", "_key"]).withColumn("_rate", rate(F.col("p"), fit.errors, fit.step, fit.most))
+    # Generated, not filtered: a filter on the count would be pushed down and work the posterior out many times.
+    own = own.select("_row", F.explode_outer(F.array_repeat(F.lit(1), times.cast("int"))).alias("_once")).filter("_once is not null")
+    return own.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keys: list[str], budget: float = 1.0, most: float = 4.0) -> tuple[DataFrame, Mix, DomainModel]:
@@ -184,7 +202,7 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keys: l
 
     Null and empty texts have no tokens and the classes' shares as posterior.
     """
-    model = fit_domains(labelled_domains(docs, labels))
+    model = fit_domains(docs, labelled_domains(docs, labels))
     own = materialise(posteriors(docs, model, keys), "posteriors")
     fit = fit_rates(own, model.domains, weights, budget, most)
     rated = own.withColumn("rate", rate(F.col("p"), fit.errors, fit.step, fit.most))
