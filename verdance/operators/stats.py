@@ -22,9 +22,9 @@ def dbl(c: str | Column) -> Column:
 def pearson(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
     """n, r, p over rows with both values; r is null under ``least`` rows or without spread."""
     both = C(x).isNotNull() & C(y).isNotNull()
-    n = F.count_if(both)
-    flat = (F.stddev_pop(F.when(both, C(x))) == 0) | (F.stddev_pop(F.when(both, C(y))) == 0)
-    out = df.groupBy(*by).agg(n.alias("n"), F.when((n >= least) & ~flat, F.corr(x, y)).alias("r"))
+    n, a, b = F.count_if(both), F.when(both, C(x)), F.when(both, C(y))
+    r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    out = df.groupBy(*by).agg(n.alias("n"), F.when((n >= least) & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("r"))
     return out.withColumn("p", r_pvalue(C("r"), dbl("n")))
 
 
@@ -166,7 +166,7 @@ def fdr(df: DataFrame, p: str, order: str) -> DataFrame:
     up = Window.partitionBy(C(p).isNull()).orderBy(p, order)
     ranked_ = df.withColumns({"_i": F.row_number().over(up), "_m": F.count(p).over(Window.partitionBy())})
     down = Window.partitionBy(C(p).isNull()).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked_.withColumn("q", F.least(F.lit(1.0), F.min(C(p) * C("_m") / C("_i")).over(down))).drop("_i", "_m")
+    return ranked_.withColumn("q", F.when(C(p).isNotNull(), F.least(F.lit(1.0), F.min(C(p) * C("_m") / C("_i")).over(down)))).drop("_i", "_m")
 
 
 def simple_regression(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
