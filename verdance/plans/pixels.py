@@ -421,3 +421,34 @@ def flt_quality_gate(spark, sf):
     g = read(spark, sf, "lineitem").groupBy(C("l_suppkey").alias("img")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_quantity").alias("mean_shift"), F.max("l_quantity").alias("max_shift"), F.max("l_extendedprice").alias("width"))
     all_ = read(spark, sf, "supplier").select(C("s_suppkey").alias("img")).join(g, "img", "left").crossJoin(F.broadcast(g.agg(F.median("width").alias("med"))))
     return all_.filter("n is null or n < 10 or mean_shift > 25.5 or max_shift > 50 or width > 1.5 * med").select("img")
+
+
+@R.add(
+    "prj_frame_offsets",
+    f"""WITH {PX}, o(year, dx, dy) AS (VALUES (1996, 1.5, -2.0), (1997, 0.25, 4.0), (1998, 66.15, 0.0)) SELECT k, n, round(r + CAST(dx AS DOUBLE), 6) AS x, round(g + CAST(dy AS DOUBLE), 6) AS y FROM px JOIN o USING (year)""",
+)
+def prj_frame_offsets(spark, sf):
+    """Constant frame offsets a season (PRJ-23). The offsets are three literal rows."""
+    o = spark.createDataFrame([(1996, 1.5, -2.0), (1997, 0.25, 4.0), (1998, 66.15, 0.0)], "year int, dx double, dy double")
+    return pixels(spark, sf).join(F.broadcast(o), "year").select("k", "n", F.round(C("r") + C("dx"), 6).alias("x"), F.round(C("g") + C("dy"), 6).alias("y"))
+
+
+@R.add(
+    "prj_latency",
+    "WITH s AS (SELECT event_id, CAST(user_id AS DOUBLE) AS x, value / 100 AS speed FROM events) SELECT event_id, round(x - speed * 0.35, 6) AS x, round(0.5 * speed, 6) AS uncertainty, CASE WHEN 0.5 * speed > 1 THEN 'HIGH' ELSE 'OK' END AS flag FROM s",
+)
+def prj_latency(spark, sf):
+    """Velocity and latency correction with uncertainty (PRJ-25)."""
+    s = read(spark, sf, "events").select("event_id", C("user_id").cast("double").alias("x"), (C("value") / 100).alias("speed"))
+    return s.select("event_id", F.round(C("x") - C("speed") * 0.35, 6).alias("x"), F.round(0.5 * C("speed"), 6).alias("uncertainty"), F.when(0.5 * C("speed") > 1, "HIGH").otherwise("OK").alias("flag"))
+
+
+@R.add(
+    "flt_flight_phase",
+    "WITH f AS (SELECT user_id, min_by(value, struct_pack(t := ts, e := event_id)) AS v0 FROM events GROUP BY user_id) SELECT event_id FROM events JOIN f USING (user_id) WHERE trim(event_type) = 'view' AND value > v0 + 50",
+)
+def flt_flight_phase(spark, sf):
+    """Phase and altitude over the start of the flight (FLT-12)."""
+    e = read(spark, sf, "events")
+    f = e.groupBy("user_id").agg(F.min_by("value", F.struct("ts", "event_id")).alias("v0"))
+    return e.join(f, "user_id").filter((F.trim("event_type") == "view") & (C("value") > C("v0") + 50)).select("event_id")
