@@ -118,3 +118,25 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 def class_counts(labels: DataFrame, label: str, keep: Column) -> dict[int, int]:
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & keep)
     return {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def split_by_filter(df: DataFrame, key: str, ids: DataFrame, most: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``df`` whose key is surely not in ``ids``, all others), by a bit filter of at most 2**most bits.
+
+    The filter is one row that is broadcast, 4 MB at most whatever the tables'
+    size; beyond what it can tell apart, more rows are among the others. So an
+    exact join with ``ids`` need only be made for the others, and wide rows that
+    are surely not concerned are not shuffled. Null keys are surely not in ``ids``.
+    """
+    spark = df.sparkSession
+    bits = 1 << min(most, max(10, (16 * ids.count()).bit_length()))
+    own = ids.select(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(bits)).alias("h"))
+    words = own.select(F.floor(F.col("h") / 64).alias("w"), F.expr("shiftleft(1L, cast(h % 64 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    table = [0] * (bits // 64)
+    for r in words.collect():  # at most bits / 64 rows
+        table[r["w"]] = r["b"]
+    one = F.broadcast(spark.createDataFrame([(table,)], "_f array<bigint>"))
+    h = F.pmod(F.xxhash64(df[key].cast("string")), F.lit(bits))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))
+    hit = df[key].isNotNull() & (F.get(F.col("_f"), F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0)
+    return df.join(one, hit, "left_anti"), df.join(one, hit, "left_semi")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdance.llm import sketch
-from verdance.llm.common import map_arrow, materialise, small_batches, texts
+from verdance.llm.common import map_arrow, materialise, small_batches, split_by_filter, texts
 
 #: Standard deviation of an estimate near 0.8; pairs more than five of it below the threshold are not verified.
 SIGMA = (0.8 * 0.2 / sketch.REGISTERS) ** 0.5
@@ -67,7 +67,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int = 2) -> DataFrame:
                 sets.append(own.view(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(ids, batch.column("id").type), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    own = docs.select(F.col("doc_id").alias("id"), "text").join(nodes.select("id", "key"), "id")
+    _, own = split_by_filter(docs.select(F.col("doc_id").alias("id"), "text"), "id", nodes.select("id"))
+    own = own.join(nodes.select("id", "key"), "id")
     kind = nodes.schema["id"].dataType.simpleString()
     return map_arrow(own.select("id", "key", "text"), make, f"id {kind}, hashes array<bigint>")
 
@@ -200,3 +201,11 @@ def groups(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     placed = nodes.join(labels, "id", "left").select(F.col("key").alias("_key"), F.coalesce("component", "id").alias("component_id"))
     out = own.join(placed, F.col("key") == F.col("_key"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def kept(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
+    """Rows of ``docs``, one document of each group: the one with the smallest id. Rows with a null doc_id stay."""
+    own = groups(docs, percent, width)
+    gone = materialise(own.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    clear, others = split_by_filter(docs, "doc_id", gone)
+    return clear.unionByName(others.join(gone, "doc_id", "left_anti").select(*docs.columns))
