@@ -190,3 +190,16 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         return pa.array(np.clip(np.interp(model.trees.raw(x), *model.knots), 0.0, 1.0), pa.float64())
 
     return _measure(docs, model.words, model.stems, finish, f"doc_id {kind}, score double")
+
+
+def below(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
+    """Rows of ``docs``, with all their columns, whose score is under ``threshold``; one narrow pass."""
+    small_batches(docs.sparkSession)
+    state: dict[str, Words] = {}
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = state.setdefault("words", Words(model.words, model.stems))
+        x = np.array([features(t, known) for t in texts(batch)])
+        return batch.filter(pa.array(np.interp(model.trees.raw(x), *model.knots) < threshold))
+
+    return map_arrow(docs, make, docs.schema)
