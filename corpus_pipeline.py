@@ -23,23 +23,15 @@ WEIGHTS = {"en": 0.585, "de": 0.15, "fr": 0.15, "es": 0.10, "low": 0.015}
 BUDGET = 0.9
 
 
-def _with(docs: DataFrame, side: DataFrame) -> DataFrame:
-    """Left join on doc_id; ``side`` has its columns but doc_id under names that start with an underscore."""
-    return docs.join(side.withColumnRenamed("doc_id", "_doc_id"), docs["doc_id"] == F.col("_doc_id"), "left")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under TOXIC."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    bad = toxicity.score(docs, model).filter(F.col("score") >= TOXIC).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    return toxicity.below(docs, model, TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
-    own = near.groups(docs)
-    gone = own.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near.kept(docs)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,9 +48,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the domains' expected tokens match WEIGHTS; none is repeated."""
-    own, _, _ = mixing.mixed(docs, table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id"], BUDGET, most=1.0)
-    gone = own.filter((F.col("copies") < 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return mixing.drawn(docs, table(spark, sf_dir, "labels"), WEIGHTS, "doc_id", BUDGET, most=1.0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
