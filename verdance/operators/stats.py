@@ -137,7 +137,7 @@ def moran(points: DataFrame, v: str, radius: float) -> DataFrame:
     z = own.crossJoin(F.broadcast(mean)).select("id", (C(v) - C("_mu")).alias("z"))
     e = band_graph(own, radius).join(z.select(C("id").alias("left_id"), C("z").alias("a")), "left_id").join(z.select(C("id").alias("right_id"), C("z").alias("b")), "right_id")
     s = e.agg(F.sum(C("a") * C("b")).alias("num"), F.count(F.lit(1)).alias("s0"))
-    return s.crossJoin(mean).select(F.try_divide(C("n") / C("s0") * C("num"), C("_vp") * C("n")).alias("i"), (-1 / (C("n") - 1)).alias("expected"), "n")
+    return s.crossJoin(mean).select(F.try_divide(C("n") * C("num"), C("s0") * C("_vp") * C("n")).alias("i"), F.try_divide(F.lit(-1.0), C("n") - 1).alias("expected"), "n")
 
 
 def moran_permuted(points: DataFrame, v: str, radius: float, rounds: int = 99, seed: int = 42) -> DataFrame:

@@ -133,7 +133,7 @@ def joi_interpolated(spark, sf):
     return rounded(match.interpolated(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), e.filter("event_type = 'view'").select("user_id", "ts", "value"), ["user_id"], "ts", ["value"], gap_s=200_000.0).withColumn("ts", micros("ts")), 4)
 
 
-@R.add("joi_point_lookup", f"""WITH {SPOTS}, p(px, py) AS (VALUES (100.0, 100.0), (500.0, 400.0), (900.0, 750.0)) SELECT px, py, m.id AS id, round(m.d, 6) AS d FROM (SELECT px, py, min(struct_pack(d := sqrt(pow(x - px, 2) + pow(y - py, 2)), id := id)) AS m FROM cu, p WHERE w > 0 GROUP BY px, py)""")
+@R.add("joi_point_lookup", f"""WITH {SPOTS}, p(px, py) AS (VALUES (100.0::DOUBLE, 100.0::DOUBLE), (500.0::DOUBLE, 400.0::DOUBLE), (900.0::DOUBLE, 750.0::DOUBLE)) SELECT px, py, m.id AS id, round(m.d, 6) AS d FROM (SELECT px, py, min(struct_pack(d := sqrt(pow(x - px, 2) + pow(y - py, 2)), id := id)) AS m FROM cu, p WHERE w > 0 GROUP BY px, py)""")
 def joi_point_lookup(spark, sf):
     """Nearest row for given points, with filters (JOI-22, TS-14). The points are literals."""
     cu, _ = spots(spark, sf)

@@ -355,7 +355,7 @@ def agg_scene_stats(spark, sf):
 
 @R.add(
     "agg_canopy",
-    f"""WITH {PX} SELECT zone, count(*) FILTER (WHERE status = 'O') AS canopy_px, round(count(*) FILTER (WHERE status = 'O') * 0.0025, 6) AS area, CASE WHEN count(*) FILTER (WHERE status <> 'O') >= 20 THEN round(avg(CASE WHEN r < 10 THEN 1.0 ELSE 0.0 END) FILTER (WHERE status <> 'O'), 6) END AS shadow,
+    f"""WITH {PX} SELECT zone, count(*) FILTER (WHERE status = 'O') AS canopy_px, round(count(*) FILTER (WHERE status = 'O') * 0.0025::DOUBLE, 6) AS area, CASE WHEN count(*) FILTER (WHERE status <> 'O') >= 20 THEN round(avg(CASE WHEN r < 10 THEN 1.0 ELSE 0.0 END) FILTER (WHERE status <> 'O'), 6) END AS shadow,
     round(count(*) FILTER (WHERE status = 'O') / count(*)::DOUBLE, 6) AS cover, round(640000 + (avg(n) + 0.5) * 0.05, 6) AS x, round(3540000 - (avg(k % 1000) + 0.5) * 0.05, 6) AS y FROM px GROUP BY zone""",
 )
 def agg_canopy(spark, sf):

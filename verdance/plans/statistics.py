@@ -138,14 +138,14 @@ def st_variance_shares(spark, sf):
     return out.select("yr", F.round("within", 1).alias("within"), F.round("between", 1).alias("between"), F.round("share", 6).alias("share"), F.round("cv", 6).alias("cv"))
 
 
-@R.add("st_moran", f"WITH {SPOTS}, m AS (SELECT avg(w) AS mu, var_pop(w) AS vp, count(*) AS n FROM cu), z AS (SELECT id, x, y, w - mu AS z FROM cu, m), e AS (SELECT a.z * b.z AS p FROM z a, z b WHERE a.id <> b.id AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) <= 25 AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) > 0) SELECT round(min(n) / count(*) * sum(p) / (min(vp) * min(n)), 6) AS i, round(-1.0 / (min(n) - 1), 9) AS expected, min(n) AS n FROM e, m")
+@R.add("st_moran", f"WITH {SPOTS}, m AS (SELECT avg(w) AS mu, var_pop(w) AS vp, count(*) AS n FROM cu), z AS (SELECT id, x, y, w - mu AS z FROM cu, m), e AS (SELECT a.z * b.z AS p FROM z a, z b WHERE a.id <> b.id AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) <= 25 AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) > 0) SELECT round(min(n) * sum(p) / (nullif(count(p), 0) * min(vp) * min(n)), 6) AS i, round(-1.0::DOUBLE / (min(n) - 1), 9) AS expected, min(n) AS n FROM m LEFT JOIN e ON true")
 def st_moran(spark, sf):
     """Moran's I (ST-17, JOI-19)."""
     out = stats.moran(spots(spark, sf)[0], "w", 25.0)
     return out.select(F.round("i", 6).alias("i"), F.round("expected", 9).alias("expected"), "n")
 
 
-@R.add("st_moran_within", f"WITH {SPOTS}, c2 AS (SELECT id, x, y, w - avg(w) OVER (PARTITION BY nation) AS w FROM cu), m AS (SELECT avg(w) AS mu, var_pop(w) AS vp, count(*) AS n FROM c2), z AS (SELECT id, x, y, w - mu AS z FROM c2, m), e AS (SELECT a.z * b.z AS p FROM z a, z b WHERE a.id <> b.id AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) <= 25 AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) > 0) SELECT round(min(n) / count(*) * sum(p) / (min(vp) * min(n)), 6) AS i, round(-1.0 / (min(n) - 1), 9) AS expected, min(n) AS n FROM e, m")
+@R.add("st_moran_within", f"WITH {SPOTS}, c2 AS (SELECT id, x, y, w - avg(w) OVER (PARTITION BY nation) AS w FROM cu), m AS (SELECT avg(w) AS mu, var_pop(w) AS vp, count(*) AS n FROM c2), z AS (SELECT id, x, y, w - mu AS z FROM c2, m), e AS (SELECT a.z * b.z AS p FROM z a, z b WHERE a.id <> b.id AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) <= 25 AND round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 6) > 0) SELECT round(min(n) * sum(p) / (nullif(count(p), 0) * min(vp) * min(n)), 6) AS i, round(-1.0::DOUBLE / (min(n) - 1), 9) AS expected, min(n) AS n FROM m LEFT JOIN e ON true")
 def st_moran_within(spark, sf):
     """Moran's I of residuals within groups (ST-18)."""
     from verdance.functions.scalar import demeaned
