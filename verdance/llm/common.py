@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of at most ``rows`` rows: whole texts can be long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
@@ -90,15 +91,32 @@ def arrow_rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def map_arrow(df: DataFrame, make, schema: str) -> DataFrame:
-    """``mapInArrow`` with ``make(batch) -> RecordBatch | None`` applied to each batch."""
+def release() -> None:
+    """Give memory that is free in this worker back to the machine: idle workers stay for the tasks to come."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has
+
+
+def map_arrow(df: DataFrame, make, schema, state: dict | None = None) -> DataFrame:
+    """``mapInArrow`` with ``make(batch) -> RecordBatch | None`` applied to each batch.
+
+    ``state`` is what ``make`` remembers within a task; it is dropped at the task's end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = make(batch)
-                if out is not None:
-                    yield out
+        try:
+            for batch in batches:
+                if batch.num_rows:
+                    out = make(batch)
+                    if out is not None:
+                        yield out
+        finally:
+            if state is not None:
+                state.clear()
+            release()
 
     return df.mapInArrow(run, schema)
 

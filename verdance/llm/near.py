@@ -50,7 +50,7 @@ def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "key", "registers"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, key binary, registers binary")
+    return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {kind}, n_shingles long, key binary, registers binary", state)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, width: int = 2) -> DataFrame:
@@ -70,7 +70,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame, width: int = 2) -> DataFrame:
     _, own = split_by_filter(docs.select(F.col("doc_id").alias("id"), "text"), "id", nodes.select("id"))
     own = own.join(nodes.select("id", "key"), "id")
     kind = nodes.schema["id"].dataType.simpleString()
-    return map_arrow(own.select("id", "key", "text"), make, f"id {kind}, hashes array<bigint>")
+    return map_arrow(own.select("id", "key", "text"), make, f"id {kind}, hashes array<bigint>", state)
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from verdance.llm.common import small_batches, texts
+from verdance.llm.common import release, small_batches, texts
 from verdance.llm.tokens import Encoder
 
 CAPACITY = 2048
@@ -188,5 +188,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                         yield from flush()
         if held:
             yield from flush()
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -23,7 +23,7 @@ _MUL = (_RNG.integers(0, 2**32, REGISTERS, dtype=np.uint64) | np.uint64(1)).asty
 _ADD = _RNG.integers(0, 2**32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: A bound on what a worker remembers of words it has met.
-CACHE = 500_000
+CACHE = 120_000
 
 
 class WordHashes(dict):

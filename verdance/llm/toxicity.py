@@ -31,7 +31,7 @@ LEET_FROM, LEET_TO = "013457@$!|", "oieastasil"
 _PUNCT = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _UNDO = bytes.maketrans(LEET_FROM.encode(), LEET_TO.encode())
 #: A bound on what a worker remembers of words it has met.
-CACHE = 400_000
+CACHE = 120_000
 LEX, STEMMED, HIDDEN, SECOND, CAPS, INNER, DIGIT = 1, 2, 4, 8, 16, 32, 64
 N_FEATURES = 16
 
@@ -147,7 +147,7 @@ def _measure(docs: DataFrame, words: frozenset, stems: frozenset, finish, schema
         made = finish(x)
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", *more)), made], names=[c.split()[0] for c in schema.split(", ")])
 
-    return map_arrow(docs.select("doc_id", "text", *more), make, schema)
+    return map_arrow(docs.select("doc_id", "text", *more), make, schema, state)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, lexicon: int = 400, least: int = 5, odds: float = 3.0) -> ToxicityModel:
@@ -202,4 +202,4 @@ def below(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
         x = np.array([features(t, known) for t in texts(batch)])
         return batch.filter(pa.array(np.interp(model.trees.raw(x), *model.knots) < threshold))
 
-    return map_arrow(docs, make, docs.schema)
+    return map_arrow(docs, make, docs.schema, state)
