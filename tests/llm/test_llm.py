@@ -93,6 +93,18 @@ def test_rules_reject_by_group_and_keep_clean(spark):
     assert bad == {99}
 
 
+def test_rules_hold_in_spammy_and_small_sources(spark):
+    clean = "plain words of some length stand here and there in every line that we have " * 5
+    junk = " ".join(f"w{i}###" for i in range(80))
+    rows = [(i, junk if i % 10 < 3 else clean + str(i), "en", "spam", 0) for i in range(100)]
+    rows += [(200 + i, junk if i == 0 else clean + str(i), "en", "small", 0) for i in range(5)]
+    rows += [(300 + i, junk, "en", "junk", 0) for i in range(5)] + [(400 + i, junk, None, None, 0) for i in range(5)]
+    rows += [(500 + i, clean + str(i), "en", "clean", 0) for i in range(60)]
+    m = rules.measure(frame(spark, rows))
+    bad = {r[0] for r in rules.verdicts(m, rules.thresholds(m)).filter("fail_symbols_a_word").collect()}
+    assert bad == {r[0] for r in rows if r[1] is junk}
+
+
 def test_licenses(odd, empty):
     out = licenses.scan(odd)
     assert by_text(out, "n_words", "n_base", "first_word", "last_word", "base_labels") == expected(brute.licenses)

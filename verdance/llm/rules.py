@@ -5,6 +5,11 @@ mergeable quantile sketch (KLL) of each rule's value for every language and
 source and derives a fence from its quantiles; ``verdicts`` joins the fences
 back and filters.
 
+Junk must not widen its own fence: the spread is the smaller of the distances of
+the two quartiles from the median, and a source's fence never lets through what
+its language's does not. Rules whose values do not depend on the language are
+held to the fence of the whole table as well.
+
 Sketches merge on the map side, so a hot source costs no skew. Null texts count
 as no words; null languages and sources form groups of their own. Rows repeat as
 often as they occur in the input.
@@ -25,21 +30,24 @@ LISTED = 48
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject values beyond median +- ``times`` * max(spread, ``floor``); spread: the distance of quantile ``outer`` from the median."""
+    """Reject values beyond median +- ``times`` * max(spread, ``floor``); spread: the distance of the nearer quartile from the median.
+
+    ``spoken``: the values depend on the language, so no fence goes beyond the first group column.
+    """
 
     name: str
     times: float
     floor: float
     low: bool = False
-    outer: float = 0.9
+    spoken: bool = False
 
 
 RULES = (
     Rule("symbols_a_word", 6.0, 0.02),
     Rule("repeated_share", 6.0, 0.05),
     Rule("duplicate_lines_share", 6.0, 0.06),
-    Rule("word_length", 8.0, 0.8),
-    Rule("word_length_low", 8.0, 0.5, low=True, outer=0.1),
+    Rule("word_length", 8.0, 0.8, spoken=True),
+    Rule("word_length_low", 8.0, 0.5, low=True, spoken=True),
 )
 
 
@@ -93,17 +101,31 @@ def values() -> dict[str, Column]:
     }
 
 
+def _fence(rule: Rule) -> Column:
+    low, mid, high = (F.kll_sketch_get_quantile_double(f"_k_{rule.name}", F.lit(q)) for q in (0.25, 0.5, 0.75))
+    spread = F.greatest(F.least(mid - low, high - mid), F.lit(rule.floor))
+    return mid - rule.times * spread if rule.low else mid + rule.times * spread
+
+
 def thresholds(counts: DataFrame, rules: tuple[Rule, ...] = RULES, groups: tuple[str, ...] = ("lang", "source"), size: int = 400) -> DataFrame:
-    """A fence for each rule and group, from one KLL sketch each (``size``: its accuracy, k)."""
+    """A fence for each rule and group, from one KLL sketch each (``size``: its accuracy, k).
+
+    It is the strictest of the group's own and those of its parents (the leading
+    columns of ``groups``, at last none), whose sketches are merged from the groups'.
+    """
     own = values()
     sketches = counts.groupBy(*groups).agg(*(F.kll_sketch_agg_double(own[r.name], F.lit(size)).alias(f"_k_{r.name}") for r in rules))
-    out = [F.col(g) for g in groups]
-    for r in rules:
-        mid = F.kll_sketch_get_quantile_double(f"_k_{r.name}", F.lit(0.5))
-        far = F.kll_sketch_get_quantile_double(f"_k_{r.name}", F.lit(r.outer))
-        spread = F.greatest(F.abs(far - mid), F.lit(r.floor))
-        out.append((mid - r.times * spread if r.low else mid + r.times * spread).alias(f"fence_{r.name}"))
-    return sketches.select(*out)
+    out = sketches.select(*groups, *(_fence(r).alias(f"fence_{r.name}") for r in rules))
+    for depth in range(len(groups) - 1, -1, -1):
+        held = [r for r in rules if depth or not r.spoken]
+        merged = sketches.groupBy(*groups[:depth]).agg(*(F.kll_merge_agg_double(f"_k_{r.name}", F.lit(size)).alias(f"_k_{r.name}") for r in held))
+        above = merged.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(groups[:depth])), *(_fence(r).alias(f"_above_{r.name}") for r in held))
+        same = F.lit(True)
+        for i, g in enumerate(groups[:depth]):
+            same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        out = out.join(F.broadcast(above), same, "left")
+        out = out.withColumns({f"fence_{r.name}": (F.greatest if r.low else F.least)(f"fence_{r.name}", f"_above_{r.name}") for r in held}).drop(*above.columns)
+    return out
 
 
 def verdicts(counts: DataFrame, fences: DataFrame, rules: tuple[Rule, ...] = RULES, groups: tuple[str, ...] = ("lang", "source"), least_words: int = 50) -> DataFrame:
