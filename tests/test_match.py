@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 
 from verdance.operators import layout, match, stats
+from verdance.plans import layout as layout_plans
+from verdance.plans.registry import spots
 
 
 def by_hand(pairs):
@@ -47,3 +49,27 @@ def test_labels_of_two_blobs(spark):
 def test_constants_without_spread_have_no_correlation(spark):
     df = spark.createDataFrame([(1.0, 2.0)] * 5, "x double, y double")
     assert stats.pearson(df, "x", "y").first()["r"] is None
+
+
+def brute_closest(left, right):
+    return {i: min((round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 6), j) for j, u, v in right)[::-1] for i, x, y in left}
+
+
+def test_closest_has_no_cap(spark):
+    rnd = random.Random(3)
+    make = lambda n, w: [(i, rnd.uniform(0, w), rnd.uniform(0, w)) for i in range(n)]
+    left = [*make(60, 50.0), (100, 9e5, -4e5), (101, -7e6, 3.0)]
+    for right in (make(20, 50.0), [(4, 7.0, 7.0), (2, 7.0, 7.0)], [(1, 0.0, 5e6), (2, 10.0, 5e6)]):
+        got = match.closest(*(spark.createDataFrame(rows, "id int, x double, y double") for rows in (left, right)))
+        got = {r["left_id"]: (r["right_id"], r["d"]) for r in got.collect()}
+        want = brute_closest(left, right)
+        assert got.keys() == want.keys()
+        assert all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 2e-6 for i in want)
+    none = spark.createDataFrame([], "id int, x double, y double")
+    assert match.closest(spark.createDataFrame(left, "id int, x double, y double"), none).count() == 0
+
+
+def test_allocation_of_all_points(spark, sf):
+    cu, su = ([tuple(r) for r in side.select("id", "x", "y").collect()] for side in spots(spark, sf))
+    got = {r["id"]: r["zone"] for r in layout_plans.R.queries["up_allocation_all"](spark, sf).collect()}
+    assert got == {i: m[0] for i, m in brute_closest(cu, su).items()}

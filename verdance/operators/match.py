@@ -34,6 +34,37 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, digits: int = 6) -
     return best.select("left_id", F.col("m.right_id").alias("right_id"), F.col("m.d").alias("d"))
 
 
+def closest(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
+    """(left_id, right_id, d): the closest at any distance, smaller id on ties; nothing only if no right row has a position.
+
+    ``nearest`` with a radius that doubles, each time over the left rows that
+    have no hit yet. A hit nearer than the radius by a unit of the last digit is
+    proven, as all right rows up to the radius were seen. The radius starts at the
+    spacing of the right rows and ends beyond the extent of both sides.
+    """
+    placed = lambda df: df.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).filter("abs(x) < double('infinity') and abs(y) < double('infinity')")
+    left, right = checkpointed(placed(left)), checkpointed(placed(right))
+    box = lambda df: df.agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{k}_{c}") for c in ("x", "y") for k, f in (("low", F.min), ("high", F.max)))).first()
+    a, b = box(left), box(right)
+    if not a["n"] or not b["n"]:
+        return nearest(left, right, 1.0, digits)
+    span = lambda *rows: tuple(max(r[f"high_{c}"] for r in rows) - min(r[f"low_{c}"] for r in rows) for c in ("x", "y"))
+    unit = 10.0**-digits
+    wide, high = span(b)
+    radius = max((wide * high / b["n"]) ** 0.5, max(wide, high) / b["n"], 1000 * unit)
+    extent = sum(span(a, b)) + 2 * unit
+    out = None
+    while True:
+        found = checkpointed(nearest(left, right, radius, digits).filter(F.col("d") <= radius - unit))
+        out = found if out is None else out.unionByName(found)
+        if radius > extent:
+            return out
+        left = checkpointed(left.join(found.select(F.col("left_id").alias("id")), "id", "left_anti"))
+        if left.isEmpty():
+            return out
+        radius *= 2
+
+
 def knn(left: DataFrame, right: DataFrame, k: int, radius: float, digits: int = 6) -> DataFrame:
     """The k closest within ``radius`` with their rank."""
     w = Window.partitionBy("left_id").orderBy("d", "right_id")

@@ -33,11 +33,18 @@ def up_labels(spark, sf):
 
 @R.add("up_allocation", f"WITH {SPOTS} SELECT cu.id AS id, (SELECT min(struct_pack(d := round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6), i := su.id)).i FROM su WHERE round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6) <= 400) AS zone FROM cu WHERE cu.id <= 300")
 def up_allocation(spark, sf):
-    """Every point to its closest seed (UP-6, JOI-14)."""
+    """Points up to id 300 to their closest seed within 400, as the SQL has it (JOI-14); all of them: up_allocation_all."""
     cu, su = spots(spark, sf)
     return match.nearest(cu.filter("id <= 300"), su, 400.0).select(C("left_id").alias("id"), C("right_id").alias("zone")).join(cu.filter("id <= 300").select("id"), "id", "right")
 
 
+@R.add("up_allocation_all")
+def up_allocation_all(spark, sf):
+    """Every point to its closest seed, at any distance (UP-6)."""
+    cu, su = spots(spark, sf)
+    return match.closest(cu, su).select(C("left_id").alias("id"), C("right_id").alias("zone")).join(cu.select("id"), "id", "right")
+
+
 @R.add("up_grid", f"WITH {SPOTS}, a(angle) AS (VALUES (0.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE)), t AS (SELECT angle, (x * cos(radians(angle)) + y * sin(radians(angle))) * 2 * pi() / 50 AS u, (y * cos(radians(angle)) - x * sin(radians(angle))) * 2 * pi() / 50 AS v FROM cu, a) SELECT angle, round(sqrt(pow(avg(cos(u)), 2) + pow(avg(sin(u)), 2)), 6) AS strength_u, round(sqrt(pow(avg(cos(v)), 2) + pow(avg(sin(v)), 2)), 6) AS strength_v FROM t GROUP BY angle")
 def up_grid(spark, sf):
     """Period strength of rows by angle (UP-7)."""
