@@ -18,6 +18,8 @@ from verdance.llm.common import materialise, table
 
 #: Scores from here on are rejected.
 TOXIC = 0.5
+#: Words in a shingle of the near-duplicate stage.
+WIDTH = 5
 #: Shares of the tokens by domain, and the part of all tokens that is kept.
 WEIGHTS = {"en": 0.585, "de": 0.15, "fr": 0.15, "es": 0.10, "low": 0.015}
 BUDGET = 0.9
@@ -31,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group."""
-    return near.kept(docs)
+    return near.kept(docs, width=WIDTH)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -330,6 +330,15 @@ def test_mixing_on_odd_rows(spark, odd, empty):
         assert mixing.drawn(docs, known, {"en": 0.5, "low": 0.5}).columns == docs.columns
 
 
+def test_pipeline_compares_five_words(spark):
+    base = [f"w{i}" for i in range(60)]
+    part = lambda *at: " ".join(f"z{i}" if i in at else w for i, w in enumerate(base))
+    # On two words document 2 reaches 0.8 (53 of 65), on five it does not (41 of 71); document 3 does on both.
+    docs = frame(spark, [(1, part(), "en", "s", 0), (2, part(10, 25, 40), "en", "s", 0), (3, part(0), "en", "s", 0)])
+    assert {r["doc_id"] for r in near.kept(docs, width=2).collect()} == {1}
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 2}
+
+
 def test_pipeline_stages(spark, odd, empty):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("score", F.lit("own"))
