@@ -148,6 +148,16 @@ def test_pii_redaction(spark):
     assert got == {1: "mail [EMAIL] or [IP], card [CARD]. \U0001f600 [PHONE]!", 2: None, 3: "clean"}
 
 
+def test_long_secrets_and_addresses_are_whole_spans(spark):
+    values = ["a1" * 30_000, "eyJhbGciOi.eyJzdWIiOiIx.Sfl-KxwRJ_SM", "abc~def/12+34==", "abcdefg.h", ".abcdefg1", "abcd1234"]
+    rows = [(i, f'my token="{v}" and secret: {v}. End', "en", "s", 0) for i, v in enumerate(values)] + [(9, "token=abcdefg.", "en", "s", 0)]
+    got = {r[0]: r[1] for r in frame(spark, rows).select("doc_id", F.regexp_extract_all("text", F.lit(pii.LOOSE[pii.SECRET]), F.lit(0))).collect()}
+    assert got == {9: [], **{i: [f'token="{v}"', f"secret: {v}"] for i, v in enumerate(values)}}
+    mail = f"{'u' * 90} [at] {'h' * 80} [dot] a [dot] b [dot] c [dot] d [dot] com"
+    found = frame(spark, [(1, f"to {mail} now", "en", "s", 0)]).select(F.regexp_extract_all("text", F.lit(pii.LOOSE[pii.EMAIL]), F.lit(0))).first()[0]
+    assert found == [mail]
+
+
 def test_tokens_are_those_of_the_tokenizer():
     path = public_tokenizers.path(packing.TOKENIZER)
     e, t = Encoder(path), Tokenizer.from_file(path)

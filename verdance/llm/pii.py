@@ -36,10 +36,11 @@ STRICT = {
     CARD: r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     PHONE: r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Values of any length; dots at the end of a secret are the sentence's.
 LOOSE = {
-    EMAIL: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]{1,63}+){1,4}+",
+    EMAIL: r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?: ?[\[({] ?dot ?[\])}] ?[A-Za-z0-9-]++)++",
     PHONE: r"(?<![0-9+(.-])(?<![0-9+] )(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
-    SECRET: r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|api_?key|token)\s{0,2}[=:]\s{0,2}[\"']?[a-z0-9_/+-]{8,128}[\"']?",
+    SECRET: r"(?i)(?<![a-z0-9_])(?:password|passwd|pwd|secret|api_?key|token)\s{0,2}[=:]\s{0,2}[\"']?(?=[a-z0-9_/+=~.-]{7}\.*+[a-z0-9_/+=~-])[a-z0-9_/+=~-]*+(?:\.++[a-z0-9_/+=~-]++)*+[\"']?",
 }
 #: What must be in a text for a pattern to match at all.
 NEEDS = {EMAIL: "@", PHONE: "+"}
