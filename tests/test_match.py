@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from verdance.operators import layout, match, stats
+from verdance.plans import statistics
 from verdance.plans import layout as layout_plans
-from verdance.plans.registry import spots
+from verdance.plans.registry import pixels, spots
 
 
 def by_hand(pairs):
@@ -73,3 +76,16 @@ def test_allocation_of_all_points(spark, sf):
     cu, su = ([tuple(r) for r in side.select("id", "x", "y").collect()] for side in spots(spark, sf))
     got = {r["id"]: r["zone"] for r in layout_plans.R.queries["up_allocation_all"](spark, sf).collect()}
     assert got == {i: m[0] for i, m in brute_closest(cu, su).items()}
+
+
+def test_regression_over_all_rows(spark, sf):
+    px = pixels(spark, sf).select("flag", "r", "v").toPandas()
+    got = {r["flag"]: r for r in statistics.R.queries["st_simple_regression_all"](spark, sf).collect()}
+    assert sum(r["n"] for r in got.values()) == len(px)
+    for flag, rows in px.groupby("flag"):
+        x, y = rows["r"].to_numpy(float), rows["v"].to_numpy(float)
+        slope, intercept = np.polyfit(x, y, 1)
+        rest = ((y - slope * x - intercept) ** 2).sum()
+        se = (rest / (len(x) - 2) / ((x - x.mean()) ** 2).sum()) ** 0.5
+        want = {"slope": slope, "intercept": intercept, "r2": 1 - rest / ((y - y.mean()) ** 2).sum(), "se": se, "t": slope / se}
+        assert all(np.isclose(got[flag][k], w, rtol=1e-4, atol=1e-3) for k, w in want.items())
