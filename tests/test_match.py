@@ -7,7 +7,7 @@ import random
 import numpy as np
 
 from verdance.operators import layout, match, stats
-from verdance.plans import statistics
+from verdance.plans import joins, statistics
 from verdance.plans import layout as layout_plans
 from verdance.plans.registry import pixels, spots
 
@@ -78,6 +78,12 @@ def test_allocation_of_all_points(spark, sf):
     assert got == {i: m[0] for i, m in brute_closest(cu, su).items()}
 
 
+def test_nearest_attribute_of_every_row(spark, sf):
+    cu, su = ([tuple(r) for r in side.select("id", "x", "y").collect()] for side in spots(spark, sf))
+    got = {r["left_id"]: r["right_id"] for r in joins.R.queries["joi_nearest_any"](spark, sf).collect()}
+    assert got == {i: m[0] for i, m in brute_closest(cu, su).items()}
+
+
 def test_regression_over_all_rows(spark, sf):
     px = pixels(spark, sf).select("flag", "r", "v").toPandas()
     got = {r["flag"]: r for r in statistics.R.queries["st_simple_regression_all"](spark, sf).collect()}

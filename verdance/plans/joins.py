@@ -72,11 +72,18 @@ def joi_nearest_in_row(spark, sf):
 
 @R.add("joi_nearest", f"""WITH {SPOTS}, {PAIRS} SELECT left_id, m.right_id AS right_id, m.d AS d FROM (SELECT left_id, min(struct_pack(d := d, right_id := right_id)) AS m FROM pr GROUP BY left_id)""")
 def joi_nearest(spark, sf):
-    """Closest within a radius, many to one (JOI-11, JOI-14, JOI-15, JOI-17)."""
+    """Closest within a radius, many to one (JOI-11, JOI-14, JOI-17)."""
     cu, su = spots(spark, sf)
     return match.nearest(cu, su, 60.0)
 
 
+@R.add("joi_nearest_any", f"""WITH {SPOTS} SELECT left_id, m.right_id AS right_id, m.d AS d, nation FROM (SELECT cu.id AS left_id, min(struct_pack(d := round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6), right_id := su.id)) AS m FROM cu, su GROUP BY cu.id) JOIN su ON su.id = m.right_id""")
+def joi_nearest_any(spark, sf):
+    """The closest row's attribute at any distance (JOI-15)."""
+    cu, su = spots(spark, sf)
+    return match.closest(cu, su).join(su.select(C("id").alias("right_id"), "nation"), "right_id").select("left_id", "right_id", "d", "nation")
+
+
 @R.add("joi_knn", f"""WITH {SPOTS}, {PAIRS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY d, right_id) AS INTEGER) AS rank FROM pr) SELECT * FROM k WHERE rank <= 4""")
 def joi_knn(spark, sf):
     """The four closest within a cap (JOI-12)."""
