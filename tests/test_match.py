@@ -95,3 +95,18 @@ def test_regression_over_all_rows(spark, sf):
         se = (rest / (len(x) - 2) / ((x - x.mean()) ** 2).sum()) ** 0.5
         want = {"slope": slope, "intercept": intercept, "r2": 1 - rest / ((y - y.mean()) ** 2).sum(), "se": se, "t": slope / se}
         assert all(np.isclose(got[flag][k], w, rtol=1e-4, atol=1e-3) for k, w in want.items())
+
+
+def test_labels_of_an_image_of_all_rows(spark, sf):
+    on = {(r["row"], r["col"]) for r in layout_plans.foreground(spark, sf).collect()}
+    want = {}
+    for start in sorted(on):
+        todo = [] if start in want else [start]
+        while todo:
+            r, c = todo.pop()
+            if (r, c) in on and (r, c) not in want:
+                want[r, c] = start[0] * 2**32 + start[1]
+                todo += [(r, c + 1), (r + 1, c), (r, c - 1), (r - 1, c)]
+    got = {(r["row"], r["col"]): r["label"] for r in layout_plans.R.queries["up_labels_all"](spark, sf).collect()}
+    assert got == want
+    assert len(set(want.values())) < len(want)
