@@ -60,13 +60,13 @@ def up_allocation_all(spark, sf):
 
 @R.add("up_grid", f"WITH {SPOTS}, a(angle) AS (VALUES (0.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE)), t AS (SELECT angle, (x * cos(radians(angle)) + y * sin(radians(angle))) * 2 * pi() / 50 AS u, (y * cos(radians(angle)) - x * sin(radians(angle))) * 2 * pi() / 50 AS v FROM cu, a) SELECT angle, round(sqrt(pow(avg(cos(u)), 2) + pow(avg(sin(u)), 2)), 6) AS strength_u, round(sqrt(pow(avg(cos(v)), 2) + pow(avg(sin(v)), 2)), 6) AS strength_v FROM t GROUP BY angle")
 def up_grid(spark, sf):
-    """Period strength of rows by angle (UP-7)."""
+    """Period strength of rows at three angles and one given period (a part of UP-7)."""
     return rounded(layout.grid_angles(spots(spark, sf)[0], 50.0, [0.0, 30.0, 45.0]).select("angle", "strength_u", "strength_v"))
 
 
 @R.add("up_strips", f"WITH {SPOTS} SELECT CASE WHEN x * cos(radians(30)) + y * sin(radians(30)) >= 900 THEN 2 WHEN x * cos(radians(30)) + y * sin(radians(30)) >= 450 THEN 1 ELSE 0 END AS strip, count(*) AS n FROM cu GROUP BY 1")
 def up_strips(spark, sf):
-    """Turned coordinates cut into strips (UP-8, UP-9)."""
+    """Turned coordinates cut into strips of given centres (UP-9)."""
     return layout.strips(layout.rotated(spots(spark, sf)[0], 30.0), [300.0, 600.0, 1200.0], "u").groupBy("strip").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -121,8 +121,8 @@ def ml_log_families(spark, sf):
     px = pixels(spark, sf)
     beta, smear = regress.lognormal(px, ["r"], "v")
     rows = [("lognormal", "slope", beta[1]), ("lognormal", "smearing", smear)]
-    rows += [(f, "slope", regress.irls(px, ["r"], "v", f, 6)[1]) for f in ("gamma", "inverse_gaussian")]
-    rows.append(("huber", "slope", regress.huber(px, ["r"], "v", rounds=4)[1]))
+    rows += [(f, "slope", regress.irls(px, ["r"], "v", f)[1]) for f in ("gamma", "inverse_gaussian")]
+    rows.append(("huber", "slope", regress.huber(px, ["r"], "v")[1]))
     return rounded(tidy(spark, rows), 4)
 
 
@@ -144,7 +144,7 @@ def ml_knn(spark, sf):
 
 @R.add("ml_trees")
 def ml_trees(spark, sf):
-    """Tree, forest and boosting with importances (ML-11..14, ML-19, ML-20, CV-6)."""
+    """Tree, forest and boosting with importances (ML-11..14, ML-19, ML-20)."""
     px = pixels(spark, sf).select("k", "n", *XS, "v")
     rows = []
     for name, kind, params in (("tree", "tree", {"maxDepth": 3}), ("forest", "forest", {"numTrees": 5, "maxDepth": 3, "featureSubsetStrategy": "onethird"}), ("boost", "boost", {"maxIter": 4, "maxDepth": 2, "stepSize": 0.3})):
