@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -88,3 +89,69 @@ def components(ids, texts):
     for i, d in enumerate(ids):
         least[top(i)] = min(d, least.get(top(i), d))
     return {d: (len(sets[i]), least[top(i)]) for i, d in enumerate(ids)}
+
+
+def planted_spans(n=1500, seed=5):
+    """(texts, spans): spans are (kind, start, end, is personal data), look-alikes among them."""
+    rnd = random.Random(seed)
+    w = "the and of to in on for with all some near river stone green walk door light seven paper lamp".split()
+    prose = lambda k: " ".join(rnd.choice(w) for _ in range(k))
+    num = lambda a, b: str(rnd.randrange(a, b))
+    hexed = lambda k: "".join(rnd.choice("0123456789abcdef") for _ in range(k))
+    name = lambda: rnd.choice(["ann", "bob", "kim", "lee"]) + num(1, 999)
+    ip = lambda: ".".join([num(11, 99), num(1, 255), num(1, 255), num(1, 255)])
+    local = lambda: f"({num(201, 989)}) {num(201, 989)}-{num(1000, 9999)}"
+    dotted = lambda d: ".".join((d[:4], d[4:8], d[8:12], d[12:]))
+
+    def card(good):
+        while True:
+            d = ("4" if good else rnd.choice("018793")) + "".join(rnd.choice("0123456789") for _ in range(15))
+            if _luhn(d) == good:
+                return d
+
+    made = {
+        "email": [
+            (True, lambda: ("write to ", f"{name()}@mail{num(1, 9)}.example.com")),
+            (True, lambda: ("contact ", f"{name()} [at] host{num(1, 9)} [dot] org")),
+            (False, lambda: ("user ", f"{name()}@host{num(1, 99)}")),
+        ],
+        "ip": [
+            (True, lambda: ("server ", ip())),
+            (True, lambda: ("host ", ip().replace(".", "[.]"))),
+            (False, lambda: ("version ", f"{num(1, 9)}.{num(300, 999)}.{num(256, 999)}.{num(300, 4000)}")),
+        ],
+        "card": [
+            (True, lambda: ("visa ", card(True))),
+            (True, lambda: ("card ", dotted(card(True)))),
+            (False, lambda: ("order ", card(False))),
+            (False, lambda: ("serial ", num(10**21, 10**22))),
+            (False, lambda: ("item ", dotted(card(False)))),
+        ],
+        "phone": [
+            (True, lambda: ("call ", "+1 " + local())),
+            (True, lambda: ("phone ", local())),
+            (True, lambda: ("tel ", f"{num(201, 989)}-{num(201, 989)}-{num(1000, 9999)}")),
+            (False, lambda: ("order ", num(10**8, 10**10))),
+            (False, lambda: ("total ", f"{num(100, 199)} {num(100, 199)} {num(1000, 9999)}")),
+            (False, lambda: ("page ", "+" + num(10, 99) + "-" + num(1, 9))),
+        ],
+        "secret": [
+            (True, lambda: ("config ", f'token = "{hexed(40)}"')),
+            (True, lambda: ("bearer ", f"sk-{hexed(30)}")),
+            (False, lambda: ("file ", "_".join(rnd.choice(w) for _ in range(8)))),
+            (False, lambda: ("the ", "password: changeme-example")),
+        ],
+    }
+    texts, spans = [], []
+    for _ in range(n):
+        text, own = prose(rnd.randrange(5, 40)), []
+        for _ in range(rnd.randrange(0, 3)):
+            kind = rnd.choice(list(made))
+            good, form = rnd.choice(made[kind])
+            before, value = form()
+            text += " " + (before if rnd.random() < 0.7 else "")
+            own.append((kind, len(text), len(text) + len(value), good))
+            text += value + rnd.choice([" ", ", ", ". "]) + prose(rnd.randrange(3, 12))
+        texts.append(text)
+        spans.append(own)
+    return texts, spans

@@ -141,6 +141,50 @@ def test_pii_on_random_strings(spark):
     assert got == {i: brute.pii(t)[5] for i, t, *_ in rows}
 
 
+def test_pii_classifier_rejects_and_adds(spark):
+    texts, spans = brute.planted_spans()
+    out, model = pii.find(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    got = {r[0]: r[1:] for r in out.select("doc_id", pii.listed(F.col("all")), pii.listed(F.col("base"))).collect()}
+    hits, found, real, rejected = Counter(), Counter(), Counter(), Counter()
+    for i, own in enumerate(spans):
+        good = {f"{k}:{a}:{b}" for k, a, b, ok in own if ok}
+        listed = set(filter(None, got[i][0].split(",")))
+        assert set(filter(None, got[i][1].split(","))) <= listed
+        for s in listed:
+            found[s.split(":")[0]] += 1
+            hits[s.split(":")[0]] += s in good
+        for k, a, b, ok in own:
+            real[k] += ok
+            rejected[k] += not ok and f"{k}:{a}:{b}" not in listed
+    for k in pii.KINDS:
+        assert hits[k] >= 0.97 * found[k] and hits[k] >= 0.95 * real[k] and rejected[k] > 20, k
+    # What tells spans from look-alikes was learned: the check of each kind is reliable, edges say little.
+    for k in pii.KINDS:
+        yes, _, also, no = model.reliability[k]["check"]
+        assert yes > 0.8 and no > 0.25 and yes > also
+    assert model.reliability["card"]["check"][3] > 0.8 and model.reliability["ip"]["check"][3] > 0.8
+
+
+def test_pii_decides_by_span_and_not_by_pattern(spark):
+    texts, _ = brute.planted_spans(600, 9)
+    at = len(texts)
+    texts += ["order 126 130 4160 to pay", "call 415-555-2671 now", "card 4111.1111.1111.1111 here", "item 0111.1111.1111.1112 here"]
+    out, _ = pii.find(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    got = {r[0]: r[1] for r in out.select("doc_id", pii.listed(F.col("all"))).collect() if r[0] >= at}
+    assert got == {at: "", at + 1: "phone:5:17", at + 2: "card:5:24", at + 3: ""}
+
+
+def test_pii_added_spans_never_touch_base_spans(spark):
+    blocks = " ".join(f"a{i}@b.example.com x{i} [at] y [dot] org" for i in range(300))
+    out, model = pii.find(frame(spark, [(1, blocks, "en", "s", 0), (1, blocks, "en", "s", 0)]), least=0.0)
+    rows = out.select("base", "all").collect()
+    assert len(rows) == 2 and rows[0] == rows[1]
+    base, every = rows[0]
+    added = [s for s in every if s not in base]
+    assert len(base) == 300 and len(added) >= 300
+    assert not any(b.kind == s.kind and b.start < s.end and s.start < b.end for s in added for b in base)
+
+
 def test_pii_redaction(spark):
     text = "mail a@b.example.com or 10.0.0.1, card 4111 1111 1111 1111. \U0001f600 +1 (415) 555-2671!"
     out, _ = pii.find(frame(spark, [(1, text, "en", "s", 0), (2, None, "en", "s", 0), (3, "clean", "en", "s", 0)]), ("doc_id", "text"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdance.session import checkpoint_dir
+
 #: ASCII white space, as the word patterns of the contracts have it.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -20,30 +22,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and set as the checkpoint folder.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="verdance-")
-        spark.sparkContext.setCheckpointDir(f"file://{named}")
-        named = f"file://{named}"
-    return named.rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     Lineage is cut by files every executor can read, so a lost executor costs
-    at most the tasks it was running.
+    at most the tasks it was running. ``discard`` deletes the files once nothing reads them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (weakref.ref(out, lambda _, k=id(out): _WRITTEN.pop(k, None)), path)
+    return out
+
+
+_WRITTEN: dict[int, tuple] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` wrote; nothing that is still to run may read them."""
+    for df in tables:
+        _, path = _WRITTEN.pop(id(df), (None, None))
+        if path:
+            own = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            own.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
