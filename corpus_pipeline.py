@@ -50,7 +50,7 @@ def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the domains' expected tokens match WEIGHTS; none is repeated."""
-    return mixing.drawn(docs, table(spark, sf_dir, "labels"), WEIGHTS, "doc_id", BUDGET, most=1.0)
+    return mixing.drawn(docs, table(spark, sf_dir, "labels"), WEIGHTS, "doc_id", BUDGET, most=1.0, missing="skip")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,13 +9,21 @@ the words its grams cover are a large enough part of the template.
 Base phrases are templates too: a place is a diagonal on which every gram of
 the phrase voted. Hits carry their words, so a hash alone never decides.
 
-Templates are a parameter with at most ``MOST_GRAMS`` grams; that bound is what
-lets their hashes be tested inside the scan (as a semi-join) before hits are
-joined, so that texts are never shuffled. Null and empty texts have no words.
+Templates are a parameter. Up to ``MOST_GRAMS`` grams, their hashes are tested
+inside the scan (as a semi-join) before hits are joined with a broadcast, so that
+texts are never shuffled. Beyond it, the text's grams are joined with the
+templates' by hash in a shuffle, spread over ``SALTS`` so that a frequent gram is
+not one task's; the hits are the same.
+
+Edge cases: null and empty texts have no words, no labels and score 0; a very long
+text is one row, and its hits are counted by diagonal; ties do not arise, as labels are sets
+in order; rows that repeat are scanned each; an empty table gives an empty one; only
+``doc_id`` and ``text`` are read, so columns of other names do not matter.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +32,7 @@ from pyspark.sql import functions as F
 from verdance.llm.common import ascii_lower
 
 K = 3
-MOST_GRAMS = 20_000
+MOST_GRAMS, SALTS = 20_000, 16
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -64,32 +72,49 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), _NOT_WORD), "")
 
 
-def _gram_table(docs: DataFrame, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, label, is_base, n, at, gram, hash), one row a template k-gram."""
-    rows = [(i, t.label, t.base, len(t.words), at, list(t.words[at : at + K])) for i, t in enumerate(templates) for at in range(len(t.words) - K + 1)]
-    if len(rows) > MOST_GRAMS:
-        raise ValueError(f"templates have {len(rows)} grams; at most {MOST_GRAMS} are allowed")
+def templates_from(texts: dict[str, str] | list[tuple[str, str]]) -> tuple[Template, ...]:
+    """Templates from (label, license text), such as a folder of full license texts."""
+    own = []
+    for label, text in texts.items() if isinstance(texts, dict) else texts:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        own.append(Template(label, tuple(w for w in re.split(_NOT_WORD, lowered) if w)))
+    return tuple(own)
+
+
+def _gram_table(docs: DataFrame, templates: tuple[Template, ...]) -> tuple[DataFrame, int]:
+    """(template, label, is_base, n, at, gram, hash), one row a template k-gram, and their number."""
     if any(len(t.words) < K for t in templates):
         raise ValueError(f"a template needs {K} words")
+    rows = [(i, t.label, t.base, len(t.words), at, list(t.words[at : at + K])) for i, t in enumerate(templates) for at in range(len(t.words) - K + 1)]
     made = docs.sparkSession.createDataFrame(rows, "template int, label string, is_base boolean, n int, at int, gram array<string>")
-    return made.withColumn("hash", F.xxhash64(*(F.get("gram", F.lit(j)) for j in range(K))))
+    return made.withColumn("hash", F.xxhash64(*(F.get("gram", F.lit(j)) for j in range(K)))), len(rows)
 
 
-def hits(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
-    """(doc_id, n_words, template, label, is_base, n, at, pos): a row for each gram hit, and one with null template for each document."""
-    grams = _gram_table(docs, templates)
-    known = sorted({r["hash"] for r in grams.select("hash").collect()})  # bounded by MOST_GRAMS
+def hits(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """(doc_id, _row, n_words, template, label, is_base, n, at, pos): a row for each gram hit, and one with null template for each document."""
+    grams, n_grams = _gram_table(docs, templates)
     step = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), words_of(F.col("text")).alias("_w"))
     hashes = F.transform(F.sequence(F.lit(0), F.size("_w") - K), lambda i: F.struct(i.alias("pos"), F.xxhash64(*(F.get("_w", i + j) for j in range(K))).alias("hash")))
-    step = step.withColumn("_h", F.when(F.size("_w") >= K, F.filter(hashes, lambda x: x.hash.isin(known))).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>")))
+    if n_grams <= most_grams:
+        known = sorted({r["hash"] for r in grams.select("hash").collect()})  # bounded by most_grams
+        hashes = F.filter(hashes, lambda x: x.hash.isin(known))
+    step = step.withColumn("_h", F.when(F.size("_w") >= K, hashes).otherwise(F.array().cast("array<struct<pos:int,hash:bigint>>")))
     found = F.transform("_h", lambda x: F.struct(x.pos.alias("pos"), x.hash.alias("hash"), F.slice(F.col("_w"), x.pos + 1, K).alias("gram")))
     step = step.select("doc_id", "_row", F.size("_w").cast("long").alias("n_words"), found.alias("_h"))
-    each = step.select("doc_id", "_row", "n_words", F.explode_outer("_h").alias("_h")).select("doc_id", "_row", "n_words", "_h.pos", "_h.hash", F.col("_h.gram").alias("_words"))
-    own = F.broadcast(grams)  # at most MOST_GRAMS rows
-    return each.join(own, (each.hash == own.hash) & (F.col("_words") == own.gram), "left").select("doc_id", "_row", "n_words", "template", "label", "is_base", "n", "at", "pos")
-
-
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.75, exact_below: int = 20, slack: int = 3) -> DataFrame:
+    out = ["doc_id", "_row", "n_words", "template", "label", "is_base", "n", "at", "pos"]
+    if n_grams <= most_grams:
+        each = step.select("doc_id", "_row", "n_words", F.explode_outer("_h").alias("_h")).select("doc_id", "_row", "n_words", "_h.pos", "_h.hash", F.col("_h.gram").alias("_words"))
+        own = F.broadcast(grams)  # at most most_grams rows
+        return each.join(own, (each.hash == own.hash) & (F.col("_words") == own.gram), "left").select(*out)
+    each = step.select("doc_id", "_row", "n_words", F.explode("_h").alias("_h"))
+    each = each.select("doc_id", "_row", "n_words", "_h.pos", F.col("_h.hash").alias("_hash"), F.col("_h.gram").alias("_words"), F.pmod(F.col("_h.pos") + F.col("_row"), F.lit(SALTS)).alias("_salt"))
+    own = grams.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    met = each.join(own, (each["_hash"] == own["hash"]) & (each["_salt"] == own["_salt"]) & (F.col("_words") == F.col("gram"))).select(*out)
+    kinds = {f.name: f.dataType for f in met.schema}
+    return met.unionByName(step.select("doc_id", "_row", "n_words", *(F.lit(None).cast(kinds[c]).alias(c) for c in out[3:])))
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.75, exact_below: int = 20, slack: int = 3, most_grams: int = MOST_GRAMS) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row a document row.
 
     A merged span covers the template words that grams of up to ``slack``
@@ -100,7 +125,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: fl
     Hits are dealt once by document, and the three groupings below use that
     partitioning. What meets in a task is one document's hits.
     """
-    own = hits(docs, templates).repartition("_row")
+    own = hits(docs, templates, most_grams).repartition("_row")
     keys = ["_row", "doc_id", "n_words"]
     named = [*keys, "template", "label", "is_base", "n"]
     votes = own.groupBy(*named, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.sort_array(F.collect_list("at")).alias("ats"))

@@ -15,11 +15,21 @@ only, so documents are first grouped by their posteriors in ``GRID`` steps.
 
 A document is kept ``floor(r)`` times and once more by a hash of its id with the
 chance of what is left, so a run that is repeated decides alike.
+
+Targets may be out of reach (rates have a largest value, posteriors are soft):
+the fit reports what it reaches and the largest gap, ``drawn`` warns of it.
+
+Edge cases: null and empty texts have no tokens and the classes' shares as
+posterior; a very long text is one row and counts with all its words; ties of likelihoods
+give equal posteriors; rows that repeat are rated each, and alike; an empty table gives an
+empty one; without labelled rows there are no domains and every rate is one; rows with a null key are
+kept once by ``drawn``; columns but the keys and ``text`` are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +53,8 @@ class Mix:
     errors: tuple[tuple[float, ...], ...]
     step: float
     most: float
+    missing: tuple[str, ...] = ()
+    gap: float = 0.0  # largest distance of a reached share from its target, as a share of all tokens
 
 
 def words(text: Column) -> Column:
@@ -78,10 +90,13 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = 2000, buckets:
 
     Ids are sampled before texts are read: what is broadcast to the scan are at
     most about ``rows * most_domains`` ids, and what is collected are counts by
-    bucket and domain, at most ``buckets * most_domains``.
+    bucket and domain, at most ``buckets * most_domains``. More domains than
+    ``most_domains`` are an error: none is dropped.
     """
     own = materialise(labelled.filter(F.col("domain").isNotNull()).select("doc_id", "domain"), "domains")
-    shares = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "domain").limit(most_domains).collect()}
+    shares = {r["domain"]: r["n"] for r in own.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).limit(most_domains + 1).collect()}
+    if len(shares) > most_domains:
+        raise ValueError(f"more than {most_domains} domains; raise most_domains or merge some")
     domains = tuple(sorted(shares))
     if not domains:
         return DomainModel((), (), np.zeros((buckets + REPEATS + 1, 0)), buckets)
@@ -134,25 +149,31 @@ def rate(p: Column, errors: tuple[tuple[float, ...], ...], step: float, most: fl
     return F.aggregate(steps, F.lit(start), one)
 
 
-def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], budget: float = 1.0, most: float = 4.0, steps: int = 40, tolerance: float = 2e-4) -> Mix:
+def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, float], budget: float = 1.0, most: float = 4.0, steps: int = 40, tolerance: float = 2e-4, missing: str = "raise") -> Mix:
     """Rates for documents (tokens, p) whose expected tokens match ``weights`` of ``budget`` times all tokens.
 
-    ``weights`` that name unknown domains are left out; the others are scaled to
-    one. A document's rate is recomputed from the steps' errors, so nothing is
-    kept for it between steps.
+    Weights that name domains nobody has learned are an error, or, with
+    ``missing="skip"``, are left unfilled: the others keep their shares, and the fit names
+    what is missing and counts it in its gap. A document's rate is recomputed from the
+    steps' errors, so nothing is kept for it between steps.
     """
+    absent = tuple(sorted(k for k, v in weights.items() if v > 0 and k not in domains))
+    if absent and missing != "skip":
+        raise ValueError(f"no labelled documents of {', '.join(absent)}; known domains: {', '.join(domains) or 'none'}")
     d = len(domains)
     w = np.array([max(0.0, weights.get(k, 0.0)) for k in domains])
     groups = materialise(docs.groupBy("p").agg(F.sum("tokens").cast("double").alias("tokens")).filter("tokens > 0"), "mix")
     sums = lambda df, r: df.agg(*(F.sum(r * F.col("tokens") * F.get("p", F.lit(j))).alias(f"s{j}") for j in range(d)), F.sum("tokens").alias("all")).first()
+    every = sum(max(0.0, v) for v in weights.values())
+    lost = max((weights[k] / every * budget for k in absent), default=0.0)
     if not d or w.sum() <= 0:
-        return Mix(domains, tuple(w), tuple(w), tuple(w), (), 1.0, most)
+        return Mix(domains, tuple(w), tuple(w), tuple(w), (), 1.0, most, absent, lost)
     first = sums(groups, F.lit(1.0))
     total = float(first["all"] or 0.0)
     if total <= 0:
-        return Mix(domains, tuple(w), (0.0,) * d, (0.0,) * d, (), 1.0, most)
+        return Mix(domains, tuple(w / every * budget), (0.0,) * d, (0.0,) * d, (), 1.0, most, absent, max(lost, float(w.max() / every * budget)))
     natural = np.array([first[f"s{j}"] for j in range(d)]) / total
-    target = w / w.sum() * budget
+    target = w / every * budget
     weight = 1 / np.maximum(natural, 1e-4)
     errors, reached = [], natural
     gram = groups.agg(*(F.sum(F.get("p", F.lit(i)) * F.get("p", F.lit(j)) * F.col("tokens")).alias(f"g{i}_{j}") for i in range(d) for j in range(d))).first()
@@ -166,7 +187,8 @@ def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, floa
         errors.append(tuple(float(x) for x in e * weight))
         row = sums(groups, rate(F.col("p"), tuple(errors), step, most))
         reached = np.array([row[f"s{j}"] for j in range(d)]) / total
-    return Mix(domains, tuple(target), tuple(reached), tuple(natural), tuple(errors), step, most)
+    gap = max(lost, float(np.abs(reached - target).max()))
+    return Mix(domains, tuple(target), tuple(reached), tuple(natural), tuple(errors), step, most, absent, gap)
 
 
 def copies(key: Column, rates: Column, seed: int = 11) -> Column:
@@ -182,13 +204,16 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, low: str = "low") -> Da
     return own.select("doc_id", F.when(F.col("quality") == 0, F.lit(low)).otherwise(F.col("lang")).alias("domain"))
 
 
-def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", budget: float = 1.0, most: float = 1.0) -> DataFrame:
+def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: str = "doc_id", budget: float = 1.0, most: float = 1.0, missing: str = "raise", warn_at: float = 0.005) -> DataFrame:
     """Rows of ``docs``, each as often as the mix has it; rows with a null key are kept once.
 
     The fit needs tokens and posteriors only, which are written; the draw works
     them out again beside the row, so that whole texts are never joined.
     """
-    _, fit, model = mixed(docs, labels, weights, [key], budget, most)
+    _, fit, model = mixed(docs, labels, weights, [key], budget, most, missing)
+    if fit.gap > warn_at:
+        reached = {d: (round(r, 4), round(t, 4)) for d, r, t in zip(fit.domains, fit.reached, fit.target, strict=True)}
+        warnings.warn(f"the mix misses a target by {fit.gap:.4f} of all tokens; reached and target: {reached}, missing: {fit.missing}", stacklevel=2)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), "text")
     times = F.when(F.col("_key").isNull(), 1).otherwise(copies(F.col("_key"), F.col("_rate")))
     own = posteriors(row, model, ["_row", "_key"]).withColumn("_rate", rate(F.col("p"), fit.errors, fit.step, fit.most))
@@ -197,13 +222,10 @@ def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: st
     return own.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keys: list[str], budget: float = 1.0, most: float = 4.0) -> tuple[DataFrame, Mix, DomainModel]:
-    """``keys``, tokens, p, rate and copies of every row, with the fit behind them.
-
-    Null and empty texts have no tokens and the classes' shares as posterior.
-    """
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keys: list[str], budget: float = 1.0, most: float = 4.0, missing: str = "raise") -> tuple[DataFrame, Mix, DomainModel]:
+    """``keys``, tokens, p, rate and copies of every row, with the fit behind them; the first key may have any type."""
     model = fit_domains(docs, labelled_domains(docs, labels))
     own = materialise(posteriors(docs, model, keys), "posteriors")
-    fit = fit_rates(own, model.domains, weights, budget, most)
+    fit = fit_rates(own, model.domains, weights, budget, most, missing=missing)
     rated = own.withColumn("rate", rate(F.col("p"), fit.errors, fit.step, fit.most))
-    return rated.withColumn("copies", copies(F.coalesce(F.col(keys[0]), F.lit(0)), F.col("rate"))), fit, model
+    return rated.withColumn("copies", copies(F.col(keys[0]), F.col("rate"))), fit, model

@@ -38,8 +38,9 @@ WEIGHTS = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.12, "low": 0.02}
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own, _, model = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id"])
-    return own.select("doc_id", "tokens", *(F.get("p", F.lit(j)).alias(f"p_{name}") for j, name in enumerate(model.domains)), "rate", "copies")
+    own, fit, model = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id"], missing="skip")
+    shares = (F.get("p", F.lit(j)).alias(f"p_{name}") for j, name in enumerate(model.domains))
+    return own.select("doc_id", "tokens", *shares, "rate", "copies", F.lit(fit.gap).alias("gap"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

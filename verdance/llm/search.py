@@ -1,20 +1,27 @@
 """Exact top-k inner products by MaxScore over integer vectors.
 
 A vector's components are its terms; the postings of a term are its values in
-one shard of candidates, kept by term. For a query, each term's contribution in
-the shard lies between two bounds. Terms are ordered by the width of that range;
-the narrow ones that together cannot lift a candidate over the k-th best score
-found so far are non-essential. Essential postings are traversed for all
-candidates; the others are probed, widest first, only for candidates that can
-still compete, and the threshold rises meanwhile. Shards give their k best,
-which are merged.
-
-Candidates are dealt into shards and queries into blocks, both of bounded size;
-a task holds one shard and one block. Rows of candidates are copied once for
-each block of queries, the stated set of queries against all rows. Components
-that are missing in shorter vectors count as zero. Vectors that are null or hold
-null, NaN or infinite components, and rows without an id, take no part; of rows
-with one id the smallest vector counts.
+one shard of candidates. For a query, the terms' contributions in a shard lie
+between bounds that the shard's largest and smallest values give. Terms are
+ordered by how far those bounds lie apart; the narrow ones that together cannot
+lift a candidate to the query's bar (its k-th best score so far) are
+non-essential. Essential postings are traversed for all candidates of the shard,
+as one product for a block of queries; the others are probed for candidates
+that can still reach the bar. A query whose bound for a whole shard is under its bar skips it.
+Shards give their best, which are merged.
+
+Candidates are put into shards by similarity (signs of a few fixed projections),
+so that bounds are narrow and a query's own shard gives it a high bar first; a
+crowded sign pattern is split by a hash of the id, so a shard has at most about
+``shard_rows`` rows even where a third of all vectors are equal. Queries are
+dealt into blocks; a task holds one shard and one block. Rows of candidates are
+copied once for each block of queries, the stated set of queries against all rows.
+
+Edge cases: vectors that are null or hold null, NaN or infinite components, and
+rows without an id, take no part; components that are missing in shorter vectors count as
+zero; of rows that repeat an id the smallest vector counts; ties go to the smaller id; a
+score that a long can't hold is given as the largest or smallest long; an empty table gives an
+empty one; columns but ``vec_id`` and ``embedding`` are not read.
 """
 
 from __future__ import annotations
@@ -23,10 +30,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PROBE = 8
+from verdance.llm.common import materialise
+
+#: Terms in a step; queries whose scores are held at once; share of candidates under which they are probed one by one.
+PROBE, HELD, FEW = 16, 256, 0.25
+#: At most so many projections, so there are at most 2**PLANES sign patterns.
+PLANES = 12
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -39,102 +51,150 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 class Shard:
-    """Postings of one shard: a row a term, so that a term's values lie together."""
+    """Candidates of one shard with the bounds of each term."""
 
     def __init__(self, ids: np.ndarray, v: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.post = ids[order], np.ascontiguousarray(v[order].T)
-        self.most, self.least = self.post.max(1), self.post.min(1)
-
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best, without the query's own row."""
-        a, b = q * self.most, q * self.least
-        upper, lower = np.maximum(a, b), np.minimum(a, b)
-        terms = np.argsort(upper - lower, kind="stable")[::-1]  # widest first
-        other = self.ids != query_id
-        few = min(k, int(other.sum()))
-        if not few:
-            return self.ids[:0], np.zeros(0)
-        # A first threshold: the best by the widest terms, scored in full.
-        head = terms[:PROBE]
-        part = q[head] @ self.post[head]
-        part[~other] = -np.inf
-        seed = np.argpartition(part, -few)[-few:]
-        bar = (q @ self.post[:, seed]).min()
-        # Non-essential: the narrowest terms whose upper bounds, with the lower bounds of the rest, stay under the bar.
-        lift = np.cumsum((upper - lower)[terms][::-1])
-        spare = int(np.searchsorted(lift + lower.sum(), bar, side="left"))
-        essential, rest = terms[: len(terms) - spare], terms[len(terms) - spare :]
-        more = essential[PROBE:] if len(essential) > PROBE else essential[:0]
-        if len(essential) < PROBE:
-            rest = terms[PROBE:]
-        score = part + q[more] @ self.post[more] if len(more) else part
-        alive = np.flatnonzero(score + upper[rest].sum() >= bar)
-        score = score[alive]
-        for at in range(0, len(rest), PROBE):
-            now = rest[at : at + PROBE]
-            score = score + q[now] @ self.post[np.ix_(now, alive)]
-            if at + PROBE < len(rest):
-                left_low, left_high = lower[rest[at + PROBE :]].sum(), upper[rest[at + PROBE :]].sum()
-                if len(score) > k:
-                    bar = max(bar, np.partition(score, -few)[-few] + left_low)
-                keep = score + left_high >= bar
-                alive, score = alive[keep], score[keep]
-        order = np.lexsort((self.ids[alive], -score))
-        order = order[other[alive[order]]][:k]
-        return self.ids[alive[order]], score[order]
+        self.ids, self.v = ids, v
+        self.most, self.least = v.max(0), v.min(0)
+
+    def bounds(self, q: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest and smallest that ``terms`` can add to each query's score."""
+        up, down = np.maximum(q[:, terms], 0), np.minimum(q[:, terms], 0)
+        most, least = self.most[terms], self.least[terms]
+        return up @ most + down @ least, up @ least + down @ most
+
+    def top(self, query_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of q, row of the shard, score) of at most k candidates a query whose score is at least its bar.
+
+        The query itself is no candidate. Ties beyond the k-th go to smaller ids.
+        """
+        every = np.arange(q.shape[1])
+        alive = np.flatnonzero(self.bounds(q, every)[0] >= bar)
+        out: list[tuple[np.ndarray, ...]] = []
+        for at in range(0, len(alive), HELD):
+            rows = alive[at : at + HELD]
+            i, j, s = self._block(query_ids[rows], q[rows], bar[rows].copy(), k)
+            out.append((rows[i], j, s))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (alive, alive, np.zeros(0, q.dtype))  # type: ignore[return-value]
+
+    def _block(self, query_ids: np.ndarray, q: np.ndarray, bar: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        reach = (self.most - self.least) * np.abs(q).max(0)
+        terms = np.argsort(reach.astype(float), kind="stable")[::-1]  # widest first
+        own = self.ids[None, :] == query_ids[:, None]
+        score = np.zeros((len(q), len(self.ids)), q.dtype)
+        done = 0
+        while True:  # essential terms, for all candidates
+            now, rest = terms[done : done + PROBE], terms[done + PROBE :]
+            score = score + q[:, now] @ self.v[:, now].T
+            done += PROBE
+            high, low = self.bounds(q, rest)
+            if done <= PROBE or not len(rest):  # the bar rises by what is sure in this shard
+                bar = np.maximum(bar, _kth(np.where(own, low[:, None] - np.inf if q.dtype != object else -(1 << 200), score + low[:, None]), k))
+            open_ = (score + high[:, None] >= bar[:, None]) & ~own
+            if not len(rest) or open_.mean() < FEW:
+                break
+        i, j = np.nonzero(open_)
+        s = score[i, j]
+        while done < len(terms) and len(i):  # the others, only where a candidate can still compete
+            now, rest = terms[done : done + PROBE], terms[done + PROBE :]
+            s = s + (q[i][:, now] * self.v[j][:, now]).sum(1)
+            done += PROBE
+            keep = s + self.bounds(q, rest)[0][i] >= bar[i]
+            i, j, s = i[keep], j[keep], s[keep]
+        order = np.lexsort((self.ids[j], -s if s.dtype != object else np.array([-float(x) for x in s]), i))
+        i, j, s = i[order], j[order], s[order]
+        if s.dtype == object and len(s):  # doubles can't tell all whole numbers apart
+            order = np.array(sorted(range(len(i)), key=lambda r: (i[r], -s[r], self.ids[j[r]])))
+            i, j, s = i[order], j[order], s[order]
+        first = np.searchsorted(i, i, side="left")
+        keep = np.arange(len(i)) - first < k
+        return i[keep], j[keep], s[keep]
+
+
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; minus infinity where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    if scores.dtype == object:
+        return np.array([sorted(r, reverse=True)[k - 1] for r in scores], object)
+    return np.partition(scores, -k, axis=1)[:, -k]
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Vectors as rows of doubles, or of Python integers where doubles would not be exact."""
-    lists = column.to_pylist()
-    big = max((abs(x) for v in lists for x in v), default=0)
-    out = np.zeros((len(lists), width), np.float64 if big < 2**20 else object)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
+    """Vectors as rows: of doubles where all sums of products are exact in them, else of Python integers."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat, offsets = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    sizes = np.diff(offsets)
+    big = int(max(abs(int(flat.max())), abs(int(flat.min())))) if len(flat) else 0
+    out = np.zeros((len(sizes), width), np.float64 if big * big * max(1, width) < 1 << 52 else object)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    out[row, np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], sizes)] = flat if out.dtype != object else [int(x) for x in flat]
     return out
 
 
-def _exact(ids: np.ndarray, v: np.ndarray, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, list]:
-    """The same by plain integers, for components that doubles can't hold."""
-    scores = [(-int(sum(int(a) * int(b) for a, b in zip(row, q, strict=True))), int(i)) for i, row in zip(ids, v, strict=True) if i != query_id]
-    best = sorted(scores)[:k]
-    return np.array([i for _, i in best], ids.dtype), [-s for s, _ in best]
+def _pattern(v: Column, planes: int, width: int, seed: int = 5) -> Column:
+    """Signs of fixed projections of a vector, as the bits of a number."""
+    rng = np.random.default_rng(seed)
+    code = F.lit(0).cast("long")
+    for p in range(planes):
+        signs = F.array(*(F.lit(int(s)) for s in rng.choice([-1, 1], width)))
+        dot = F.aggregate(F.zip_with(v, signs, lambda x, s: F.coalesce(x, F.lit(0)).cast("double") * F.coalesce(s, F.lit(0))), F.lit(0.0), lambda a, x: a + x)
+        code = code + F.when(dot >= 0, 1 << p).otherwise(0)
+    return code
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 2048, block_rows: int = 4096, scale: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 4096, block_rows: int = 2048, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best other vectors for each query; ties to the smaller id."""
-    own = quantised(vectors, scale)
-    n, m, width = own.agg(F.count(F.lit(1)), F.count_if(is_query), F.max(F.size("v"))).first()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil((m or 0) / block_rows))
+    own = materialise(quantised(vectors, scale).withColumn("ask", F.coalesce(is_query, F.lit(False))), "vectors")
+    n, m, width = own.agg(F.count(F.lit(1)), F.count_if(F.col("ask")), F.max(F.size("v"))).first()
     width = max(1, width or 1)
-    spread = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    candidates = own.select("vec_id", "v", F.lit(False).alias("q"), spread(shards, 1).alias("shard"), every(blocks).alias("block"))
-    queries = own.filter(is_query).select("vec_id", "v", F.lit(True).alias("q"), every(shards).alias("shard"), spread(blocks, 2).alias("block"))
-
-    def search(table: pa.Table) -> pa.Table:
-        import os
-
-        os.environ.setdefault("OMP_NUM_THREADS", "1")
-        ids, v = table.column("vec_id").to_numpy(), _matrix(table.column("v"), width)
-        asks = table.column("q").to_numpy()
-        at = np.flatnonzero(asks)
-        out: list[list] = [[], [], []]
-        rest = ~asks
-        if len(at) and rest.any():
-            exact = v.dtype == object
-            shard = None if exact else Shard(ids[rest], v[rest])
-            for i in at:
-                got, scores = _exact(ids[rest], v[rest], ids[i], v[i], k) if exact else shard.top(ids[i], v[i], k)
-                out[0] += [int(ids[i])] * len(got)
-                out[1] += [int(x) for x in got]
-                out[2] += [int(s) for s in scores]
-        return pa.table([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
-
-    found = queries.unionByName(candidates).groupBy("shard", "block").applyInArrow(search, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
+    planes = min(PLANES, max(0, math.ceil(math.log2(max(1, n) / shard_rows))) if n > shard_rows else 0)
+    coded = own.withColumn("code", _pattern(F.col("v"), planes, width))
+    sizes = sorted((r["code"], r["n"]) for r in coded.groupBy("code").agg(F.count(F.lit(1)).alias("n")).collect())  # at most 2**PLANES rows
+    parts = [max(1, -(-count // shard_rows)) for _, count in sizes]
+    first = np.concatenate([[0], np.cumsum(parts)])
+    shards, blocks = int(first[-1]), max(1, math.ceil((m or 0) / block_rows))
+    spread = lambda count, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), count)
+    table = own.sparkSession.createDataFrame([(c, int(f), p) for (c, _), f, p in zip(sizes, first, parts, strict=False)], "code long, first long, parts long")
+    placed = coded.join(F.broadcast(table), "code").select("vec_id", "v", "ask", (F.col("first") + spread(F.col("parts"), 1)).alias("shard"))
+    placed = materialise(placed.withColumn("block", spread(F.lit(blocks), 2)), "shards")
+    schema = "query_id long, vec_id long, score long"
+
+    def search(ids: np.ndarray, v: np.ndarray, asks: np.ndarray, q_ids: np.ndarray, q: np.ndarray, bar: np.ndarray) -> pa.Table:
+        rest = np.flatnonzero(asks)
+        i = j = np.zeros(0, int)
+        s = np.zeros(0)
+        if len(rest) and len(q_ids):
+            shard = Shard(ids[rest], v[rest])
+            i, j, s = shard.top(q_ids, q, bar, k)
+            got = shard.ids[j]
+        else:
+            got = np.zeros(0, np.int64)
+        low, high = -(1 << 63), (1 << 63) - 1
+        scores = s.astype(np.int64) if s.dtype != object else [min(max(int(x), low), high) for x in s]
+        return pa.table([pa.array(q_ids[i], pa.int64()), pa.array(got, pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    def at_home(t: pa.Table) -> pa.Table:
+        ids, v, asks = t.column("vec_id").to_numpy(), _matrix(t.column("v"), width), t.column("ask").to_numpy()
+        return search(ids, v, np.ones(len(ids), bool), ids[asks], v[asks], np.full(int(asks.sum()), -np.inf))
+
+    def away(t: pa.Table) -> pa.Table:
+        ids, v, asks = t.column("vec_id").to_numpy(), _matrix(t.column("v"), width), t.column("ask").to_numpy()
+        bar = t.column("bar").to_numpy()[asks].astype(float)
+        bar = np.where(np.abs(bar) < 2.0**53, bar, np.nextafter(bar, -np.inf))  # a bar must not be rounded up
+        return search(ids, v, ~asks, ids[asks], v[asks], bar)
+
+    home = materialise(placed.groupBy("shard").applyInArrow(at_home, schema), "home")
+    bars = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar")).filter(F.col("n") >= k)
+    bars = bars.select(F.col("query_id").alias("vec_id"), F.col("bar").cast("double").alias("bar"))
+    asking = placed.filter("ask").join(bars, "vec_id", "left").withColumn("bar", F.coalesce("bar", F.lit(float("-inf"))))
+    asking = asking.withColumn("to", F.explode(F.filter(F.sequence(F.lit(0), F.lit(max(0, shards - 1))), lambda x: x != F.col("shard"))))
+    asking = asking.select("vec_id", "v", F.lit(True).alias("ask"), "bar", F.col("to").cast("long").alias("shard"), "block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    candidates = placed.select("vec_id", "v", F.lit(False).alias("ask"), F.lit(None).cast("double").alias("bar"), "shard", every.alias("block"))
+    found = asking.unionByName(candidates).groupBy("shard", "block").applyInArrow(away, schema).unionByName(home)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = """
