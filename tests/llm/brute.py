@@ -7,6 +7,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import xxhash
+
 SPACE = " \t\n\x0b\x0c\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -155,3 +158,77 @@ def planted_spans(n=1500, seed=5):
         texts.append(text)
         spans.append(own)
     return texts, spans
+
+
+def license_scan(text, licenses):
+    """(n_words, n_base, base_labels, labels, score) by plain diagonals."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    base, labels, n_base, score = set(), set(), 0, 0.0
+    for t in licenses.TEMPLATES:
+        n, k = len(t.words), licenses.K
+        lines: dict = {}
+        for pos in range(len(w) - k + 1):
+            for at in range(n - k + 1):
+                if tuple(w[pos : pos + k]) == t.words[at : at + k]:
+                    lines.setdefault(pos - at, set()).add(at)
+        if t.base:
+            places = [d for d, ats in lines.items() if len(ats) == n - k + 1]
+            n_base += len(places)
+            if places:
+                base.add(t.label)
+                labels.add(t.label)
+                score = 1.0
+            continue
+        best = 0.0
+        for d in lines:
+            run = [e for e in lines if d <= e <= d + 3]
+            words = {at + j for e in run for at in lines[e] for j in range(k)}
+            best = max(best, len(words) / (n + max(run) - d))
+        score = max(score, best)
+        if best >= (1.0 if n < 20 else 0.75):
+            labels.add(t.label)
+    return len(w), n_base, ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 9)
+
+
+def posterior(text, model, mixing):
+    """(tokens, p) of the mixing model, from the text's words."""
+    w = words(text)
+    signed = lambda h: h - 2**64 if h >= 2**63 else h
+    found = {signed(xxhash.xxh64_intdigest(x[-mixing.ENDING :].encode(), seed=42)) % model.buckets for x in w}
+    share = int(mixing.REPEATS * len(set(w)) / max(1, len(w)))
+    cells = sorted(found) + [share + model.buckets]
+    units = np.round(model.table * mixing.UNIT)
+    z = np.array(model.prior) + units[cells].sum(0) / mixing.UNIT * 0.5 / len(cells) ** 0.5
+    e = np.exp(z - z.max())
+    return len(w), e / e.sum()
+
+
+def rule_verdicts(m, rules):
+    """doc_id -> kept, from exact quantiles of every group and its parents."""
+    words_ = m["n_words"].clip(lower=1)
+    value = {
+        "symbols_a_word": m["n_symbols"] / words_,
+        "repeated_share": m["n_repeat_words"] / words_,
+        "duplicate_lines_share": m["n_dup_lines"] / m["n_lines"].clip(lower=1),
+        "word_length": m["word_chars"] / words_,
+        "word_length_low": m["word_chars"] / words_,
+    }
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    out = failed.copy()
+    fine = m[~failed]
+    for r in rules:
+        v = value[r.name]
+        for depth in (2, 1, 0):
+            if r.spoken and not depth:
+                continue
+            keys = [m[c].fillna("\0") for c in ("lang", "source")[:depth]]
+            group = keys[0] + "|" + keys[1] if depth == 2 else keys[0] if depth else m["doc_id"] * 0
+            for g in set(group):
+                here, learned = group == g, v[fine.index][group[fine.index] == g]
+                if not len(learned):
+                    continue
+                low, mid, high = np.quantile(learned, [0.25, 0.5, 0.75], method="inverted_cdf")
+                spread = max(min(mid - low, high - mid), r.floor)
+                fence = mid - r.times * spread if r.low else mid + r.times * spread
+                out |= here & ((v < fence) if r.low else (v > fence)) & (m["n_words"] >= 50)
+    return dict(zip(m["doc_id"], ~out, strict=True))

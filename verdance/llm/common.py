@@ -160,3 +160,32 @@ def split_by_filter(df: DataFrame, key: str, ids: DataFrame, most: int = 25) ->
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))
     hit = df[key].isNotNull() & (F.get(F.col("_f"), F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0)
     return df.join(one, hit, "left_anti"), df.join(one, hit, "left_semi")
+
+
+#: Hot keys are found by counts; there are at most so many of them, so their list can be broadcast.
+HOT_KEYS = 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, counts: DataFrame | None = None, least: int = 50_000, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row a key, where hot keys of ``left`` are dealt over copies of their right row.
+
+    A key is hot if it has ``least`` rows of ``left`` or more, and at least one in HOT_KEYS of
+    all; so there are at most HOT_KEYS of them, and no task gets more than about that many
+    rows of one key. ``by`` is the column of ``left`` that deals them. ``counts`` (key, n) may be given.
+    """
+    if counts is None:
+        total = left.count()
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n")) if total >= least else None
+    else:
+        total = counts.agg(F.sum("n")).first()[0] or 0
+    if total < least or counts is None:
+        return left.join(right, key, how)
+    heavy = max(least, total // HOT_KEYS)
+    hot = materialise(counts.filter(F.col("n") >= heavy).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / heavy).alias("_parts")), "hot")
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    few = F.broadcast(hot)  # at most HOT_KEYS rows
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(few, left[key] == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(left[by].cast("string"), F.lit(23)), parts)).drop("_hot", "_parts")
+    copied = right.join(few, right[key] == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_hot", "_parts")
+    return dealt.join(copied, [key, "_salt"], how).drop("_salt")

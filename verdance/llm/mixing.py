@@ -212,7 +212,7 @@ def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: st
     """
     _, fit, model = mixed(docs, labels, weights, [key], budget, most, missing)
     if fit.gap > warn_at:
-        reached = {d: (round(r, 4), round(t, 4)) for d, r, t in zip(fit.domains, fit.reached, fit.target, strict=True)}
+        reached = {d: (round(float(r), 4), round(float(t), 4)) for d, r, t in zip(fit.domains, fit.reached, fit.target, strict=True)}
         warnings.warn(f"the mix misses a target by {fit.gap:.4f} of all tokens; reached and target: {reached}, missing: {fit.missing}", stacklevel=2)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), "text")
     times = F.when(F.col("_key").isNull(), 1).otherwise(copies(F.col("_key"), F.col("_rate")))

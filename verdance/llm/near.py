@@ -14,8 +14,15 @@
    tables; nothing of it reaches the driver but counts.
 
 A pair at similarity 0.8 shares no band with chance (1 - 0.8^5)^40 = 1.3e-7.
-Rows with one doc_id count as one document's; a null doc_id is in no group.
-Texts without words have no set and are linked with nothing.
+
+Keys that many rows share (one text's copies, a crowded bucket, a large star's
+centre, a large component's label) are dealt over copies of the one row they meet.
+
+Edge cases: null and empty texts have no set and are linked with nothing; a very
+long text is one row with a large set; of similar sets the smallest id names the group, and
+ties of centres go to the larger id; rows with one doc_id count as one document's, each row is given; a null
+doc_id is in no group; an empty table gives an empty one; only ``doc_id`` and ``text`` are
+read, so columns of other names do not matter (``kept`` returns them all).
 """
 
 from __future__ import annotations
@@ -26,12 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdance.llm import sketch
-from verdance.llm.common import map_arrow, materialise, small_batches, split_by_filter, texts
+from verdance.llm.common import discard, map_arrow, materialise, small_batches, split_by_filter, spread_join, texts
 
 #: Standard deviation of an estimate near 0.8; pairs more than five of it below the threshold are not verified.
 SIGMA = (0.8 * 0.2 / sketch.REGISTERS) ** 0.5
 #: Shingles in a block of the side that is dealt out, and of the side that is copied.
 BLOCK, COPIED = 1 << 14, 1 << 16
+#: Rows of one key from which wide rows (registers, whole sets) are dealt over copies.
+WIDE = 2_000
+#: Rounds after which labels must have settled; each round at least halves the trees.
+ROUNDS = 200
 
 
 def sketches(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -77,7 +88,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, centre, n, n_centre, guess) for pairs (id, centre)."""
     own = nodes.select("id", "n", F.col("registers").alias("r_own"))
     other = nodes.select(F.col("id").alias("centre"), F.col("n").alias("n_centre"), F.col("registers").alias("r_centre"))
-    both = pairs.join(own, "id").join(other, "centre")
+    both = spread_join(pairs, other, "centre", "id", least=WIDE).join(own, "id")
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, sketch.REGISTERS) for c in ("r_own", "r_centre")]
@@ -89,31 +100,34 @@ def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return map_arrow(both.select("id", "centre", "n", "n_centre", "r_own", "r_centre"), make, f"id {kind}, centre {kind}, n long, n_centre long, guess double")
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, id) for buckets of two nodes or more."""
+def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, id, n) for buckets of n nodes, two or more, and (bucket, n)."""
     wide = 2 * sketch.ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(sketch.BANDS - 1)), lambda b: F.xxhash64(b, F.substring(F.col("registers"), b * wide + 1, F.lit(wide))))
     each = nodes.select("id", F.explode(keys).alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    return each.join(shared, "bucket").select("bucket", "id", "size")
+    shared = materialise(each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared")
+    return materialise(spread_join(each, shared, "bucket", "id", shared), "buckets"), shared
 
 
 def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Estimated pairs (id, centre, n, n_centre, guess), and the nodes that take part."""
-    members = materialise(_buckets(nodes), "buckets")
-    reach = members.groupBy("id").agg(F.sum("size").alias("reach"))
+    met, shared = _buckets(nodes)
+    reach = met.groupBy("id").agg(F.sum("n").alias("reach"))
     part = materialise(nodes.join(reach, "id").select("id", "n", "key", "registers", "reach"), "part")
-    members = members.select("bucket", "id").join(part.select("id", "reach"), "id")
+    members = met.select("bucket", "id").join(part.select("id", "reach"), "id")
     centres = members.groupBy("bucket").agg(F.max(F.struct("reach", "id")).alias("m")).select("bucket", F.col("m.id").alias("centre"))
-    spokes = members.join(centres, "bucket").filter("id != centre").select("id", "centre").distinct()
-    return materialise(_estimated(spokes, part), "pairs"), part
+    spokes = spread_join(met.select("bucket", "id"), centres, "bucket", "id", shared).filter("id != centre").select("id", "centre").distinct()
+    spokes = materialise(spokes, "spokes")
+    pairs = materialise(_estimated(spokes, part), "pairs")
+    discard(met, shared, spokes)
+    return pairs, part
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of pairs whose full sets reach the threshold."""
     left = sets.select(F.col("id"), F.col("hashes").alias("own"))
     right = sets.select(F.col("id").alias("centre"), F.col("hashes").alias("other"))
-    both = pairs.select("id", "centre").join(left, "id").join(right, "centre")
+    both = spread_join(pairs.select("id", "centre"), right, "centre", "id", least=WIDE).join(left, "id")
     inter = F.size(F.array_intersect("own", "other"))
     return both.withColumn("inter", inter).filter(F.lit(100) * F.col("inter") >= F.lit(percent) * (F.size("own") + F.size("other") - F.col("inter"))).select(F.col("id").alias("a"), F.col("centre").alias("b"))
 
@@ -127,18 +141,22 @@ def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         new = both.select(F.col("a").alias("id")).distinct().join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         labels = new.unionByName(labels.join(new.select("id"), "id", "left_anti"))
     labels = materialise(labels, "labels")
-    while True:
+    for _ in range(ROUNDS):
         met = both.join(labels, F.col("a") == F.col("id")).groupBy("b").agg(F.min("component").alias("m"))
         near = materialise(labels.join(met, F.col("id") == F.col("b"), "left").select("id", F.col("component").alias("was"), F.least("component", "m").alias("component")), "near")
-        # A label's own label: hooks whole trees, not only neighbours.
-        hook = near.groupBy(F.col("was").alias("root")).agg(F.min("component").alias("to"))
-        step = near.join(hook, F.col("was") == F.col("root"), "left").select("id", "was", F.least("component", "to").alias("component"))
-        jump = near.select(F.col("id").alias("root2"), F.col("component").alias("next"))
-        step = step.join(jump, F.col("component") == F.col("root2"), "left").select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component"))
-        step = materialise(step, "labels")
-        labels = step.select("id", "component")
-        if step.filter("component != was").isEmpty():
-            return labels
+        # A label's own label: hooks whole trees, not only neighbours. Many rows share a label.
+        hook = near.groupBy("was").agg(F.min("component").alias("to"))
+        step = spread_join(near, hook, "was", "id", how="left").select("id", "was", F.least("component", "to").alias("component"))
+        jump = near.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        step = spread_join(materialise(step, "hooked"), jump, "component", "id", how="left")
+        step = materialise(step.select("id", "was", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
+        discard(labels, near)
+        labels, same = step, step.filter("component != was").isEmpty()
+        if same:
+            discard(both)
+            return labels.select("id", "component")
+        labels = step
+    raise RuntimeError(f"labels did not settle in {ROUNDS} rounds")
 
 
 def _rest(pairs: DataFrame, part: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -198,8 +216,9 @@ def groups(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     more = materialise(_rest(pairs, part, sets, labels, percent).distinct(), "rest")
     if not more.isEmpty():
         labels = components(edges.unionByName(more), labels)
-    placed = nodes.join(labels, "id", "left").select(F.col("key").alias("_key"), F.coalesce("component", "id").alias("component_id"))
-    out = own.join(placed, F.col("key") == F.col("_key"), "left")
+    discard(pairs, part, sets, edges, more)
+    placed = nodes.join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
+    out = spread_join(own, materialise(placed, "placed"), "key", "doc_id", how="left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
