@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 import weakref
 from collections.abc import Iterator
@@ -48,11 +49,16 @@ def discard(*tables: DataFrame) -> None:
             own.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(own, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of at most ``rows`` rows: whole texts can be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 8 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and ``size`` bytes, since whole texts can be long.
+
+    The results are lazy, so the limits have to hold while the caller runs them;
+    a session that has set tighter limits keeps its own.
+    """
+    for key, most, usual in (("maxRecordsPerBatch", rows, "10000"), ("maxBytesPerBatch", size, "64m")):
+        now = int(re.sub("[^0-9]", "", spark.conf.get(f"spark.sql.execution.arrow.{key}", usual) or "") or 0)
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def crc_mod(col: str | Column, n: int) -> Column:
@@ -128,7 +134,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
 
     The label rows are sampled first, so what is broadcast to the scan of the
     documents is at most a few times ``rows`` ids, whatever the table's size.
-    Rows with a null id or label, and second labels of an id, are left out.
+    Rows with a null id or label are left out; of several labels of an id the larger counts.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & keep)
     picked = bounded_sample(own, "doc_id", ["label"], rows).groupBy("doc_id").agg(F.max("label").alias("label"))

@@ -12,6 +12,11 @@ left at a batch's end are cut into powers of two, which need no padding.
 
 No shuffle and no state between tasks: memory is one batch, and a task that is
 run again gives the same sequences, because its input order is its files'.
+
+Edge cases: null and empty texts are the one id ``END``; a very long text is cut into
+whole windows and a rest; of choices that fill a window alike the one with longer items is taken; rows that
+repeat, also with one id, are packed each; an empty table gives an empty one; only
+``doc_id`` and ``text`` are read, so columns of other names do not matter.
 """
 
 from __future__ import annotations

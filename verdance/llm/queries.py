@@ -11,6 +11,7 @@ from verdance.plans.registry import Registry
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every row. Null or empty text: the score without evidence; null doc_id: held_out false; repeats scored alike; no documents: no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.fit(docs, labels, crc_mod("doc_id", 4) != 2)
     return quality.score(docs, model).select(
@@ -22,14 +23,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all rows. Null or empty text: one piece of one id; a long text: several; repeats packed each; no documents: no rows."""
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License scan of every row. Null or empty text: zero counts, null places, empty labels; repeats scanned each; no documents: no rows."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op4_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of every row. Null or empty text: its own group; null doc_id: no group, kept false; rows of one doc_id agree; no documents: no rows."""
     return near.groups(table(spark, sf_dir, "documents")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -38,12 +42,14 @@ WEIGHTS = {"en": 0.50, "de": 0.18, "fr": 0.18, "es": 0.12, "low": 0.02}
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior, rate and copies of every row, and the largest gap of the mix. Null or empty text: no tokens; repeats alike; no documents: no rows."""
     own, fit, model = mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS, ["doc_id"], missing="skip")
     shares = (F.get("p", F.lit(j)).alias(f"p_{name}") for j, name in enumerate(model.domains))
     return own.select("doc_id", "tokens", *shares, "rate", "copies", F.lit(fit.gap).alias("gap"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every row. Null or empty text: the score of zero features; null doc_id: held_out false; repeats alike; no documents: no rows."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, crc_mod("doc_id", 5) != 0)
     return toxicity.score(docs, model).select(
@@ -55,6 +61,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every row. Null or empty text: none; repeats alike; spans at one start by kind; no documents: no rows."""
     found, _ = pii.find(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long")
     return found.select(
@@ -66,6 +73,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every row. Null or empty text: zero words, base_failed; null lang and source: a group; no documents: no rows."""
     counts = materialise(rules.measure(table(spark, sf_dir, "documents")), "rules")
     own = rules.verdicts(counts, rules.thresholds(counts.filter(~rules.failed_base())))
     failed = F.lit(False)
@@ -75,10 +83,12 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best of every query vector. Null or broken vectors take no part; ties to smaller ids; repeated ids once; no vectors: no rows."""
     return search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every row. Null, empty or letterless text: und, score 0; null doc_id: held_out false; repeats alike; no documents: no rows."""
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, crc_mod("doc_id", 3) != 1)
     return language.predict(docs, model).select(

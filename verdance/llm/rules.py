@@ -10,9 +10,13 @@ the two quartiles from the median, and a source's fence never lets through what
 its language's does not. Rules whose values do not depend on the language are
 held to the fence of the whole table as well.
 
-Sketches merge on the map side, so a hot source costs no skew. Null texts count
-as no words; null languages and sources form groups of their own. Rows repeat as
-often as they occur in the input.
+Sketches merge on the map side, so a hot source costs no skew.
+
+Edge cases: null and empty texts have no words; null languages and sources form groups of
+their own; a very long text is one row (with many repeated windows they are found by
+sorting); a value equal to its fence passes; rows that repeat are measured each; an empty
+table gives empty ones; a group without rows that pass the base rule has no fence of its own and
+fails none; only ``text`` and the keys are read, so columns of other names do not matter.
 """
 
 from __future__ import annotations

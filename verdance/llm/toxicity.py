@@ -7,8 +7,14 @@ only once a word's obfuscation is undone, capitals, punctuation, and words
 with digits or punctuation inside.
 
 The lexicon, trees and calibration are learned from at most about ``rows``
-labelled rows of each class; the lexicon has at most ``lexicon`` entries. Null
-and empty texts have all features zero and get the model's score for that.
+labelled rows of each class; the lexicon has at most ``lexicon`` entries.
+
+Edge cases: null and empty texts have all features zero and get the model's score
+for that; a very long text is one row, whose densest window still shows a short passage; equal
+features give equal scores; of several labels of one id the larger counts; rows that repeat are
+scored each, and alike; an empty table gives an empty one; without labels of both classes the
+score is the share of toxic labels; only ``doc_id`` and ``text`` are read, so columns of
+other names do not matter (``below`` returns them all).
 """
 
 from __future__ import annotations
