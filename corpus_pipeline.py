@@ -3,7 +3,12 @@
 Each stage is one operator of ``verdance.llm`` with its decisions put into
 effect; its result is written as Parquet and read again as the next one's input.
 All but the last return the columns of ``documents``, and extra columns of the
-input go along. Rows with a null doc_id are kept by the filters.
+input go along, whatever their names.
+
+Every stage takes null and empty texts (clean, in no near-duplicate group, without spans,
+without tokens but for packing's end mark), very long texts, ties (decided by
+doc_id), rows that repeat (decided alike; near copies of one doc_id stay together), null
+doc_ids (kept by the filters) and empty tables (no rows).
 """
 
 from __future__ import annotations
@@ -26,35 +31,36 @@ BUDGET = 0.9
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is under TOXIC."""
+    """Documents whose toxicity score is under TOXIC; without labels of both classes all rows have the labels' share as score."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
     return toxicity.below(docs, model, TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
+    """The document with the smallest id of each near-duplicate group; texts without words and null ids stay."""
     return near.kept(docs, width=WIDTH)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with each span of personal data replaced by its kind."""
+    """Texts with each span of personal data replaced by its kind; null texts stay null, n_chars follows the text."""
     columns = [F.col(c) for c in docs.columns]
     keyed = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
     found = pii.candidates(keyed, ("_row",))
     kept = materialise(found, "private")
     model = pii.fit(kept)
     masked = pii.decide(kept, model).select("_row", pii.redact(F.col("_row.text"), F.col("all")).alias("_masked"))
-    out = [F.col("_masked").alias(c) if c == "text" else F.length("_masked").cast("long").alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    new = {"text": F.col("_masked"), "n_chars": F.length("_masked").cast("long")}
+    out = [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
     return masked.select(*out)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that the domains' expected tokens match WEIGHTS; none is repeated."""
+    """Documents drawn so that the domains' expected tokens match WEIGHTS; none is repeated, and a gap that stays is warned of."""
     return mixing.drawn(docs, table(spark, sf_dir, "labels"), WEIGHTS, "doc_id", BUDGET, most=1.0, missing="skip")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences, as the packing operator gives them, without the ids themselves."""
+    """Pieces of token sequences, as the packing operator gives them, without the ids themselves; an empty text is one id."""
     return packing.pack(docs).drop("ids")
 
 
