@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.operators.match import within
-from verdance.session import checkpointed
+from verdance.operators.ordering import numbered
+from verdance.session import Appended, checkpointed
 
 C = F.col
+#: Rows of an ordered table that share a block.
+ROWS = 1 << 16
 
 
 def hull(points: np.ndarray) -> list[tuple[float, float]]:
@@ -61,16 +64,16 @@ def thinned(points: DataFrame, least: float) -> DataFrame:
     """
     edges = checkpointed(within(points, points, least).filter((C("d") < least) & (C("left_id") < C("right_id"))).select(C("left_id").alias("a"), C("right_id").alias("b")))
     state = points.select("id")
-    kept = None
+    kept = Appended(points.sparkSession, state.schema)
     left = checkpointed(state)
     while True:
         blocked = edges.select(C("b").alias("id")).distinct()
         now = checkpointed(left.join(blocked, "id", "left_anti"))
-        kept = now if kept is None else kept.unionByName(now)
+        kept.add(now)
         drop = edges.join(now.select(C("id").alias("a")), "a").select(C("b").alias("id")).distinct()
         left = checkpointed(left.join(now, "id", "left_anti").join(drop, "id", "left_anti"))
         if left.isEmpty():
-            return kept
+            return kept.read()
         alive = left.select("id")
         edges = checkpointed(edges.join(alive.select(C("id").alias("a")), "a").join(alive.select(C("id").alias("b")), "b").select("a", "b"))
 
@@ -126,9 +129,13 @@ def strips(df: DataFrame, centres: list[float], v: str) -> DataFrame:
 
 def rolling_offsets(df: DataFrame, order: str, dx: str, dy: str, last: int = 10, least: int = 3) -> DataFrame:
     """Mean of the last successful offsets in front of each row; null until there are ``least``."""
-    w = Window.orderBy(order).rowsBetween(-last, -1)
+    own = numbered(df, [order], "_i").withColumn("_block", F.floor(C("_i") / ROWS))
+    # The last rows in front of a block are copied into it.
+    edge = own.filter(C("_i") % ROWS >= ROWS - last).withColumn("_block", C("_block") + 1)
+    w = Window.partitionBy("_block").orderBy("_i").rowsBetween(-last, -1)
     mean = lambda c: F.when(F.count(c).over(w) >= least, F.avg(c).over(w))
-    return df.withColumns({"roll_x": mean(dx), "roll_y": mean(dy)})
+    both = own.withColumn("_own", F.lit(True)).unionByName(edge.withColumn("_own", F.lit(False)))
+    return both.withColumns({"roll_x": mean(dx), "roll_y": mean(dy)}).filter("_own").select(*df.columns, "roll_x", "roll_y")
 
 
 def clock_offset(photos: DataFrame, triggers: DataFrame, ts: str, span: float = 15.0, coarse: float = 0.5, fine_span: float = 2.0, fine: float = 0.05, limit: float = 8.0) -> tuple[float | None, float | None]:

@@ -1,7 +1,7 @@
 """Spatial and temporal joins.
 
 Radius and nearest joins are equi-joins on grid cells as wide as the radius: the
-smaller side is copied to a cell and its eight neighbours, pairs are filtered by
+right side is copied to a cell and its eight neighbours, pairs are filtered by
 distance. Sides are (id, x, y, ...) with plane coordinates.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.session import checkpointed
+from verdance.session import Appended, checkpointed
 
 
 def _cell(c: Column, width: float) -> Column:
@@ -80,14 +80,14 @@ def greedy(pairs: DataFrame, key: Column | None = None) -> DataFrame:
     wait for one another.
     """
     left = pairs.withColumn("_o", F.struct(F.col("d"), (key if key is not None else F.col("left_id")).alias("k"), F.col("right_id")))
-    out = None
+    out = Appended(pairs.sparkSession, pairs.select("left_id", "right_id", "d").schema)
     while True:
         a = left.groupBy("left_id").agg(F.min("_o").alias("_a"))
         b = left.groupBy("right_id").agg(F.min("_o").alias("_b"))
         taken = checkpointed(left.join(a, "left_id").join(b, "right_id").filter((F.col("_o") == F.col("_a")) & (F.col("_o") == F.col("_b"))).select("left_id", "right_id", "d"))
-        out = taken if out is None else out.unionByName(taken)
         if taken.isEmpty():
-            return out
+            return out.read()
+        out.add(taken)
         left = checkpointed(left.join(taken.select("left_id"), "left_id", "left_anti").join(taken.select("right_id"), "right_id", "left_anti"))
 
 

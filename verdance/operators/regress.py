@@ -13,9 +13,13 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdance.operators.ordering import numbered
+from verdance.session import checkpointed
+
 C = F.col
 
 
@@ -337,18 +341,45 @@ def random_intercept(df: DataFrame, xs: list[str], y: str, group: str) -> tuple[
     return beta, per.select(group, (C("m") * C("between") / (C("between") + C("within") / C("n"))).alias("blup"))
 
 
-def knn_regression(train: DataFrame, test: DataFrame, xs: list[str], y: str, k: int, key: str) -> DataFrame:
-    """(key, predicted): mean of the k closest training rows on z-scored columns; for small tables, whose training side is checked."""
-    most = 200_000
-    if train.limit(most + 1).count() > most:
-        raise ValueError(f"the training side is compared with every row; it may have {most} rows")
-    st = train.agg(*(F.avg(x).alias(f"_m_{x}") for x in xs), *(F.stddev_pop(x).alias(f"_s_{x}") for x in xs)).first()
-    z = lambda x: (C(x) - float(st[f"_m_{x}"])) / float(st[f"_s_{x}"] or 1.0)
-    a = test.select(C(key).alias("_k"), *(z(x).alias(f"_t_{x}") for x in xs))
-    b = train.select(C(key).alias("_i"), C(y).alias("_y"), *(z(x).alias(f"_r_{x}") for x in xs))
-    d = sum((F.pow(C(f"_t_{x}") - C(f"_r_{x}"), 2) for x in xs), F.lit(0.0))
-    near = a.join(F.broadcast(b), C("_k") != C("_i")).groupBy("_k").agg(F.slice(F.sort_array(F.collect_list(F.struct(d.alias("d"), "_i", "_y"))), 1, k).alias("n"))
-    return near.select(C("_k").alias(key), F.aggregate("n", F.lit(0.0), lambda s, e: s + e["_y"] / F.size("n")).alias("predicted"))
+def knn_regression(train: DataFrame, test: DataFrame, xs: list[str], y: str, k: int, key: str, block: int = 4096, apart: str | None = None) -> DataFrame:
+    """(key, predicted): mean of the k closest other training rows on z-scored columns, smaller keys on ties.
+
+    Both sides are dealt into blocks of about ``block`` rows; each pair of blocks
+    gives its k best a test row, which are merged. Rows with one value of ``apart`` are no neighbours.
+    """
+    near = neighbours(train, test, xs, y, k, key, block, apart)
+    return near.groupBy("_k").agg(F.avg("_y").alias("predicted")).select(C("_k").alias(key), "predicted")
+
+
+def neighbours(train: DataFrame, test: DataFrame, xs: list[str], y: str, k: int, key: str, block: int = 4096, apart: str | None = None) -> DataFrame:
+    """(_k, rank, _i, _y): the k closest training rows of each test row."""
+    st = train.agg(*(F.avg(x).alias(f"_m_{x}") for x in xs), *(F.stddev_pop(x).alias(f"_s_{x}") for x in xs), F.count(F.lit(1)).alias("_n")).first()
+    z = F.array(*((C(x) - float(st[f"_m_{x}"] or 0.0)) / float(st[f"_s_{x}"] or 1.0) for x in xs))
+    group = C(apart).cast("long") if apart else F.lit(None).cast("long")
+    blocks, sides = max(1, -(-st["_n"] // block)), max(1, -(-test.count() // block))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = test.select(C(key).alias("_k"), z.alias("_z"), F.lit(0.0).alias("_y"), group.alias("_g"), F.lit(True).alias("_ask"), place(key, sides).alias("_t")).withColumn("_b", every(blocks))
+    b = train.select(C(key).alias("_k"), z.alias("_z"), C(y).cast("double").alias("_y"), group.alias("_g"), F.lit(False).alias("_ask"), place(key, blocks).alias("_b")).withColumn("_t", every(sides))
+    kind = test.schema[key].dataType.simpleString()
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        ask = pdf[pdf["_ask"]]
+        own = pdf[~pdf["_ask"]].sort_values("_k", kind="stable")
+        rows = []
+        if len(own):
+            at, keys, groups = np.stack(own["_z"].to_numpy()), own["_k"].to_numpy(), own["_g"].to_numpy()
+            for key_, q, g in zip(ask["_k"], ask["_z"], ask["_g"], strict=True):
+                d = ((at - q) ** 2).sum(1)
+                d[(keys == key_) | (groups == g if apart else False)] = np.inf
+                first = np.argsort(d, kind="stable")[:k]
+                first = first[np.isfinite(d[first])]
+                rows.append(pd.DataFrame({"_k": key_, "_i": keys[first], "_y": own["_y"].to_numpy()[first], "_d": d[first]}))
+        return pd.concat(rows) if rows else pd.DataFrame({"_k": [], "_i": [], "_y": [], "_d": []})
+
+    found = a.unionByName(b).groupBy("_t", "_b").applyInPandas(best, f"_k {kind}, _i {kind}, _y double, _d double")
+    w = Window.partitionBy("_k").orderBy("_d", "_i")
+    return found.withColumn("rank", F.row_number().over(w)).filter(C("rank") <= k).select("_k", "rank", "_i", "_y")
 
 
 def trees(df: DataFrame, xs: list[str], y: str, kind: str = "forest", **params):
@@ -368,16 +399,65 @@ def tree_predictions(model, df: DataFrame, xs: list[str]) -> DataFrame:
 
 
 def permutation_importance(model, df: DataFrame, xs: list[str], y: str, key: str, seed: int = 42) -> list[tuple[str, float]]:
-    """Rise of the mean squared error when one column is dealt anew by the rank of a hash.
+    """Rise of the mean squared error when one column is dealt anew: row i gets the value of row (a * i + b) mod n."""
+    from verdance.operators.stats import affine_moves
+
+    mse = lambda d: float(tree_predictions(model, d, xs).agg(F.avg(F.pow(C("prediction") - C(y), 2))).first()[0])
+    own = checkpointed(numbered(df, [key], "_i").withColumn("_i", C("_i") - 1).drop("_part"))
+    n, base, out = own.count(), mse(df), []
+    for x, (a, b) in zip(xs, affine_moves(n, len(xs), seed), strict=True):
+        deal = own.select(C(x).alias("_x"), "_i")
+        moved = own.withColumn("_i", (C("_i") * a + b) % n).join(deal, "_i").drop(x, "_i").withColumnRenamed("_x", x)
+        out.append((x, mse(moved) - base))
+    return out
+
+
+def permutation_drop(df: DataFrame, xs: list[str], y: str, key: str, fold: str, seed: int = 42) -> list[tuple[str, float]]:
+    """Mean over folds of the fall of a linear model's held-out r2 when one column of the fold is dealt anew.
 
-    Ranks of key and hash are joined; each is a sort of the whole table.
+    Both passes are Gram rows by fold; only the dealing moves rows.
     """
-    from pyspark.sql import Window
+    from verdance.operators.stats import affine_moves
+
+    own = checkpointed(numbered(df, [key], "_i").withColumn("_i", C("_i") - 1).drop("_part"))
+    n, gs = own.count(), grams(own, [*xs, y], C(fold))
+    every, out = total(gs), []
+    for x, (a, b) in zip(xs, affine_moves(n, len(xs), seed), strict=True):
+        moved = own.withColumn("_i", (C("_i") * a + b) % n).join(own.select(C(x).alias("_x"), "_i"), "_i").drop(x, "_i").withColumnRenamed("_x", x)
+        dealt = grams(moved, [*xs, y], C(fold))
+        falls = [(dealt[k].sse(beta, xs, y) - g.sse(beta, xs, y)) / g.sst(y) for k, g in gs.items() for beta in [ols(every - g, xs, y)]]
+        out.append((x, float(np.mean(falls))))
+    return out
 
-    mse = lambda d: float(tree_predictions(model, d, xs).agg(F.avg(F.pow(C("prediction") - C(y), 2))).first()[0])
-    base, out = mse(df), []
-    for x in xs:
-        own = df.withColumn("_i", F.row_number().over(Window.orderBy(key)))
-        deal = df.select(C(x).alias("_x"), F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key)).alias("_i"))
-        out.append((x, mse(own.join(deal, "_i").drop(x, "_i").withColumnRenamed("_x", x)) - base))
+
+def glm_inference(df: DataFrame, xs: list[str], y: str, family: str, beta: np.ndarray) -> dict[str, list[float] | float]:
+    """Standard errors, Wald t and p of a log-link fit, its dispersion (Pearson) and deviance; one pass."""
+    from verdance.functions.special import t_p
+
+    own = df.filter(C(y) > 0).withColumn("_mu", F.exp(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), linear(beta, xs)))))
+    mu, cubic = C("_mu"), family == "inverse_gaussian"
+    spread = F.pow(mu, 3) if cubic else F.pow(mu, 2)
+    part = F.pow(C(y) - mu, 2) / (mu * mu * C(y)) if cubic else 2 * (-F.log(C(y) / mu) + (C(y) - mu) / mu)
+    one = own.agg(F.sum(F.pow(C(y) - mu, 2) / spread).alias("x2"), F.sum(part).alias("dev"), F.count(F.lit(1)).alias("n")).first()
+    info, _, _ = total(grams(own, [*xs, "_mu"], weight=1 / mu if cubic else None)).parts(xs, "_mu")
+    left = one["n"] - len(beta)
+    phi = one["x2"] / left
+    se = np.sqrt(np.diag(np.linalg.inv(info)) * phi)
+    t = beta / se
+    return {"se": list(map(float, se)), "t": list(map(float, t)), "p": [t_p(float(v), float(left)) for v in t], "dispersion": float(phi), "deviance": float(one["dev"])}
+
+
+def grid_search(gs: dict, candidates: dict, y: str, seeds: list[int], folds: int, screen: int, keep: int) -> list[dict]:
+    """Candidates {name: (columns, fit)} scored by held-out r2 on the folds of seed ``screen``; the best ``keep`` on all seeds.
+
+    ``gs`` has one Gram a seed * folds + fold, so the search reads the data once.
+    """
+    of = lambda s: {k: g for k, g in gs.items() if k // folds == s}
+    first = {name: cross_validated(of(seeds.index(screen)), xs, y, fit)["r2"] for name, (xs, fit) in candidates.items()}
+    best = sorted(first, key=lambda c: (-round(first[c], 9), c))[:keep]
+    out = []
+    for name in best:
+        xs, fit = candidates[name]
+        r2 = [cross_validated(of(s), xs, y, fit)["r2"] for s in range(len(seeds))]
+        out.append({"name": name, "screened": first[name], "low": min(r2), "high": max(r2), "mean": float(np.mean(r2))})
     return out

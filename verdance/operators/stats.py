@@ -7,10 +7,14 @@ freedom and p.
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.functions.special import f_pvalue, r_pvalue, t_pvalue
+from verdance.operators.ordering import numbered
+from verdance.session import checkpointed
 
 C = F.col
 
@@ -140,33 +144,49 @@ def moran(points: DataFrame, v: str, radius: float) -> DataFrame:
     return s.crossJoin(mean).select(F.try_divide(C("n") * C("num"), C("s0") * C("_vp") * C("n")).alias("i"), F.try_divide(F.lit(-1.0), C("n") - 1).alias("expected"), "n")
 
 
+def affine_moves(n: int, rounds: int, seed: int = 42) -> list[tuple[int, int]]:
+    """(a, b) of ``rounds`` bijections i -> (a * i + b) mod n of the numbers below n."""
+    out, a = [], 1
+    for j in range(1, rounds + 1):
+        a = (a + 2 * (7919 * j + seed)) % max(1, n) or 1
+        while gcd(a, max(1, n)) != 1:
+            a = a % max(1, n) + 1
+        out.append((a, (104_729 * j + seed) % max(1, n)))
+    return out
+
+
 def moran_permuted(points: DataFrame, v: str, radius: float, rounds: int = 99, seed: int = 42) -> DataFrame:
     """Moran's I with a one-sided permutation p.
 
-    Each round deals the values anew by the rank of a hash of id and round; the
-    edges are found once and reused by all rounds.
+    Points are numbered once; round j moves the value of number i to number
+    (a_j * i + b_j) mod n, with a_j prime to n, so no round sorts. Edges are found once.
     """
     from verdance.operators.match import band_graph
 
     own = points.filter(C(v).isNotNull() & C("x").isNotNull() & C("y").isNotNull())
     mean = own.agg(F.avg(v).alias("_mu"))
-    z = own.crossJoin(F.broadcast(mean)).select("id", (C(v) - C("_mu")).alias("z")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds))))
-    place = Window.partitionBy("round").orderBy("id")
-    shuffled = Window.partitionBy("round").orderBy(F.when(C("round") == 0, C("id")).otherwise(F.xxhash64("id", "round", F.lit(seed))), "id")
-    order = z.select("round", F.row_number().over(shuffled).alias("i"), "z")
-    dealt = z.select("round", "id", F.row_number().over(place).alias("i")).join(order, ["round", "i"]).select("round", "id", "z")
+    z = checkpointed(numbered(own, ["id"]).crossJoin(F.broadcast(mean)).select("id", (C("i") - 1).alias("i"), (C(v) - C("_mu")).alias("z")))
+    n = z.count()
+    moves = [(0, 1, 0), *((j, *move) for j, move in enumerate(affine_moves(n, rounds, seed), 1))]
+    dealt = z.select("id", "i", F.explode(F.array(*(F.struct(F.lit(j).alias("round"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for j, a, b in moves))).alias("m"))
+    dealt = dealt.select("m.round", "id", ((C("m.a") * C("i") + C("m.b")) % max(1, n)).alias("i")).join(z.select("i", "z"), "i").select("round", "id", "z")
     e = band_graph(own, radius).select("left_id", "right_id")
-    num = e.join(dealt.withColumnsRenamed({"id": "left_id", "z": "a"}), "left_id").join(dealt.withColumnsRenamed({"id": "right_id", "z": "b"}), ["right_id", "round"]).groupBy("round").agg(F.sum(C("a") * C("b")).alias("num"))
+    num = e.join(dealt.withColumnsRenamed({"id": "left_id", "z": "a"}), "left_id").join(dealt.withColumnsRenamed({"id": "right_id", "z": "b"}), ["right_id", "round"])
+    num = num.groupBy("round").agg(F.sum(C("a") * C("b")).alias("num"))
     seen = num.agg(F.max(F.when(C("round") == 0, C("num"))).alias("own"), F.collect_list(F.when(C("round") > 0, C("num"))).alias("others"))
     return moran(points, v, radius).crossJoin(seen).select("i", "expected", "n", ((F.size(F.filter("others", lambda x: x >= C("own"))) + 1) / F.lit(rounds + 1)).alias("p"))
 
 
 def fdr(df: DataFrame, p: str, order: str) -> DataFrame:
     """Benjamini-Hochberg: q of each row; null p gives null q."""
-    up = Window.partitionBy(C(p).isNull()).orderBy(p, order)
-    ranked_ = df.withColumns({"_i": F.row_number().over(up), "_m": F.count(p).over(Window.partitionBy())})
-    down = Window.partitionBy(C(p).isNull()).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked_.withColumn("q", F.when(C(p).isNotNull(), F.least(F.lit(1.0), F.min(C(p) * C("_m") / C("_i")).over(down)))).drop("_i", "_m")
+    known = df.filter(C(p).isNotNull())
+    own = numbered(known, [p, order], "_i").crossJoin(F.broadcast(known.agg(F.count(F.lit(1)).alias("_m")))).withColumn("_b", C(p) * C("_m") / C("_i"))
+    # The smallest bound from a row on: within its range, and of the ranges behind, which are one row each.
+    ahead = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = own.groupBy("_part").agg(F.min("_b").alias("_low")).select("_part", F.min("_low").over(ahead).alias("_behind"))
+    here = F.min("_b").over(Window.partitionBy("_part").orderBy("_i").rowsBetween(0, Window.unboundedFollowing))
+    q = own.withColumn("_here", here).join(F.broadcast(behind), "_part").withColumn("q", F.least(F.lit(1.0), "_here", "_behind"))
+    return q.select(*df.columns, "q").unionByName(df.filter(C(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def simple_regression(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdance.operators.ordering import quantiles
+
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
 
 
@@ -115,5 +117,5 @@ def radiometric_match(df: DataFrame, channels: list[str], year: str, reference:
 
 def winsorised(df: DataFrame, v: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """``df`` with v clipped to two of its percentiles, as {v}_w."""
-    ends = df.agg(F.percentile(v, F.array(F.lit(low), F.lit(high))).alias("_q"))
-    return df.crossJoin(F.broadcast(ends)).withColumn(f"{v}_w", F.greatest(F.get("_q", F.lit(0)), F.least(F.get("_q", F.lit(1)), F.col(v)))).drop("_q")
+    a, b = (F.lit(q).cast("double") for q in quantiles(df, v, (low, high)))
+    return df.withColumn(f"{v}_w", F.greatest(a, F.least(b, F.col(v))))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdance.functions import colour, geo, scalar
 from verdance.operators import zonal
+from verdance.operators.ordering import quantiles
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
 
 R = Registry()
@@ -114,8 +115,9 @@ def prj_reference_years(spark, sf):
 def prj_scaling(spark, sf):
     """Winsorised, normalised, z-scored and demeaned values (PRJ-11..15). The one-row statistics are broadcast."""
     px = pixels(spark, sf)
-    st = px.agg(F.percentile("v", F.array(F.lit(0.01), F.lit(0.99))).alias("q"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
-    j = px.crossJoin(F.broadcast(st)).withColumns({"lo": F.get("q", F.lit(0)), "hi": F.get("q", F.lit(1))})
+    low, high = quantiles(px, "v", (0.01, 0.99))
+    st = px.agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    j = px.crossJoin(F.broadcast(st)).withColumns({"lo": F.lit(low), "hi": F.lit(high)})
     span = C("hi") - C("lo")
     out = j.select(
         "k", "n", F.round(scalar.clip(C("v"), C("lo"), C("hi")), 6).alias("wins"), F.round(scalar.clip((C("v") - C("lo")) / F.when(span == 0, 1e-6).otherwise(span), F.lit(0.0), F.lit(1.0)), 6).alias("norm"),
@@ -221,9 +223,9 @@ def prj_peak_and_stars(spark, sf):
 def prj_stretch(spark, sf):
     """Percentile and min-max stretch to 0..255 (PRJ-43)."""
     px = pixels(spark, sf)
-    st = px.filter("v > 0").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("q"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-    j = px.crossJoin(F.broadcast(st))
-    return j.select("k", "n", colour.stretch(C("v"), F.get("q", F.lit(0)), F.get("q", F.lit(1))).alias("p2_98"), colour.stretch(C("v"), C("mn"), C("mx")).alias("minmax"))
+    low, high = quantiles(px.filter("v > 0"), "v", (0.02, 0.98))
+    j = px.crossJoin(F.broadcast(px.filter("v > 0").agg(F.min("v").alias("mn"), F.max("v").alias("mx"))))
+    return j.select("k", "n", colour.stretch(C("v"), F.lit(low), F.lit(high)).alias("p2_98"), colour.stretch(C("v"), C("mn"), C("mx")).alias("minmax"))
 
 
 @R.add(

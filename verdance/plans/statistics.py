@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdance.operators import stats
+from verdance.operators.ordering import quantiles
 from verdance.plans.registry import PX, SPOTS, Registry, pixels, read, rounded, spots
 
 R = Registry()
@@ -255,10 +256,9 @@ def agg_bearing(spark, sf):
 def agg_quartile_bins(spark, sf):
     """Quartile bins (AGG-29, AGG-31)."""
     c = read(spark, sf, "customer")
-    q = c.agg(F.percentile("c_acctbal", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    v = C("c_acctbal")
-    b = F.when(v <= F.get("q", F.lit(0)), 1).when(v <= F.get("q", F.lit(1)), 2).when(v <= F.get("q", F.lit(2)), 3).otherwise(4)
-    return c.crossJoin(F.broadcast(q)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    v, q = C("c_acctbal"), [F.lit(x) for x in quantiles(c, "c_acctbal", (0.25, 0.5, 0.75))]
+    b = F.when(v <= q[0], 1).when(v <= q[1], 2).when(v <= q[2], 3).otherwise(4)
+    return c.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @R.add("agg_buffer_mean", f"WITH {SPOTS} SELECT su.id AS id, count(*) AS n, round(avg(cu.w), 6) AS mean FROM su JOIN cu ON round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6) <= 60 GROUP BY su.id")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,3 +53,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+class Appended:
+    """A table in the shared folder that rounds of a loop append to, so that no plan grows with their number."""
+
+    def __init__(self, spark: SparkSession, schema) -> None:
+        self.spark, self.schema, self.path = spark, schema, f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.select(*self.schema.fieldNames()).write.mode("append").parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
