@@ -71,3 +71,18 @@ def soft_scores(df: DataFrame, p: str, t: str, by: tuple[str, ...] = (), alpha:
     """Batch Dice, IoU and focal Tversky loss of probabilities against 0/1."""
     tp, fp, fn = F.sum(C(p) * C(t)), F.sum(C(p) * (1 - C(t))), F.sum((1 - C(p)) * C(t))
     return df.groupBy(*by).agg(((2 * tp + eps) / (2 * tp + fp + fn + eps)).alias("dice"), ((tp + eps) / (tp + fp + fn + eps)).alias("iou"), F.pow(1 - (tp + eps) / (tp + alpha * fp + beta * fn + eps), gamma).alias("focal_tversky"))
+
+
+def probability_sweep(df: DataFrame, p: str, truth: str, cuts: list[float]) -> DataFrame:
+    """Pixel counts and scores at each probability threshold: rows are counted once, by the number of thresholds they reach."""
+    reached = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: C(p) >= c))
+    counts = df.groupBy(reached.alias("_n")).agg(F.count_if(C(truth)).alias("_y"), F.count_if(~C(truth)).alias("_x"))  # one row a threshold
+    at = F.explode(F.array(*(F.struct(F.lit(float(c)).alias("cut"), F.lit(i).alias("i")) for i, c in enumerate(sorted(cuts))))).alias("c")
+    rows = counts.select("*", at).groupBy("c.cut").agg(
+        F.sum(F.when(C("_n") > C("c.i"), C("_y")).otherwise(0)).alias("tp"),
+        F.sum(F.when(C("_n") > C("c.i"), C("_x")).otherwise(0)).alias("fp"),
+        F.sum(F.when(C("_n") > C("c.i"), 0).otherwise(C("_y"))).alias("fn"),
+    )
+    made = prf(C("tp"), C("fp"), C("fn"))
+    dice = F.coalesce(F.try_divide(2 * C("tp"), 2 * C("tp") + C("fp") + C("fn")), F.lit(0.0))
+    return rows.select("cut", "tp", "fp", "fn", dice.alias("dice"), made["precision"].alias("precision"), made["recall"].alias("recall"))

@@ -163,6 +163,11 @@ def matching_pursuit(g: Gram, xs: list[str], y: str, terms: int) -> tuple[np.nda
     return _raw(beta, mean, sd, my), [xs[j] for j in chosen]
 
 
+def correlation(g: Gram, a: str, b: str) -> float:
+    r, *_ = _standard(g, [a, b], a)
+    return float(r[0, 1])
+
+
 def vif(g: Gram, xs: list[str]) -> dict[str, float]:
     out = {}
     for j, x in enumerate(xs):

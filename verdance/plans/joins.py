@@ -22,14 +22,14 @@ def joi_left_equi(spark, sf):
 
 @R.add("joi_matched_counts", "SELECT n_name, count(c_custkey) AS matched, count(*) FILTER (WHERE c_custkey IS NULL) AS unmatched FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey AND c_acctbal > 9000 GROUP BY n_name")
 def joi_matched_counts(spark, sf):
-    """Attribute re-attachment with matched and unmatched counts (JOI-2, JOI-5)."""
+    """Attribute re-attachment with matched and unmatched counts (JOI-2)."""
     c = read(spark, sf, "customer").filter("c_acctbal > 9000").select("c_custkey", C("c_nationkey").alias("n_nationkey"))
     return read(spark, sf, "nation").join(c, "n_nationkey", "left").groupBy("n_name").agg(F.count("c_custkey").alias("matched"), F.count_if(C("c_custkey").isNull()).alias("unmatched"))
 
 
 @R.add("joi_lookup", "SELECT c_custkey, r_name, CAST(count(o_orderkey) AS BIGINT) AS orders, count(*) FILTER (WHERE o_orderpriority LIKE '1%') AS agree FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def joi_lookup(spark, sf):
-    """Dictionary lookups chained with an inner join, and an agreement count (JOI-4, JOI-6, JOI-24, JOI-28)."""
+    """Dictionary lookups chained with an inner join, and an agreement count (JOI-4, JOI-6)."""
     n = read(spark, sf, "nation").join(read(spark, sf, "region"), C("n_regionkey") == C("r_regionkey")).select("n_nationkey", "r_name")
     c = read(spark, sf, "customer").select("c_custkey", "c_nationkey").join(n, C("c_nationkey") == C("n_nationkey"))
     o = read(spark, sf, "orders").groupBy(C("o_custkey").alias("c_custkey")).agg(F.count("o_orderkey").alias("orders"), F.count_if(C("o_orderpriority").startswith("1")).alias("agree"))
@@ -72,7 +72,7 @@ def joi_nearest_in_row(spark, sf):
 
 @R.add("joi_nearest", f"""WITH {SPOTS}, {PAIRS} SELECT left_id, m.right_id AS right_id, m.d AS d FROM (SELECT left_id, min(struct_pack(d := d, right_id := right_id)) AS m FROM pr GROUP BY left_id)""")
 def joi_nearest(spark, sf):
-    """Closest within a radius, many to one (JOI-11, JOI-14, JOI-17)."""
+    """Closest within a radius, many to one (JOI-14, JOI-17)."""
     cu, su = spots(spark, sf)
     return match.nearest(cu, su, 60.0)
 
@@ -86,7 +86,7 @@ def joi_nearest_any(spark, sf):
 
 @R.add("joi_knn", f"""WITH {SPOTS}, {PAIRS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY left_id ORDER BY d, right_id) AS INTEGER) AS rank FROM pr) SELECT * FROM k WHERE rank <= 4""")
 def joi_knn(spark, sf):
-    """The four closest within a cap (JOI-12)."""
+    """The four closest within a cap; one to one: joi_knn_greedy (JOI-12)."""
     cu, su = spots(spark, sf)
     return match.knn(cu, su, 4, 60.0)
 
@@ -142,7 +142,7 @@ def joi_interpolated(spark, sf):
 
 @R.add("joi_point_lookup", f"""WITH {SPOTS}, p(px, py) AS (VALUES (100.0::DOUBLE, 100.0::DOUBLE), (500.0::DOUBLE, 400.0::DOUBLE), (900.0::DOUBLE, 750.0::DOUBLE)) SELECT px, py, m.id AS id, round(m.d, 6) AS d FROM (SELECT px, py, min(struct_pack(d := sqrt(pow(x - px, 2) + pow(y - py, 2)), id := id)) AS m FROM cu, p WHERE w > 0 GROUP BY px, py)""")
 def joi_point_lookup(spark, sf):
-    """Nearest row for given points, with filters (JOI-22, TS-14). The points are literals."""
+    """Nearest row for given points, with filters (JOI-22). The points are literals."""
     cu, _ = spots(spark, sf)
     p = spark.createDataFrame([(100.0, 100.0), (500.0, 400.0), (900.0, 750.0)], "px double, py double")
     j = cu.filter("w > 0").join(F.broadcast(p)).groupBy("px", "py").agg(F.min(F.struct(F.hypot(C("x") - C("px"), C("y") - C("py")).alias("d"), "id")).alias("m"))

@@ -44,7 +44,7 @@ def _cv_sql(fold):
 
 @R.add("cv_folds", _cv_sql("CAST(k % 5 AS INTEGER)") + " SELECT round(1 - sum(pow(v - ca - cb * r, 2)) / sum(pow(v - (SELECT avg(v) FROM px), 2)), 6) AS r2, round(avg(pow(v - ca - cb * r, 2)) / 1e6, 4) AS mse FROM p JOIN f USING (fold)")
 def cv_folds(spark, sf):
-    """Pooled held-out scores over folds that keep an order's rows together (CV-1, CV-2, CV-3)."""
+    """Pooled held-out scores over folds that keep an order's rows together (CV-1, CV-3); over seeds: cv_seeds."""
     s = regress.cross_validated(regress.grams(_px(spark, sf), ["r", "v"], C("fold")), ["r"], "v")
     return spark.createDataFrame([(round(float(s["r2"]), 6), round(float(s["mse"] / 1e6), 4))], "r2 double, mse double")
 
@@ -58,7 +58,7 @@ def cv_seasons(spark, sf):
 
 @R.add("ml_fold_rows", _cv_sql("CAST(k % 5 AS INTEGER)") + " SELECT k, n, round(v - ca - cb * r, 3) AS residual FROM p JOIN f USING (fold)")
 def ml_fold_rows(spark, sf):
-    """Held-out residuals of every row; coefficients are one row a fold (CV-1, ML-18)."""
+    """Held-out residuals of every row; coefficients are one row a fold (CV-1)."""
     px = _px(spark, sf)
     gs = regress.grams(px, ["r", "v"], C("fold"))
     every = regress.total(gs)
@@ -85,7 +85,7 @@ def ml_linear_families(spark, sf):
 
 @R.add("ml_search")
 def ml_search(spark, sf):
-    """Forward selection, add and remove scans, screening with false-discovery control, ladders (CV-7..10, CV-12, ST-24, ST-26)."""
+    """Forward selection, add and remove scans, screening with false-discovery control, ladders (CV-7..10, ST-24)."""
     terms = ["r2", "r_g", "r_b", "g_b"]
     gs = regress.grams(_px(spark, sf), [*XS, *terms, "v"], C("fold"))
     g = regress.total(gs)
@@ -107,7 +107,7 @@ def ml_ancova(spark, sf):
 
 @R.add("ml_matrix_diagnostics")
 def ml_matrix_diagnostics(spark, sf):
-    """Principal components, inflation factors and rank (ST-27, 28, 29, CV-11)."""
+    """Principal components, inflation factors and rank (ST-27, 28, 29)."""
     g = regress.total(regress.grams(_px(spark, sf), [*XS, "r2", "v"]))
     share, load = regress.pca(g, [*XS, "v"])
     rows = [(f"pc{i + 1}", "share", s) for i, s in enumerate(share)] + [(f"pc1:{x}", "loading", load[j, 0]) for j, x in enumerate([*XS, "v"])]
@@ -117,7 +117,7 @@ def ml_matrix_diagnostics(spark, sf):
 
 @R.add("ml_log_families")
 def ml_log_families(spark, sf):
-    """Log-normal with smearing, gamma and inverse Gaussian with log link, Huber (ML-3..6, ST-33)."""
+    """Log-normal with smearing, gamma and inverse Gaussian with log link, Huber (ML-3..6)."""
     px = pixels(spark, sf)
     beta, smear = regress.lognormal(px, ["r"], "v")
     rows = [("lognormal", "slope", beta[1]), ("lognormal", "smearing", smear)]
@@ -137,7 +137,7 @@ def ml_random_intercept(spark, sf):
     "WITH s AS (SELECT avg(s_acctbal) AS m, stddev_pop(s_acctbal) AS d, avg(s_nationkey) AS mn, stddev_pop(s_nationkey) AS dn FROM supplier), z AS (SELECT s_suppkey AS k, (s_acctbal - m) / d AS a, (s_nationkey - mn) / dn AS b, CAST((s_suppkey * 37) % 101 AS DOUBLE) AS y FROM supplier, s), o AS (SELECT p.k, q.y, row_number() OVER (PARTITION BY p.k ORDER BY pow(p.a - q.a, 2) + pow(p.b - q.b, 2), q.k) AS i FROM z p JOIN z q ON p.k <> q.k) SELECT k, round(avg(y), 6) AS predicted FROM o WHERE i <= 5 GROUP BY k",
 )
 def ml_knn(spark, sf):
-    """k-nearest-neighbour regression (ML-10)."""
+    """k-nearest-neighbour regression with a given k; chosen by inner validation: ml_knn_tuned (ML-10)."""
     s = read(spark, sf, "supplier").select(C("s_suppkey").alias("k"), "s_acctbal", C("s_nationkey").cast("double").alias("nk"), ((C("s_suppkey") * 37) % 101).cast("double").alias("y"))
     return rounded(regress.knn_regression(s, s, ["s_acctbal", "nk"], "y", 5, "k"))
 
@@ -195,7 +195,7 @@ def dt_splits_merges(spark, sf):
     m AS (SELECT unnest(vs) AS iou FROM (SELECT vs FROM g ORDER BY i DESC LIMIT 1)), n AS (SELECT (SELECT count(*) FROM pa) AS np, (SELECT count(*) FROM ga) AS ng), t(threshold) AS (VALUES (0.3::DOUBLE), (0.5::DOUBLE), (0.7::DOUBLE)), h AS (SELECT threshold, (SELECT count(*) FROM m WHERE iou >= threshold) AS tp FROM t)
     SELECT threshold, tp, np - tp AS fp, ng - tp AS fn, round(tp / np, 6) AS precision, round(tp / ng, 6) AS recall, round(coalesce(2 * (tp / np) * (tp / ng) / nullif(tp / np + tp / ng, 0), 0), 6) AS f1 FROM h, n""")
 def dt_sweep(spark, sf):
-    """Greedy object match swept over thresholds (JOI-26, DT-3, DT-4)."""
+    """Greedy object match swept over thresholds (JOI-26)."""
     return rounded(detect.sweep(boxes(spark, sf), [0.3, 0.5, 0.7]))
 
 

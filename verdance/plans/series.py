@@ -72,7 +72,7 @@ def ts_season(spark, sf):
     SELECT s_suppkey AS tree, cold, round(CASE WHEN gdd > 0 THEN cold / gdd ELSE 0 END, 6) AS ratio FROM supplier, g, c""",
 )
 def ts_ratio_to_trees(spark, sf):
-    """Chill to heat ratio, a season's value on every tree (TS-9, TS-11, TS-12). One row is broadcast."""
+    """Chill to heat ratio, a season's value on every tree (TS-11). One row is broadcast."""
     h = station(spark, sf)
     one = h.agg(F.count_if(C("t") <= 7).alias("cold")).crossJoin(ts.daily(h, [], "hour", "tmax", "tmin").agg(F.sum("gdd").alias("gdd")))
     return read(spark, sf, "supplier").select(C("s_suppkey").alias("tree")).crossJoin(F.broadcast(one)).select("tree", "cold", F.round(F.when(C("gdd") > 0, C("cold") / C("gdd")).otherwise(0.0), 6).alias("ratio"))
@@ -152,7 +152,7 @@ def win_interpolate_at(spark, sf):
 
 @R.add("win_movers", "WITH a AS (SELECT l_suppkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE year(l_shipdate) = 1996 GROUP BY 1 ORDER BY v DESC, k LIMIT 30), b AS (SELECT l_suppkey AS k, sum(l_extendedprice) AS v FROM lineitem WHERE year(l_shipdate) = 1997 GROUP BY 1 ORDER BY v DESC, k LIMIT 30) SELECT k FROM a INTERSECT SELECT k FROM b")
 def win_movers(spark, sf):
-    """Overlap of two seasons' top lists (WIN-13, WIN-14, SET-3)."""
+    """Overlap of two seasons' top lists (SET-3)."""
     top = lambda y: read(spark, sf, "lineitem").filter(F.year("l_shipdate") == y).groupBy(C("l_suppkey").alias("k")).agg(F.sum("l_extendedprice").alias("v")).orderBy(F.desc("v"), "k").limit(30).select("k")
     return top(1996).intersect(top(1997))
 

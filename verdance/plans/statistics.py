@@ -157,7 +157,7 @@ def st_moran_within(spark, sf):
 
 @R.add("st_moran_permuted")
 def st_moran_permuted(spark, sf):
-    """Moran's I with permutation p (ST-17, ST-32)."""
+    """Moran's I with permutation p (ST-17)."""
     return stats.moran_permuted(spots(spark, sf)[0], "w", 25.0)
 
 
@@ -176,7 +176,7 @@ def st_simple_regression(spark, sf):
 
 @R.add("st_simple_regression_all")
 def st_simple_regression_all(spark, sf):
-    """Simple regression by group over all rows (ST-20, ST-22)."""
+    """Simple regression by group over all rows (ST-20)."""
     return _regression(stats.simple_regression(pixels(spark, sf), "r", "v", ("flag",)))
 
 
@@ -201,7 +201,7 @@ def st_fisher(spark, sf):
 
 @R.add("st_icc", f"WITH {LONG}, g AS (SELECT subj, count(v) AS n, avg(v) AS m, var_pop(v) AS s FROM lg GROUP BY subj), a AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(n * s) AS w, sum(n * m) AS t, sum(n * m * m) AS q FROM g), c AS (SELECT w / (nn - k) AS msw, ((q - t * t / nn) / (k - 1) - w / (nn - k)) / ((nn - n2 / nn) / (k - 1)) AS sb FROM a) SELECT round(greatest(0.0, sb), 0) AS between, round(msw, 0) AS within, round(greatest(0.0, sb) / (greatest(0.0, sb) + msw), 6) AS icc FROM c")
 def st_icc(spark, sf):
-    """Variance components (ST-34, AGG-24)."""
+    """Variance components (ST-34)."""
     out = stats.icc(long(spark, sf), "subj", "v")
     return out.select(F.round("between", 0).alias("between"), F.round("within", 0).alias("within"), F.round("icc", 6).alias("icc"))
 
@@ -254,7 +254,7 @@ def agg_bearing(spark, sf):
 
 @R.add("agg_quartile_bins", "WITH q AS (SELECT quantile_cont(c_acctbal, 0.25) AS a, quantile_cont(c_acctbal, 0.5) AS b, quantile_cont(c_acctbal, 0.75) AS c FROM customer) SELECT CASE WHEN c_acctbal <= a THEN 1 WHEN c_acctbal <= b THEN 2 WHEN c_acctbal <= c THEN 3 ELSE 4 END AS bin, count(*) AS n FROM customer, q GROUP BY 1")
 def agg_quartile_bins(spark, sf):
-    """Quartile bins (AGG-29, AGG-31)."""
+    """Quartile bins (AGG-29)."""
     c = read(spark, sf, "customer")
     v, q = C("c_acctbal"), [F.lit(x) for x in quantiles(c, "c_acctbal", (0.25, 0.5, 0.75))]
     b = F.when(v <= q[0], 1).when(v <= q[1], 2).when(v <= q[2], 3).otherwise(4)
@@ -272,7 +272,7 @@ def agg_buffer_mean(spark, sf):
 
 @R.add("agg_strata", "WITH s AS (SELECT o_orderstatus = 'O' AS hit, o_totalprice, o_orderpriority, CAST(month(o_orderdate) AS INTEGER) AS m FROM orders), u AS (SELECT 'priority' AS stratum, o_orderpriority AS level, hit FROM s UNION ALL SELECT 'season', CASE WHEN m IN (12, 1, 2) THEN 'winter' ELSE 'other' END, hit FROM s UNION ALL SELECT 'size', CASE WHEN o_totalprice > 250000 THEN 'large' ELSE 'small' END, hit FROM s) SELECT stratum, level, count(*) AS n, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS recall FROM u GROUP BY ALL")
 def agg_strata(spark, sf):
-    """Recall by strata in one scan (AGG-23, AGG-26, DT-5)."""
+    """Recall by strata in one scan (AGG-23)."""
     m = F.month("o_orderdate")
     pair = lambda s, v: F.struct(F.lit(s).alias("stratum"), v.alias("level"))
     strata = F.array(pair("priority", C("o_orderpriority")), pair("season", F.when(m.isin(12, 1, 2), "winter").otherwise("other")), pair("size", F.when(C("o_totalprice") > 250_000, "large").otherwise("small")))
