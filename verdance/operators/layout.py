@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.operators.match import within
-from verdance.operators.ordering import numbered
+from verdance.operators.ordering import numbered, quantiles
 from verdance.session import Appended, checkpointed
 
 C = F.col
@@ -171,5 +171,7 @@ def linted(lines: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 def guarded(df: DataFrame, residual: str, limit: float = 1.0) -> DataFrame:
     """(median, maximum) of residuals; the row raises an error if the median is over ``limit``."""
-    a = df.agg(F.median(residual).alias("median"), F.max(residual).alias("maximum"))
+    df = checkpointed(df.select(residual))
+    (mid,) = quantiles(df, residual, (0.5,))
+    a = df.agg(F.lit(mid).cast("double").alias("median"), F.max(residual).alias("maximum"))
     return a.select(F.when(C("median") > limit, F.raise_error(F.concat(F.lit("coordinates are off: median residual "), C("median").cast("string"))).cast("double")).otherwise(C("median")).alias("median"), "maximum")

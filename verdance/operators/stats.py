@@ -221,19 +221,18 @@ def icc(df: DataFrame, group: str, v: str) -> DataFrame:
     return a.select(sb.alias("between"), msw.alias("within"), F.try_divide(sb, sb + msw).alias("icc"))
 
 
-def bootstrap_ratio(df: DataFrame, cluster: str, num: str, den: str, rounds: int = 200, seed: int = 42) -> DataFrame:
-    """Interval of a pooled ratio when whole clusters are drawn anew.
+def bootstrap_ratio(df: DataFrame, cluster: str, num: str, den: str, rounds: int = 2000) -> DataFrame:
+    """Interval of a pooled ratio when whole clusters are drawn anew, as many as there are, with replacement.
 
-    A cluster's weight in a round is a Poisson(1) draw from a hash, the form of
-    the bootstrap that needs no global sampling; clusters are summed first.
+    Clusters are summed and numbered first. Draw i of round r is cluster
+    hash(i, r) mod n, by an arithmetic hash, so that runs and engines agree.
     """
-    own = df.groupBy(cluster).agg(F.sum(num).alias("a"), F.sum(den).alias("b")).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = F.pmod(F.xxhash64(C(cluster), C("round"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    e, cum, w = 0.36787944117144233, 0.0, F.lit(0)
-    for k in range(7):
-        cum += e
-        w = w + (u >= cum).cast("int")
-        e /= k + 1
-    per = own.withColumn("w", w).groupBy("round").agg(F.try_divide(F.sum(C("w") * C("a")), F.sum(C("w") * C("b"))).alias("ratio"))
-    q = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
+    own = df.groupBy(cluster).agg(F.sum(num).alias("a"), F.sum(den).alias("b"))
+    own = checkpointed(numbered(own, [cluster]).select((C("i") - 1).alias("i"), "a", "b"))
+    n = own.count()
+    draws = own.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    pick = ((C("i") * (7919 + 2 * C("round")) + C("round") * 104_729) % 1_000_003) % max(1, n)
+    times = draws.groupBy("round", pick.alias("i")).agg(F.count(F.lit(1)).alias("w"))
+    per = times.join(own, "i").groupBy("round").agg(F.try_divide(F.sum(C("w") * C("a")), F.sum(C("w") * C("b"))).alias("ratio"))
+    q = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))  # one value a round
     return per.agg(q.alias("q")).select(*(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))))

@@ -124,7 +124,14 @@ def stream_flights(spark, sf):
     return stations.collected(out, f"flights_{uuid.uuid4().hex}").select("user_id", micros("start").alias("start"), "n")
 
 
-@R.add("stream_chill")
+@R.add(
+    "stream_chill",
+    """WITH RECURSIVE o AS (SELECT user_id % 5 AS station, value % 15 AS t, row_number() OVER (PARTITION BY user_id % 5 ORDER BY ts, value % 15) AS i FROM events WHERE value IS NOT NULL),
+    q AS (SELECT station, i, 139500.0::DOUBLE * exp(-4153.5::DOUBLE / (t + 273.15)) AS k0, 2.567e18::DOUBLE * exp(-12888.8::DOUBLE / (t + 273.15)) AS k1 FROM o),
+    s AS (SELECT DISTINCT station, 0::BIGINT AS i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS p FROM o UNION ALL SELECT station, i, CASE WHEN x >= 1 THEN x - 1 ELSE x END, CASE WHEN x >= 1 THEN p + 1 ELSE p END
+      FROM (SELECT q.station, q.i, s.x * exp(-k1) + k0 / k1 * (1 - exp(-k1)) AS x, s.p FROM s JOIN q ON q.station = s.station AND q.i = s.i + 1))
+    SELECT station, max(p) AS portions FROM s GROUP BY station""",
+)
 def stream_chill(spark, sf):
     """Chill portions kept as state of a stream (TS-5 as a stream)."""
     from verdance.streaming import stations

@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdance.operators import layout, match
+from verdance.plans.pixels import UTM, utm
 from verdance.plans.registry import SPOTS, Registry, read, rounded, spots
 
 R = Registry()
 C = F.col
 
 
-@R.add("agg_hull")
+@R.add(
+    "agg_hull",
+    f"""WITH {SPOTS}, p AS (SELECT DISTINCT nation, x, y FROM cu),
+    e AS (SELECT a.nation, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.nation = b.nation AND (a.x <> b.x OR a.y <> b.y)),
+    bad AS (SELECT DISTINCT e.* FROM e JOIN p c ON c.nation = e.nation WHERE (bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) < 0
+      OR ((bx - ax) * (c.y - ay) - (by_ - ay) * (c.x - ax) = 0 AND ((c.x - ax) * (bx - ax) + (c.y - ay) * (by_ - ay) < 0
+        OR (c.x - bx) * (bx - ax) + (c.y - by_) * (by_ - ay) > 0))),
+    v AS (SELECT nation, ax AS x, ay AS y FROM (SELECT * FROM e EXCEPT SELECT * FROM bad) UNION ALL SELECT nation, min(x), min(y) FROM p GROUP BY nation HAVING count(*) = 1),
+    m AS (SELECT nation, avg(x) AS mx, avg(y) AS my, min(struct_pack(x := x, y := y)) AS s FROM v GROUP BY nation),
+    o AS (SELECT v.nation, x, y, atan2(y - my, x - mx) - atan2(s.y - my, s.x - mx) AS t, s FROM v JOIN m USING (nation)),
+    r AS (SELECT nation, x, y, CASE WHEN t < -1e-12 THEN t + 2 * pi() ELSE t END AS t, s FROM o)
+    SELECT nation, CAST(count(*) + 1 AS INTEGER) AS corners, string_agg(x || ',' || y, ' ' ORDER BY t) || ' ' || min(s.x || ',' || s.y) AS ring FROM r GROUP BY nation""",
+)
 def agg_hull(spark, sf):
     """Convex hull by group (AGG-28)."""
     return layout.hulls(spots(spark, sf)[0].select("nation", "x", "y"), "nation").select("nation", F.size("ring").alias("corners"), F.concat_ws(" ", F.transform("ring", lambda p: F.concat_ws(",", p.x.cast("string"), p.y.cast("string")))).alias("ring"))
@@ -78,9 +91,23 @@ def up_rolling(spark, sf):
     return rounded(layout.rolling_offsets(s, "k", "dx", "dy").select("k", "roll_x", "roll_y"))
 
 
-@R.add("ts_clock_offset")
+def _grid_sql(name: str, offsets: str) -> str:
+    """CTE of (o, s): the mean distance, at most one second, of late clicks moved by o to their nearest trigger."""
+    return f"""{name}_o AS ({offsets}), {name}_a AS (SELECT o, i, a + o AS t FROM late, {name}_o),
+    {name}_d AS (SELECT a.o, a.i, least(1.0, min(abs(a.t - b.t))) AS d FROM {name}_a a LEFT JOIN near b ON b.c = CAST(floor(a.t) AS BIGINT) GROUP BY a.o, a.i),
+    {name} AS (SELECT o, round(avg(coalesce(d, 1.0)), 9) AS s FROM {name}_d GROUP BY o ORDER BY s, abs(o), o LIMIT 1)"""
+
+
+@R.add(
+    "ts_clock_offset",
+    f"""WITH ev AS (SELECT epoch_us(ts) / 1e6 AS b, epoch_us(ts) AS us FROM events WHERE event_type = 'click'),
+    late AS (SELECT (us + 3350000) / 1e6 AS a, row_number() OVER () AS i FROM ev), near AS (SELECT b AS t, CAST(floor(b) AS BIGINT) + s.i AS c FROM (SELECT DISTINCT b FROM ev), (VALUES (-1), (0), (1)) s(i)),
+    {_grid_sql("coarse", "SELECT (i - 12) * 0.5::DOUBLE AS o FROM range(25) t(i)")},
+    {_grid_sql("fine", "SELECT coarse.o + (i - 40) * 0.05::DOUBLE AS o FROM range(81) t(i), coarse")}
+    SELECT CASE WHEN abs(o) <= 8 THEN round(o, 6) END AS "offset", round(s, 6) AS score FROM fine""",
+)
 def ts_clock_offset(spark, sf):
-    """Clock calibration on a grid of offsets (TS-13)."""
+    """Clock calibration on a coarse and then a fine grid of offsets (TS-13)."""
     e = read(spark, sf, "events").filter("event_type = 'click'").select("ts")
     late = e.select((C("ts") + F.expr("interval 3 seconds 350 milliseconds")).alias("ts"))
     o, s = layout.clock_offset(late, e, "ts", span=6.0)
@@ -93,9 +120,7 @@ def flt_lint(spark, sf):
     return layout.linted(read(spark, sf, "pages").select(C("page_id").alias("file"), C("html").alias("value")), {"script": "<script", "table": "<table"})
 
 
-@R.add("grd_coordinates")
+@R.add("grd_coordinates", f"WITH {UTM} SELECT round(median(residual), 5) AS median, round(max(residual), 5) AS maximum FROM u")
 def grd_coordinates(spark, sf):
     """Coordinate guard: residuals of a round trip (GRD-1)."""
-    from verdance.plans.pixels import prj_utm
-
-    return layout.guarded(prj_utm(spark, sf), "residual")
+    return rounded(layout.guarded(utm(spark, sf), "residual"), 5)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from verdance.operators import detect, regress
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
+from verdance.plans.statistics import f_sql
 
 R = Registry()
 C = F.col
@@ -97,12 +98,29 @@ def ml_search(spark, sf):
     return rounded(tidy(spark, rows))
 
 
-@R.add("ml_ancova")
+def _test_sql(name: str, small: str, big: str, d1: str, d2: str) -> str:
+    f = f"(({small} - {big}) / ({d1}) / ({big} / ({d2})))"
+    row = lambda m, x: f"SELECT '{name}' AS model, '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM t"
+    return " UNION ALL ".join((row("f", f), row("df1", d1), row("df2", d2), row("p", f_sql(f, d1, f"({d2})"))))
+
+
+@R.add(
+    "ml_ancova",
+    f"""WITH {PX}, a AS (SELECT flag, regr_syy(v, r) AS yy, regr_sxx(v, r) AS xx, regr_sxy(v, r) AS xy FROM px GROUP BY flag),
+    t AS (SELECT (SELECT sum(yy) FROM a) AS means, (SELECT sum(yy) - pow(sum(xy), 2) / sum(xx) FROM a) AS lines, (SELECT sum(yy - xy * xy / xx) FROM a) AS whole,
+      regr_syy(v, r) - pow(regr_sxy(v, r), 2) / regr_sxx(v, r) AS one, regr_syy(v, r) AS sst, count(*) AS n FROM px),
+    o AS ({_test_sql("covariate", "means", "lines", "1", "n - 4")} UNION ALL {_test_sql("factor", "one", "lines", "2", "n - 4")} UNION ALL {_test_sql("interaction", "lines", "whole", "2", "n - 6")}
+    UNION ALL SELECT 'fit', 'n', n FROM t UNION ALL SELECT 'fit', 'r2', 1 - whole / sst FROM t UNION ALL SELECT 'fit', 'adj_r2', 1 - whole / sst * (n - 1) / (n - 6) FROM t
+    UNION ALL SELECT 'fit', 'mse', whole / n FROM t UNION ALL SELECT 'fit', 'rss', whole FROM t
+    UNION ALL SELECT 'fit', 'aic', n * ln(whole / n) + n * (ln(2 * pi()) + 1) + 14 FROM t UNION ALL SELECT 'fit', 'bic', n * ln(whole / n) + n * (ln(2 * pi()) + 1) + 7 * ln(n) FROM t)
+    SELECT model, metric, CASE WHEN abs(value) >= 1e5 THEN round(value, -2) ELSE round(value, 3) END + 0.0 AS value FROM o""",
+)
 def ml_ancova(spark, sf):
     """Covariate, factor and interaction tests (ST-25)."""
     px = pixels(spark, sf).withColumns({"is_a": (C("flag") == "A").cast("double"), "is_r": (C("flag") == "R").cast("double")}).withColumns({"r_a": C("r") * C("is_a"), "r_r": C("r") * C("is_r")})
     a = regress.ancova(regress.total(regress.grams(px, ["r", "is_a", "is_r", "r_a", "r_r", "v"])), "r", ["is_a", "is_r"], ["r_a", "r_r"], "v")
-    return rounded(tidy(spark, [(k, m, v) for k, d in a.items() for m, v in d.items()]))
+    shown = lambda v: round(v, -2 if abs(v) >= 1e5 else 3) + 0.0
+    return tidy(spark, [(k, m, shown(float(v))) for k, d in a.items() for m, v in d.items()])
 
 
 @R.add("ml_matrix_diagnostics")
@@ -115,18 +133,59 @@ def ml_matrix_diagnostics(spark, sf):
     return rounded(tidy(spark, rows))
 
 
-@R.add("ml_log_families")
+def irls_sql(family: str, x: str, steps: int, tag: str = "") -> str:
+    """CTEs b0..b{steps} (ca, cb) of a log-link fit of v on x, each a weighted regression."""
+    out = [f"{tag}b0 AS (SELECT regr_intercept(ln(v), {x}) AS ca, regr_slope(ln(v), {x}) AS cb FROM px)"]
+    w = "exp(-e)" if family == "inverse_gaussian" else "1.0"
+    for i in range(steps):
+        e = f"SELECT {x}, v, ca + cb * {x} AS e FROM px, {tag}b{i}"
+        out += _weighted_sql(tag, i + 1, f"SELECT {x} AS x, (v - exp(e)) / exp(e) + e AS z, {w} AS w FROM ({e})")
+    return ", ".join(out)
+
+
+def _weighted_sql(tag: str, i: int, rows: str) -> list[str]:
+    """CTEs of a weighted regression of z on x over ``rows`` (x, z, w): {tag}b{i} (ca, cb)."""
+    return [
+        f"{tag}w{i} AS ({rows})",
+        f"{tag}m{i} AS (SELECT sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz FROM {tag}w{i})",
+        f"{tag}c{i} AS (SELECT sum(w * (x - mx) * (z - mz)) / sum(w * (x - mx) * (x - mx)) AS cb, min(mx) AS mx, min(mz) AS mz FROM {tag}w{i}, {tag}m{i})",
+        f"{tag}b{i} AS (SELECT mz - cb * mx AS ca, cb FROM {tag}c{i})",
+    ]
+
+
+def huber_sql(steps: int) -> str:
+    out = ["hb0 AS (SELECT regr_intercept(v, r) AS ca, regr_slope(v, r) AS cb FROM px)"]
+    for i in range(steps):
+        out.append(f"hr{i} AS (SELECT r, v, v - ca - cb * r AS e FROM px, hb{i})")
+        out.append(f"hs{i} AS (SELECT greatest(1.4826 * median(abs(e - (SELECT median(e) FROM hr{i}))), 1e-12) AS s FROM hr{i})")
+        out += _weighted_sql("h", i + 1, f"SELECT r AS x, v AS z, least(1.0, 1.345 * s / greatest(abs(e), 1e-12)) AS w FROM hr{i}, hs{i}")
+    return ", ".join(out)
+
+
+@R.add(
+    "ml_log_families",
+    f"""WITH {PX}, l AS (SELECT regr_slope(ln(v), r) AS cb, regr_intercept(ln(v), r) AS ca FROM px), {irls_sql("gamma", "r", 12, "g")}, {irls_sql("inverse_gaussian", "r", 12, "i")}, {huber_sql(20)}
+    SELECT 'lognormal' AS model, 'slope' AS metric, round(cb, 4) AS value FROM l UNION ALL SELECT 'lognormal', 'smearing', round(avg(exp(ln(v) - ca - cb * r)), 4) FROM px, l
+    UNION ALL SELECT 'gamma', 'slope', round(cb, 4) FROM gb12 UNION ALL SELECT 'inverse_gaussian', 'slope', round(cb, 4) FROM ib12 UNION ALL SELECT 'huber', 'slope', round(cb, 2) FROM hb20""",
+)
 def ml_log_families(spark, sf):
     """Log-normal with smearing, gamma and inverse Gaussian with log link, Huber (ML-3..6)."""
     px = pixels(spark, sf)
     beta, smear = regress.lognormal(px, ["r"], "v")
     rows = [("lognormal", "slope", beta[1]), ("lognormal", "smearing", smear)]
     rows += [(f, "slope", regress.irls(px, ["r"], "v", f)[1]) for f in ("gamma", "inverse_gaussian")]
-    rows.append(("huber", "slope", regress.huber(px, ["r"], "v")[1]))
+    rows.append(("huber", "slope", round(float(regress.huber(px, ["r"], "v")[1]), 2)))
     return rounded(tidy(spark, rows), 4)
 
 
-@R.add("ml_random_intercept")
+@R.add(
+    "ml_random_intercept",
+    f"""WITH {PX}, l AS (SELECT regr_slope(v, r) AS cb, regr_intercept(v, r) AS ca FROM px), e AS (SELECT zone, v - ca - cb * r AS e FROM px, l),
+    g AS (SELECT zone, count(*) AS n, avg(e) AS m, var_pop(e) AS s FROM e GROUP BY zone),
+    a AS (SELECT count(*) AS k, sum(n) AS nn, sum(n * n) AS n2, sum(n * s) AS w, sum(n * m) AS t, sum(n * m * m) AS q FROM g),
+    c AS (SELECT w / (nn - k) AS msw, greatest(0.0, ((q - t * t / nn) / (k - 1) - w / (nn - k)) / ((nn - n2 / nn) / (k - 1))) AS sb FROM a)
+    SELECT zone, round(m * sb / (sb + msw / n), 4) + 0.0 AS blup FROM g, c""",
+)
 def ml_random_intercept(spark, sf):
     """Shrunken group intercepts (ML-9)."""
     return rounded(regress.random_intercept(pixels(spark, sf), ["r"], "v", "zone")[1], 4)

@@ -158,9 +158,41 @@ def prj_geometry(spark, sf):
     return p.select("k", F.round(geo.haversine(C("lat"), C("lon"), at, to), 3).alias("hav"), F.round(F.hypot(C("e") - 650_000, C("n") - 3_500_000), 4).alias("planar"), F.round(geo.flat(C("lat"), C("lon"), at, to), 3).alias("flat_m"), row.alias("px_row"), col.alias("px_col"), F.get(parts, 0)["num"].alias("deg"), F.get(parts, 1)["num"].alias("min"))
 
 
-@R.add("prj_utm")
+def _utm_sql() -> str:
+    """CTEs g (k, e, n, lat, lon) and u (k, lat, lon, residual): the series of the transverse Mercator grid there and back."""
+    a, e2, ep2, k0 = geo.A, geo.E2, geo.EP2, geo.K0
+    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    arc = 1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256
+    d = lambda x: f"{x!r}::DOUBLE"
+    return f"""p AS (SELECT c_custkey AS k, CAST(640000 + (c_custkey * 37) % 60000 AS DOUBLE) AS e, CAST(3480000 + (c_custkey * 91) % 60000 AS DOUBLE) AS n FROM customer),
+    m AS (SELECT *, n / {d(k0)} / {d(a * arc)} AS mu FROM p),
+    f AS (SELECT *, mu + {d(1.5 * e1 - 27 * e1**3 / 32)} * sin(2 * mu) + {d(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * mu)
+      + {d(151 * e1**3 / 96)} * sin(6 * mu) + {d(1097 * e1**4 / 512)} * sin(8 * mu) AS q FROM m),
+    h AS (SELECT *, {d(ep2)} * pow(cos(q), 2) AS c1, pow(tan(q), 2) AS t1, {d(a)} / sqrt(1 - {d(e2)} * pow(sin(q), 2)) AS n1,
+      {d(a * (1 - e2))} / pow(1 - {d(e2)} * pow(sin(q), 2), 1.5) AS r1 FROM f),
+    i AS (SELECT *, (e - 500000) / (n1 * {d(k0)}) AS d FROM h),
+    g AS (SELECT k, e, n, degrees(q - n1 * tan(q) / r1 * (d * d / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 * c1 - {d(9 * ep2)}) * pow(d, 4) / 24
+        + (61 + 90 * t1 + 298 * c1 + 45 * t1 * t1 - {d(252 * ep2)} - 3 * c1 * c1) * pow(d, 6) / 720)) AS lat,
+      33 + degrees((d - (1 + 2 * t1 + c1) * pow(d, 3) / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 * c1 + {d(8 * ep2)} + 24 * t1 * t1) * pow(d, 5) / 120) / cos(q)) AS lon FROM i),
+    b AS (SELECT *, radians(lat) AS f, radians(lon - 33) * cos(radians(lat)) AS a, pow(tan(radians(lat)), 2) AS t1, {d(ep2)} * pow(cos(radians(lat)), 2) AS c1,
+      {d(a)} / sqrt(1 - {d(e2)} * pow(sin(radians(lat)), 2)) AS nn FROM g),
+    o AS (SELECT *, {d(a)} * ({d(arc)} * f - {d(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024)} * sin(2 * f)
+      + {d(15 * e2**2 / 256 + 45 * e2**3 / 1024)} * sin(4 * f) - {d(35 * e2**3 / 3072)} * sin(6 * f)) AS arc FROM b),
+    u AS (SELECT k, lat, lon, sqrt(pow(e - 500000 - {d(k0)} * nn * (a + (1 - t1 + c1) * pow(a, 3) / 6 + (5 - 18 * t1 + t1 * t1 + 72 * c1 - {d(58 * ep2)}) * pow(a, 5) / 120), 2)
+      + pow(n - {d(k0)} * (arc + nn * tan(f) * (a * a / 2 + (5 - t1 + 9 * c1 + 4 * c1 * c1) * pow(a, 4) / 24
+        + (61 - 58 * t1 + t1 * t1 + 600 * c1 - {d(330 * ep2)}) * pow(a, 6) / 720)), 2)) AS residual FROM o)"""
+
+
+UTM = _utm_sql()
+
+
+@R.add("prj_utm", f"WITH {UTM} SELECT k, round(lat, 9) AS lat, round(lon, 9) AS lon, round(residual, 5) AS residual FROM u")
 def prj_utm(spark, sf):
     """UTM to degrees and back, with the residual in metres (PRJ-20, PRJ-21, GRD-1)."""
+    return utm(spark, sf).select("k", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), F.round("residual", 5).alias("residual"))
+
+
+def utm(spark, sf):
     k = C("c_custkey")
     p = read(spark, sf, "customer").select(k.alias("k"), (640_000 + (k * 37) % 60_000).cast("double").alias("e"), (3_480_000 + (k * 91) % 60_000).cast("double").alias("n"))
     lat, lon = geo.utm_to_latlon(C("e"), C("n"))

@@ -155,10 +155,24 @@ def st_moran_within(spark, sf):
     return out.select(F.round("i", 6).alias("i"), F.round("expected", 9).alias("expected"), "n")
 
 
-@R.add("st_moran_permuted")
+#: Moves i -> (a * i + b) mod n of each round, as ``stats.affine_moves`` has them.
+MOVES = """mv AS (SELECT 0::BIGINT AS j, 1::BIGINT AS a, 0::BIGINT AS b, n FROM (SELECT count(*) AS n FROM cu) UNION ALL
+  SELECT j + 1, list_extract(list_filter(list_transform(range(0, 400), lambda i: ((s - 1 + i) % n) + 1), lambda c: gcd(c, n) = 1), 1), (104729 * (j + 1) + 42) % n, n
+  FROM (SELECT j, n, CASE WHEN (a + 2 * (7919 * (j + 1) + 42)) % n = 0 THEN 1 ELSE (a + 2 * (7919 * (j + 1) + 42)) % n END AS s FROM mv WHERE j < 99))"""
+
+
+@R.add(
+    "st_moran_permuted",
+    f"""WITH RECURSIVE {SPOTS}, {MOVES}, z AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, w - avg(w) OVER () AS z FROM cu),
+    e AS (SELECT a.id AS l, c.id AS r FROM cu a, cu c WHERE a.id <> c.id AND round(sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)), 6) BETWEEN 1e-6 AND 25),
+    p AS (SELECT l.i AS li, r.i AS ri FROM e JOIN z l ON l.id = e.l JOIN z r ON r.id = e.r),
+    s AS (SELECT j, sum(za.z * zb.z) AS num, count(*) AS s0 FROM p, mv JOIN z za ON za.i = (mv.a * li + mv.b) % mv.n JOIN z zb ON zb.i = (mv.a * ri + mv.b) % mv.n GROUP BY j),
+    o AS (SELECT num, s0 FROM s WHERE j = 0), t AS (SELECT var_pop(w) AS vp, count(*) AS n FROM cu)
+    SELECT round(num / (s0 * vp), 6) AS i, round(-1.0::DOUBLE / (n - 1), 6) AS expected, n, (1 + (SELECT count(*) FROM s, o WHERE j > 0 AND s.num >= o.num)) / 100.0::DOUBLE AS p FROM t LEFT JOIN o ON true""",
+)
 def st_moran_permuted(spark, sf):
     """Moran's I with permutation p (ST-17)."""
-    return stats.moran_permuted(spots(spark, sf)[0], "w", 25.0)
+    return rounded(stats.moran_permuted(spots(spark, sf)[0], "w", 25.0))
 
 
 @R.add("st_fdr", f"WITH {PX}, a AS (SELECT zone, count(*) AS n, corr(r, g) AS r FROM px GROUP BY zone), p AS (SELECT zone, {r_sql('r', 'n')} AS p FROM a), k AS (SELECT *, row_number() OVER (ORDER BY p, zone) AS i, count(*) OVER () AS m FROM p) SELECT zone, round(p, 6) AS p, round(least(1.0, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM k")
@@ -206,10 +220,16 @@ def st_icc(spark, sf):
     return out.select(F.round("between", 0).alias("between"), F.round("within", 0).alias("within"), F.round("icc", 6).alias("icc"))
 
 
-@R.add("st_bootstrap")
+@R.add(
+    "st_bootstrap",
+    f"""WITH {PX}, c AS (SELECT row_number() OVER (ORDER BY zone) - 1 AS i, sum(g) AS a, sum(r) AS b FROM px GROUP BY zone), n AS (SELECT count(*) AS n FROM c),
+    d AS (SELECT j, ((i * (7919 + 2 * j) + j * 104729) % 1000003) % n AS i FROM c, n, range(1, 2001) t(j)),
+    q AS (SELECT j, sum(a) / sum(b) AS ratio FROM d JOIN c USING (i) GROUP BY j)
+    SELECT round(quantile_cont(ratio, 0.025), 8) AS low, round(median(ratio), 8) AS mid, round(quantile_cont(ratio, 0.975), 8) AS high FROM q""",
+)
 def st_bootstrap(spark, sf):
-    """Cluster bootstrap of a pooled ratio (ST-30, ST-31)."""
-    return stats.bootstrap_ratio(pixels(spark, sf), "zone", "g", "r")
+    """Bootstrap of a pooled ratio: whole clusters are drawn anew, 2,000 times (ST-30, ST-31)."""
+    return rounded(stats.bootstrap_ratio(pixels(spark, sf), "zone", "g", "r"), 8)
 
 
 @R.add("agg_distinct_and_panel", "SELECT o_custkey, count(DISTINCT year(o_orderdate)) AS years, count(DISTINCT year(o_orderdate)) FILTER (WHERE year(o_orderdate) IN (1996, 1997, 1998)) = 3 AS panel, max_by(o_orderkey, struct_pack(p := o_totalprice, k := o_orderkey)) AS best, round(min(o_totalprice), 2) AS lo, round(max(o_totalprice), 2) AS hi, round(median(o_totalprice), 3) AS mid FROM orders GROUP BY o_custkey")

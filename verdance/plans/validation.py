@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from verdance.operators import regress
-from verdance.plans.models import _px, tidy
+from verdance.plans.models import _px, irls_sql, tidy
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
 from verdance.plans.statistics import f_sql, t_sql
 
@@ -165,24 +165,10 @@ def ml_ensemble(spark, sf):
     return spark.createDataFrame([(m, round(float(v), 6)) for m, v in rows], "model string, r2 double")
 
 
-def _irls_sql(family: str, x: str, steps: int) -> str:
-    """CTEs b0..b{steps} (ca, cb) of a log-link fit of v on x, each a weighted regression."""
-    out = [f"b0 AS (SELECT regr_intercept(ln(v), {x}) AS ca, regr_slope(ln(v), {x}) AS cb FROM px)"]
-    for i in range(steps):
-        w = "exp(-e)" if family == "inverse_gaussian" else "1.0"
-        out.append(
-            f"""w{i + 1} AS (SELECT {x} AS x, e, (v - exp(e)) / exp(e) + e AS z, {w} AS w FROM (SELECT {x}, v, ca + cb * {x} AS e FROM px, b{i})),
-            m{i + 1} AS (SELECT sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * z) / sum(w) AS mz FROM w{i + 1}),
-            c{i + 1} AS (SELECT sum(w * (x - mx) * (z - mz)) / sum(w * (x - mx) * (x - mx)) AS cb, min(mx) AS mx, min(mz) AS mz FROM w{i + 1}, m{i + 1}),
-            b{i + 1} AS (SELECT mz - cb * mx AS ca, cb FROM c{i + 1})"""
-        )
-    return ", ".join(out)
-
-
 def _glm_sql(family: str, steps: int = 8) -> str:
     cubic = family == "inverse_gaussian"
     part = "pow(v - mu, 2) / (mu * mu * v)" if cubic else "2 * (-ln(v / mu) + (v - mu) / mu)"
-    return f"""WITH {PX}, {_irls_sql(family, "g", steps)}, u AS (SELECT g, v, exp(ca + cb * g) AS mu FROM px, b{steps}),
+    return f"""WITH {PX}, {irls_sql(family, "g", steps)}, u AS (SELECT g, v, exp(ca + cb * g) AS mu FROM px, b{steps}),
     d AS (SELECT sum(pow(v - mu, 2) / pow(mu, {3 if cubic else 2})) / (count(*) - 2) AS phi, sum({part}) AS dev, count(*) AS n FROM u),
     i AS (SELECT sum(w) AS sw, sum(w * g) AS swx, sum(w * g * g) AS swxx FROM (SELECT g, {"1 / mu" if cubic else "1.0"} AS w FROM u)),
     t AS (SELECT cb / sqrt(phi * sw / (sw * swxx - swx * swx)) AS t, sqrt(phi * sw / (sw * swxx - swx * swx)) AS se, phi, dev, n, cb FROM d, i, b{steps})

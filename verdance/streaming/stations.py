@@ -49,7 +49,7 @@ def chill(hours: DataFrame, station: str, order: str, t: str) -> DataFrame:
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         x, p = state.get if state.exists else (0.0, 0.0)
-        rows = pd.concat(list(frames)).sort_values(order)
+        rows = pd.concat(list(frames)).sort_values([order, t])
         for c in rows[t].dropna():
             k = c + 273.15
             k0, k1 = A0 * exp(-E0 / k), A1 * exp(-E1 / k)
