@@ -102,7 +102,8 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = 2000, buckets:
         return DomainModel((), (), np.zeros((buckets + REPEATS + 1, 0)), buckets)
     picked = bounded_sample(own.filter(F.col("domain").isin(list(domains))), "doc_id", ["domain"], rows)
     sample = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
-    counts = bucket_counts(sample, ["domain"], buckets).select("domain", F.explode("_b").alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
+    # Outer, though no array is empty: else a filter on its size goes in front of the join, and all texts are cut into words.
+    counts = bucket_counts(sample, ["domain"], buckets).select("domain", F.explode_outer("_b").alias("b")).groupBy("domain", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     table = np.full((buckets + REPEATS + 1, len(domains)), smooth)
     at = {d: i for i, d in enumerate(domains)}
     for r in counts:
