@@ -258,6 +258,6 @@ def st_adds_within(spark, sf):
 
 @R.add("ml_permutation_drop")
 def ml_permutation_drop(spark, sf):
-    """Fall of held-out r2 a fold when a column is dealt anew (ML-20); the dealing has no SQL form, tests compare with NumPy."""
+    """Fall of held-out r2 a fold when a column is dealt anew (ML-20)."""
     px = _px(spark, sf).withColumn("key", C("k") * 8 + C("n"))
     return rounded(tidy(spark, [("drop", x, v) for x, v in regress.permutation_drop(px, ["r", "g"], "v", "key", "fold")]))
