@@ -74,7 +74,7 @@ def test_closest_has_no_cap(spark):
 
 def test_allocation_of_all_points(spark, sf):
     cu, su = ([tuple(r) for r in side.select("id", "x", "y").collect()] for side in spots(spark, sf))
-    got = {r["id"]: r["zone"] for r in layout_plans.R.queries["up_allocation_all"](spark, sf).collect()}
+    got = {r["id"]: r["zone"] for r in layout_plans.R.queries["up_allocation"](spark, sf).collect()}
     assert got == {i: m[0] for i, m in brute_closest(cu, su).items()}
 
 
@@ -86,7 +86,7 @@ def test_nearest_attribute_of_every_row(spark, sf):
 
 def test_regression_over_all_rows(spark, sf):
     px = pixels(spark, sf).select("flag", "r", "v").toPandas()
-    got = {r["flag"]: r for r in statistics.R.queries["st_simple_regression_all"](spark, sf).collect()}
+    got = {r["flag"]: r for r in statistics.R.queries["st_simple_regression"](spark, sf).collect()}
     assert sum(r["n"] for r in got.values()) == len(px)
     for flag, rows in px.groupby("flag"):
         x, y = rows["r"].to_numpy(float), rows["v"].to_numpy(float)
@@ -107,6 +107,6 @@ def test_labels_of_an_image_of_all_rows(spark, sf):
             if (r, c) in on and (r, c) not in want:
                 want[r, c] = start[0] * 2**32 + start[1]
                 todo += [(r, c + 1), (r + 1, c), (r, c - 1), (r - 1, c)]
-    got = {(r["row"], r["col"]): r["label"] for r in layout_plans.R.queries["up_labels_all"](spark, sf).collect()}
+    got = {(r["row"], r["col"]): r["label"] for r in layout_plans.R.queries["up_labels"](spark, sf).collect()}
     assert got == want
     assert len(set(want.values())) < len(want)

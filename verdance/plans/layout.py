@@ -36,14 +36,6 @@ def flt_thinning(spark, sf):
     return layout.thinned(spots(spark, sf)[1], 90.0)
 
 
-@R.add("up_labels", "WITH RECURSIVE p AS (SELECT DISTINCT (c_custkey * 37) % 60 AS r, (c_custkey * 91 + 13) % 61 AS c FROM customer WHERE c_custkey % 2 = 0), k AS (SELECT r, c, r * 4294967296 + c AS id FROM p), w AS (SELECT id, id AS label FROM k UNION SELECT b.id, w.label FROM w JOIN k a ON a.id = w.id JOIN k b ON abs(a.r - b.r) + abs(a.c - b.c) = 1 WHERE w.label < b.id) SELECT k.r AS row, k.c AS col, min(w.label) AS label FROM w JOIN k USING (id) GROUP BY ALL")
-def up_labels(spark, sf):
-    """Labels of a small image of even keys, as the SQL has it; an image that grows with the table: up_labels_all."""
-    k = C("c_custkey")
-    px = read(spark, sf, "customer").filter(k % 2 == 0).select(((k * 37) % 60).alias("row"), ((k * 91 + 13) % 61).alias("col"))
-    return layout.labelled(px)
-
-
 def foreground(spark, sf):
     """Pixels of all customers in key order, as rows of a square image; the foreground has a balance above 1000."""
     cu = read(spark, sf, "customer").select(C("c_custkey").alias("i"), "c_acctbal")
@@ -51,22 +43,26 @@ def foreground(spark, sf):
     return cu.join(width).filter("c_acctbal > 1000").select(F.floor(C("i") / C("w")).cast("bigint").alias("row"), (C("i") % C("w")).alias("col"))
 
 
-@R.add("up_labels_all")
-def up_labels_all(spark, sf):
+@R.add(
+    "up_labels",
+    """WITH RECURSIVE s AS (SELECT CAST(ceil(sqrt(max(c_custkey) + 1)) AS BIGINT) AS w FROM customer),
+    k AS (SELECT c_custkey // s.w AS r, c_custkey % s.w AS c, (c_custkey // s.w) * 4294967296 + c_custkey % s.w AS id FROM customer, s WHERE c_acctbal > 1000),
+    e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON (b.r = a.r AND abs(a.c - b.c) = 1) OR (b.c = a.c AND abs(a.r - b.r) = 1)),
+    w AS (SELECT id, id AS label FROM k UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.id WHERE w.label < e.b)
+    SELECT k.r AS row, k.c AS col, min(w.label) AS label FROM w JOIN k USING (id) GROUP BY ALL""",
+)
+def up_labels(spark, sf):
     """Connected-component labels of an image of all customers (UP-5, UP-13)."""
     return layout.labelled(foreground(spark, sf))
 
 
-@R.add("up_allocation", f"WITH {SPOTS} SELECT cu.id AS id, (SELECT min(struct_pack(d := round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6), i := su.id)).i FROM su WHERE round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6) <= 400) AS zone FROM cu WHERE cu.id <= 300")
+@R.add(
+    "up_allocation",
+    f"""WITH {SPOTS}, d AS (SELECT cu.id AS id, su.id AS i, round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6) AS d FROM cu, su),
+    b AS (SELECT id, min(struct_pack(d := d, i := i)).i AS zone FROM d GROUP BY id) SELECT cu.id AS id, zone FROM cu LEFT JOIN b USING (id)""",
+)
 def up_allocation(spark, sf):
-    """Points up to id 300 to their closest seed within 400, as the SQL has it (JOI-14); all of them: up_allocation_all."""
-    cu, su = spots(spark, sf)
-    return match.nearest(cu.filter("id <= 300"), su, 400.0).select(C("left_id").alias("id"), C("right_id").alias("zone")).join(cu.filter("id <= 300").select("id"), "id", "right")
-
-
-@R.add("up_allocation_all")
-def up_allocation_all(spark, sf):
-    """Every point to its closest seed, at any distance (UP-6)."""
+    """Every point to its closest seed, at any distance (UP-6, JOI-14)."""
     cu, su = spots(spark, sf)
     return match.closest(cu, su).select(C("left_id").alias("id"), C("right_id").alias("zone")).join(cu.select("id"), "id", "right")
 

@@ -182,14 +182,8 @@ def st_fdr(spark, sf):
     return rounded(stats.fdr(p, "p", "zone"))
 
 
-@R.add("st_simple_regression", f"WITH {PX}, a AS (SELECT flag, regr_count(v, r) AS n, regr_slope(v, r) AS slope, regr_intercept(v, r) AS intercept, regr_r2(v, r) AS r2, regr_sxx(v, r) AS sxx, regr_syy(v, r) AS syy FROM px WHERE zone <= 20 GROUP BY flag), s AS (SELECT *, sqrt((1 - r2) * syy / (n - 2) / sxx) AS se FROM a) SELECT flag, CAST(n AS BIGINT) AS n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, round(se, 6) AS se, round(slope / se, 4) AS t, round({t_sql('(slope / se)', '(n - 2)')}, 6) AS p FROM s")
+@R.add("st_simple_regression", f"WITH {PX}, a AS (SELECT flag, regr_count(v, r) AS n, regr_slope(v, r) AS slope, regr_intercept(v, r) AS intercept, regr_r2(v, r) AS r2, regr_sxx(v, r) AS sxx, regr_syy(v, r) AS syy FROM px GROUP BY flag), s AS (SELECT *, sqrt((1 - r2) * syy / (n - 2) / sxx) AS se FROM a) SELECT flag, CAST(n AS BIGINT) AS n, round(slope, 4) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, round(se, 6) AS se, round(slope / se, 4) AS t, round({t_sql('(slope / se)', '(n - 2)')}, 6) AS p FROM s")
 def st_simple_regression(spark, sf):
-    """Simple regression by group, zones up to 20 as the SQL has it; all rows: st_simple_regression_all."""
-    return _regression(stats.simple_regression(pixels(spark, sf).filter("zone <= 20"), "r", "v", ("flag",)))
-
-
-@R.add("st_simple_regression_all")
-def st_simple_regression_all(spark, sf):
     """Simple regression by group over all rows (ST-20)."""
     return _regression(stats.simple_regression(pixels(spark, sf), "r", "v", ("flag",)))
 
