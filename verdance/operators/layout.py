@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from math import cos, pi, sin
+from collections.abc import Sequence
+from math import ceil, cos, floor, pi, sin
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from verdance.operators.match import within
 from verdance.operators.ordering import numbered, quantiles
+from verdance.operators.timeseries import gaussian_kernel
 from verdance.session import Appended, checkpointed
 
 C = F.col
@@ -119,6 +122,146 @@ def grid_angles(points: DataFrame, period: float, angles: list[float]) -> DataFr
     return out.select("angle", F.hypot("cu", "su").alias("strength_u"), F.hypot("cv", "sv").alias("strength_v"), (F.atan2("su", "cu") / w).alias("phase_u"), (F.atan2("sv", "cv") / w).alias("phase_v"))
 
 
+def spectrum(counts: np.ndarray, span: float, low: float, high: float) -> tuple[float | None, float | None, float]:
+    """(period, place of the fullest bin, score) of a histogram over ``span``.
+
+    The period is that of the strongest frequency with a period from ``low`` to ``high``; the score is its
+    amplitude over the mean amplitude there. No period: fewer than 200 values, less than two periods, or no amplitude.
+    """
+    if counts.sum() < 200 or span < 2 * low:
+        return None, None, 0.0
+    size = np.round(np.abs(np.fft.rfft(counts)), 6)
+    periods = span / np.maximum(np.arange(len(size)), 1e-12)
+    size[(periods < low) | (periods > high)] = -1.0
+    at = int(np.argmax(size))
+    if size[at] <= 0:
+        return None, None, 0.0
+    return float(periods[at]), (int(np.argmax(counts)) + 0.5) * span / len(counts), float(size[at] / (size[size >= 0].mean() + 1e-9))
+
+
+def grid_scan(points: DataFrame, low: float, high: float, angles: Sequence[float] = tuple(range(90))) -> DataFrame:
+    """(angle, period_u, phase_u, period_v, phase_v, score, best): period and phase of the rows of points on both axes, by angle.
+
+    Points are turned by every angle and counted in bins about one unit wide inside
+    the scan (partial counts; as many groups as the image is wide, an axis and
+    angle). Only a histogram of one axis meets in a task, for its Fourier
+    transform. ``best`` marks the first angle with the highest sum of both
+    scores; an angle without a period on an axis has nulls and score 0.
+    """
+    turns = F.array(*(F.struct(F.lit(float(a)).alias("angle"), F.lit(cos(a * pi / 180)).alias("c"), F.lit(sin(a * pi / 180)).alias("s")) for a in angles))
+    u, v = C("x") * C("t.c") + C("y") * C("t.s"), C("y") * C("t.c") - C("x") * C("t.s")
+    own = points.filter("x is not null and y is not null").select("x", "y", F.explode(turns).alias("t"))
+    own = own.select(C("t.angle").alias("angle"), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+    ends = own.groupBy("angle").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "uv"))
+    both = own.join(F.broadcast(ends), "angle")  # one row an angle
+    axes = F.array(*(F.struct(F.lit(c).alias("axis"), C(c).alias("at"), C(f"low_{c}").alias("low"), (C(f"high_{c}") - C(f"low_{c}")).alias("span")) for c in "uv"))
+    flat = both.select("angle", F.explode(axes).alias("a")).select("angle", "a.*").withColumn("n", F.greatest(F.floor("span"), F.lit(32)).cast("int"))
+    place = F.when(C("span") > 0, F.least(F.floor((C("at") - C("low")) / (C("span") / C("n"))).cast("int"), C("n") - 1)).otherwise(0)
+    bins = flat.groupBy("angle", "axis", "low", "span", "n", place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+
+    def found(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        counts = np.zeros(int(first["n"]))
+        counts[pdf["bin"].to_numpy()] = pdf["count"].to_numpy()
+        period, phase, score = spectrum(counts, float(first["span"]), low, high)
+        return pd.DataFrame([(first["angle"], first["axis"], period, None if phase is None else first["low"] + phase, score)], columns=["angle", "axis", "period", "phase", "score"])
+
+    each = bins.groupBy("angle", "axis").applyInPandas(found, "angle double, axis string, period double, phase double, score double")
+    side = lambda c, n: F.max(F.when(C("axis") == n, C(c))).alias(f"{c}_{n}")
+    out = each.groupBy("angle").agg(side("period", "u"), side("phase", "u"), side("period", "v"), side("phase", "v"), F.round(F.sum("score"), 6).alias("score"))
+    whole = C("period_u").isNotNull() & C("period_v").isNotNull()
+    top = checkpointed(out).withColumn("score", F.when(whole, C("score")).otherwise(0.0))
+    first = top.filter(whole).agg(F.min_by("angle", F.struct(-C("score"), C("angle"))).alias("_best"))
+    return top.join(F.broadcast(first)).withColumn("best", F.coalesce(C("angle") == C("_best"), F.lit(False))).drop("_best")
+
+
+#: Bins on either side that smoothing of strip histograms reaches, for its spread of 2 bins.
+REACH = 6
+
+
+class StripFrame(NamedTuple):
+    """Turned axes of an extent: cosine, sine, u from low to high in ``n`` bins, and where the first strip starts."""
+
+    c: float
+    s: float
+    low: float
+    high: float
+    n: int
+    step: float
+    start: float
+
+
+def strip_frame(angle: float, period: float, phase: float, least_gap: float, extent: tuple[float, float, float, float]) -> StripFrame:
+    a = angle * pi / 180
+    c, s = cos(a), sin(a)
+    x0, y0, x1, y1 = extent
+    corners = [(x * c + y * s, y * c - x * s) for x in (x0, x1) for y in (y0, y1)]
+    low, high = round(min(u for u, _ in corners), 6), round(max(u for u, _ in corners), 6)
+    step, bottom = max(least_gap / 4, 1.0), phase - period
+    start = bottom + floor((min(v for _, v in corners) - bottom) / period) * period
+    return StripFrame(c, s, low, high, max(int((high - low) / step), 8), step, start)
+
+
+def strip_centres(points: DataFrame, angle: float, period: float, phase: float, least_gap: float, extent: tuple[float, float, float, float], support: int = 20, ratio: float = 0.8, width: float = 1.0) -> DataFrame:
+    """(strip, i, centre, x, y): places along each strip, halfway between its gaps, and where they lie in the image.
+
+    ``points`` are background pixels. Strips are bands of ``period`` across v from ``phase`` on. Along u a strip's
+    background is counted in bins of about a quarter of ``least_gap`` over the whole ``extent`` (x0, y0, x1, y1) and
+    smoothed; its maxima, at least max(``least_gap``, ``ratio`` * ``period``) apart (of closer ones the higher, of
+    equal ones the first stays), are the gaps. A stretch between two gaps holds one place a ``width`` * ``period``, rounded,
+    at least one. Strips with fewer than ``support`` pixels or two gaps have none.
+
+    One shuffle counts (strip, bin); the rest works on these counts, of which a strip has as many as the extent has bins.
+    """
+    c, s, low, high, n, step, start = strip_frame(angle, period, phase, least_gap, extent)
+    apart = max(round(max(least_gap, ratio * period) / step), 1)
+    u, v = F.round(C("x") * c + C("y") * s, 6), F.round(C("y") * c - C("x") * s, 6)
+    place = F.least(F.floor((u - low) / ((high - low) / n)), F.lit(n - 1)).cast("int")
+    counts = points.select(F.floor((v - start) / period).cast("int").alias("strip"), place.alias("bin")).filter(f"bin between 0 and {n - 1}")
+    counts = counts.groupBy("strip", "bin").agg(F.count(F.lit(1)).alias("c"))
+    # Every count is added to the bins it reaches, so that empty bins need no rows of their own unless something is near.
+    kernel = gaussian_kernel(2.0, REACH)
+    spread = F.array(*(F.struct(F.lit(i).alias("d"), F.lit(k).alias("k")) for i, k in zip(range(-REACH, REACH + 1), kernel, strict=True)))
+    reached = counts.select("strip", "c", "bin", F.explode(spread).alias("e")).select("strip", (C("bin") + C("e.d")).alias("bin"), (C("c") * C("e.k")).alias("h"), F.when(C("e.d") == 0, C("c")).otherwise(0).alias("c"))
+    smooth = reached.filter(f"bin between 0 and {n - 1}").groupBy("strip", "bin").agg(F.round(F.sum("h"), 9).alias("h"), F.sum("c").alias("c"))
+    order = Window.partitionBy("strip").orderBy("bin")
+    beside = lambda f, d: F.coalesce(F.when(f("bin").over(order) == C("bin") + d, f("h").over(order)), F.lit(0.0))
+    tops = smooth.select("strip", "bin", "h", beside(F.lag, -1).alias("_a"), beside(F.lead, 1).alias("_b"), F.sum("c").over(Window.partitionBy("strip")).alias("_n"))
+    tops = tops.filter((C("_n") >= support) & (C("h") >= C("_a")) & (C("h") >= C("_b")) & (C("h") > 0) & C("bin").between(1, n - 2))
+    seen = tops.groupBy("strip").agg(F.array_sort(F.collect_list(F.struct("bin", "h"))).alias("p"))
+
+    def take(kept, p):
+        last = F.try_element_at(kept, F.lit(-1))
+        near = (F.size(kept) > 0) & (p["bin"] - last["bin"] < apart)
+        swapped = F.when(p["h"] > last["h"], F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(p))).otherwise(kept)
+        return F.when(near, swapped).otherwise(F.concat(kept, F.array(p)))
+
+    gaps = F.aggregate("p", F.lit([]).cast("array<struct<bin:int,h:double>>"), take)
+    edge = lambda p: low + p["bin"] * ((high - low) / n) + step / 2
+    stretch = lambda i: F.struct(F.element_at("g", i).alias("a"), (F.element_at("g", i + 1) - F.element_at("g", i)).alias("w"))
+    own = seen.select("strip", F.transform(gaps, edge).alias("g")).filter("size(g) > 1")
+    own = own.select("strip", F.explode(F.transform(F.sequence(F.lit(1), F.size("g") - 1), stretch)).alias("s"))
+    own = own.select("strip", "s.a", "s.w")
+    own = own.withColumn("n", F.greatest(F.lit(1), F.floor(C("w") / (period * width) + 0.5).cast("int")))
+    own = own.select("strip", "a", "w", "n", F.explode(F.sequence(F.lit(0), C("n") - 1)).alias("j")).withColumn("centre", C("a") + C("w") * (C("j") + 0.5) / C("n"))
+    across = start + (C("strip") + 0.5) * period
+    i = F.row_number().over(Window.partitionBy("strip").orderBy("centre"))
+    return own.select("strip", i.alias("i"), "centre", (C("centre") * c - across * s).alias("x"), (C("centre") * s + across * c).alias("y"))
+
+
+def seed_pixels(seeds: DataFrame, angle: float, size: float, extent: tuple[int, int, int, int]) -> DataFrame:
+    """(row, col) of pixels inside turned squares of side ``size`` around seeds (x, y), within ``extent`` (x0, y0, x1, y1)."""
+    a = angle * pi / 180
+    c, s = cos(a), sin(a)
+    r = ceil(size / 2 * (abs(c) + abs(s))) + 1
+    x0, y0, x1, y1 = extent
+    span = lambda at: F.explode(F.sequence((F.floor(at) - r).cast("bigint"), (F.ceil(at) + r).cast("bigint")))
+    box = seeds.select("x", "y", span(C("x")).alias("col")).select("x", "y", "col", span(C("y")).alias("row"))
+    dx, dy = C("col") - C("x"), C("row") - C("y")
+    inside = (F.abs(dx * c + dy * s) < size / 2) & (F.abs(dy * c - dx * s) < size / 2) & C("col").between(x0, x1) & C("row").between(y0, y1)
+    return box.filter(inside).select("row", "col").distinct()
+
+
 def strips(df: DataFrame, centres: list[float], v: str) -> DataFrame:
     """Rows with the strip their ``v`` falls in; borders lie halfway between neighbouring centres."""
     at = F.lit(0)

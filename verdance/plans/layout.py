@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from math import cos, pi, sin
+
 from pyspark.sql import functions as F
 
 from verdance.operators import layout, match
+from verdance.operators.timeseries import gaussian_kernel
 from verdance.plans.pixels import UTM, utm
 from verdance.plans.registry import SPOTS, Registry, read, rounded, spots
 
@@ -69,7 +72,7 @@ def up_allocation(spark, sf):
 
 @R.add("up_grid", f"WITH {SPOTS}, a(angle) AS (VALUES (0.0::DOUBLE), (30.0::DOUBLE), (45.0::DOUBLE)), t AS (SELECT angle, (x * cos(radians(angle)) + y * sin(radians(angle))) * 2 * pi() / 50 AS u, (y * cos(radians(angle)) - x * sin(radians(angle))) * 2 * pi() / 50 AS v FROM cu, a) SELECT angle, round(sqrt(pow(avg(cos(u)), 2) + pow(avg(sin(u)), 2)), 6) AS strength_u, round(sqrt(pow(avg(cos(v)), 2) + pow(avg(sin(v)), 2)), 6) AS strength_v FROM t GROUP BY angle")
 def up_grid(spark, sf):
-    """Period strength of rows at three angles and one given period (a part of UP-7)."""
+    """Period strength of rows at given angles and a given period, as where both are set by hand (UP-7); found ones: up_grid_scan."""
     return rounded(layout.grid_angles(spots(spark, sf)[0], 50.0, [0.0, 30.0, 45.0]).select("angle", "strength_u", "strength_v"))
 
 
@@ -79,6 +82,82 @@ def up_strips(spark, sf):
     return layout.strips(layout.rotated(spots(spark, sf)[0], 30.0), [300.0, 600.0, 1200.0], "u").groupBy("strip").agg(F.count(F.lit(1)).alias("n"))
 
 
+TURNS = ", ".join(f"({a}.0::DOUBLE, {cos(a * pi / 180)!r}::DOUBLE, {sin(a * pi / 180)!r}::DOUBLE)" for a in range(90))
+#: Periods that the scan tries.
+LOW, HIGH = 20.0, 80.0
+
+
+@R.add(
+    "up_grid_scan",
+    f"""WITH {SPOTS}, a(angle, c, s) AS (VALUES {TURNS}),
+    t AS (SELECT angle, round(x * c + y * s, 6) AS u, round(y * c - x * s, 6) AS v FROM cu, a),
+    f AS (SELECT angle, 'u' AS axis, u AS p FROM t UNION ALL SELECT angle, 'v', v FROM t),
+    e AS (SELECT angle, axis, min(p) AS lo, max(p) - min(p) AS span, greatest(floor(max(p) - min(p)), 32) AS n, count(*) AS m FROM f GROUP BY ALL),
+    b AS (SELECT angle, axis, lo, span, n, least(floor((p - lo) / (span / n)), n - 1) AS bin, count(*) AS c FROM f JOIN e USING (angle, axis)
+      WHERE m >= 200 AND span >= 2 * {LOW} GROUP BY ALL),
+    k AS (SELECT angle, axis, unnest(range(1, CAST(n AS BIGINT) // 2 + 1)) AS k FROM e),
+    w AS (SELECT angle, axis, span, k, round(sqrt(pow(sum(c * cos(2 * pi() * k * bin / n)), 2) + pow(sum(c * sin(2 * pi() * k * bin / n)), 2)), 6) AS size
+      FROM b JOIN k USING (angle, axis) WHERE span / k BETWEEN {LOW} AND {HIGH} GROUP BY ALL),
+    s AS (SELECT angle, axis, max(size) / (avg(size) + 1e-9) AS score, min(struct_pack(z := -size, p := -span / k)).p * -1 AS period FROM w GROUP BY angle, axis HAVING max(size) > 0),
+    h AS (SELECT angle, axis, min(struct_pack(z := -c, p := lo + (bin + 0.5) * span / n)).p AS phase FROM b GROUP BY angle, axis),
+    r AS (SELECT angle, max(period) FILTER (axis = 'u') AS period_u, max(phase) FILTER (axis = 'u') AS phase_u, max(period) FILTER (axis = 'v') AS period_v,
+      max(phase) FILTER (axis = 'v') AS phase_v, round(sum(score), 6) AS score FROM a LEFT JOIN s USING (angle) LEFT JOIN h USING (angle, axis) GROUP BY angle),
+    o AS (SELECT * REPLACE (CASE WHEN period_u IS NOT NULL AND period_v IS NOT NULL THEN score ELSE 0 END AS score) FROM r)
+    SELECT angle, round(period_u, 6) AS period_u, round(phase_u, 6) AS phase_u, round(period_v, 6) AS period_v, round(phase_v, 6) AS phase_v, score,
+      coalesce(angle = (SELECT angle FROM o WHERE score > 0 ORDER BY score DESC, angle LIMIT 1), false) AS best FROM o""",
+)
+def up_grid_scan(spark, sf):
+    """Period and phase of both axes at 90 angles, and the angle whose rows are the most regular (UP-7)."""
+    return rounded(layout.grid_scan(spots(spark, sf)[0], LOW, HIGH))
+
+
+#: Extent of the spots, and the turned frame of their strips.
+EXTENT, FRAME = (0.0, 0.0, 999.0, 996.0), {"angle": 30.0, "period": 50.0, "phase": 10.0, "least_gap": 20.0}
+AT = layout.strip_frame(**FRAME, extent=EXTENT)
+SMOOTH = ", ".join(f"({i - 6}, {k!r}::DOUBLE)" for i, k in enumerate(gaussian_kernel(2.0, 6)))
+BINS = f"((({AT.high!r}::DOUBLE) - ({AT.low!r}::DOUBLE)) / {AT.n})"
+STRIPS = f"""{SPOTS}, k(d, w) AS (VALUES {SMOOTH}),
+    p AS (SELECT CAST(floor((round(y * {AT.c!r}::DOUBLE - x * {AT.s!r}::DOUBLE, 6) - ({AT.start!r}::DOUBLE)) / 50.0::DOUBLE) AS INTEGER) AS strip,
+      CAST(least(floor((round(x * {AT.c!r}::DOUBLE + y * {AT.s!r}::DOUBLE, 6) - ({AT.low!r}::DOUBLE)) / {BINS}), {AT.n - 1}) AS INTEGER) AS bin FROM cu),
+    h AS (SELECT strip, bin, count(*) AS c FROM p WHERE bin BETWEEN 0 AND {AT.n - 1} GROUP BY ALL),
+    m AS (SELECT strip, bin + d AS bin, round(sum(c * w), 9) AS h FROM h, k WHERE bin + d BETWEEN 0 AND {AT.n - 1} GROUP BY ALL),
+    t AS (SELECT m.strip, m.bin, m.h, row_number() OVER (PARTITION BY m.strip ORDER BY m.bin) AS i FROM m LEFT JOIN m a ON a.strip = m.strip AND a.bin = m.bin - 1
+      LEFT JOIN m b ON b.strip = m.strip AND b.bin = m.bin + 1 WHERE m.h >= coalesce(a.h, 0) AND m.h >= coalesce(b.h, 0) AND m.h > 0
+      AND m.bin BETWEEN 1 AND {AT.n - 2} AND m.strip IN (SELECT strip FROM h GROUP BY strip HAVING sum(c) >= 3)),
+    f AS (SELECT DISTINCT strip, 0::BIGINT AS i, []::STRUCT(bin INTEGER, h DOUBLE)[] AS g FROM t UNION ALL
+      SELECT f.strip, f.i + 1, CASE WHEN len(g) = 0 OR t.bin - g[-1].bin >= 8 THEN list_append(g, struct_pack(bin := t.bin, h := t.h))
+        WHEN t.h > g[-1].h THEN list_append(list_slice(g, 1, len(g) - 1), struct_pack(bin := t.bin, h := t.h)) ELSE g END FROM f JOIN t ON t.strip = f.strip AND t.i = f.i + 1),
+    u AS (SELECT strip, ({AT.low!r}::DOUBLE) + g.bin * {BINS} + {AT.step!r}::DOUBLE / 2 AS a FROM (SELECT strip, unnest(arg_max(g, i)) AS g FROM f GROUP BY strip)),
+    w AS (SELECT strip, a, lead(a) OVER (PARTITION BY strip ORDER BY a) - a AS w FROM u),
+    q AS (SELECT strip, a, w, greatest(1, CAST(floor(w / 50.0::DOUBLE + 0.5) AS INTEGER)) AS n FROM w WHERE w IS NOT NULL),
+    o AS (SELECT strip, a + w * (j + 0.5) / n AS centre FROM (SELECT *, unnest(range(n)) AS j FROM q)),
+    z AS (SELECT *, ({AT.start!r}::DOUBLE) + (strip + 0.5) * 50.0::DOUBLE AS across FROM o),
+    seeds AS (SELECT strip, CAST(row_number() OVER (PARTITION BY strip ORDER BY centre) AS INTEGER) AS i, centre, centre * {AT.c!r}::DOUBLE - across * {AT.s!r}::DOUBLE AS x,
+      centre * {AT.s!r}::DOUBLE + across * {AT.c!r}::DOUBLE AS y FROM z)"""
+
+
+def seeds(spark, sf):
+    return layout.strip_centres(spots(spark, sf)[0], **FRAME, extent=EXTENT, support=3)
+
+
+@R.add("up_strip_centres", f"WITH RECURSIVE {STRIPS} SELECT strip, i, round(centre, 6) AS centre, round(x, 6) AS x, round(y, 6) AS y FROM seeds")
+def up_strip_centres(spark, sf):
+    """Places along each strip, from the gaps found in it (UP-8)."""
+    return rounded(seeds(spark, sf))
+
+
+@R.add(
+    "up_seed_pixels",
+    f"""WITH RECURSIVE {STRIPS}, c AS (SELECT x, y, unnest(range(CAST(floor(x) AS BIGINT) - 6, CAST(ceil(x) AS BIGINT) + 7)) AS col FROM seeds),
+    r AS (SELECT *, unnest(range(CAST(floor(y) AS BIGINT) - 6, CAST(ceil(y) AS BIGINT) + 7)) AS "row" FROM c)
+    SELECT DISTINCT "row", col FROM r WHERE abs((col - x) * {AT.c!r}::DOUBLE + ("row" - y) * {AT.s!r}::DOUBLE) < 3.5 AND abs(("row" - y) * {AT.c!r}::DOUBLE - (col - x) * {AT.s!r}::DOUBLE) < 3.5
+      AND col BETWEEN 0 AND 999 AND "row" BETWEEN 0 AND 996""",
+)
+def up_seed_pixels(spark, sf):
+    """Pixels of the turned squares around the places found (UP-8, UP-9)."""
+    return layout.seed_pixels(seeds(spark, sf), FRAME["angle"], 7.0, (0, 0, 999, 996))
+
+
 @R.add("up_rolling", "WITH e AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal END AS dx, CASE WHEN s_suppkey % 4 <> 0 THEN s_acctbal / 2 END AS dy FROM supplier) SELECT k, round(CASE WHEN count(dx) OVER w >= 3 THEN avg(dx) OVER w END, 6) AS roll_x, round(CASE WHEN count(dy) OVER w >= 3 THEN avg(dy) OVER w END, 6) AS roll_y FROM e WINDOW w AS (ORDER BY k ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)")
 def up_rolling(spark, sf):
     """Rolling mean of the last offsets (UP-11)."""
