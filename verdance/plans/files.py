@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from verdance.plans.registry import Registry, micros, read, rounded
-from verdance.sources import readers, writers
+from verdance.sources import rasters, readers, writers
 
 R = Registry()
 C = F.col
@@ -106,6 +106,27 @@ def snk_wide(spark, sf):
     return spark.read.parquet(f"{to}-kept")
 
 
+@R.add(
+    "snk_geotiff",
+    """WITH p AS (SELECT c_nationkey AS image, c_custkey % 40 AS col, (c_custkey // 40) % 150 AS row, c_custkey % 256 AS r, c_mktsegment = 'BUILDING' AS m FROM customer),
+    d AS (SELECT image, row, col, max(r) AS r, CASE WHEN bool_or(m) THEN 200 ELSE 0 END AS m FROM p GROUP BY ALL),
+    i AS (SELECT DISTINCT image FROM p), g AS (SELECT image, r.row, c.col FROM i, range(150) r(row), range(40) c(col))
+    SELECT image || '.tif' AS path, g.row, g.col, 1000.0 * image - 10 + (g.col + 0.5) * 0.5 AS x, 500.0 + 37.5 - (g.row + 0.5) * 0.5 AS y,
+      CAST(coalesce(r, 0) AS DOUBLE) AS red, CAST(coalesce(m, 0) AS DOUBLE) AS mask FROM g LEFT JOIN d USING (image, row, col)
+    WHERE 500.0 + 37.5 - g.row * 0.5 >= 495 AND 500.0 + 37.5 - (g.row + 1) * 0.5 <= 505""",
+)
+def snk_geotiff(spark, sf):
+    """Georeferenced images of two bands, written and read back in a window (SNK-5, SRC-12)."""
+    cu = read(spark, sf, "customer")
+    px = cu.select(C("c_nationkey").alias("image"), F.floor(C("c_custkey") / 40).alias("_r"), (C("c_custkey") % 40).alias("col"), (C("c_custkey") % 256).alias("red"), F.when(C("c_mktsegment") == "BUILDING", 200).otherwise(0).alias("mask"))
+    px = px.groupBy("image", (C("_r") % 150).alias("row"), "col").agg(F.max("red").alias("red"), F.max("mask").alias("mask"))
+    centres = px.select("image").distinct().select("image", (C("image") * 1000.0).alias("e"), F.lit(500.0).alias("n"))
+    to = scratch(spark)
+    rasters.geotiffs(px, centres, ["red", "mask"], 40, 150, 0.5, 32636).write.parquet(to)
+    got = rasters.geotiff_pixels(spark.read.parquet(to), (-1e9, 495.0, 1e9, 505.0))
+    return got.select(C("file").alias("path"), "row", "col", "x", "y", C("bands")[0].alias("red"), C("bands")[1].alias("mask"))
+
+
 @R.add("stream_hourly", "SELECT epoch_us(date_trunc('hour', ts)) AS hour, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
 def stream_hourly(spark, sf):
     """Hourly windows over a stream, run to its end (TS-1 as a stream)."""

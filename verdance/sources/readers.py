@@ -283,6 +283,44 @@ def tiff_sizes(spark: SparkSession, path: str) -> DataFrame:
     return _decoded(spark, path, "file string, width bigint, height bigint", rows)
 
 
+def dbf(spark: SparkSession, path: str, columns: dict[str, str], encoding: str = "latin-1") -> DataFrame:
+    """Rows of dBase tables: the named columns with their types; deleted rows are left out, blank and absent values are null."""
+    numeric = {c for c, t in columns.items() if t in ("double", "bigint", "int")}
+
+    def rows(b: bytes):
+        n, head, size = struct.unpack_from("<IHH", b, 4)
+        fields, at, place = {}, 32, 1
+        while b[at] != 0x0D:
+            width = b[at + 16]
+            fields[b[at : at + 11].split(b"\0")[0].decode(encoding)] = (chr(b[at + 11]), place, width)
+            at, place = at + 32, place + width
+
+        def value(record: bytes, name: str):
+            if name not in fields:
+                return None
+            kind, place, width = fields[name]
+            raw = record[place : place + width]
+            if kind in "IO":
+                v = struct.unpack("<i" if kind == "I" else "<d", raw)[0]
+                return float(v) if name in numeric else str(v)
+            text = raw.decode(encoding).strip(" \0")
+            if name not in numeric:
+                return text or None
+            try:
+                return float(text)
+            except ValueError:
+                return None
+
+        for i in range(n):
+            record = b[head + i * size : head + (i + 1) * size]
+            if record[:1] == b" ":
+                yield tuple(value(record, c) for c in columns)
+
+    made = ", ".join(f"`{c}` {'double' if c in numeric else 'string'}" for c in columns)
+    df = _decoded(spark, path, f"file string, {made}", rows)
+    return no_nan(df.select("file", *(F.col(f"`{c}`").cast(t).alias(c) for c, t in columns.items())))
+
+
 def spread_within_second(df: DataFrame, by: list[str], ts: str, order: str) -> Column:
     """Seconds to add to rows that share a second, evenly spread in ``order``."""
     sec = F.date_trunc("second", F.col(ts))
