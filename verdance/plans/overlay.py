@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdance.operators import detect, match, stats
+from verdance.operators import contrast, detect, match, stats
 from verdance.operators import timeseries as ts
 from verdance.operators.ordering import quantiles
 from verdance.plans.joins import PAIRS
@@ -343,3 +343,49 @@ def joi_spacing_radius(spark, sf):
     gaps = match.within(su, su, 60.0).filter("left_id != right_id").groupBy(C("left_id").alias("right_id")).agg(F.min("d").alias("gap"))
     own = match.closest(cu, su).join(gaps, "right_id", "left")
     return own.filter(C("d") <= F.least(F.lit(30.0), F.coalesce("gap", F.lit(60.0)) / 2)).groupBy(C("right_id").alias("crown")).agg(F.count(F.lit(1)).alias("points"))
+
+
+#: Three images of 72 x 50 pixels from keys; a pixel's level is the largest quantity there, times five.
+IMAGE = """im AS (SELECT l_linenumber % 3 AS image, l_orderkey % 50 AS row, (l_orderkey // 50) % 72 AS col, CAST(max(l_quantity) * 5 AS INTEGER) AS v,
+      CAST(max(l_quantity) * 5 AS INTEGER) AS r, CAST(min(l_quantity) * 4 AS INTEGER) AS g, CAST(max(l_partkey) % 256 AS INTEGER) AS b FROM lineitem GROUP BY ALL)"""
+
+
+def image(spark, sf):
+    li, k = read(spark, sf, "lineitem"), C("l_orderkey")
+    by = [(C("l_linenumber") % 3).alias("image"), (k % 50).alias("row"), (F.floor(k / 50) % 72).alias("col")]
+    top = (F.max("l_quantity") * 5).cast("int")
+    return li.groupBy(*by).agg(top.alias("v"), top.alias("r"), (F.min("l_quantity") * 4).cast("int").alias("g"), (F.max("l_partkey") % 256).cast("int").alias("b"))
+
+
+@R.add(
+    "prj_equalised",
+    f"""WITH {IMAGE}, d AS (SELECT 10 AS tw, 7 AS th), lim AS (SELECT image, greatest(floor(least(greatest(2.0 + (0.8 - stddev_pop(v) / 255), 1.5), 3.0) * 70 / 256), 1) AS lim FROM im GROUP BY image),
+    px AS (SELECT image, v, x, y FROM im, LATERAL (SELECT unnest([col, 142 - col]) AS x), LATERAL (SELECT unnest([row, 98 - row]) AS y)
+      WHERE (x = col OR x BETWEEN 72 AND 79) AND (y = row OR y BETWEEN 50 AND 55)),
+    h AS (SELECT image, y // 7 AS ty, x // 10 AS tx, v, count(*) AS c FROM px GROUP BY ALL),
+    n AS (SELECT image, lim, ty, tx, v FROM lim, range(8) a(ty), range(8) b(tx), range(256) l(v)),
+    f AS (SELECT n.*, coalesce(h.c, 0) AS c FROM n LEFT JOIN h USING (image, ty, tx, v)),
+    e AS (SELECT *, sum(greatest(c - lim, 0)) OVER (PARTITION BY image, ty, tx) AS cut FROM f),
+    s AS (SELECT *, greatest(floor(256 / greatest(cut % 256, 1)), 1) AS step FROM e),
+    g AS (SELECT image, ty, tx, v, least(c, lim) + floor(cut / 256) + CASE WHEN v % step = 0 AND floor(v / step) < cut % 256 THEN 1 ELSE 0 END AS c FROM s),
+    l AS (SELECT image, ty, tx, v, least(round_even(sum(c) OVER (PARTITION BY image, ty, tx ORDER BY v) * (255.0::DOUBLE / 70), 0), 255) AS l FROM g),
+    p AS (SELECT image, row, col, v, row / 7.0::DOUBLE - 0.5 AS fy, col / 10.0::DOUBLE - 0.5 AS fx FROM im),
+    q AS (SELECT *, fy - floor(fy) AS ya, fx - floor(fx) AS xa, greatest(CAST(floor(fy) AS BIGINT), 0) AS y1, least(CAST(floor(fy) AS BIGINT) + 1, 7) AS y2,
+      greatest(CAST(floor(fx) AS BIGINT), 0) AS x1, least(CAST(floor(fx) AS BIGINT) + 1, 7) AS x2 FROM p)
+    SELECT q.image, q.row, q.col, q.v, CAST(round_even((a.l * (1 - xa) + b.l * xa) * (1 - ya) + (c.l * (1 - xa) + d.l * xa) * ya, 0) AS INTEGER) AS out FROM q
+    JOIN l a ON a.image = q.image AND a.v = q.v AND a.ty = y1 AND a.tx = x1 JOIN l b ON b.image = q.image AND b.v = q.v AND b.ty = y1 AND b.tx = x2
+    JOIN l c ON c.image = q.image AND c.v = q.v AND c.ty = y2 AND c.tx = x1 JOIN l d ON d.image = q.image AND d.v = q.v AND d.ty = y2 AND d.tx = x2""",
+)
+def prj_equalised(spark, sf):
+    """Contrast-limited equalisation in tiles, with a limit by the image's spread (PRJ-45)."""
+    return contrast.equalised(image(spark, sf), 72, 50)
+
+
+@R.add(
+    "prj_gamma",
+    f"""WITH {IMAGE}, m AS (SELECT image, 1 / least(greatest(ln(least(greatest(avg(greatest(r, g, b) / 255.0::DOUBLE), 0.05), 0.95)) / ln(0.5::DOUBLE), 0.8), 1.3) AS e FROM im GROUP BY image)
+    SELECT image, row, col, {", ".join(f"CAST(floor(least(greatest(pow({c} / 255.0::DOUBLE, e) * 255, 0), 255)) AS INTEGER) AS {c}" for c in "rgb")} FROM im JOIN m USING (image)""",
+)
+def prj_gamma(spark, sf):
+    """Gamma by the mean brightness of the image, within bounds (PRJ-45)."""
+    return contrast.flattened(image(spark, sf))
