@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +40,21 @@ def with_columns(old: DataFrame, more: DataFrame, key: str) -> DataFrame:
 def once(df: DataFrame, path: str) -> None:
     """Write unless something is there already."""
     df.write.mode("ignore").parquet(path)
+
+
+def resumed(todo: DataFrame, path: str, keys: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """All results in ``path`` after ``work`` was done for the rows of ``todo`` whose keys have none there yet.
+
+    Results are added in one commit, so a run that is lost before it leaves nothing and is done again.
+    """
+    spark = todo.sparkSession
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        done = None
+    rest = todo if done is None else todo.join(done.select(*keys).distinct(), keys, "left_anti")
+    if not rest.isEmpty():
+        work(rest).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
