@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from verdance.operators import detect, regress
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
 from verdance.plans.statistics import f_sql
+from verdance.session import checkpointed
 
 R = Registry()
 C = F.col
@@ -204,15 +205,59 @@ def ml_knn(spark, sf):
 @R.add("ml_trees")
 def ml_trees(spark, sf):
     """Tree, forest and boosting with importances (ML-11..14, ML-19, ML-20)."""
-    px = pixels(spark, sf).select("k", "n", *XS, "v")
+    px = checkpointed(pixels(spark, sf).select("k", "n", *XS, "v"))
     rows = []
-    for name, kind, params in (("tree", "tree", {"maxDepth": 3}), ("forest", "forest", {"numTrees": 5, "maxDepth": 3, "featureSubsetStrategy": "onethird"}), ("boost", "boost", {"maxIter": 4, "maxDepth": 2, "stepSize": 0.3})):
+    least = {"minInstancesPerNode": 10}
+    models = (
+        ("tree", "tree", {"maxDepth": 3}),
+        ("forest", "forest", {"numTrees": 80, "maxDepth": 3, "featureSubsetStrategy": "onethird", **least}),
+        ("boost", "boost", {"maxIter": 80, "maxDepth": 2, "stepSize": 0.1, **least}),
+    )
+    for name, kind, params in models:
         m = regress.trees(px, XS, "v", kind, **params)
         rows += [(name, f"importance_{x}", m.featureImportances[i]) for i, x in enumerate(XS)]
     rows += [("tree", f"permuted_{x}", v / 1e6) for x, v in regress.permutation_importance(regress.trees(px, XS, "v", "tree", maxDepth=3), px.withColumn("key", C("k") * 8 + C("n")), XS, "v", "key")]
     return rounded(tidy(spark, rows), 3)
 
 
+def _tree_sql(depth: int) -> str:
+    """CTEs of the nodes of each level, exact splits at midpoints."""
+    out = ["t0 AS (SELECT 1::BIGINT AS node, r, g, b, v FROM px)"]
+    for i in range(depth + 1):
+        long = " UNION ALL ".join(f"SELECT node, {f} AS f, {x} AS x, v FROM t{i}" for f, x in enumerate("rgb"))
+        out += [
+            f"""v{i} AS (SELECT node, f, x, count(*) AS n, sum(v) AS s FROM ({long}) GROUP BY ALL),
+    c{i} AS (SELECT node, f, x, sum(n) OVER w AS nl, sum(s) OVER w AS sl, lead(x) OVER w AS nx, sum(n) OVER (PARTITION BY node, f) AS n, sum(s) OVER (PARTITION BY node, f) AS s
+      FROM v{i} WINDOW w AS (PARTITION BY node, f ORDER BY x)),
+    b{i} AS (SELECT node, max(struct_pack(fall := sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n, f := -f, t := -(x + nx) / 2)) AS b FROM c{i}
+      WHERE nx IS NOT NULL AND nl >= 5 AND n - nl >= 5 AND {i} < {depth} GROUP BY node),
+    n{i} AS (SELECT a.node, a.n, a.s / a.n AS mean, b.b AS b FROM (SELECT node, sum(n) AS n, sum(s) AS s FROM v{i} WHERE f = 0 GROUP BY node) a LEFT JOIN b{i} b USING (node)),
+    t{i + 1} AS (SELECT node * 2 + CASE WHEN CASE -b.f WHEN 0 THEN r WHEN 1 THEN g ELSE t{i}.b END > -b.t THEN 1 ELSE 0 END AS node, r, g, t{i}.b AS b, v
+      FROM t{i} JOIN (SELECT node AS k, b FROM b{i}) z ON z.k = node)""".replace("-b.f", "-z.b.f").replace("> -b.t", "> -z.b.t")
+        ]
+    return ", ".join(out)
+
+
+DEPTH = 3
+
+
+@R.add(
+    "ml_cart",
+    f"WITH {PX}, {_tree_sql(DEPTH)}, o AS ("
+    + " UNION ALL ".join(f"SELECT * FROM n{i}" for i in range(DEPTH + 1))
+    + """) SELECT CAST(node AS BIGINT) AS node, CASE -b.f WHEN 0 THEN 'r' WHEN 1 THEN 'g' WHEN 2 THEN 'b' END AS feature, round(-b.t, 6) AS threshold, CAST(n AS BIGINT) AS n,
+    round(mean, 3) AS mean, round(b.fall / (SELECT var_pop(v) * count(*) FROM px), 6) AS share FROM o""",
+)
+def ml_cart(spark, sf):
+    """Regression tree with exact midpoints, and the share of the squared error that each split takes (ML-11, ML-19)."""
+    px = pixels(spark, sf).select("r", "g", "b", "v")
+    nodes = regress.exact_tree(px, ["r", "g", "b"], "v", DEPTH)
+    whole = px.agg(F.var_pop("v") * F.count("v")).first()[0]
+    rows = [(n["node"], n["feature"], n["threshold"], n["n"], round(n["mean"], 3), None if n["fall"] is None else n["fall"] / whole) for n in nodes]
+    out = spark.createDataFrame(rows, "node long, feature string, threshold double, n long, mean double, share double")
+    return rounded(out, 6, but=("mean",))
+
+
 @R.add("cv_nested")
 def cv_nested(spark, sf):
     """Nested cross-validation of the lasso (CV-5)."""
