@@ -1,11 +1,11 @@
-"""The ten queries of this subpackage, as thin uses of its operators."""
+"""The queries of this subpackage, as thin uses of its operators."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdance.llm import language, licenses, mixing, near, packing, pii, quality, rules, search, toxicity
+from verdance.llm import audit, extract, language, licenses, mixing, near, packing, pii, quality, rules, search, toxicity, variants
 from verdance.llm.common import crc_mod, materialise, table
 from verdance.plans.registry import Registry
 
@@ -99,6 +99,21 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filter audit of all rows, 600 a part. Null or empty text: no words; null lang: part of the empty string; repeats count each; no documents: no rows."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page. Null or empty html, or none in it: empty text; long pages whole; repeats read each; no pages: no rows."""
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all texts with their forms. Null or empty text: no words; ties to the smaller word; repeats count each; no words: no rows."""
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
 R = Registry()
 for _query, _sql in (
     (op1_quality, None),
@@ -111,5 +126,8 @@ for _query, _sql in (
     (op8_rules, None),
     (op9_search, search.ORACLE),
     (op10_language, None),
+    (op11_audit, audit.ORACLE),
+    (op12_extract, None),
+    (op13_variants, None),
 ):
     R.add(_query.__name__, _sql)(_query)
