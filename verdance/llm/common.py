@@ -75,6 +75,17 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.instr(col, "K") > 0, F.translate(col, UPPER, LOWER)).otherwise(F.lower(col))
 
 
+def named(df: DataFrame, within: str = "") -> list[Column]:
+    """All columns of ``df``, whatever their names; ``within`` is a struct that holds them."""
+    return [F.col(f"{within}`{c.replace('`', '``')}`").alias(c) for c in df.columns]
+
+
+def chance(key: str | Column, seed: int) -> Column:
+    """A number from 0 up to 1 by a hash of ``key``, in steps of 2^-53."""
+    col = F.col(key) if isinstance(key, str) else key
+    return F.shiftrightunsigned(F.xxhash64(col.cast("string"), F.lit(seed)), 11).cast("double") / F.lit(2.0**53)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
@@ -91,8 +102,7 @@ def bounded_sample(df: DataFrame, key: str, strata: list[str], rows: int, seed:
     same = F.lit(True)
     for i, s in enumerate(strata):
         same = same & F.col(s).eqNullSafe(F.col(f"_s{i}"))
-    chance = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return df.join(counts, same).filter(chance < F.col("_p")).select(*df.columns)
+    return df.join(counts, same).filter(chance(key, seed) < F.col("_p")).select(*df.columns)
 
 
 def arrow_rows(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
@@ -161,10 +171,13 @@ def split_by_filter(df: DataFrame, key: str, ids: DataFrame, most: int = 25) ->
     table = [0] * (bits // 64)
     for r in words.collect():  # at most bits / 64 rows
         table[r["w"]] = r["b"]
-    one = F.broadcast(spark.createDataFrame([(table,)], "_f array<bigint>"))
+    name = "_f"
+    while name in {c.lower() for c in df.columns}:
+        name += "_"
+    one = F.broadcast(spark.createDataFrame([(table,)], f"`{name}` array<bigint>"))
     h = F.pmod(F.xxhash64(df[key].cast("string")), F.lit(bits))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (h % 64).cast("int"))
-    hit = df[key].isNotNull() & (F.get(F.col("_f"), F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0)
+    hit = df[key].isNotNull() & (F.get(F.col(name), F.floor(h / 64).cast("int")).bitwiseAND(bit) != 0)
     return df.join(one, hit, "left_anti"), df.join(one, hit, "left_semi")
 
 

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdance.llm.common import SPACE, bounded_sample, materialise
+from verdance.llm.common import SPACE, bounded_sample, chance, materialise, named
 
 #: Posteriors are rounded to multiples of 1 / GRID.
 GRID = 250
@@ -194,8 +194,7 @@ def fit_rates(docs: DataFrame, domains: tuple[str, ...], weights: dict[str, floa
 
 def copies(key: Column, rates: Column, seed: int = 11) -> Column:
     """How often a document is kept: the whole part of its rate, and one more with the chance of the rest."""
-    chance = F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return (F.floor(rates) + F.when(chance < rates - F.floor(rates), 1).otherwise(0)).cast("long")
+    return (F.floor(rates) + F.when(chance(key, seed) < rates - F.floor(rates), 1).otherwise(0)).cast("long")
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame, low: str = "low") -> DataFrame:
@@ -215,12 +214,12 @@ def drawn(docs: DataFrame, labels: DataFrame, weights: dict[str, float], key: st
     if fit.gap > warn_at:
         reached = {d: (round(float(r), 4), round(float(t), 4)) for d, r, t in zip(fit.domains, fit.reached, fit.target, strict=True)}
         warnings.warn(f"the mix misses a target by {fit.gap:.4f} of all tokens; reached and target: {reached}, missing: {fit.missing}", stacklevel=2)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(key).alias("_key"), "text")
+    row = docs.select(F.struct(*named(docs)).alias("_row"), F.col(key).alias("_key"), "text")
     times = F.when(F.col("_key").isNull(), 1).otherwise(copies(F.col("_key"), F.col("_rate")))
     own = posteriors(row, model, ["_row", "_key"]).withColumn("_rate", rate(F.col("p"), fit.errors, fit.step, fit.most))
     # Generated, not filtered: a filter on the count would be pushed down and work the posterior out many times.
     own = own.select("_row", F.explode_outer(F.array_repeat(F.lit(1), times.cast("int"))).alias("_once")).filter("_once is not null")
-    return own.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+    return own.select(*named(docs, "_row."))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], keys: list[str], budget: float = 1.0, most: float = 4.0, missing: str = "raise") -> tuple[DataFrame, Mix, DomainModel]:

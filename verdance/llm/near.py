@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdance.llm import sketch
-from verdance.llm.common import discard, map_arrow, materialise, small_batches, split_by_filter, spread_join, texts
+from verdance.llm.common import discard, map_arrow, materialise, named, small_batches, split_by_filter, spread_join, texts
 
 #: Standard deviation of an estimate near 0.8; pairs more than five of it below the threshold are not verified.
 SIGMA = (0.8 * 0.2 / sketch.REGISTERS) ** 0.5
@@ -227,4 +227,4 @@ def kept(docs: DataFrame, percent: int = 80, width: int = 2) -> DataFrame:
     own = groups(docs, percent, width)
     gone = materialise(own.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
     clear, others = split_by_filter(docs, "doc_id", gone)
-    return clear.unionByName(others.join(gone, "doc_id", "left_anti").select(*docs.columns))
+    return clear.unionByName(others.join(gone, "doc_id", "left_anti").select(*named(docs)))

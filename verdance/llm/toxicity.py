@@ -203,9 +203,13 @@ def below(docs: DataFrame, model: ToxicityModel, threshold: float) -> DataFrame:
     small_batches(docs.sparkSession)
     state: dict[str, Words] = {}
 
+    # Numbered columns on the way, since the step takes columns by names that may hold dots.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    text = f"c{docs.columns.index('text')}"
+
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = state.setdefault("words", Words(model.words, model.stems))
-        x = np.array([features(t, known) for t in texts(batch)])
+        x = np.array([features(t, known) for t in texts(batch, text)])
         return batch.filter(pa.array(np.interp(model.trees.raw(x), *model.knots) < threshold))
 
-    return map_arrow(docs, make, docs.schema, state)
+    return map_arrow(plain, make, plain.schema, state).toDF(*docs.columns)
