@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdance.llm import mixing, near, packing, pii, toxicity
-from verdance.llm.common import materialise, table
+from verdance.llm.common import materialise, named, table
 
 #: Scores from here on are rejected.
 TOXIC = 0.5
@@ -43,15 +43,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with each span of personal data replaced by its kind; null texts stay null, n_chars follows the text."""
-    columns = [F.col(c) for c in docs.columns]
-    keyed = docs.select(F.struct(*columns).alias("_row"), F.col("text"))
+    keyed = docs.select(F.struct(*named(docs)).alias("_row"), F.col("text"))
     found = pii.candidates(keyed, ("_row",))
     kept = materialise(found, "private")
     model = pii.fit(kept)
     masked = pii.decide(kept, model).select("_row", pii.redact(F.col("_row.text"), F.col("all")).alias("_masked"))
     new = {"text": F.col("_masked"), "n_chars": F.length("_masked").cast("long")}
-    out = [new.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
-    return masked.select(*out)
+    return masked.select(*(new.get(c, own).alias(c) for c, own in zip(docs.columns, named(docs, "_row."), strict=True)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
