@@ -532,6 +532,52 @@ def test_pipeline_stages(spark, odd, empty):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_pipeline_stages_with_odd_column_names(spark):
+    sf = "/root/testdata/sf0.001"
+    more = {"_f": 1, "a.b": 2, "_row": 3, "text2": "x", "a b": 4, "t`k": 5, "_p": 6}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("*", *(F.lit(v).alias(c) for c, v in more.items()))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.count() > 0
+        if name != "packing":
+            assert out.columns == docs.columns
+            assert tuple(out.first())[-len(more) :] == tuple(more.values())
+
+
+@pytest.mark.parametrize("many", [5, 20, 200])
+def test_pii_on_few_candidates(spark, many):
+    """Bare numbers that fail Luhn, and are of no issuer, are no cards, however small the table; what the base rule finds stays."""
+    rng = random.Random(many)
+    bad = []
+    while len(bad) < many:
+        digits = rng.choice("79") + "".join(rng.choice("0123456789") for _ in range(15))
+        if not brute._luhn(digits):
+            bad.append(digits)
+    rows = [(i, f"the number {d} was there") for i, d in enumerate(bad)] + [(10_000 + i, f"paid with 4111111111111111 by {i}") for i in range(many)]
+    out, _ = pii.find(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r[0]: r[1] for r in out.select("doc_id", pii.listed(F.col("all"))).collect()}
+    assert all((got[i] == "") == (i < 10_000) for i in got)
+
+
+def test_toxicity_lexicon_counts_texts_once(spark):
+    """Twenty near copies of one toxic text support none of its words; a word of many texts is in the lexicon."""
+    rng = random.Random(4)
+    syllables = ["ba", "ko", "ri", "tem", "lu", "sna", "pel", "dor"]
+    plain = lambda n: " ".join("".join(rng.choice(syllables) for _ in range(rng.randrange(3, 6))) for _ in range(n))
+    copied = plain(60) + " copiedword"
+    rows = [(1, f"{plain(40)} dreadful {plain(20)}") for _ in range(20)] + [(1, copied) for _ in range(20)] + [(0, plain(60)) for _ in range(60)]
+    words, _ = toxicity.learn_lexicon(spark.createDataFrame(rows, "label int, text string"), 400, 3, 1.0)
+    assert b"dreadful" in words and b"copiedword" not in words
+
+
+def test_isotonic_keeps_the_ranking():
+    x = np.arange(40.0)
+    y = np.array([0, 1, 0, 0] * 5 + [1, 0, 1, 1] * 5, float)
+    knots = boost.isotonic(x, y, np.ones(40))
+    fit = np.interp(np.arange(0, 39.25, 0.5), *knots)
+    assert (np.diff(fit) > 0).all() and 0 <= fit[0] and fit[-1] <= 1
+
+
 def test_held_out_marks(spark):
     df = spark.createDataFrame([(1,), (2,), (None,)], "doc_id long").select(crc_mod("doc_id", 4).alias("m")).collect()
     assert [r["m"] for r in df] == [zlib.crc32(b"1") % 4, zlib.crc32(b"2") % 4, None]

@@ -69,8 +69,12 @@ def fit_trees(x: np.ndarray, y: np.ndarray, w: np.ndarray, trees: int = 120, dep
     return Trees(base, feature, threshold, value)
 
 
+#: Part of the way to its neighbours by which a block's fit rises, and how far the fit goes on beyond the first and last score.
+SLOPE, TAIL = 0.02, 8.0
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots (x, y) of the least-squares nondecreasing fit, by pooling adjacent violators."""
+    """Knots (x, y) of the least-squares nondecreasing fit, by pooling adjacent violators, with ties inside a block broken by x."""
     order = np.argsort(x, kind="stable")
     blocks: list[list[float]] = []  # mean, weight, first x, last x
     for i in order:
@@ -81,5 +85,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
             b[0] = (b[0] * b[1] + m * v) / (b[1] + v)
             b[1] += v
             b[3] = last
+    means = np.array([b[0] for b in blocks])
+    below, above = np.concatenate([[0.0], means[:-1]]), np.concatenate([means[1:], [1.0]])
+    # Inside a block the fit rises by a small part of the way from its neighbours, so that its ranking survives.
     knots_x = np.array([v for b in blocks for v in (b[2], b[3])])
-    return knots_x, np.array([b[0] for b in blocks for _ in range(2)])
+    knots_y = np.stack([means - SLOPE * (means - below), means + SLOPE * (above - means)], 1).ravel()
+    ends = (float(knots_y[0]) * (1 - SLOPE), float(knots_y[-1]) + SLOPE * (1 - float(knots_y[-1])))
+    return np.concatenate([[knots_x[0] - TAIL], knots_x, [knots_x[-1] + TAIL]]), np.concatenate([[ends[0]], knots_y, [ends[1]]])

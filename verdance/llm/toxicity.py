@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdance.llm.boost import Trees, fit_trees, isotonic
-from verdance.llm.common import class_counts, labelled_sample, map_arrow, small_batches, texts
+from verdance.llm.common import SPACE, class_counts, labelled_sample, map_arrow, small_batches, texts
 
 WINDOW, NEAR, STEM = 40, 6, 4
 #: Second-person words of some languages.
@@ -40,6 +40,8 @@ _UNDO = bytes.maketrans(LEET_FROM.encode(), LEET_TO.encode())
 CACHE = 120_000
 LEX, STEMMED, HIDDEN, SECOND, CAPS, INNER, DIGIT = 1, 2, 4, 8, 16, 32, 64
 N_FEATURES = 16
+#: Part of the texts of class 1 in which a word of the lexicon occurs at least.
+PART = 0.01
 
 
 @dataclass(frozen=True)
@@ -130,16 +132,31 @@ def features(text: str | None, words: Words) -> list[float]:
     ]
 
 
-def learn_lexicon(sample: DataFrame, share: dict[int, int], most: int, least: int, odds: float) -> tuple[frozenset, frozenset]:
-    """Words and stems that documents of class 1 have far more often, at most ``most`` of either."""
+def signature(text: Column) -> Column:
+    """The smallest hash of three words in a row (of all words, if fewer): near copies nearly always share it, other texts hardly ever."""
+    words = F.array_remove(F.split(F.lower(text), SPACE), "")
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " ")))
+    return F.when(F.size(words) < 3, F.xxhash64(F.array_join(words, " "))).otherwise(F.array_min(runs))
+
+
+def learn_lexicon(sample: DataFrame, most: int, least: int, odds: float) -> tuple[frozenset, frozenset]:
+    """Words and stems that texts of class 1 have far more often, at most ``most`` of either.
+
+    What counts are different texts, by their signatures, so copies of one text support a word once. A word
+    needs ``least`` texts of class 1 and PART of all of them, and some in both halves into which signatures fall.
+    """
     low = F.lower("text")
     tokens = F.regexp_extract_all(low, F.lit(r"([^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)"), F.lit(1))
     out = []
-    base = sample.select("label", tokens.alias("t"))
+    base = sample.select("label", signature(F.col("text")).alias("g"), tokens.alias("t")).groupBy("label", "g").agg(F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"))
+    share = {r["label"]: r["n"] for r in base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = max(least, PART * share.get(1, 0))
     for made in (F.col("t"), F.transform("t", lambda w: F.substring(w, 1, STEM))):
-        counts = base.select("label", F.explode(F.array_distinct(made)).alias("w")).groupBy("w").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
+        own = base.select("label", (F.pmod("g", F.lit(2)) == 0).alias("half"), F.explode(F.array_distinct(made)).alias("w"))
+        counts = own.groupBy("w").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"), F.sum(F.when(F.col("half"), F.col("label")).otherwise(0)).alias("here"))
         ratio = F.log((F.col("pos") + 0.5) / F.lit(share.get(1, 0) + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(share.get(0, 0) + 1.0))
-        best = counts.filter((F.col("pos") >= least) & (ratio >= odds) & (F.length("w") >= STEM)).orderBy((ratio * F.log1p("pos")).desc(), "w").limit(most)
+        both = (F.col("here") > 0) & (F.col("here") < F.col("pos"))
+        best = counts.filter((F.col("pos") >= least) & both & (ratio >= odds) & (F.length("w") >= STEM)).orderBy((ratio * F.log1p("pos")).desc(), "w").limit(most)
         out.append(frozenset(r["w"].encode() for r in best.collect()))
     return out[0], out[1]
 
@@ -156,7 +173,7 @@ def _measure(docs: DataFrame, words: frozenset, stems: frozenset, finish, schema
     return map_arrow(docs.select("doc_id", "text", *more), make, schema, state)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, lexicon: int = 400, least: int = 5, odds: float = 3.0) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, lexicon: int = 400, least: int = 3, odds: float = 3.0) -> ToxicityModel:
     """Learn from at most about ``rows`` rows of each class for which ``learn`` holds.
 
     The lexicon comes from one half of the sample (by a hash of the id) and the
@@ -167,9 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, lex
     sample = labelled_sample(docs, labels, "toxic", learn, rows)
     kept = sample.withColumn("half", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(2)))
     counts = class_counts(labels, "toxic", learn)
-    first = kept.filter("half = 0")
-    halves = {r["label"]: r["n"] for r in first.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    words, stems = learn_lexicon(first, halves, lexicon, least, odds)
+    words, stems = learn_lexicon(kept.filter("half = 0"), lexicon, least, odds)
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = _measure(kept.filter("half = 1"), words, stems, lambda x: pa.array(list(x), pa.list_(pa.float64())), f"doc_id {kind}, label int, x array<double>", ("label",)).orderBy("doc_id").collect()
     y = np.array([r["label"] for r in got], float)
