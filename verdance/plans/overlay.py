@@ -264,19 +264,6 @@ def flt_outliers(spark, sf):
     return kept.select("zone", "year", F.round("v", 2).alias("v"), (F.round("mz", 5) + F.lit(0.0)).alias("mz"))
 
 
-@R.add(
-    "flt_solidity",
-    f"""WITH {SPOTS}, o AS (SELECT nation AS id, count(*) AS area, (max(x) - min(x)) * (max(y) - min(y)) / 10000 AS box FROM cu GROUP BY nation),
-    m AS (SELECT greatest(3, 0.2 * median(area)) AS least FROM o) SELECT id, area, round(area / greatest(box, 1), 6) AS solidity FROM o, m WHERE area >= least AND area / greatest(box, 1) >= 0.2""",
-)
-def flt_solidity(spark, sf):
-    """Objects that are large enough (a floor and a share of the median) and fill enough of their bounding box (FLT-14)."""
-    o = spots(spark, sf)[0].groupBy(C("nation").alias("id")).agg(F.count(F.lit(1)).alias("area"), ((F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) / 10_000).alias("box"))
-    (mid,) = quantiles(o, "area", (0.5,))
-    solid = o.withColumn("solidity", C("area") / F.greatest(C("box"), F.lit(1.0)))
-    return solid.filter((C("area") >= max(3.0, 0.2 * (mid or 0.0))) & (C("solidity") >= 0.2)).select("id", "area", F.round("solidity", 6).alias("solidity"))
-
-
 @R.add(
     "win_ranked_lists",
     """WITH s AS (SELECT l_suppkey AS k, sum(CASE WHEN year(l_shipdate) = 1996 THEN l_extendedprice ELSE 0 END) AS a, sum(CASE WHEN year(l_shipdate) = 1997 THEN l_extendedprice ELSE 0 END) AS b FROM lineitem GROUP BY 1),
