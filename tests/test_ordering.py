@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from verdance.operators import layout, ordering, regress, stats
+from verdance.operators import deals, layout, ordering, regress, stats
+from verdance.plans import validation
 
 
 def test_numbered(spark):
@@ -45,10 +46,52 @@ def test_fdr_and_rolling_over_many_ranges(spark, monkeypatch):
         assert out[i] == (pytest.approx(np.mean(own)) if len(own) >= 3 else None)
 
 
-def test_moves_are_bijections():
-    for n in (1, 2, 7, 60, 997):
-        for a, b in stats.affine_moves(n, 20):
-            assert len({(a * i + b) % n for i in range(n)}) == n
+def test_places_are_permutations(spark):
+    for n in (1, 2, 3, 7, 60, 997):
+        got = spark.range(n).select(*(deals.place(F.col("id"), n, F.lit(k)).alias(f"p{k}") for k in (1, 2, 977))).collect()
+        for j in range(3):
+            assert sorted(r[j] for r in got) == list(range(n))
+
+
+def test_permuted_gradients_look_like_chance(spark):
+    """On a row-ordered grid with a gradient, places keep no neighbourhoods: the null's deviation is that of random permutations."""
+    side, rounds = 24, 40
+    n = side * side
+    df = spark.range(n).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    at = np.zeros((rounds, n), int)
+    for r in df.select("id", "j", deals.place(F.col("id"), n, F.col("j") + 42 * 100_003).alias("p")).collect():
+        at[r["j"] - 1, r["p"]] = r["id"]
+    rnd = np.random.default_rng(0)
+
+    def deviation(perms):
+        out = []
+        for p in perms:
+            z = (p // side - (side - 1) / 2).reshape(side, side)
+            num = (z[1:] * z[:-1]).sum() + (z[:, 1:] * z[:, :-1]).sum()
+            out.append(num / (2 * side * (side - 1)) / z.var())
+        return np.std(out), np.max(np.abs(out))
+
+    got, want = deviation(at), deviation([rnd.permutation(n) for _ in range(rounds)])
+    assert got[0] < 1.5 * want[0] and got[1] < 0.2
+
+
+def test_seeded_folds_are_independent(spark):
+    rows = validation.seeded(spark.range(4000).withColumnRenamed("id", "k")).select("k", "s.at", "fold").collect()
+    fold = np.zeros((len(validation.SEEDS), 4000), int)
+    for r in rows:
+        fold[r["at"], r["k"]] = r["fold"]
+    pairs = np.random.default_rng(1).integers(0, 4000, (40_000, 2))
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+    same = fold[:, pairs[:, 0]] == fold[:, pairs[:, 1]]
+    for a in range(len(fold)):
+        assert 0.18 < same[a].mean() < 0.22
+        for b in range(a):
+            assert 0.17 < same[a][same[b]].mean() < 0.23
+
+
+def test_poisson_counts(spark):
+    w = np.array([r[0] for r in spark.range(20_000).select(deals.poisson(deals.mixed(F.col("id"), F.lit(7)) / float(deals.MODULUS))).collect()])
+    assert abs(w.mean() - 1) < 0.03 and abs(w.var() - 1) < 0.05
 
 
 def test_neighbours_in_blocks(spark):

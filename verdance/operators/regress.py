@@ -452,15 +452,15 @@ def tree_predictions(model, df: DataFrame, xs: list[str]) -> DataFrame:
 
 
 def permutation_importance(model, df: DataFrame, xs: list[str], y: str, key: str, seed: int = 42) -> list[tuple[str, float]]:
-    """Rise of the mean squared error when one column is dealt anew: row i gets the value of row (a * i + b) mod n."""
-    from verdance.operators.stats import affine_moves
+    """Rise of the mean squared error when one column is dealt anew, by a keyed permutation of the row numbers."""
+    from verdance.operators.deals import place
 
     mse = lambda d: float(tree_predictions(model, d, xs).agg(F.avg(F.pow(C("prediction") - C(y), 2))).first()[0])
     own = checkpointed(numbered(df, [key], "_i").withColumn("_i", C("_i") - 1).drop("_part"))
     n, base, out = own.count(), mse(df), []
-    for x, (a, b) in zip(xs, affine_moves(n, len(xs), seed), strict=True):
+    for j, x in enumerate(xs, 1):
         deal = own.select(C(x).alias("_x"), "_i")
-        moved = own.withColumn("_i", (C("_i") * a + b) % n).join(deal, "_i").drop(x, "_i").withColumnRenamed("_x", x)
+        moved = own.withColumn("_i", place(C("_i"), n, F.lit(j + seed * 100_003))).join(deal, "_i").drop(x, "_i").withColumnRenamed("_x", x)
         out.append((x, mse(moved) - base))
     return out
 
@@ -470,13 +470,13 @@ def permutation_drop(df: DataFrame, xs: list[str], y: str, key: str, fold: str,
 
     Both passes are Gram rows by fold; only the dealing moves rows.
     """
-    from verdance.operators.stats import affine_moves
+    from verdance.operators.deals import place
 
     own = checkpointed(numbered(df, [key], "_i").withColumn("_i", C("_i") - 1).drop("_part"))
     n, gs = own.count(), grams(own, [*xs, y], C(fold))
     every, out = total(gs), []
-    for x, (a, b) in zip(xs, affine_moves(n, len(xs), seed), strict=True):
-        moved = own.withColumn("_i", (C("_i") * a + b) % n).join(own.select(C(x).alias("_x"), "_i"), "_i").drop(x, "_i").withColumnRenamed("_x", x)
+    for j, x in enumerate(xs, 1):
+        moved = own.withColumn("_i", place(C("_i"), n, F.lit(j + seed * 100_003))).join(own.select(C(x).alias("_x"), "_i"), "_i").drop(x, "_i").withColumnRenamed("_x", x)
         dealt = grams(moved, [*xs, y], C(fold))
         falls = [(dealt[k].sse(beta, xs, y) - g.sse(beta, xs, y)) / g.sst(y) for k, g in gs.items() for beta in [ols(every - g, xs, y)]]
         out.append((x, float(np.mean(falls))))

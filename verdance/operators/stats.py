@@ -7,12 +7,11 @@ freedom and p.
 
 from __future__ import annotations
 
-from math import gcd
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.functions.special import f_pvalue, r_pvalue, t_pvalue
+from verdance.operators.deals import MODULUS, mixed, place, poisson
 from verdance.operators.ordering import numbered
 from verdance.session import checkpointed
 
@@ -144,22 +143,12 @@ def moran(points: DataFrame, v: str, radius: float) -> DataFrame:
     return s.crossJoin(mean).select(F.try_divide(C("n") * C("num"), C("s0") * C("_vp") * C("n")).alias("i"), F.try_divide(F.lit(-1.0), C("n") - 1).alias("expected"), "n")
 
 
-def affine_moves(n: int, rounds: int, seed: int = 42) -> list[tuple[int, int]]:
-    """(a, b) of ``rounds`` bijections i -> (a * i + b) mod n of the numbers below n."""
-    out, a = [], 1
-    for j in range(1, rounds + 1):
-        a = (a + 2 * (7919 * j + seed)) % max(1, n) or 1
-        while gcd(a, max(1, n)) != 1:
-            a = a % max(1, n) + 1
-        out.append((a, (104_729 * j + seed) % max(1, n)))
-    return out
-
-
-def moran_permuted(points: DataFrame, v: str, radius: float, rounds: int = 99, seed: int = 42) -> DataFrame:
+def moran_permuted(points: DataFrame, v: str, radius: float, rounds: int = 199, seed: int = 42) -> DataFrame:
     """Moran's I with a one-sided permutation p.
 
-    Points are numbered once; round j moves the value of number i to number
-    (a_j * i + b_j) mod n, with a_j prime to n, so no round sorts. Edges are found once.
+    Points are numbered once. In round j number i sends its value to the place a keyed permutation has for it, so
+    no round sorts; a point's values of all rounds are one array, gathered in one shuffle. Edges are found once and meet an array
+    at either end; products are summed by round before they are shuffled.
     """
     from verdance.operators.match import band_graph
 
@@ -167,16 +156,34 @@ def moran_permuted(points: DataFrame, v: str, radius: float, rounds: int = 99, s
     mean = own.agg(F.avg(v).alias("_mu"))
     z = checkpointed(numbered(own, ["id"]).crossJoin(F.broadcast(mean)).select("id", (C("i") - 1).alias("i"), (C(v) - C("_mu")).alias("z")))
     n = z.count()
-    moves = [(0, 1, 0), *((j, *move) for j, move in enumerate(affine_moves(n, rounds, seed), 1))]
-    dealt = z.select("id", "i", F.explode(F.array(*(F.struct(F.lit(j).alias("round"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for j, a, b in moves))).alias("m"))
-    dealt = dealt.select("m.round", "id", ((C("m.a") * C("i") + C("m.b")) % max(1, n)).alias("i")).join(z.select("i", "z"), "i").select("round", "id", "z")
+    sent = z.select("i", "z", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("j"))
+    sent = sent.select("j", "z", F.when(C("j") == 0, C("i")).otherwise(place(C("i"), n, C("j") + seed * 100_003)).alias("i"))
+    arrays = sent.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "z"))), lambda s: s["z"]).alias("z"))  # rounds + 1 values
+    arrays = checkpointed(z.select("id", "i").join(arrays, "i").select("id", "z"))
     e = band_graph(own, radius).select("left_id", "right_id")
-    num = e.join(dealt.withColumnsRenamed({"id": "left_id", "z": "a"}), "left_id").join(dealt.withColumnsRenamed({"id": "right_id", "z": "b"}), ["right_id", "round"])
-    num = num.groupBy("round").agg(F.sum(C("a") * C("b")).alias("num"))
-    seen = num.agg(F.max(F.when(C("round") == 0, C("num"))).alias("own"), F.collect_list(F.when(C("round") > 0, C("num"))).alias("others"))
+    both = e.join(arrays.select(C("id").alias("left_id"), C("z").alias("a")), "left_id").join(arrays.select(C("id").alias("right_id"), C("z").alias("b")), "right_id")
+    num = both.select(F.posexplode(F.zip_with("a", "b", lambda a, b: a * b)).alias("j", "ab")).groupBy("j").agg(F.sum("ab").alias("num"))
+    seen = num.agg(F.max(F.when(C("j") == 0, C("num"))).alias("own"), F.collect_list(F.when(C("j") > 0, C("num"))).alias("others"))  # one value a round
     return moran(points, v, radius).crossJoin(seen).select("i", "expected", "n", ((F.size(F.filter("others", lambda x: x >= C("own"))) + 1) / F.lit(rounds + 1)).alias("p"))
 
 
+def slope_permuted(df: DataFrame, x: str, y: str, group: str, key: str, rounds: int = 5000, seed: int = 42) -> DataFrame:
+    """(difference, p): difference of the slopes of y on x between rows with ``group`` and others, with a permutation p, both-sided.
+
+    In each round as many rows as are in the group are drawn anew, by a keyed permutation of the row numbers. The rounds of a
+    row are made and summed in its task; only sums by round are shuffled.
+    """
+    own = checkpointed(numbered(df.select(key, x, y, group), [key], "_i").withColumn("_i", C("_i") - 1))
+    one = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(group).alias("m")).first()
+    rows = own.select(C(x).alias("x"), C(y).alias("y"), C(group).alias("g"), "_i", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("j"))
+    rows = rows.withColumn("g", F.when(C("j") == 0, C("g")).otherwise(place(C("_i"), one["n"], C("j") + seed * 100_003) < one["m"]))
+    pick = lambda yes: F.regr_slope(F.when(C("g") == yes, C("y")), F.when(C("g") == yes, C("x")))
+    d = rows.groupBy("j").agg((pick(True) - pick(False)).alias("d"))  # one row a round
+    first = d.filter("j = 0").select(C("d").alias("difference"))
+    out = d.filter("j > 0").crossJoin(F.broadcast(first)).groupBy("difference").agg(F.count_if(F.abs("d") >= F.abs("difference") - 1e-12).alias("c"))
+    return out.select("difference", ((1 + C("c")) / F.lit(float(rounds + 1))).alias("p"))
+
+
 def fdr(df: DataFrame, p: str, order: str) -> DataFrame:
     """Benjamini-Hochberg: q of each row; null p gives null q."""
     known = df.filter(C(p).isNotNull())
@@ -222,17 +229,16 @@ def icc(df: DataFrame, group: str, v: str) -> DataFrame:
 
 
 def bootstrap_ratio(df: DataFrame, cluster: str, num: str, den: str, rounds: int = 2000) -> DataFrame:
-    """Interval of a pooled ratio when whole clusters are drawn anew, as many as there are, with replacement.
+    """Interval of a pooled ratio when whole clusters are drawn anew, with replacement.
 
-    Clusters are summed and numbered first. Draw i of round r is cluster
-    hash(i, r) mod n, by an arithmetic hash, so that runs and engines agree.
+    Clusters are summed and numbered first. How often a cluster is in a round is a Poisson count with mean 1, by a hash of
+    its number and the round: what drawing as many clusters as there are comes to, without drawing across clusters. So
+    a cluster's rounds are made and summed in its task, and only sums by round are shuffled.
     """
     own = df.groupBy(cluster).agg(F.sum(num).alias("a"), F.sum(den).alias("b"))
-    own = checkpointed(numbered(own, [cluster]).select((C("i") - 1).alias("i"), "a", "b"))
-    n = own.count()
-    draws = own.select("i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    pick = ((C("i") * (7919 + 2 * C("round")) + C("round") * 104_729) % 1_000_003) % max(1, n)
-    times = draws.groupBy("round", pick.alias("i")).agg(F.count(F.lit(1)).alias("w"))
-    per = times.join(own, "i").groupBy("round").agg(F.try_divide(F.sum(C("w") * C("a")), F.sum(C("w") * C("b"))).alias("ratio"))
+    own = checkpointed(numbered(own, [cluster]).select("i", "a", "b"))
+    draws = own.select("a", "b", "i", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    draws = draws.select("a", "b", "round", poisson(mixed(C("i"), C("round")) / F.lit(float(MODULUS))).alias("w"))
+    per = draws.groupBy("round").agg(F.try_divide(F.sum(C("w") * C("a")), F.sum(C("w") * C("b"))).alias("ratio"))
     q = F.percentile("ratio", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))  # one value a round
     return per.agg(q.alias("q")).select(*(F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("low", "mid", "high"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdance.operators import stats
+from verdance.operators.deals import MODULUS, mixed_sql, place_sql, poisson_sql
 from verdance.operators.ordering import quantiles
 from verdance.plans.registry import PX, SPOTS, Registry, pixels, read, rounded, spots
 
@@ -155,20 +156,20 @@ def st_moran_within(spark, sf):
     return out.select(F.round("i", 6).alias("i"), F.round("expected", 9).alias("expected"), "n")
 
 
-#: Moves i -> (a * i + b) mod n of each round, as ``stats.affine_moves`` has them.
-MOVES = """mv AS (SELECT 0::BIGINT AS j, 1::BIGINT AS a, 0::BIGINT AS b, n FROM (SELECT count(*) AS n FROM cu) UNION ALL
-  SELECT j + 1, list_extract(list_filter(list_transform(range(0, 400), lambda i: ((s - 1 + i) % n) + 1), lambda c: gcd(c, n) = 1), 1), (104729 * (j + 1) + 42) % n, n
-  FROM (SELECT j, n, CASE WHEN (a + 2 * (7919 * (j + 1) + 42)) % n = 0 THEN 1 ELSE (a + 2 * (7919 * (j + 1) + 42)) % n END AS s FROM mv WHERE j < 99))"""
+#: Numbers of rounds, and what a round's key adds to its number, as ``stats`` has them.
+MORAN_ROUNDS, KEY = 199, 42 * 100_003
 
 
 @R.add(
     "st_moran_permuted",
-    f"""WITH RECURSIVE {SPOTS}, {MOVES}, z AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, w - avg(w) OVER () AS z FROM cu),
+    f"""WITH RECURSIVE {SPOTS}, z AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i, w - avg(w) OVER () AS z FROM cu), o AS (SELECT count(*) AS n FROM z),
+    f AS (SELECT i, z, n, j, j + {KEY} AS key FROM z, o, range(1, {MORAN_ROUNDS + 1}) t(j)), {place_sql("f")},
+    d AS (SELECT j, x AS i, z FROM placed UNION ALL SELECT 0, i, z FROM z),
     e AS (SELECT a.id AS l, c.id AS r FROM cu a, cu c WHERE a.id <> c.id AND round(sqrt(pow(a.x - c.x, 2) + pow(a.y - c.y, 2)), 6) BETWEEN 1e-6 AND 25),
     p AS (SELECT l.i AS li, r.i AS ri FROM e JOIN z l ON l.id = e.l JOIN z r ON r.id = e.r),
-    s AS (SELECT j, sum(za.z * zb.z) AS num, count(*) AS s0 FROM p, mv JOIN z za ON za.i = (mv.a * li + mv.b) % mv.n JOIN z zb ON zb.i = (mv.a * ri + mv.b) % mv.n GROUP BY j),
-    o AS (SELECT num, s0 FROM s WHERE j = 0), t AS (SELECT var_pop(w) AS vp, count(*) AS n FROM cu)
-    SELECT round(num / (s0 * vp), 6) AS i, round(-1.0::DOUBLE / (n - 1), 6) AS expected, n, (1 + (SELECT count(*) FROM s, o WHERE j > 0 AND s.num >= o.num)) / 100.0::DOUBLE AS p FROM t LEFT JOIN o ON true""",
+    s AS (SELECT da.j, sum(da.z * db.z) AS num, count(*) AS s0 FROM p JOIN d da ON da.i = li JOIN d db ON db.i = ri AND db.j = da.j GROUP BY da.j),
+    q AS (SELECT num, s0 FROM s WHERE j = 0), t AS (SELECT var_pop(w) AS vp, count(*) AS n FROM cu)
+    SELECT round(num / (s0 * vp), 6) AS i, round(-1.0::DOUBLE / (n - 1), 6) AS expected, n, (1 + (SELECT count(*) FROM s, q WHERE j > 0 AND s.num >= q.num)) / {MORAN_ROUNDS + 1}.0::DOUBLE AS p FROM t LEFT JOIN q ON true""",
 )
 def st_moran_permuted(spark, sf):
     """Moran's I with permutation p (ST-17)."""
@@ -216,9 +217,10 @@ def st_icc(spark, sf):
 
 @R.add(
     "st_bootstrap",
-    f"""WITH {PX}, c AS (SELECT row_number() OVER (ORDER BY zone) - 1 AS i, sum(g) AS a, sum(r) AS b FROM px GROUP BY zone), n AS (SELECT count(*) AS n FROM c),
-    d AS (SELECT j, ((i * (7919 + 2 * j) + j * 104729) % 1000003) % n AS i FROM c, n, range(1, 2001) t(j)),
-    q AS (SELECT j, sum(a) / sum(b) AS ratio FROM d JOIN c USING (i) GROUP BY j)
+    f"""WITH {PX}, c AS (SELECT row_number() OVER (ORDER BY zone) AS i, sum(g) AS a, sum(r) AS b FROM px GROUP BY zone),
+    u AS (SELECT j, a, b, {mixed_sql("i", "j")} / {MODULUS}.0::DOUBLE AS u FROM c, range(1, 2001) t(j)),
+    d AS (SELECT j, a, b, {poisson_sql("u")} AS w FROM u),
+    q AS (SELECT j, sum(w * a) / sum(w * b) AS ratio FROM d GROUP BY j)
     SELECT round(quantile_cont(ratio, 0.025), 8) AS low, round(median(ratio), 8) AS mid, round(quantile_cont(ratio, 0.975), 8) AS high FROM q""",
 )
 def st_bootstrap(spark, sf):

@@ -9,7 +9,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from verdance.operators import regress
+from verdance.operators import regress, stats
+from verdance.operators.deals import mixed, mixed_sql, place_sql
 from verdance.plans.models import _px, irls_sql, tidy
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
 from verdance.plans.statistics import f_sql, t_sql
@@ -20,13 +21,13 @@ C = F.col
 SEEDS = [42, 1, 7, 13, 99, 2024]
 FOLDS = 5
 SEEDED = f"""s(seed) AS (VALUES {", ".join(f"({s})" for s in SEEDS)}),
-p AS (SELECT seed, ((k * 7919 + seed * 104729) % 1000003) % {FOLDS} AS fold, k, n, r, g, b, v FROM px, s)"""
+p AS (SELECT seed, {mixed_sql("k", "seed")} % {FOLDS} AS fold, k, n, r, g, b, v FROM px, s)"""
 
 
 def seeded(df):
     """``df`` once a seed, with its fold and a group number seed * FOLDS + fold."""
     own = df.withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("at"), F.lit(s).cast("long").alias("seed")) for i, s in enumerate(SEEDS)))))
-    fold = ((C("k") * 7919 + C("s.seed") * 104_729) % 1_000_003) % FOLDS
+    fold = mixed(C("k"), C("s.seed")) % FOLDS
     return own.withColumn("fold", fold.cast("int")).withColumn("group", (C("s.at") * FOLDS + C("fold")).cast("int"))
 
 
@@ -187,31 +188,24 @@ def st_glm(spark, sf):
     return spark.createDataFrame(rows, "family string, slope double, se double, t double, p double, dispersion double, deviance double")
 
 
-ROUNDS = 99
+SLOPE_ROUNDS = 5000
 
 
 @R.add(
     "st_slope_permuted",
-    f"""WITH c AS (SELECT c_custkey AS k, CAST((c_custkey * 37) % 1000 AS DOUBLE) AS x, c_acctbal AS y, c_mktsegment = 'BUILDING' AS a FROM customer),
-    s AS (SELECT count(*) AS n, count(*) FILTER (WHERE a) AS na FROM c), r AS (SELECT j, 2 * j + 1 AS m FROM range(0, {ROUNDS + 1}) t(j)),
-    l AS (SELECT j, x, y, CASE WHEN j = 0 THEN a ELSE ((k * (7919 + 2 * j) + j * 104729) % 1000003) / 1000003.0 < na / n END AS a FROM c, s, r),
-    d AS (SELECT j, regr_slope(y, x) FILTER (WHERE a) - regr_slope(y, x) FILTER (WHERE NOT a) AS d FROM l GROUP BY j)
+    f"""WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i, CAST((c_custkey * 37) % 1000 AS DOUBLE) AS x_, c_acctbal AS y_, c_mktsegment = 'BUILDING' AS g FROM customer),
+    s AS (SELECT count(*) AS n, count(*) FILTER (WHERE g) AS m FROM c), f AS (SELECT i, x_, y_, n, m, j, j + {42 * 100_003} AS key FROM c, s, range(1, {SLOPE_ROUNDS + 1}) t(j)), {place_sql("f")},
+    l AS (SELECT j, x_, y_, x < m AS g FROM placed UNION ALL SELECT 0, x_, y_, g FROM c),
+    d AS (SELECT j, regr_slope(y_, x_) FILTER (WHERE g) - regr_slope(y_, x_) FILTER (WHERE NOT g) AS d FROM l GROUP BY j)
     SELECT round((SELECT d FROM d WHERE j = 0), 6) AS difference,
-    (1 + count(*) FILTER (WHERE abs(d) >= abs((SELECT d FROM d WHERE j = 0)) - 1e-12)) / {ROUNDS + 1}.0::DOUBLE AS p FROM d WHERE j > 0""",
+    (1 + count(*) FILTER (WHERE abs(d) >= abs((SELECT d FROM d WHERE j = 0)) - 1e-12)) / {SLOPE_ROUNDS + 1}.0::DOUBLE AS p FROM d WHERE j > 0""",
 )
 def st_slope_permuted(spark, sf):
-    """Difference of two groups' slopes with a permutation p: membership is dealt anew by a keyed hash in each round (ST-32)."""
+    """Difference of two groups' slopes with a permutation p of 5,000 rounds: membership is dealt anew by a keyed permutation (ST-32)."""
     k = C("c_custkey")
     c = read(spark, sf, "customer").select(k.alias("k"), ((k * 37) % 1000).cast("double").alias("x"), C("c_acctbal").alias("y"), (C("c_mktsegment") == "BUILDING").alias("a"))
-    share = c.agg(F.avg(C("a").cast("double"))).first()[0]
-    rows = c.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS))))
-    dealt = ((C("k") * (7919 + 2 * C("j")) + C("j") * 104_729) % 1_000_003) / F.lit(1_000_003.0) < share
-    rows = rows.withColumn("a", F.when(C("j") == 0, C("a")).otherwise(dealt))
-    pick = lambda yes: F.regr_slope(F.when(C("a") == yes, C("y")), F.when(C("a") == yes, C("x")))
-    d = rows.groupBy("j").agg((pick(True) - pick(False)).alias("d"))  # one row a round
-    seen = d.filter("j = 0").select(C("d").alias("own"))
-    out = d.filter("j > 0").crossJoin(F.broadcast(seen)).groupBy("own").agg(F.count_if(F.abs("d") >= F.abs("own") - 1e-12).alias("c"))
-    return out.select(F.round("own", 6).alias("difference"), ((1 + C("c")) / F.lit(float(ROUNDS + 1))).alias("p"))
+    out = stats.slope_permuted(c, "x", "y", "a", "k", SLOPE_ROUNDS)
+    return out.select(F.round("difference", 6).alias("difference"), "p")
 
 
 KS = (3, 5, 7, 9, 11, 15, 20, 25)
