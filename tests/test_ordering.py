@@ -104,3 +104,30 @@ def test_neighbours_in_blocks(spark):
         for i in range(150):
             order = sorted((float(((z[i] - z[j]) ** 2).sum()), j) for j in range(150) if j != i and (apart is None or j % 3 != i % 3))
             assert got[i] == pytest.approx(np.mean([j % 11 for _, j in order[:4]]))
+
+
+@pytest.mark.parametrize("least", [0, 10**9])
+def test_kendall_with_ties_in_groups_of_any_size(spark, least):
+    rnd = np.random.default_rng(2)
+    rows = [(g, float(x), float(y)) for g, n in ((0, 1), (1, 2), (2, 300), (3, 60)) for x, y in zip(rnd.integers(0, 40, n) // (1 + 39 * (rnd.random(n) < 0.4)), rnd.integers(0, 25, n), strict=True)]
+    df = spark.createDataFrame([*rows, (2, None, 1.0), (4, 1.0, None)], "g int, x double, y double")
+    want = {}
+    for g in (1, 2, 3):
+        own = [(x, y) for h, x, y in rows if h == g]
+        pairs = [(np.sign(a[0] - b[0]) * np.sign(a[1] - b[1])) for i, a in enumerate(own) for b in own[:i]]
+        want[g] = (len(pairs), pytest.approx(float(np.mean(pairs))))
+    got = {r["g"]: (r["pairs"], r["tau"]) for r in stats.kendall(df, "x", "y", "x", ("g",), ranges=9, least=least).collect()}
+    assert got == want
+    one = stats.kendall(df.filter("g = 2"), "x", "y", "x", ranges=9, least=least).collect()
+    assert [(r["pairs"], r["tau"]) for r in one] == [want[2]]
+
+
+def test_quantiles_of_many_ranks_at_once(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    values = np.concatenate([rnd.normal(size=3000), np.zeros(2000), [5.0] * 700])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+    at = (0.0, 0.01, 0.3, 0.5, 0.5001, 0.9, 0.99, 1.0)
+    for fetched in (50_000, 40):
+        monkeypatch.setattr(ordering, "FETCHED", fetched)
+        assert ordering.quantiles(df, "v", at) == pytest.approx([float(np.quantile(values, p)) for p in at])
+    assert ordering.quantiles(df.limit(0), "v", (0.5,)) == [None]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,31 +31,51 @@ def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
 def quantiles(df: DataFrame, v: str | Column, at: tuple[float, ...]) -> list[float | None]:
     """Exact percentiles with linear interpolation; None where there are no values.
 
-    Each is an order statistic or lies between two. A mergeable summary brackets
-    their values, counts place the bracket, and brackets shrink by that until few
-    values are left to be fetched (a value that repeats closes its bracket).
+    Each is an order statistic or lies between two. The values are written once. One mergeable summary brackets all order
+    statistics, one pass counts below and inside of all brackets, and one fetches what lies in them; brackets
+    that hold too many values shrink by another summary first (a value that repeats closes its bracket).
     """
-    own = df.select((F.col(v) if isinstance(v, str) else v).cast("double").alias("v")).filter("v is not null")
-    n = own.count()
+    own = checkpointed(df.select((F.col(v) if isinstance(v, str) else v).cast("double").alias("v")).filter("v is not null"))
+    shares = sorted({min(1.0, max(0.0, p + d)) for p in at for d in (-SLACK, SLACK)})
+    first = own.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), F.percentile_approx("v", F.array(*map(F.lit, shares)), 10_000).alias("q")).first()
+    n = first["n"]
     if not n:
         return [None for _ in at]
     found: dict[int, float] = {}
-    for rank in sorted({r for p in at for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))}):
-        low, high, below, inside = -math.inf, math.inf, 0, n
-        while rank not in found:
-            part = own.filter(F.col("v").between(low, high)) if inside < n else own
-            if inside <= FETCHED:
-                found |= dict(enumerate(sorted(r["v"] for r in part.collect()), below))
-                break
-            share = (rank - below) / inside
-            ends = part.agg(F.percentile_approx("v", F.array(F.lit(max(0.0, share - SLACK)), F.lit(min(1.0, share + SLACK))), 10_000).alias("q"), F.min("v"), F.max("v")).first()
-            low, high = (ends[1] if share <= SLACK else ends["q"][0]), (ends[2] if share >= 1 - SLACK else ends["q"][1])
-            count = own.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
-            if not count[0] <= rank < count[0] + count[1]:  # the summary was off by more than it states
-                low, high, count = (-math.inf, low, (0, count[0])) if rank < count[0] else (high, math.inf, (count[0] + count[1], n - count[0] - count[1]))
-            below, inside = count[0], count[1]
-            if low == high:
-                found |= {r: low for r in range(below, below + min(inside, FETCHED))} | {rank: low}
+    bracket: dict[int, tuple[float, float]] = {}
+    for p in at:
+        low, high = (first["q"][shares.index(min(1.0, max(0.0, p + d)))] for d in (-SLACK, SLACK))
+        for rank in {math.floor(p * (n - 1)), math.ceil(p * (n - 1))}:
+            # Ranks of two percentiles may be the same; either bracket serves.
+            bracket[rank] = (first["low"] if p <= SLACK else low, first["high"] if p >= 1 - SLACK else high) if n > FETCHED else (first["low"], first["high"])
+    while bracket:
+        inside = lambda ends: F.col("v").between(*ends)
+        counts = own.agg(*(F.count_if(c) for low, high in bracket.values() for c in (F.col("v") < low, inside((low, high))))).first()
+        ready, wide = {}, {}
+        for i, (rank, (low, high)) in enumerate(bracket.items()):
+            below, held = counts[2 * i], counts[2 * i + 1]
+            if not below <= rank < below + held:  # the summary was off by more than it states
+                wide[rank] = (-math.inf, low, 0.0) if rank < below else (high, math.inf, 0.0)
+            elif low == high:
+                found[rank] = low
+            elif held <= FETCHED:
+                ready[rank] = (low, high, below)
+            else:
+                wide[rank] = (low, high, (rank - below) / held)
+        if ready:
+            any_of = F.lit(False)
+            for low, high, _ in ready.values():
+                any_of = any_of | inside((low, high))
+            values = sorted(r["v"] for r in own.filter(any_of).collect())
+            found |= {rank: values[bisect_left(values, low) + rank - below] for rank, (low, _, below) in ready.items()}
+        bracket = {}
+        if wide:
+            part = lambda low, high, s: F.percentile_approx(F.when(inside((low, high)), F.col("v")), F.array(F.lit(max(0.0, s - SLACK)), F.lit(min(1.0, s + SLACK))), 10_000)
+            ends = own.agg(*(x for low, high, s in wide.values() for x in (part(low, high, s), F.min(F.when(inside((low, high)), F.col("v"))), F.max(F.when(inside((low, high)), F.col("v")))))).first()
+            for i, (rank, (_, _, s)) in enumerate(wide.items()):
+                q, least, most = ends[3 * i : 3 * i + 3]
+                off = wide[rank][0] == -math.inf or wide[rank][1] == math.inf
+                bracket[rank] = (least, most) if off else (least if s <= SLACK else q[0], most if s >= 1 - SLACK else q[1])
     out: list[float | None] = []
     for p in at:
         k = p * (n - 1)

@@ -7,6 +7,8 @@ freedom and p.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,63 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), ties: str
     return pearson(own, "_x", "_y", by).withColumnRenamed("r", "rho")
 
 
-def kendall(df: DataFrame, x: str, y: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, tau): concordant less discordant pairs over all pairs, for groups of few rows."""
-    a = df.select(*by, *(C(c).alias(f"_{c}1") for c in (x, y)), C(order).alias("_o1"))
-    b = df.select(*by, *(C(c).alias(f"_{c}2") for c in (x, y)), C(order).alias("_o2"))
-    p = a.join(b, list(by)) if by else a.crossJoin(b)
-    s = F.signum(C(f"_{x}1") - C(f"_{x}2")) * F.signum(C(f"_{y}1") - C(f"_{y}2"))
-    return p.filter("_o1 < _o2").groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), (F.sum(s) / F.count(F.lit(1))).alias("tau"))
+def inversions(a: np.ndarray) -> tuple[np.ndarray, int]:
+    """``a`` in order, and how many pairs were out of it; by halves that are merged."""
+    if len(a) <= 64:
+        return np.sort(a), int(np.triu(a[:, None] > a[None, :], 1).sum())
+    (low, i), (high, j) = inversions(a[: len(a) // 2]), inversions(a[len(a) // 2 :])
+    return np.sort(np.concatenate([low, high]), kind="stable"), i + j + int((len(low) - np.searchsorted(low, high, side="right")).sum())
+
+
+def sign_sum(x: np.ndarray, y: np.ndarray) -> int:
+    """Sum over all pairs of sign(dx) * sign(dy), in n log n."""
+    order = np.lexsort((y, x))
+    tied = lambda *c: sum(k * (k - 1) // 2 for k in np.unique(np.stack(c), axis=1, return_counts=True)[1].tolist())
+    m = len(x)
+    return m * (m - 1) // 2 - tied(x) - tied(y) + tied(x, y) - 2 * inversions(y[order])[1]
+
+
+def kendall(df: DataFrame, x: str, y: str, order: str, by: tuple[str, ...] = (), ranges: int = 64, least: int = 20_000) -> DataFrame:
+    """(by, pairs, tau): concordant less discordant pairs over all pairs, for groups of any size; ties count as neither.
+
+    A group of fewer than ``least`` rows is sorted and merged in a task. Of others x and y are cut into ranges, at values of a summary; such a value is a range of its own, so a value that
+    many rows share is never sorted. Pairs that differ in both ranges are counted from the table of (x range, y
+    range); those that share their x range, or their y range, are counted there by merging, less those that share both and so
+    were counted twice. What a task holds is a range, or one group's table. Rows without either value are left out; ``order`` is not needed for that.
+    """
+    keys = list(by)
+    own = df.select(*keys, dbl(x).alias("_x"), dbl(y).alias("_y")).filter("_x is not null and _y is not null")
+    cuts = F.array(*(F.lit(i / ranges) for i in range(1, ranges)))
+    ends = own.groupBy(*keys).agg(*(F.sort_array(F.array_distinct(F.when(F.count(F.lit(1)) >= least, F.percentile_approx(c, cuts, 1000)).otherwise(F.array().cast("array<double>")))).alias(f"{c}_cuts") for c in ("_x", "_y")), F.count(F.lit(1)).alias("_n"))
+    joined = own.join(ends, keys) if keys else own.crossJoin(F.broadcast(ends))  # one row
+    # Twice the cuts below a value, and one more if it is a cut itself.
+    at = lambda c: F.size(F.filter(f"{c}_cuts", lambda e: e < C(c))) * 2 + F.array_contains(f"{c}_cuts", C(c)).cast("int")
+    placed = checkpointed(joined.select(*keys, "_x", "_y", at("_x").alias("_a"), at("_y").alias("_b"), (C("_n") >= least).alias("_big")))
+
+    def inner(group: list[str]) -> DataFrame:
+        open_range = F.lit(True) if group == ["_a"] else C("_big")
+        for c in group:
+            open_range = open_range & (C(c) % 2 == 0)
+        count = lambda pdf: pd.DataFrame({"s": [sign_sum(pdf["_x"].to_numpy(), pdf["_y"].to_numpy())]} | {k: [pdf[k].iloc[0]] for k in keys})
+        return placed.filter(open_range).groupBy(*keys, *group).applyInPandas(count, ", ".join(["s bigint", *(f"{k} {placed.schema[k].dataType.simpleString()}" for k in keys)])).select(*keys, "s")
+
+    def table(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((pdf["_a"].max() + 1, pdf["_b"].max() + 1), dtype=object if pdf["n"].sum() > 2**31 else np.int64)
+        grid[pdf["_a"], pdf["_b"]] = pdf["n"]
+        before = np.zeros((grid.shape[0] + 1, grid.shape[1] + 1), dtype=grid.dtype)
+        before[1:, 1:] = grid.cumsum(0).cumsum(1)
+        # For each cell: those below it in both, less those below in x and above in y.
+        less, above = before[:-1, :-1], before[:-1, -1:] - before[:-1, 1:]
+        return pd.DataFrame({"s": [int((grid * (less - above)).sum())]} | {k: [pdf[k].iloc[0]] for k in keys})
+
+    cells = placed.filter("_big").groupBy(*keys, "_a", "_b").agg(F.count(F.lit(1)).alias("n"))
+    kinds = "".join(f", {k} {placed.schema[k].dataType.simpleString()}" for k in keys)
+    far = cells.groupBy(*keys).applyInPandas(table, f"s bigint{kinds}").select(*keys, "s")
+    parts = far.unionByName(inner(["_a"])).unionByName(inner(["_b"])).unionByName(inner(["_a", "_b"]).withColumn("s", -C("s")))
+    n = F.count(F.lit(1))
+    every = placed.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("s"), F.floor(n * (n - 1) / 2).alias("pairs"))
+    both = parts.withColumn("pairs", F.lit(0).cast("bigint")).unionByName(every)
+    return both.groupBy(*keys).agg(F.sum("pairs").alias("pairs"), F.sum("s").alias("s")).filter("pairs > 0").select(*keys, "pairs", (C("s") / C("pairs")).alias("tau"))
 
 
 def paired_t(df: DataFrame, a: str, b: str, by: tuple[str, ...] = (), least: int = 3) -> DataFrame:
