@@ -135,8 +135,13 @@ def features(text: str | None, words: Words) -> list[float]:
 def signature(text: Column) -> Column:
     """The smallest hash of three words in a row (of all words, if fewer): near copies nearly always share it, other texts hardly ever."""
     words = F.array_remove(F.split(F.lower(text), SPACE), "")
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.xxhash64(F.array_join(F.slice(words, i, 3), " ")))
-    return F.when(F.size(words) < 3, F.xxhash64(F.array_join(words, " "))).otherwise(F.array_min(runs))
+
+    def smallest(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i), F.get(w, i + 1)))
+        return F.when(F.size(w) < 3, F.xxhash64(F.array_join(w, " "))).otherwise(F.array_min(runs))
+
+    # In an array of one, so that a text is cut into words once and not for each of its runs.
+    return F.get(F.transform(F.array(words), smallest), F.lit(0))
 
 
 def learn_lexicon(sample: DataFrame, most: int, least: int, odds: float) -> tuple[frozenset, frozenset]:
