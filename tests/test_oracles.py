@@ -8,9 +8,9 @@ import os
 import duckdb
 import pytest
 
-from verdance.plans import files, joins, layout, models, overlay, pixels, relief, series, statistics, validation
+from verdance.plans import files, joins, layout, models, mosaics, overlay, pixels, relief, series, statistics, validation
 
-PARTS = (pixels, joins, series, statistics, models, validation, layout, overlay, relief, files)
+PARTS = (pixels, joins, series, statistics, models, validation, layout, overlay, relief, mosaics, files)
 QUERIES = {n: q for p in PARTS for n, q in p.R.queries.items()}
 ORACLES = {n: s for p in PARTS for n, s in p.R.oracles.items()}
 

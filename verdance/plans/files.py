@@ -73,16 +73,26 @@ def src_flight_log(spark, sf):
     return readers.flight_log(e).select("event_id", micros("exact_time").alias("t"))
 
 
-@R.add("src_world_and_exif", "SELECT 0.05::DOUBLE AS xs, -0.05::DOUBLE AS ys, 640000.5::DOUBLE AS x, 3480000.25::DOUBLE AS y, round(31 + 45 / 60.0 + 1800000 / 1000000.0 / 3600, 9) AS lat, round(-(34 + 30 / 60.0), 9) AS lon")
+@R.add(
+    "src_world_and_exif",
+    """WITH w AS (SELECT n_nationkey AS nation, 0.05::DOUBLE + n_nationkey / 100 AS xs, -0.05::DOUBLE - n_nationkey / 100 AS ys, 640000.5::DOUBLE + n_nationkey AS x, 3480000.25::DOUBLE - n_nationkey AS y FROM nation)
+    SELECT c_custkey AS k, round(x + xs * (c_custkey % 1000), 6) AS x, round(y + ys * (c_custkey // 1000), 6) AS y,
+      round((c_custkey % 90 + (c_custkey % 60) / 60 + (c_custkey * 37 % 60000) / 1000.0::DOUBLE / 3600) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END, 9) AS lat FROM customer JOIN w ON nation = c_nationkey""",
+)
 def src_world_and_exif(spark, sf):
-    """World files and rational coordinates (SRC-15, SRC-19)."""
+    """World files, one a nation, that place the customers' pixels, and rational coordinates (SRC-15, SRC-19)."""
     from verdance.functions.geo import rational_to_degrees
 
-    to = scratch(spark)
-    spark.createDataFrame([("0.05\n0.0\n0.0\n-0.05\n640000.5\n3480000.25",)], "value string").coalesce(1).write.text(to)
-    part = lambda *v: F.array(*(F.struct(F.lit(n).alias("num"), F.lit(d).alias("den")) for n, d in v))
-    lat, lon = part((31, 1), (45, 1), (1_800_000, 1_000_000)), part((34, 1), (30, 1), (0, 1))
-    return readers.world_file(spark, to).select("xs", "ys", "x", "y", F.round(rational_to_degrees(lat, F.lit("N")), 9).alias("lat"), F.round(rational_to_degrees(lon, F.lit("W")), 9).alias("lon"))
+    to, n = scratch(spark), C("n_nationkey")
+    lines = (0.05 + n / 100, F.lit(0.0), F.lit(0.0), -0.05 - n / 100, 640000.5 + n, 3480000.25 - n)
+    files = read(spark, sf, "nation").select("n_nationkey", F.concat_ws("\n", *(c.cast("string") for c in lines)).alias("value"))
+    files.write.partitionBy("n_nationkey").text(to)
+    world = readers.world_file(spark, f"{to}/*/*.txt").select(F.regexp_extract("file", "n_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "xs", "ys", "x", "y")
+    k = C("c_custkey")
+    frac = lambda num, den: F.struct(num.alias("num"), F.lit(den).alias("den"))
+    lat = rational_to_degrees(F.array(frac(k % 90, 1), frac(k % 60, 1), frac(k * 37 % 60_000, 1000)), F.when(k % 2 == 0, "N").otherwise("S"))
+    own = read(spark, sf, "customer").join(F.broadcast(world), C("c_nationkey") == C("nation"))  # one row a nation
+    return own.select(k.alias("k"), F.round(C("x") + C("xs") * (k % 1000), 6).alias("x"), F.round(C("y") + C("ys") * F.floor(k / 1000), 6).alias("y"), F.round(lat, 9).alias("lat"))
 
 
 @R.add("snk_upsert", "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'new' ELSE 'old' END AS stage, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal * 2 ELSE s_acctbal END AS v FROM supplier")

@@ -55,11 +55,11 @@ def joi_proposals(spark, sf):
     return match.proposals(cu, su, 60.0)
 
 
-@R.add("joi_last_writer", f"""WITH {SPOTS}, {PAIRS}, b AS (SELECT left_id, min(struct_pack(d := d, right_id := right_id)) AS m FROM pr GROUP BY left_id), k AS (SELECT b.left_id, m.right_id AS right_id FROM b JOIN cu ON b.left_id = cu.id JOIN su ON m.right_id = su.id WHERE cu.nation % 5 = su.nation % 5) SELECT right_id, max(left_id) AS left_id FROM k GROUP BY right_id""")
+@R.add("joi_last_writer", f"""WITH {SPOTS}, b AS (SELECT cu.id AS left_id, min(struct_pack(d := round(sqrt(pow(cu.x - su.x, 2) + pow(cu.y - su.y, 2)), 6), right_id := su.id)) AS m FROM cu, su GROUP BY cu.id), k AS (SELECT b.left_id, m.right_id AS right_id FROM b JOIN cu ON b.left_id = cu.id JOIN su ON m.right_id = su.id WHERE cu.nation % 5 = su.nation % 5) SELECT right_id, max(left_id) AS left_id FROM k GROUP BY right_id""")
 def joi_last_writer(spark, sf):
-    """Nearest with an attribute check; the last row wins (JOI-9, JOI-16)."""
+    """Nearest at any distance with an attribute check; the last row wins (JOI-9, JOI-16)."""
     cu, su = spots(spark, sf)
-    k = match.nearest(cu, su, 60.0).join(cu.select(C("id").alias("left_id"), C("nation").alias("a")), "left_id").join(su.select(C("id").alias("right_id"), C("nation").alias("b")), "right_id")
+    k = match.closest(cu, su).join(cu.select(C("id").alias("left_id"), C("nation").alias("a")), "left_id").join(su.select(C("id").alias("right_id"), C("nation").alias("b")), "right_id")
     return k.filter("a % 5 = b % 5").groupBy("right_id").agg(F.max("left_id").alias("left_id"))
 
 

@@ -310,8 +310,8 @@ def dt_soft(spark, sf):
     return rounded(detect.soft_scores(px, "p", "t", ("flag",)))
 
 
-@R.add("dt_losses", "WITH g AS (SELECT i / 20.0::DOUBLE AS p FROM range(1, 20) t(i)) SELECT p, round(-ln(greatest(1e-7, least(1 - 1e-7, p))), 6) AS bce, round(1 - 2 * p / (p + 1 + 1e-7), 6) AS dice, round(1 - p / (p + 0.7 * (1 - p) + 1e-7), 6) AS tversky, round(pow(1 - p / (p + 0.7 * (1 - p) + 1e-7), 0.75), 6) AS focal_tversky FROM g")
+@R.add("dt_losses", f"WITH {PX}, g AS (SELECT r / 50 AS p, count(*) AS n FROM px GROUP BY 1) SELECT p, n, round(-ln(greatest(1e-7, least(1 - 1e-7, p))), 6) AS bce, round(1 - 2 * p / (p + 1 + 1e-7), 6) AS dice, round(1 - p / (p + 0.7 * (1 - p) + 1e-7), 6) AS tversky, round(pow(1 - p / (p + 0.7 * (1 - p) + 1e-7), 0.75), 6) AS focal_tversky FROM g")
 def dt_losses(spark, sf):
-    """Loss curves over a grid (DT-7)."""
-    p = spark.range(1, 20).select((C("id") / 20.0).alias("p"))
-    return p.select("p", *(F.round(c, 6).alias(n) for n, c in detect.loss_curves(C("p")).items()))
+    """Loss curves over the pixels' probabilities, with the pixels at each (DT-7)."""
+    p = pixels(spark, sf).groupBy((C("r") / 50).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    return p.select("p", "n", *(F.round(c, 6).alias(n) for n, c in detect.loss_curves(C("p")).items()))

@@ -180,10 +180,11 @@ def set_operations(spark, sf):
     return out
 
 
-@R.add("set_permutations", "WITH RECURSIVE p AS (SELECT []::BIGINT[] AS perm UNION ALL SELECT list_append(perm, i) FROM p, range(4) t(i) WHERE len(perm) < 4 AND NOT list_contains(perm, i)) SELECT array_to_string(perm, ',') AS perm FROM p WHERE len(perm) = 4")
+@R.add("set_permutations", "WITH RECURSIVE n AS (SELECT count(*) AS n FROM region), p AS (SELECT []::BIGINT[] AS perm UNION ALL SELECT list_append(perm, r_regionkey) FROM p, region, n WHERE len(perm) < n AND NOT list_contains(perm, r_regionkey)) SELECT array_to_string(perm, ',') AS perm FROM p, n WHERE len(perm) = n")
 def set_permutations(spark, sf):
-    """All orders of four labels (SET-6)."""
+    """All orders of the regions (SET-6)."""
+    r = F.broadcast(read(spark, sf, "region").select("r_regionkey"))  # five rows
     out = spark.createDataFrame([([],)], "p array<bigint>")
-    for _ in range(4):
-        out = out.join(spark.range(4), ~F.array_contains("p", C("id"))).select(F.array_append("p", C("id")).alias("p"))
+    for _ in range(r.count()):
+        out = out.join(r, ~F.array_contains("p", C("r_regionkey"))).select(F.array_append("p", C("r_regionkey")).alias("p"))
     return out.select(F.array_join(C("p").cast("array<string>"), ",").alias("perm"))
