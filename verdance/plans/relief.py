@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdance.operators import layout, relief
+from verdance.operators import layout, outline, relief
 from verdance.plans.registry import Registry, read
 from verdance.session import checkpointed
 
@@ -109,3 +109,56 @@ def flt_solidity(spark, sf):
     own = cu.join(width).filter("c_acctbal > 4500").select(F.floor(C("i") / C("w")).cast("bigint").alias("row"), (C("i") % C("w")).alias("col"))
     labels = checkpointed(layout.labelled(own))
     return relief.solid(labels, 3.0, 0.2, 0.7).select(C("label").alias("id"), "area", F.round("solidity", 6).alias("solidity"))
+
+
+def objects(spark, sf):
+    """Connected objects of an image of all customers; a pixel of one has a balance above 4500."""
+    cu = read(spark, sf, "customer").select(C("c_custkey").alias("i"), "c_acctbal")
+    width = F.broadcast(cu.agg(F.ceil(F.sqrt(F.max("i") + 1)).cast("bigint").alias("w")))
+    own = cu.join(width).filter("c_acctbal > 4500").select(F.floor(C("i") / C("w")).cast("bigint").alias("row"), (C("i") % C("w")).alias("col"))
+    return checkpointed(layout.labelled(own))
+
+
+def _edges_sql() -> str:
+    """Edges of the objects' outlines, by side, each with what follows it."""
+    has = lambda i, j: f"bool_or(b.r = a.r + {i} AND b.c = a.c + {j}) AS h{i + 1}{j + 1}"
+    around = ", ".join(has(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+    ident = lambda i, j, side: f"((r + {i}) * 4294967296 + c + {j}) * 4 + {side}"
+    parts = []
+    for side in range(4):
+        (br, bc), (ar, ac), (sr, sc) = outline.BEYOND[side], outline.AHEAD[side], outline.START[side]
+        ahead, corner = f"h{ar + 1}{ac + 1}", f"h{ar + br + 1}{ac + bc + 1}"
+        follows = f"CASE WHEN NOT {ahead} THEN {ident(0, 0, (side + 1) % 4)} WHEN NOT {corner} THEN {ident(ar, ac, side)} ELSE {ident(ar + br, ac + bc, (side + 3) % 4)} END"
+        parts.append(f"SELECT label, {ident(0, 0, side)} AS id, {follows} AS next, c + {sc} AS x, r + {sr} AS y, {side} AS side FROM n WHERE NOT h{br + 1}{bc + 1}")
+    return f"n AS (SELECT a.r, a.c, a.label, {around} FROM l a JOIN l b ON b.label = a.label AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY ALL), g AS ({' UNION ALL '.join(parts)})"
+
+
+OBJECTS = """s AS (SELECT CAST(ceil(sqrt(max(c_custkey) + 1)) AS BIGINT) AS w FROM customer),
+    k AS (SELECT c_custkey // s.w AS r, c_custkey % s.w AS c, (c_custkey // s.w) * 4294967296 + c_custkey % s.w AS id FROM customer, s WHERE c_acctbal > 4500),
+    e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON (b.r = a.r AND abs(a.c - b.c) = 1) OR (b.c = a.c AND abs(a.r - b.r) = 1)),
+    w AS (SELECT id, id AS label FROM k UNION SELECT e.b, w.label FROM w JOIN e ON e.a = w.id WHERE w.label < e.b),
+    l AS (SELECT k.r, k.c, min(w.label) AS label FROM w JOIN k USING (id) GROUP BY ALL)"""
+
+
+@R.add(
+    "up_outlines",
+    f"""WITH RECURSIVE {OBJECTS}, {_edges_sql()}, q AS (SELECT id, id AS ring FROM g UNION SELECT g.next, q.ring FROM q JOIN g ON g.id = q.id WHERE q.ring < g.next),
+    o AS (SELECT id, min(ring) AS ring FROM q GROUP BY id)
+    SELECT g.label, o.ring, count(*) AS length, count(*) FILTER (WHERE g.side <> f.side) AS corners, CAST(sum(g.x * f.y - f.x * g.y) / 2 AS DOUBLE) AS area
+    FROM g JOIN o ON o.id = g.id JOIN g f ON f.id = g.next GROUP BY ALL""",
+)
+def up_outlines(spark, sf):
+    """Length, corners and signed area of the rings around objects and their holes (UP-16, SNK-6)."""
+    rings = checkpointed(outline.outlines(objects(spark, sf)))
+    sizes = rings.groupBy("label", "ring").agg(F.max("length").alias("length"))
+    return sizes.join(outline.ring_areas(rings), "ring").select("label", "ring", "length", "corners", "area")
+
+
+@R.add("up_polygons")
+def up_polygons(spark, sf):
+    """Outer rings as polygons that leave out corners within 1 % of the ring's length: one text an object, as in a polygon file (UP-16, SNK-6)."""
+    rings = checkpointed(outline.outlines(objects(spark, sf)))
+    outer = rings.join(outline.ring_areas(rings).filter("area > 0").select("ring"), "ring")
+    own = outline.simplified(outer).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda p: F.concat(p["x"].cast("bigint").cast("string"), F.lit(" "), p["y"].cast("bigint").cast("string"))), ", ")
+    return own.select("label", F.size("p").alias("corners"), text.alias("polygon"))
