@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.operators.relief import pixel_id
-from verdance.session import checkpointed
+from verdance.session import checkpointed, written
 
 C = F.col
 #: Sides in the order of the ring: top (to the east), right (south), bottom (west), left (north). Of each: the pixel beyond it, the
@@ -21,6 +21,8 @@ C = F.col
 BEYOND = ((-1, 0), (0, 1), (1, 0), (0, -1))
 AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
 START = ((0, 0), (0, 1), (1, 1), (1, 0))
+#: Doublings between two checkpoints.
+STRIDE = 2
 
 
 def edge_id(row: Column, col: Column, side: int) -> Column:
@@ -52,10 +54,13 @@ def outline_edges(pixels: DataFrame) -> DataFrame:
 
 def ring_names(edges: DataFrame) -> DataFrame:
     """(id, ring): the smallest id of each edge's ring. Windows along the ring double until all of them hold it."""
-    now = checkpointed(edges.select("id", C("next").alias("to"), F.least("id", "next").alias("ring")))
+    now = written(edges.select("id", C("next").alias("to"), F.least("id", "next").alias("ring")))
     while True:
-        ahead = now.select(C("id").alias("to"), C("to").alias("_to"), C("ring").alias("_ring"))
-        step = checkpointed(now.join(ahead, "to").select("id", C("_to").alias("to"), F.least("ring", "_ring").alias("ring"), (C("ring") != C("_ring")).alias("_new")))
+        step = now
+        for _ in range(STRIDE):
+            ahead = step.select(C("id").alias("to"), C("to").alias("_to"), C("ring").alias("_ring"))
+            step = step.join(ahead, "to").select("id", C("_to").alias("to"), F.least("ring", "_ring").alias("ring"), (C("ring") != C("_ring")).alias("_new"))
+        step = written(step)
         now = step.select("id", "to", "ring")
         if step.filter("_new").isEmpty():
             return now.select("id", "ring")
@@ -65,10 +70,13 @@ def ring_places(edges: DataFrame) -> DataFrame:
     """(id, ring, left): how many edges of its ring come behind each edge, the ring's first being its smallest id; steps to the last one double."""
     named = checkpointed(edges.select("id", "next").join(ring_names(edges), "id"))
     last = C("next") == C("ring")
-    now = checkpointed(named.select("id", "ring", F.when(last, C("id")).otherwise(C("next")).alias("to"), F.when(last, 0).otherwise(1).cast("bigint").alias("left")))
+    now = written(named.select("id", "ring", F.when(last, C("id")).otherwise(C("next")).alias("to"), F.when(last, 0).otherwise(1).cast("bigint").alias("left")))
     while True:
-        ahead = now.select(C("id").alias("to"), C("to").alias("_to"), C("left").alias("_left"))
-        step = checkpointed(now.join(ahead, "to").select("id", "ring", C("_to").alias("to"), (C("left") + C("_left")).alias("left"), (C("to") != C("_to")).alias("_moved")))
+        step = now
+        for _ in range(STRIDE):
+            ahead = step.select(C("id").alias("to"), C("to").alias("_to"), C("left").alias("_left"))
+            step = step.join(ahead, "to").select("id", "ring", C("_to").alias("to"), (C("left") + C("_left")).alias("left"), (C("to") != C("_to")).alias("_moved"))
+        step = written(step)
         now = step.select("id", "ring", "to", "left")
         if step.filter("_moved").isEmpty():
             return now.select("id", "ring", "left")
@@ -106,7 +114,7 @@ def simplified(corners: DataFrame, share: float = 0.01) -> DataFrame:
     start = own.withColumn("_s", F.first(point).over(every))
     far = F.pow(C("x") - C("_s.x"), 2) + F.pow(C("y") - C("_s.y"), 2)
     start = start.withColumn("_f", F.max(F.struct(F.round(far, 9).alias("d"), (-C("k")).alias("k"))).over(every))
-    now = checkpointed(start.select("label", "ring", "k", "x", "y", "_limit", ((C("k") == C("_s.k")) | (C("k") == -C("_f.k"))).alias("kept")))
+    now = written(start.select("label", "ring", "k", "x", "y", "_limit", ((C("k") == C("_s.k")) | (C("k") == -C("_f.k"))).alias("kept")))
     while True:
         a = F.last(F.when(C("kept"), point), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
         b = F.coalesce(F.first(F.when(C("kept"), point), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)), F.first(point).over(every))
@@ -117,7 +125,7 @@ def simplified(corners: DataFrame, share: float = 0.01) -> DataFrame:
         off = F.round(F.when(span > 0, F.abs(dx * py - dy * px) / span).otherwise(F.hypot(px, py)), 9)
         seen = seen.withColumn("_off", F.when(C("kept"), 0.0).otherwise(off))
         top = F.max(F.struct(C("_off").alias("d"), (-C("k")).alias("k"))).over(Window.partitionBy("ring", "_a.k"))
-        step = checkpointed(seen.select("label", "ring", "k", "x", "y", "_limit", "kept", (~C("kept") & (C("k") == -top["k"]) & (top["d"] > C("_limit"))).alias("_new")))
+        step = written(seen.select("label", "ring", "k", "x", "y", "_limit", "kept", (~C("kept") & (C("k") == -top["k"]) & (top["d"] > C("_limit"))).alias("_new")))
         if step.filter("_new").isEmpty():
             return step.filter("kept").select("label", "ring", "k", "x", "y")
         now = step.select("label", "ring", "k", "x", "y", "_limit", (C("kept") | C("_new")).alias("kept"))

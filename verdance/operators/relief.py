@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.operators.match import within
-from verdance.session import Appended, checkpointed
+from verdance.session import Appended, checkpointed, written
 
 C = F.col
 #: Rows and columns of a tile, at least; a tile is no smaller than its rim.
@@ -184,10 +184,10 @@ def peaks(relief: DataFrame, apart: int) -> DataFrame:
 
 def followed(moves: DataFrame) -> DataFrame:
     """(id, to) with ``to`` at the end of the chain that starts at ``id``; ends point at themselves. Pointers double."""
-    now = checkpointed(moves.select("id", "to"))
+    now = written(moves.select("id", "to"))
     while True:
         ahead = now.select(C("id").alias("to"), C("to").alias("_next"))
-        step = checkpointed(now.join(ahead, "to").select("id", C("_next").alias("to"), (C("_next") != C("to")).alias("_moved")))
+        step = written(now.join(ahead, "to").select("id", C("_next").alias("to"), (C("_next") != C("to")).alias("_moved")))
         now = step.select("id", "to")
         if step.filter("_moved").isEmpty():
             return now
@@ -228,7 +228,7 @@ def watershed(relief: DataFrame, marks: DataFrame) -> DataFrame:
         ends = group.select("of", "full").distinct()
         out = links.select(C("a").alias("of"), C("b").alias("to"), "rank").unionByName(links.select(C("b").alias("of"), C("a").alias("to"), "rank"))
         pick = out.join(ends.filter("not full").select("of"), "of").groupBy("of").agg(F.max(F.struct("rank", "to")).alias("m")).select("of", C("m.to").alias("to"))
-        pick = checkpointed(pick)
+        pick = written(pick)
         if pick.isEmpty():
             break
         # Two groups that pick each other share a link; the smaller stays.
@@ -237,9 +237,9 @@ def watershed(relief: DataFrame, marks: DataFrame) -> DataFrame:
         every = ends.select(C("of").alias("id")).join(moves, "id", "left").select("id", F.coalesce("to", "id").alias("to"))
         merged = followed(every).select(C("id").alias("of"), C("to").alias("_root"))
         full = ends.filter("full").select(C("of").alias("_root"), F.lit(True).alias("_full"))
-        group = checkpointed(group.join(merged, "of").join(full, "_root", "left").select("id", C("_root").alias("of"), F.coalesce("_full", F.lit(False)).alias("full")))
+        group = written(group.join(merged, "of").join(full, "_root", "left").select("id", C("_root").alias("of"), F.coalesce("_full", F.lit(False)).alias("full")))
         renamed = links.join(merged.select(C("of").alias("a"), C("_root").alias("_a")), "a").join(merged.select(C("of").alias("b"), C("_root").alias("_b")), "b").filter("_a != _b")
-        links = checkpointed(renamed.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.max("rank").alias("rank")))
+        links = written(renamed.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.max("rank").alias("rank")))
     reached = group.filter("full").select(C("id").alias("basin"), C("of").alias("label"))
     return placed.join(reached, "basin").select("row", "col", "label")
 

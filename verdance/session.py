@@ -55,6 +55,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: for loops, since a checkpoint keeps what is known of its columns, and that grows with each round."""
+    path = f"{checkpoint_dir(df.sparkSession)}/rounds-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Appended:
     """A table in the shared folder that rounds of a loop append to, so that no plan grows with their number."""
 
