@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdance.operators import ordering
 from verdance.session import Appended, checkpointed
 
 
@@ -114,16 +115,14 @@ def band_graph(points: DataFrame, radius: float) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, by: list[str], ts: str, keep: list[str]) -> DataFrame:
     """Each left row with the closest right row in time (the earlier on ties), without a range join.
 
-    Both sides are put on one time line; the last and next right rows are carried along.
+    Both sides are put on one time line, dealt into ranges; the last and next right rows are carried along.
     """
     carried = F.struct(F.col(ts).alias("ts"), *(F.col(c) for c in keep))
     rows = left.withColumn("_r", F.lit(None).cast(right.select(carried.alias("c")).schema["c"].dataType)).withColumn("_side", F.lit(1))
     other = right.select(*by, ts, *(F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c not in (*by, ts)), carried.alias("_r"), F.lit(0).alias("_side"))
     both = rows.unionByName(other)
     # At one instant right rows come first, so that they count as earlier; order among them is by their values.
-    back = Window.partitionBy(*by).orderBy(ts, "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*by).orderBy(ts, "_side", "_r").rowsBetween(0, Window.unboundedFollowing)
-    both = both.withColumns({"_p": F.last("_r", ignorenulls=True).over(back), "_n": F.first("_r", ignorenulls=True).over(ahead)})
+    both = ordering.beside(both, by, [ts, "_side", "_r"], "_r")
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     gap_p, gap_n = micros(F.col(ts)) - micros(F.col("_p.ts")), micros(F.col("_n.ts")) - micros(F.col(ts))
     pick = F.when(gap_n.isNull() | (gap_p <= gap_n), F.col("_p")).otherwise(F.col("_n"))
@@ -143,8 +142,7 @@ def interpolated(left: DataFrame, right: DataFrame, by: list[str], ts: str, valu
     rows = left.select("*", F.lit(None).cast(kind).alias("_r"), F.lit(1).alias("_side"))
     other = own.select(*by, ts, *(F.lit(None).cast(t).alias(c) for c, t in left.dtypes if c not in (*by, ts)), kept.alias("_r"), F.lit(0).alias("_side"))
     both = rows.unionByName(other)
-    order = Window.partitionBy(*by).orderBy(ts, "_side")
-    both = both.withColumns({"_p": F.last("_r", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.first("_r", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    both = ordering.beside(both, by, [ts, "_side"], "_r")
     sec = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
     t, t0, t1 = sec(F.col(ts)), sec(F.col("_p.ts")), sec(F.col("_n.ts"))
     exact = t == t0

@@ -28,6 +28,28 @@ def numbered(df: DataFrame, order: list[str], name: str = "i") -> DataFrame:
     return ranged.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + here).cast("long")).drop("_start")
 
 
+def beside(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``df`` with ``_p`` and ``_n``: the last ``value`` in front of a row and the first behind it, in its group, nulls left out.
+
+    Rows are dealt into ranges of group and order, so a group of any size spreads over many tasks; what its other ranges
+    hold comes as one more row at either end of a range. Rows that tie in ``order`` stand in no set order, so their
+    values should be the same. Groups of null keys are groups; a group without values gives nulls.
+    """
+    ranged = checkpointed(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
+    place = F.when(F.col(value).isNotNull(), F.struct(*order))
+    ends = ranged.groupBy("_part", *by).agg(F.max_by(value, place).alias("_l"), F.min_by(value, place).alias("_f"))
+    # At most one row a range and group.
+    up, down = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("_part"), F.col("_part").desc()))
+    ends = ends.select("_part", *by, F.last("_l", True).over(up).alias("_before"), F.last("_f", True).over(down).alias("_after"))
+    edge = lambda c, rank: ends.filter(F.col(c).isNotNull()).select("_part", *by, F.col(c).alias(value), F.lit(rank).alias("_rank"))
+    rows = ranged.withColumn("_rank", F.lit(1)).unionByName(edge("_before", 0).unionByName(edge("_after", 2)), allowMissingColumns=True)
+    here = Window.partitionBy("_part", *by)
+    front = here.orderBy("_rank", *order).rowsBetween(Window.unboundedPreceding, -1)
+    back = here.orderBy(F.col("_rank").desc(), *(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_p": F.last(value, True).over(front), "_n": F.last(value, True).over(back)})
+    return rows.filter("_rank = 1").drop("_rank", "_part")
+
+
 def quantiles(df: DataFrame, v: str | Column, at: tuple[float, ...]) -> list[float | None]:
     """Exact percentiles with linear interpolation; None where there are no values.
 

@@ -6,7 +6,7 @@ from math import cos, pi, sin
 
 from pyspark.sql import functions as F
 
-from verdance.operators import layout, match
+from verdance.operators import calibrate, layout, match
 from verdance.operators.timeseries import gaussian_kernel
 from verdance.plans.pixels import UTM, utm
 from verdance.plans.registry import SPOTS, Registry, read, rounded, spots
@@ -189,6 +189,60 @@ def ts_clock_offset(spark, sf):
     return spark.createDataFrame([(None if o is None else round(o, 6), None if s is None else round(s, 6))], "offset double, score double")
 
 
+#: Flights of 500 events each: fixes along an uneven course, photos (clicks) by a clock that is 3.35 s slow, and triggers in every other flight.
+FLIGHTS = """own AS (SELECT event_id AS e, event_id // 500 AS flight, event_type AS kind, event_id % 500 + (event_id * 7919 % 997) / 2000 AS t, coalesce(value, 0) AS value FROM events WHERE event_id IS NOT NULL),
+    course AS (SELECT e, flight, kind, CAST(floor(t * 1e6) AS BIGINT) AS tm, 8 * t + 60 * sin(t / 20) AS x, value / 10 AS y, 100 + value AS alt, 8 + 3 * cos(t / 20) + value / 50 AS speed FROM own),
+    log AS (SELECT flight, tm, x, y, CASE WHEN e % 500 < 3 THEN 40 ELSE alt END AS alt, speed FROM course WHERE kind <> 'click' AND e % 500 NOT BETWEEN 200 AND 240),
+    photos AS (SELECT flight, tm - 3350000 AS tm FROM course WHERE kind = 'click'),
+    triggers AS (SELECT flight, tm, x, y FROM course WHERE kind = 'click' AND e % 3 = 0 AND flight % 2 = 0)"""
+
+
+def flights(spark, sf):
+    t = C("e") % 500 + (C("e") * 7919 % 997) / 2000
+    own = read(spark, sf, "events").filter("event_id is not null").select(C("event_id").alias("e"), F.floor(C("event_id") / 500).alias("flight"), C("event_type").alias("kind"), F.coalesce("value", F.lit(0.0)).alias("value"))
+    course = own.select("e", "flight", "kind", F.floor(t * 1e6).alias("at"), (8 * t + 60 * F.sin(t / 20)).alias("x"), (C("value") / 10).alias("y"), (100 + C("value")).alias("alt"), (8 + 3 * F.cos(t / 20) + C("value") / 50).alias("speed"))
+    clicks = course.filter("kind = 'click'")
+    log = course.filter((C("kind") != "click") & ~(C("e") % 500).between(200, 240)).withColumn("alt", F.when(C("e") % 500 < 3, 40.0).otherwise(C("alt")))
+    return clicks.select("flight", (C("at") - 3350000).alias("at")), log.select("flight", "at", "x", "y", "alt", "speed"), clicks.filter("e % 3 = 0 and flight % 2 = 0").select("flight", "at", "x", "y")
+
+
+def _pass_sql(n: str, centres: str, reach: int, step: int) -> str:
+    """CTEs of one grid: photos placed by an as-of join, both scores, and the best offset of each flight."""
+    return f"""{n}_g AS (SELECT flight, anchored, o + (i - {reach}) * {step} AS o FROM {centres}, range({2 * reach + 1}) r(i)),
+    {n}_q AS (SELECT g.flight, anchored, o, p.tm + o AS tm FROM {n}_g g JOIN photos p ON p.flight = g.flight),
+    {n}_p AS (SELECT q.flight, anchored, o, q.tm, CASE WHEN q.tm = f.tm THEN f.x WHEN nat - f.tm <= 30000000 THEN f.x + (q.tm - f.tm) / (nat - f.tm) * (nx - f.x) END AS x,
+      CASE WHEN q.tm = f.tm THEN f.y WHEN nat - f.tm <= 30000000 THEN f.y + (q.tm - f.tm) / (nat - f.tm) * (ny - f.y) END AS y,
+      CASE WHEN q.tm = f.tm THEN f.alt WHEN nat - f.tm <= 30000000 THEN f.alt + (q.tm - f.tm) / (nat - f.tm) * (nalt - f.alt) END AS alt,
+      CASE WHEN q.tm = f.tm THEN f.speed WHEN nat - f.tm <= 30000000 THEN f.speed + (q.tm - f.tm) / (nat - f.tm) * (nspeed - f.speed) END AS speed
+      FROM {n}_q q ASOF LEFT JOIN fixes f ON q.flight = f.flight AND q.tm >= f.tm),
+    {n}_near AS (SELECT t.flight, p.o, t.tm, t.x, t.y, p.x AS px, p.y AS py, row_number() OVER (PARTITION BY t.flight, p.o, t.tm, t.x, t.y ORDER BY abs(p.tm - t.tm), p.tm) AS i
+      FROM triggers t JOIN {n}_p p ON p.flight = t.flight WHERE anchored),
+    {n}_enough AS (SELECT flight, o FROM {n}_p WHERE anchored GROUP BY ALL HAVING count(x) >= 3),
+    {n}_a AS (SELECT flight, o, avg(sqrt(pow(px - x, 2) + pow(py - y, 2))) AS s FROM {n}_near JOIN {n}_enough USING (flight, o) WHERE i = 1 GROUP BY ALL),
+    {n}_n AS (SELECT flight, o, count(x) AS n, count(*) FILTER (alt > ground + 50 AND speed > 1.5) AS m FROM {n}_p JOIN grounds USING (flight) WHERE NOT anchored GROUP BY ALL),
+    {n}_w AS (SELECT flight, o, (speed + lead(speed) OVER w) / 2 AS v, sqrt(pow(lead(x) OVER w - x, 2) + pow(lead(y) OVER w - y, 2)) AS d
+      FROM {n}_p JOIN grounds USING (flight) WHERE NOT anchored AND alt > ground + 50 AND speed > 1.5 WINDOW w AS (PARTITION BY flight, o ORDER BY tm)),
+    {n}_r AS (SELECT flight, o, CASE WHEN stddev_pop(v) >= 1e-6 AND stddev_pop(d) >= 1e-6 THEN -corr(v, d) ELSE 0 END AS s FROM {n}_w WHERE d IS NOT NULL GROUP BY ALL),
+    {n}_s AS (SELECT * FROM {n}_a UNION ALL SELECT flight, o, CASE WHEN n >= 5 AND m >= 10 THEN coalesce(s, 0) ELSE 0 END FROM {n}_n LEFT JOIN {n}_r USING (flight, o)),
+    {n}_t AS (SELECT flight, min(struct_pack(s := round(s, 9), o := o)) AS m FROM {n}_s GROUP BY flight),
+    {n} AS (SELECT flight, anchored, coalesce(m.o, c.o) AS o, m.s AS s FROM {centres} c LEFT JOIN {n}_t USING (flight))"""
+
+
+@R.add(
+    "ts_calibrated",
+    f"""WITH {FLIGHTS}, own_fixes AS (SELECT flight, tm, avg(x) AS x, avg(y) AS y, avg(alt) AS alt, avg(speed) AS speed FROM log GROUP BY ALL),
+    fixes AS (SELECT *, lead(tm) OVER w AS nat, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(alt) OVER w AS nalt, lead(speed) OVER w AS nspeed FROM own_fixes WINDOW w AS (PARTITION BY flight ORDER BY tm)),
+    grounds AS (SELECT flight, arg_min(alt, tm) AS ground FROM own_fixes GROUP BY flight),
+    start AS (SELECT flight, coalesce(n, 0) >= 2 AS anchored, 2000000::BIGINT AS o FROM (SELECT DISTINCT flight FROM photos) LEFT JOIN (SELECT flight, count(*) AS n FROM triggers GROUP BY flight) USING (flight)),
+    {_pass_sql("coarse", "start", 30, 500000)}, {_pass_sql("fine", "coarse", 40, 50000)}
+    SELECT flight, CASE WHEN NOT anchored AND abs(o - 2000000) > 8000000 THEN 2.0 ELSE o / 1e6 END AS "offset", round(s, 6) AS score,
+      CASE WHEN anchored THEN 'anchors' ELSE 'speed' END AS method, NOT anchored AND abs(o - 2000000) > 8000000 AS fell_back FROM fine""",
+)
+def ts_calibrated(spark, sf):
+    """Clock calibration by flight: triggers in metres, else speed against distance, on one time line for all offsets (TS-13)."""
+    return rounded(calibrate.calibrated(*flights(spark, sf), "flight", manual=2.0))
+
+
 @R.add("flt_lint", "WITH l AS (SELECT page_id AS file, html AS value FROM pages), r AS (SELECT file, 'script' AS rule FROM l WHERE contains(value, '<script') UNION ALL SELECT file, 'table' FROM l WHERE contains(value, '<table')) SELECT file, rule, count(*) AS hits FROM r GROUP BY ALL")
 def flt_lint(spark, sf):
     """Pattern lint over texts (FLT-17)."""
