@@ -6,7 +6,7 @@ from math import cos, pi, sin
 
 from pyspark.sql import functions as F
 
-from verdance.operators import calibrate, layout, match
+from verdance.operators import calibrate, layout, match, register
 from verdance.operators.timeseries import gaussian_kernel
 from verdance.plans.pixels import UTM, utm
 from verdance.plans.registry import SPOTS, Registry, read, rounded, spots
@@ -166,6 +166,34 @@ def up_rolling(spark, sf):
     return rounded(layout.rolling_offsets(s, "k", "dx", "dy").select("k", "roll_x", "roll_y"))
 
 
+#: Images of 25 series from orders: residuals of 0 to 17 m, moves around a drift of the series, brightness differences, residuals after matching.
+IMAGES = """im AS (SELECT o_custkey % 25 AS series, o_orderkey AS k, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) % 1700 / 100 END AS rms,
+    CASE WHEN o_orderkey % 13 <> 0 THEN o_custkey % 25 + o_orderkey * 7919 % 997 / 50 END AS dx, o_orderkey * 6151 % 991 / 60 AS dy, o_orderkey * 31 % 61 AS tone,
+    CAST(round(o_totalprice * 100) AS BIGINT) % 2300 / 100 AS hist_rms FROM orders)"""
+
+
+@R.add(
+    "up_ladder",
+    f"""WITH {IMAGES}, good AS (SELECT series, k, CASE WHEN count(*) OVER w >= 3 THEN avg(dx) OVER w END AS mx, avg(dy) OVER w AS my FROM im WHERE rms <= 10 AND dx IS NOT NULL AND dy IS NOT NULL
+      WINDOW w AS (PARTITION BY series ORDER BY k ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+    h AS (SELECT im.*, mx, my, sqrt(pow(dx - mx, 2) + pow(dy - my, 2)) AS rest FROM im ASOF LEFT JOIN good ON im.series = good.series AND im.k > good.k),
+    m AS (SELECT *, CASE WHEN rms <= 10 THEN 'direct' WHEN rest <= 10 THEN 'offset' WHEN coalesce(tone <= 30, false) AND rms <= 15 THEN 'relaxed'
+      WHEN NOT coalesce(tone <= 30, false) AND hist_rms <= 15 THEN 'hist' ELSE 'failed' END AS method FROM h),
+    r AS (SELECT *, CASE method WHEN 'direct' THEN rms WHEN 'relaxed' THEN rms WHEN 'offset' THEN rest WHEN 'hist' THEN hist_rms END AS residual FROM m)
+    SELECT series, k, method, CASE WHEN residual <= 2 THEN 2.0::DOUBLE WHEN residual <= 5 THEN 5.0 WHEN residual <= 10 THEN 10.0 WHEN residual <= 15 THEN 15.0 END AS "limit", round(residual, 6) AS residual,
+      CASE WHEN method = 'offset' THEN round(mx, 6) END AS dx, CASE WHEN method = 'offset' THEN round(my, 6) END AS dy FROM r""",
+)
+def up_ladder(spark, sf):
+    """Ladder of registration attempts with the mean of the last ten direct moves as a hint (UP-11)."""
+    k, cents = C("o_orderkey"), F.round(C("o_totalprice") * 100).cast("long")
+    series = C("o_custkey") % 25
+    images = read(spark, sf, "orders").select(
+        series.alias("series"), k.alias("k"), F.when(k % 11 != 0, cents % 1700 / 100).alias("rms"), F.when(k % 13 != 0, series + k * 7919 % 997 / 50).alias("dx"),
+        (k * 6151 % 991 / 60).alias("dy"), (k * 31 % 61).cast("double").alias("tone"), (cents % 2300 / 100).alias("hist_rms"),
+    )
+    return rounded(register.ladder(images, "series", "k"))
+
+
 def _grid_sql(name: str, offsets: str) -> str:
     """CTE of (o, s): the mean distance, at most one second, of late clicks moved by o to their nearest trigger."""
     return f"""{name}_o AS ({offsets}), {name}_a AS (SELECT o, i, a + o AS t FROM late, {name}_o),
