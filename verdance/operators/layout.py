@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from verdance.operators.match import within
 from verdance.operators.ordering import numbered, quantiles
 from verdance.operators.timeseries import gaussian_kernel
-from verdance.session import Appended, checkpointed
+from verdance.session import Appended, checkpointed, written
 
 C = F.col
 #: Rows of an ordered table that share a block.
@@ -91,13 +91,13 @@ def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
     own = pixels.select("row", "col").distinct()
     near = F.array(*(key(C("row") + a, C("col") + b) for a, b in steps))
     nodes = own.select(key(C("row"), C("col")).alias("id"))
-    edges = checkpointed(own.select(key(C("row"), C("col")).alias("id"), F.explode(near).alias("to")).join(nodes.select(C("id").alias("to")), "to"))
-    labels = checkpointed(nodes.withColumn("label", C("id")))
+    edges = written(own.select(key(C("row"), C("col")).alias("id"), F.explode(near).alias("to")).join(nodes.select(C("id").alias("to")), "to"))
+    labels = written(nodes.withColumn("label", C("id")))
     while True:
         met = edges.join(labels.select(C("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("m"))
         step = labels.join(met, "id", "left").select("id", C("label").alias("was"), F.least("label", "m").alias("label"))
         jump = step.select(C("id").alias("_l"), C("label").alias("_n"))
-        step = checkpointed(step.join(jump, C("label") == C("_l"), "left").select("id", "was", F.least("label", F.coalesce("_n", "label")).alias("label")))
+        step = written(step.join(jump, C("label") == C("_l"), "left").select("id", "was", F.least("label", F.coalesce("_n", "label")).alias("label")))
         labels = step.select("id", "label")
         if step.filter("label != was").isEmpty():
             return labels.select(F.floor(C("id") / F.lit(2**32)).cast("bigint").alias("row"), (C("id") % F.lit(2**32)).cast("bigint").alias("col"), "label")

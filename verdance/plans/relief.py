@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from math import cos, radians, sin
+
 from pyspark.sql import functions as F
 
-from verdance.operators import layout, outline, relief
+from verdance.operators import layout, outline, relief, rows
 from verdance.plans.registry import Registry, read
 from verdance.session import checkpointed
 
@@ -162,3 +164,53 @@ def up_polygons(spark, sf):
     own = outline.simplified(outer).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
     text = F.array_join(F.transform("p", lambda p: F.concat(p["x"].cast("bigint").cast("string"), F.lit(" "), p["y"].cast("bigint").cast("string"))), ", ")
     return own.select("label", F.size("p").alias("corners"), text.alias("polygon"))
+
+
+#: Rows of three discs each that run together, with holes, from orders in key order; the least size of an object.
+DISCS = "(col % 11 - 5) * (col % 11 - 5) + (r % 17 - 8) * (r % 17 - 8) <= 36 AND (col // 11 + 2 * (r // 17)) % 4 <> 3 AND CAST(round(o_totalprice * 100) AS BIGINT) % 97 <> 0"
+LEAST_DISC = 40
+
+
+def _labels(name: str, of: str) -> str:
+    """CTEs of the connected components of the pixels ``of`` that have enough pixels."""
+    return f"""{name}_k AS (SELECT r, col, r * 4294967296 + col AS id FROM {of}),
+    {name}_e AS (SELECT a.id AS a, b.id AS b FROM {name}_k a JOIN {name}_k b ON (b.r = a.r AND abs(a.col - b.col) = 1) OR (b.col = a.col AND abs(a.r - b.r) = 1)),
+    {name}_w AS (SELECT id, id AS label FROM {name}_k UNION SELECT e.b, w.label FROM {name}_w w JOIN {name}_e e ON e.a = w.id WHERE w.label < e.b),
+    {name}_l AS (SELECT id, min(label) AS label FROM {name}_w GROUP BY id),
+    {name} AS (SELECT r, col, label FROM {name}_l JOIN {name}_k USING (id) QUALIFY count(*) OVER (PARTITION BY label) >= {LEAST_DISC})"""
+
+
+@R.add(
+    "up_row_splits",
+    f"""WITH RECURSIVE s AS (SELECT CAST(ceil(sqrt(max(o_orderkey) + 1)) AS BIGINT) AS w FROM orders), g AS (SELECT o_orderkey // w AS r, o_orderkey % w AS col, o_totalprice FROM orders, s),
+    px AS (SELECT DISTINCT r, col FROM g WHERE {DISCS}), {_labels("f", "px")},
+    z AS (SELECT label, avg(r) AS y, avg(col) AS x FROM f GROUP BY label), ray(deg, co, si) AS (VALUES {", ".join(f"({d}, {cos(radians(d))!r}::DOUBLE, {sin(radians(d))!r}::DOUBLE)" for d in range(0, 180, 15))}),
+    c AS (SELECT f.*, deg, co, si, y, x, unnest(range(CAST(floor((col - x) * co + (r - y) * si) AS BIGINT) - 1, CAST(floor((col - x) * co + (r - y) * si) AS BIGINT) + 3)) AS n FROM f JOIN z USING (label), ray),
+    h AS (SELECT label, deg, n, row_number() OVER (PARTITION BY label, deg ORDER BY n) - 1 AS i FROM c WHERE n >= 0 AND round_even(x + n * co, 0) = col AND round_even(y + n * si, 0) = r),
+    u AS (SELECT label, deg, count(*) FILTER (h.n = h.i) AS radius FROM z CROSS JOIN ray LEFT JOIN h USING (label, deg) GROUP BY ALL),
+    b AS (SELECT label, (quantile_cont(radius, 0.35) + quantile_cont(radius, 0.65)) / 2 AS base FROM u GROUP BY label),
+    j AS (SELECT deg // 5 * 5 AS deg, count(*) AS n FROM u JOIN b USING (label) WHERE radius > 1.45 * base GROUP BY 1),
+    fr AS (SELECT (SELECT greatest(1.0::DOUBLE, coalesce(median(base), 3.0)) FROM b) AS size, CASE WHEN (SELECT sum(n) FROM j) >= 3 THEN (SELECT deg FROM j ORDER BY n DESC, deg LIMIT 1) + 2.5::DOUBLE ELSE 0.0 END AS angle),
+    ax AS (SELECT size, i AS turn, radians((angle + 90 * i) % 180) AS a FROM fr, range(2) t(i)),
+    p AS (SELECT f.*, turn, size, col * cos(a) + r * sin(a) AS t, r * cos(a) - col * sin(a) AS s FROM f, ax),
+    sp AS (SELECT turn, label, min(t) AS t0, max(t) - min(t) AS long, max(s) - min(s) + 1e-6 AS wide, round_even((max(t) - min(t)) / greatest(2 * any_value(size) * 0.98, 1.0), 0) AS fit FROM p GROUP BY ALL),
+    o AS (SELECT *, CAST(least(greatest(round_even(long, 0), 48), 256) AS BIGINT) AS bins FROM sp WHERE fit >= 2 AND long / wide >= 1.2),
+    q AS (SELECT turn, label, least(CAST(floor((t - t0) / (long + 1e-6) * bins) AS BIGINT), bins - 1) AS bin, count(*) AS n FROM p JOIN o USING (turn, label) GROUP BY ALL),
+    v AS (SELECT turn, label, bins, fit, greatest(1.0::DOUBLE, 0.02 * bins) AS sigma, unnest(range(bins)) AS bin FROM o),
+    k AS (SELECT *, unnest(range(-CAST(floor(4 * sigma + 0.5) AS BIGINT), CAST(floor(4 * sigma + 0.5) AS BIGINT) + 1)) AS d FROM v),
+    m AS (SELECT k.turn, k.label, k.bin, any_value(fit) AS fit, round(sum(exp(-0.5 * d * d / (sigma * sigma)) * coalesce(q.n, 0)) / sum(exp(-0.5 * d * d / (sigma * sigma))), 9) AS y
+      FROM k LEFT JOIN q ON q.turn = k.turn AND q.label = k.label AND q.bin = least(greatest(k.bin + d, 0), bins - 1) GROUP BY k.turn, k.label, k.bin),
+    va AS (SELECT *, coalesce(y < lag(y) OVER w, true) AND coalesce(y < lead(y) OVER w, true) AS valley FROM m WINDOW w AS (PARTITION BY turn, label ORDER BY bin)),
+    de AS (SELECT *, row_number() OVER (PARTITION BY turn, label ORDER BY y, bin) AS i FROM va WHERE valley),
+    cu AS (SELECT turn, label, t0 + (bin + 0.5) * (long / bins) AS bound, greatest(1.0::DOUBLE, 0.1 * wide) AS half FROM de JOIN o USING (turn, label) WHERE i <= de.fit - 1),
+    re AS (SELECT r, col FROM f EXCEPT SELECT r, col FROM p JOIN cu USING (turn, label) WHERE abs(t - bound) <= half), {_labels("n", "re")}
+    SELECT r AS "row", col, label FROM n""",
+)
+def up_row_splits(spark, sf):
+    """Objects that run together along rows, cut at the valleys of their width (UP-14)."""
+    own = read(spark, sf, "orders").select(C("o_orderkey").alias("i"), "o_totalprice")
+    width = F.broadcast(own.agg(F.ceil(F.sqrt(F.max("i") + 1)).cast("bigint").alias("w")))
+    g = own.join(width).select(F.floor(C("i") / C("w")).cast("bigint").alias("row"), (C("i") % C("w")).alias("col"), F.round(C("o_totalprice") * 100).cast("long").alias("cents"))
+    disc = (C("col") % 11 - 5) * (C("col") % 11 - 5) + (C("row") % 17 - 8) * (C("row") % 17 - 8) <= 36
+    there = (F.floor(C("col") / 11) + 2 * F.floor(C("row") / 17)) % 4 != 3
+    return rows.split(g.filter(disc & there & (C("cents") % 97 != 0)), LEAST_DISC, opening=False)
