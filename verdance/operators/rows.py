@@ -28,7 +28,7 @@ def opened(pixels: DataFrame) -> DataFrame:
 def large(labels: DataFrame, least: int) -> DataFrame:
     """Pixels of labels that have at least ``least``."""
     kept = labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).filter(C("_n") >= least).select("label")
-    return labels.join(kept, "label", "left_semi")
+    return labels.join(kept, "label", "left_semi").select("row", "col", "label")
 
 
 def radii(labels: DataFrame, step: int = 15) -> DataFrame:
@@ -74,11 +74,11 @@ def _smoothed(profile: Column, bins: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), bins - 1), lambda i: F.round(F.aggregate(steps, F.lit(0.0), lambda a, d: a + weight(d) * at(i + d)) / total, 9))
 
 
-def cuts(labels: DataFrame, radius: float, angle: float) -> DataFrame:
+def cuts(labels: DataFrame, radius: float, angle: float, ends: bool = True) -> DataFrame:
     """(label, bounds, half) of objects long enough for two of ``radius`` along ``angle`` degrees: places of the cuts and half their width.
 
     An object's profile counts its pixels in 48 to 256 bins along the angle; the deepest valleys of the smoothed profile,
-    one fewer than objects fit, are cut.
+    one fewer than objects fit, are cut. With ``ends`` the outermost bins count as valleys where they are lower than the next.
     """
     a = radians(angle)
     t, s = C("col") * cos(a) + C("row") * sin(a), C("row") * cos(a) - C("col") * sin(a)
@@ -91,19 +91,21 @@ def cuts(labels: DataFrame, radius: float, angle: float) -> DataFrame:
     # Written between the steps, since Spark would work an array out again wherever it is read.
     own = checkpointed(spans.join(held, "label").withColumn("own", F.transform(F.sequence(F.lit(0), C("bins") - 1), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)))).drop("m"))
     own = checkpointed(own.withColumn("p", _smoothed(C("own"), C("bins"))).drop("own"))
-    low = lambda i, to: F.coalesce(F.get("p", i) < F.get("p", i + to), F.lit(True))
+    low = lambda i, to: F.coalesce(F.get("p", i) < F.get("p", i + to), F.lit(ends))
     valleys = F.filter(F.sequence(F.lit(0), C("bins") - 1), lambda i: low(i, -1) & low(i, 1))
     deepest = F.slice(F.sort_array(F.transform(valleys, lambda i: F.struct(F.get("p", i).alias("p"), i.alias("i")))), 1, C("fit") - 1)
     bounds = F.transform(deepest, lambda v: C("t0") + (v["i"] + 0.5) * (C("long") / C("bins")))
     return checkpointed(own.select("label", bounds.alias("bounds"), F.greatest(F.lit(1.0), BAND * C("wide")).alias("half")))
 
 
-def split(pixels: DataFrame, least: int = 220, opening: bool = True, angle: float = 0.0, step: int = 15) -> DataFrame:
+def split(pixels: DataFrame, least: int = 220, opening: bool = True, angle: float = 0.0, step: int = 15, ends: bool = True) -> DataFrame:
     """(row, col, label): objects of a mask's pixels, cut across and along the rows that they form.
 
     Objects are joined by sides; those of fewer than ``least`` pixels are left out, before and after the cuts. Rays from
     all centroids give the size of one object and the angle of the rows (``frame``), each long object is cut at the
-    valleys of its width, and what is left is labelled again. ``angle`` holds where rays show no rows. Profiles have at
+    valleys of its width, and what is left is labelled again. ``angle`` holds where rays show no rows.
+    ``ends`` lets the ends of an object count as valleys: they are mostly the deepest, so an object of two or three parts is then
+    trimmed rather than cut; False cuts only inside. Profiles have at
     most 256 bins and rays as many steps as an object is wide; all else is sums by label.
     """
     own = pixels.select("row", "col").dropna().distinct()
@@ -113,5 +115,5 @@ def split(pixels: DataFrame, least: int = 220, opening: bool = True, angle: floa
     for turn in (along, (along + 90) % 180):
         a = radians(turn)
         t = C("col") * cos(a) + C("row") * sin(a)
-        rest = rest.join(cuts(first, size, turn), "label", "left").filter(~F.coalesce(F.exists("bounds", lambda b: F.abs(t - b) <= C("half")), F.lit(False))).select("row", "col", "label")
+        rest = rest.join(cuts(first, size, turn, ends), "label", "left").filter(~F.coalesce(F.exists("bounds", lambda b: F.abs(t - b) <= C("half")), F.lit(False))).select("row", "col", "label")
     return large(labelled(checkpointed(rest.select("row", "col"))), least)
