@@ -327,7 +327,7 @@ def joi_spacing_radius(spark, sf):
     """Each point to its closest crown, kept within that crown's own radius (JOI-13, JOI-14)."""
     cu, su = spots(spark, sf)
     # A crown whose next one is 60 or more away has the full radius of 30.
-    gaps = match.within(su, su, 60.0).filter("left_id != right_id").groupBy(C("left_id").alias("right_id")).agg(F.min("d").alias("gap"))
+    gaps = match.spacing(su, 60.0).select(C("id").alias("right_id"), C("d").alias("gap"))
     own = match.closest(cu, su).join(gaps, "right_id", "left")
     return own.filter(C("d") <= F.least(F.lit(30.0), F.coalesce("gap", F.lit(60.0)) / 2)).groupBy(C("right_id").alias("crown")).agg(F.count(F.lit(1)).alias("points"))
 
