@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from math import ceil, isqrt
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,6 +57,42 @@ def place(i: Column, n: int, key: Column) -> Column:
     return F.aggregate(F.array(*(F.lit(t) for t in range(WALKS))), once(i.cast("long")), lambda x, _: F.when(x < n, x).otherwise(once(x)))
 
 
+def _rest(v: np.ndarray) -> np.ndarray:
+    """``v`` modulo 2^31 - 1, of numbers below 2^63, without a division."""
+    m = np.uint64(MODULUS)
+    v = (v & m) + (v >> np.uint64(31))
+    v = (v & m) + (v >> np.uint64(31))
+    return np.where(v >= m, v - m, v)
+
+
+def places(i: np.ndarray, n: int, key: int) -> np.ndarray:
+    """``place`` of many numbers inside of a task."""
+    a, b = digits(n)
+
+    def turned(at: np.ndarray, by: np.ndarray, k: int, size: int) -> np.ndarray:
+        m = _rest(by * np.uint64(FIRST) + np.uint64(k * SECOND + 12_345))
+        t = at + _rest((m ^ (m >> np.uint64(15))) * np.uint64(LAST))
+        return t - t // np.uint64(size) * np.uint64(size)
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left = x // np.uint64(b)
+        right = x - left * np.uint64(b)
+        for t in range(NETWORK):
+            if t % 2 == 0:
+                left = turned(left, right, key * 8 + t, a)
+            else:
+                right = turned(right, left, key * 8 + t, b)
+        return left * np.uint64(b) + right
+
+    x = once(i.astype(np.uint64))
+    for _ in range(WALKS):
+        out = np.flatnonzero(x >= np.uint64(n))
+        if not len(out):
+            break
+        x[out] = once(x[out])
+    return x.astype(np.int64)
+
+
 def place_sql(source: str, name: str = "placed") -> str:
     """Recursive CTE ``name``: rows of ``source`` (i, n, key, ...), with ``x``, the place of i.
 

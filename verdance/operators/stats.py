@@ -7,13 +7,18 @@ freedom and p.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import ceil
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdance.functions.special import f_pvalue, r_pvalue, t_pvalue
-from verdance.operators.deals import MODULUS, mixed, place, poisson
+from verdance.operators.deals import MODULUS, mixed, places, poisson
+from verdance.operators.match import circle, vectors
 from verdance.operators.ordering import numbered
 from verdance.session import checkpointed
 
@@ -184,56 +189,123 @@ def variance_shares(df: DataFrame, group: str, v: str, by: tuple[str, ...] = ())
 
 
 def moran(points: DataFrame, v: str, radius: float) -> DataFrame:
-    """Moran's I with binary weights in a distance band, its expectation and n. Points are (id, x, y, v)."""
-    from verdance.operators.match import band_graph
+    """Moran's I with binary weights in a distance band, its expectation and n. Points are (id, x, y, v).
 
+    Points at one place have the same neighbours, so their values are summed first; products are summed in tiles.
+    """
     own = points.filter(C(v).isNotNull() & C("x").isNotNull() & C("y").isNotNull())
     mean = own.agg(F.avg(v).alias("_mu"), F.var_pop(v).alias("_vp"), F.count(v).alias("n"))
-    z = own.crossJoin(F.broadcast(mean)).select("id", (C(v) - C("_mu")).alias("z"))
-    e = band_graph(own, radius).join(z.select(C("id").alias("left_id"), C("z").alias("a")), "left_id").join(z.select(C("id").alias("right_id"), C("z").alias("b")), "right_id")
-    s = e.agg(F.sum(C("a") * C("b")).alias("num"), F.count(F.lit(1)).alias("s0"))
+    spots = own.crossJoin(F.broadcast(mean)).groupBy(dbl("x").alias("x"), dbl("y").alias("y")).agg(F.array(dbl(F.count(F.lit(1))), F.sum(C(v) - C("_mu"))).alias("v"))
+    spots = checkpointed(spots)
+    s = circle(spots, spots, radius, 2, total=True, apart=True).select(C("v")[0].alias("s0"), C("v")[1].alias("num"))
     return s.crossJoin(mean).select(F.try_divide(C("n") * C("num"), C("s0") * C("_vp") * C("n")).alias("i"), F.try_divide(F.lit(-1.0), C("n") - 1).alias("expected"), "n")
 
 
+#: Places that a task gathers the values of, and rows whose values are dealt at once.
+BLOCK, DEALT = 4096, 16_384
+
+
+def _batches(tables: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    held: list[pa.RecordBatch] = []
+    for t in tables:
+        held.append(t)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def moran_permuted(points: DataFrame, v: str, radius: float, rounds: int = 199, seed: int = 42) -> DataFrame:
     """Moran's I with a one-sided permutation p.
 
     Points are numbered once. In round j number i sends its value to the place a keyed permutation has for it, so
-    no round sorts; a point's values of all rounds are one array, gathered in one shuffle. Edges are found once and meet an array
-    at either end; products are summed by round before they are shuffled.
+    no round sorts. Values are sent packed, by block of places; a block makes one array a point, of its values in all rounds. Arrays of
+    points at one position are summed, and the products of neighbours are matrix products in tiles.
     """
-    from verdance.operators.match import band_graph
-
     own = points.filter(C(v).isNotNull() & C("x").isNotNull() & C("y").isNotNull())
     mean = own.agg(F.avg(v).alias("_mu"))
-    z = checkpointed(numbered(own, ["id"]).crossJoin(F.broadcast(mean)).select("id", (C("i") - 1).alias("i"), (C(v) - C("_mu")).alias("z")))
+    z = numbered(own, ["id"]).crossJoin(F.broadcast(mean)).select((C("i") - 1).alias("i"), dbl("x").alias("x"), dbl("y").alias("y"), (C(v) - C("_mu")).alias("z"))
+    z = checkpointed(z)
     n = z.count()
-    sent = z.select("i", "z", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("j"))
-    sent = sent.select("j", "z", F.when(C("j") == 0, C("i")).otherwise(place(C("i"), n, C("j") + seed * 100_003)).alias("i"))
-    arrays = sent.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "z"))), lambda s: s["z"]).alias("z"))  # rounds + 1 values
-    arrays = checkpointed(z.select("id", "i").join(arrays, "i").select("id", "z"))
-    e = band_graph(own, radius).select("left_id", "right_id")
-    both = e.join(arrays.select(C("id").alias("left_id"), C("z").alias("a")), "left_id").join(arrays.select(C("id").alias("right_id"), C("z").alias("b")), "right_id")
-    num = both.select(F.posexplode(F.zip_with("a", "b", lambda a, b: a * b)).alias("j", "ab")).groupBy("j").agg(F.sum("ab").alias("num"))
-    seen = num.agg(F.max(F.when(C("j") == 0, C("num"))).alias("own"), F.collect_list(F.when(C("j") > 0, C("num"))).alias("others"))  # one value a round
-    return moran(points, v, radius).crossJoin(seen).select("i", "expected", "n", ((F.size(F.filter("others", lambda x: x >= C("own"))) + 1) / F.lit(rounds + 1)).alias("p"))
+    if not n:
+        return moran(points, v, radius).select("i", "expected", "n", F.lit(None).cast("double").alias("p"))
+    keys, size = [j + seed * 100_003 for j in range(1, rounds + 1)], rounds + 2  # the last value counts
+
+    def send(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _batches(tables, DEALT):
+            i, value = t.column("i").to_numpy(), t.column("z").to_numpy()
+            to = np.concatenate([i, *(places(i, n, k) for k in keys)])
+            order = np.argsort(to // BLOCK, kind="stable")
+            blocks, starts = np.unique((to // BLOCK)[order], return_index=True)
+            at, j, sent = (to % BLOCK)[order].astype(np.int16), (order // len(i)).astype(np.int16), value[order % len(i)]
+            for block, a, b in zip(blocks, starts, [*starts[1:], len(order)], strict=True):
+                one = [pa.array([x[a:b].tobytes()], pa.binary()) for x in (at, j, sent)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *one], names=["block", "at", "j", "z"])
+
+    def gather(_key: tuple, own: pa.Table, sent: pa.Table) -> pa.Table:
+        made = np.zeros((BLOCK, size))
+        made[:, -1] = 1.0
+        for at, j, value in zip(*(sent.column(c) for c in ("at", "j", "z")), strict=True):
+            made[np.frombuffer(at.as_py(), np.int16), np.frombuffer(j.as_py(), np.int16)] = np.frombuffer(value.as_py())
+        made = made[own.column("i").to_numpy() % BLOCK]
+        return pa.table({"x": own.column("x"), "y": own.column("y"), "v": pa.FixedSizeListArray.from_arrays(made.ravel(), size).cast(pa.list_(pa.float64()))})
+
+    def summed(_key: tuple, t: pa.Table) -> pa.Table:
+        x, y, values = vectors(t)
+        at, back = np.unique(np.stack([x, y], 1), axis=0, return_inverse=True)
+        made = np.zeros((len(at), size))
+        np.add.at(made, back.ravel(), values)
+        return pa.table({"x": at[:, 0], "y": at[:, 1], "v": pa.FixedSizeListArray.from_arrays(made.ravel(), size).cast(pa.list_(pa.float64()))})
+
+    spread = max(2 * z.sparkSession.sparkContext.defaultParallelism, ceil(n / (4 * DEALT)))
+    sent = z.select("i", "z").repartition(spread, "i").mapInArrow(send, "block bigint, at binary, j binary, z binary")
+    kind = "x double, y double, v array<double>"
+    arrays = z.select(C("i").alias("i"), "x", "y", F.floor(C("i") / BLOCK).alias("block")).groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(gather, kind)
+    if z.select("x", "y").distinct().count() < n:
+        arrays = arrays.groupBy(F.pmod(F.xxhash64("x", "y"), F.lit(ceil(n / BLOCK))).alias("_b")).applyInArrow(summed, kind)
+    arrays = checkpointed(arrays)
+    num = circle(arrays, arrays, radius, size, total=True, apart=True).select(C("v")[0].alias("own"), F.when(C("v")[rounds + 1] > 0, F.slice("v", 2, rounds)).otherwise(F.array().cast("array<double>")).alias("others"))
+    return moran(points, v, radius).crossJoin(num).select("i", "expected", "n", ((F.size(F.filter("others", lambda x: x >= C("own"))) + 1) / F.lit(rounds + 1)).alias("p"))
 
 
 def slope_permuted(df: DataFrame, x: str, y: str, group: str, key: str, rounds: int = 5000, seed: int = 42) -> DataFrame:
     """(difference, p): difference of the slopes of y on x between rows with ``group`` and others, with a permutation p, both-sided.
 
     In each round as many rows as are in the group are drawn anew, by a keyed permutation of the row numbers. The rounds of a
-    row are made and summed in its task; only sums by round are shuffled.
+    task's rows are made and summed in the task; only sums by round are shuffled. Those of the rest are what the group leaves of the whole.
     """
-    own = checkpointed(numbered(df.select(key, x, y, group), [key], "_i").withColumn("_i", C("_i") - 1))
-    one = own.agg(F.count(F.lit(1)).alias("n"), F.count_if(group).alias("m")).first()
-    rows = own.select(C(x).alias("x"), C(y).alias("y"), C(group).alias("g"), "_i", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("j"))
-    rows = rows.withColumn("g", F.when(C("j") == 0, C("g")).otherwise(place(C("_i"), one["n"], C("j") + seed * 100_003) < one["m"]))
+    own = checkpointed(numbered(df.select(key, dbl(x).alias("x"), dbl(y).alias("y"), C(group).alias("g")), [key], "_i").withColumn("_i", C("_i") - 1))
+    both = C("x").isNotNull() & C("y").isNotNull()
     pick = lambda yes: F.regr_slope(F.when(C("g") == yes, C("y")), F.when(C("g") == yes, C("x")))
-    d = rows.groupBy("j").agg((pick(True) - pick(False)).alias("d"))  # one row a round
-    first = d.filter("j = 0").select(C("d").alias("difference"))
-    out = d.filter("j > 0").crossJoin(F.broadcast(first)).groupBy("difference").agg(F.count_if(F.abs("d") >= F.abs("difference") - 1e-12).alias("c"))
-    return out.select("difference", ((1 + C("c")) / F.lit(float(rounds + 1))).alias("p"))
+    one = own.agg(F.count(F.lit(1)).alias("n"), F.count_if("g").alias("m"), F.avg(F.when(both, C("x"))).alias("x"), F.avg(F.when(both, C("y"))).alias("y"), (pick(True) - pick(False)).alias("d")).first()
+    n, m = one["n"], one["m"]
+    keys = [j + seed * 100_003 for j in range(1, rounds + 1)]
+    names = ["n", "x", "y", "xx", "xy"]
+    mid_x, mid_y = one["x"] or 0.0, one["y"] or 0.0
+
+    def sums(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, whole = np.zeros((rounds, 5)), np.zeros(5)
+        for t in _batches(tables, DEALT):
+            i, a, b = t.column("_i").to_numpy(), t.column("x").to_numpy() - mid_x, t.column("y").to_numpy() - mid_y
+            known = ~(t.column("x").is_null().to_numpy() | t.column("y").is_null().to_numpy())
+            a, b = np.where(known, a, 0.0), np.where(known, b, 0.0)
+            v = np.stack([known.astype(float), a, b, a * a, a * b], 1)
+            whole += v.sum(axis=0)
+            for j, k in enumerate(keys):
+                made[j] += (places(i, n, k) < m).astype(float) @ v
+        rows = np.vstack([whole, made])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds + 1)), *(pa.array(rows[:, c].copy()) for c in range(5))], names=["j", *names])
+
+    spread = max(2 * own.sparkSession.sparkContext.defaultParallelism, ceil(n / (4 * DEALT)))
+    part = own.select("_i", "x", "y").repartition(spread, "_i").mapInArrow(sums, "j bigint, " + ", ".join(f"{c} double" for c in names))
+    part = part.groupBy("j").agg(*(F.sum(c).alias(c) for c in names))  # one row a round
+    whole = F.broadcast(part.filter("j = 0").select(*(C(c).alias(f"_{c}") for c in names)))
+    # As in regr_slope, a side without rows or without spread has no slope.
+    slope = lambda n, x, y, xx, xy: F.try_divide(xy - x * y / n, xx - x * x / n)
+    d = part.filter("j > 0").join(whole).withColumn("d", slope(*(C(c) for c in names)) - slope(*(C(f"_{c}") - C(c) for c in names)))
+    out = d.agg(F.count_if(F.abs("d") >= F.abs(F.lit(one["d"])) - 1e-12).alias("c"))
+    return out.select(F.lit(one["d"]).cast("double").alias("difference"), ((1 + C("c")) / F.lit(float(rounds + 1))).alias("p"))
 
 
 def fdr(df: DataFrame, p: str, order: str) -> DataFrame:
