@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 
@@ -107,3 +109,13 @@ def test_solid_objects(spark):
     # The hull of the L: its bounding square less the triangle between its ends.
     assert got == {1: (100, 1.0), 2: (19, round(19 / (100 - 81 / 2), 6))}
     assert {r["label"] for r in relief.solid(spark.createDataFrame(square + ell, "row bigint, col bigint, label bigint"), 5, 0.2, 0.7).collect()} == {1}
+
+
+def test_distances_pass_through_places_without_a_row(spark):
+    rnd = random.Random(11)
+    for wide, n in ((9, 60), (400, 60)):  # few and most places without a row
+        px = {(rnd.randrange(wide), rnd.randrange(wide)): rnd.random() < 0.7 for _ in range(n)}
+        out = [at for at, inside in px.items() if not inside]
+        got = relief.distances(spark.createDataFrame([(*at, inside) for at, inside in px.items()], "row int, col int, inside boolean"))
+        got = {(r["row"], r["col"]): r["d2"] for r in got.collect()}
+        assert got == {(r, c): min((r - a) ** 2 + (c - b) ** 2 for a, b in out) for (r, c), inside in px.items() if inside}

@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.operators.match import within
+from verdance.operators.match import closest, within
 from verdance.session import Appended, checkpointed, written
 
 C = F.col
 #: Rows and columns of a tile, at least; a tile is no smaller than its rim.
 TILE = 256
+#: Places of an image a pixel, up to which those without a row are filled up.
+FILLED = 4
 
 
 def pixel_id(row: Column, col: Column) -> Column:
@@ -54,15 +56,26 @@ def distances(pixels: DataFrame, inside: str = "inside") -> DataFrame:
 
     Columns first: the nearest pixel outside above and below, carried along by window functions. Rows
     then: the lower envelope of the parabolas that the columns' distances are. A row of the image is what a task
-    holds. d2 is null where the image has no pixel outside; null marks count as outside.
+    holds. d2 is null where the image has no pixel outside; null marks count as outside. Places without a row are filled up, as a
+    column's distance passes through them; where they are most of the image, the closest pixel outside is searched for instead.
     """
     own = pixels.select("row", "col", F.coalesce(C(inside), F.lit(False)).alias("_in"))
+    kinds = {n: t for n, t in pixels.dtypes if n in ("row", "col")}
+    box = own.agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("top"), F.max("row").alias("foot"), F.min("col").alias("left"), F.max("col").alias("right")).first()
+    if box["n"]:
+        width = box["right"] - box["left"] + 1
+        area = width * (box["foot"] - box["top"] + 1)
+        if area > FILLED * box["n"]:
+            return _searched(own, kinds)
+        if area > box["n"]:
+            grid = own.sparkSession.range(area).select((F.floor(C("id") / width) + box["top"]).cast(kinds["row"]).alias("row"), (C("id") % width + box["left"]).cast(kinds["col"]).alias("col"))
+            own = grid.join(own, ["row", "col"], "left")
     out = F.when(~C("_in"), C("row"))
     line = Window.partitionBy("col").orderBy("row")
     above = F.last(out, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(out, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(C("row") - above, below - C("row")).cast("bigint")
-    lines = own.select("row", "col", "_in", gap.alias("_g"))
+    lines = own.select("row", "col", F.coalesce("_in", F.lit(False)).alias("_in"), gap.alias("_g"))
 
     def across(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("col")
@@ -78,10 +91,18 @@ def distances(pixels: DataFrame, inside: str = "inside") -> DataFrame:
             made["d2"] = pd.array([None] * len(made), dtype="Int64")
         return made
 
-    kinds = {n: t for n, t in pixels.dtypes if n in ("row", "col")}
     return lines.groupBy("row").applyInPandas(across, f"row {kinds['row']}, col {kinds['col']}, d2 bigint")
 
 
+def _searched(own: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``distances`` of an image with few pixels in its extent."""
+    spots = own.select("row", "col", "_in", pixel_id(C("row"), C("col")).alias("id"), C("col").alias("x"), C("row").alias("y"))
+    found = closest(spots.filter("_in"), spots.filter("not _in"), None).withColumn("_r", F.expr("shiftright(right_id + 2147483648, 32)"))
+    found = found.select(C("left_id").alias("id"), "_r", (C("right_id") - C("_r") * F.lit(2**32)).alias("_c"))
+    gap = lambda a, b: (C(a).cast("bigint") - C(b)) * (C(a).cast("bigint") - C(b))
+    return spots.filter("_in").join(found, "id", "left").select(*(C(c).cast(t) for c, t in kinds.items()), (gap("row", "_r") + gap("col", "_c")).alias("d2"))
+
+
 def tiled(pixels: DataFrame, v: str, rim: int, work: Callable[[np.ndarray], np.ndarray], name: str, kind: str = "double") -> DataFrame:
     """(row, col, v, name): ``work`` of each tile with its rim, as a dense array with NaN where there is no pixel.
 
