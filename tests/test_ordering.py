@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,19 @@ def test_quantiles_of_many_ranks_at_once(spark, monkeypatch):
         monkeypatch.setattr(ordering, "FETCHED", fetched)
         assert ordering.quantiles(df, "v", at) == pytest.approx([float(np.quantile(values, p)) for p in at])
     assert ordering.quantiles(df.limit(0), "v", (0.5,)) == [None]
+
+
+@pytest.mark.parametrize("fetched", [1, 50_000])
+def test_middle_equals_the_median(spark, monkeypatch, fetched):
+    monkeypatch.setattr(ordering, "FETCHED", fetched)
+    rnd = random.Random(3)
+    for values in ([], [2.5], [1.0, 4.0], [0.0, 5e-324, 5e-324], [-1.7e308, 0.5, 1.7e308, 3.0], [7.0] * 9 + [1.0], [rnd.choice([rnd.gauss(0, 1), 3.0, 1e9]) for _ in range(501)], [float(i // 7) for i in range(200)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        assert ordering.middle(df, F.col("v"), 16) == (np.median(values) if values else None)
+
+
+def test_huber_takes_no_median_in_one_task(spark, monkeypatch):
+    monkeypatch.setattr(F, "median", lambda *_: pytest.fail("an exact median holds all values in one task"))
+    rows = [(float(i % 10), 3.0 * (i % 10) + i % 7 / 10 + (500.0 if i % 50 == 0 else 0.0)) for i in range(1000)]
+    slope = regress.huber(spark.createDataFrame(rows, "x double, y double"), ["x"], "y")[1]
+    assert abs(slope - 3.0) < 0.05

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from verdance.operators import detect, regress
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
 from verdance.plans.statistics import f_sql
-from verdance.session import checkpointed
+from verdance.session import checkpointed, written
 
 R = Registry()
 C = F.col
@@ -171,7 +171,7 @@ def huber_sql(steps: int) -> str:
 )
 def ml_log_families(spark, sf):
     """Log-normal with smearing, gamma and inverse Gaussian with log link, Huber (ML-3..6)."""
-    px = pixels(spark, sf)
+    px = written(pixels(spark, sf).select("r", "v"))  # each step of a fit reads it again
     beta, smear = regress.lognormal(px, ["r"], "v")
     rows = [("lognormal", "slope", beta[1]), ("lognormal", "smearing", smear)]
     rows += [(f, "slope", regress.irls(px, ["r"], "v", f)[1]) for f in ("gamma", "inverse_gaussian")]
