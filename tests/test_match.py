@@ -110,3 +110,39 @@ def test_labels_of_an_image_of_all_rows(spark, sf):
     got = {(r["row"], r["col"]): r["label"] for r in layout_plans.R.queries["up_labels"](spark, sf).collect()}
     assert got == want
     assert len(set(want.values())) < len(want)
+
+
+def test_greedy_in_tiles_equals_one_by_one(spark, monkeypatch):
+    monkeypatch.setattr(match, "TILE_PAIRS", 40)
+    rnd = random.Random(8)
+    for at in (None, ("x", "y")):
+        pairs = list({(rnd.randrange(40), rnd.randrange(30)): None for _ in range(150)})
+        rows = [(a, b, float(rnd.randrange(6)), float(a % 7), float(a // 7)) for a, b in pairs]
+        got = match.greedy(spark.createDataFrame(rows, "left_id int, right_id int, d double, x double, y double"), at=at)
+        assert {(r["left_id"], r["right_id"]) for r in got.collect()} == by_hand([r[:3] for r in rows])
+
+
+def test_greedy_rounds_do_not_grow_with_chains(spark, monkeypatch):
+    """A chain of pairs of one length along a line, in the order of ids, took a round a pair."""
+    rounds = []
+    add = match.Appended.add
+    monkeypatch.setattr(match.Appended, "add", lambda self, df: rounds.append(1) or add(self, df))
+    left = spark.createDataFrame([(i, 2.0 * i, 0.0) for i in range(60)], "id long, x double, y double")
+    right = spark.createDataFrame([(i, 2.0 * i + 1, 0.0) for i in range(60)], "id long, x double, y double")
+    got = {(r["left_id"], r["right_id"]) for r in match.greedy_within(left, right, 1.5).collect()}
+    assert got == {(i, i) for i in range(60)}
+    assert len(rounds) < 10
+
+
+def test_greedy_of_places_with_copies(spark):
+    rnd = random.Random(4)
+    side = lambda n: [(i, float(rnd.randrange(5)), float(rnd.randrange(4))) for i in range(n)]
+    for n, m in ((70, 25), (20, 60)):
+        a, b = side(n), side(m)
+        every = [(i, j, round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 6)) for i, x, y in a for j, u, v in b]
+        left, right = (spark.createDataFrame(s, "id long, x double, y double") for s in (a, b))
+        near = [p for p in every if p[2] <= 2.5]
+        assert {(r["left_id"], r["right_id"]) for r in match.greedy_within(left, right, 2.5).collect()} == by_hand(near)
+        ranked = {i: sorted((d, j) for k, j, d in near if k == i)[:3] for i, *_ in a}
+        closest = [(i, j, d) for i, found in ranked.items() for d, j in found]
+        assert {(r["left_id"], r["right_id"]) for r in match.greedy_nearest(left, right, 3, 2.5).collect()} == by_hand(closest)

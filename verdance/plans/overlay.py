@@ -64,7 +64,7 @@ def joi_grid_agreement(spark, sf):
 def joi_knn_greedy(spark, sf):
     """The four closest within a cap, then one to one by distance (JOI-12)."""
     cu, su = spots(spark, sf)
-    return match.greedy(match.knn(cu, su, 4, 30.0).select("left_id", "right_id", "d"))
+    return match.greedy_nearest(cu, su, 4, 30.0)
 
 
 @R.add(
