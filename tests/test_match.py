@@ -146,3 +146,18 @@ def test_greedy_of_places_with_copies(spark):
         ranked = {i: sorted((d, j) for k, j, d in near if k == i)[:3] for i, *_ in a}
         closest = [(i, j, d) for i, found in ranked.items() for d, j in found]
         assert {(r["left_id"], r["right_id"]) for r in match.greedy_nearest(left, right, 3, 2.5).collect()} == by_hand(closest)
+
+
+def test_thinning_makes_no_pairs_and_equals_one_by_one(spark, monkeypatch):
+    rnd = random.Random(6)
+    rows = [(i, float(rnd.randrange(30)), float(rnd.randrange(30))) for i in range(300)] + [(900, None, 1.0)]
+    kept = []
+    for i, x, y in rows[:-1]:
+        if all((x - u) ** 2 + (y - v) ** 2 >= 49 for _, u, v in kept):
+            kept.append((i, x, y))
+    met = []
+    own = layout.within
+    monkeypatch.setattr(layout, "within", lambda a, b, *r: met.append(b.count()) or own(a, b, *r))
+    got = {r["id"] for r in layout.thinned(spark.createDataFrame(rows, "id long, x double, y double"), 7.0).collect()}
+    assert got == {i for i, *_ in kept} | {900}
+    assert sum(met) <= len(kept)

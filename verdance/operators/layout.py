@@ -62,23 +62,28 @@ def hulls(df: DataFrame, by: str, chunks: int = 64) -> DataFrame:
 def thinned(points: DataFrame, least: float) -> DataFrame:
     """Points kept by taking them in id order, each if no kept one is closer than ``least``.
 
-    Rounds over the conflict graph: a point whose smaller-id neighbours are all
-    dropped is kept, and drops its larger-id neighbours; this is the same set.
+    At one place only the smallest id can be kept. Rounds over what is left: a point whose id is the smallest of its
+    cell (as wide as ``least``) and of the eight around it has no smaller neighbour, so it is kept, and drops those closer than ``least``. That is the same
+    set, without pairs of points: a point meets the few kept ones that are next to it. Points without a place are kept.
     """
-    edges = checkpointed(within(points, points, least).filter((C("d") < least) & (C("left_id") < C("right_id"))).select(C("left_id").alias("a"), C("right_id").alias("b")))
-    state = points.select("id")
-    kept = Appended(points.sparkSession, state.schema)
-    left = checkpointed(state)
-    while True:
-        blocked = edges.select(C("b").alias("id")).distinct()
-        now = checkpointed(left.join(blocked, "id", "left_anti"))
+    if not least > 0:
+        return points.select("id")
+    placed = (F.abs(C("x").cast("double")) < float("inf")) & (F.abs(C("y").cast("double")) < float("inf"))
+    kept = Appended(points.sparkSession, points.select("id").schema)
+    kept.add(points.filter(~F.coalesce(placed, F.lit(False))).select("id"))
+    left = points.filter(placed).groupBy(C("x").cast("double").alias("x"), C("y").cast("double").alias("y")).agg(F.min("id").alias("id"))
+    cell = lambda c: F.floor(C(c) / F.lit(least)).cast("bigint")
+    left = written(left.select("id", "x", "y", cell("x").alias("_cx"), cell("y").alias("_cy")))
+    near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+    while not left.isEmpty():
+        lowest = left.groupBy("_cx", "_cy").agg(F.min("id").alias("id"))
+        around = lowest.withColumn("_ox", F.explode(near)).withColumn("_oy", F.explode(near)).groupBy((C("_cx") + C("_ox")).alias("_cx"), (C("_cy") + C("_oy")).alias("_cy")).agg(F.min("id").alias("id"))
+        now = written(left.join(around, ["_cx", "_cy", "id"], "left_semi").select("id", "x", "y"))
         kept.add(now)
-        drop = edges.join(now.select(C("id").alias("a")), "a").select(C("b").alias("id")).distinct()
-        left = checkpointed(left.join(now, "id", "left_anti").join(drop, "id", "left_anti"))
-        if left.isEmpty():
-            return kept.read()
-        alive = left.select("id")
-        edges = checkpointed(edges.join(alive.select(C("id").alias("a")), "a").join(alive.select(C("id").alias("b")), "b").select("a", "b"))
+        # Kept ones are the right side, which is copied to the cells around.
+        drop = within(left, now, least).filter(C("d") < least).select(C("left_id").alias("id"))
+        left = written(left.join(drop.distinct(), "id", "left_anti"))
+    return kept.read()
 
 
 def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
