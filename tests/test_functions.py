@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from verdance.functions import special
 from verdance.operators import layout, regress
+from verdance.plans import pixels
 from verdance.sources import readers
 
 
@@ -106,3 +107,8 @@ def test_geopackage_and_tiff(spark, tmp_path):
     with open(tiff, "wb") as f:
         f.write(b"II*\x00" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHIHH", 256, 3, 1, 640, 0) + struct.pack("<HHII", 257, 4, 1, 480))
     assert readers.tiff_sizes(spark, tiff).select("width", "height").first() == (640, 480)
+
+
+def test_imputation_by_year_sorts_no_year_in_one_task(spark, sf, capsys):
+    pixels.R.queries["prj_terms"](spark, sf).explain()
+    assert "Window" not in capsys.readouterr().out
