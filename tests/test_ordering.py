@@ -149,3 +149,19 @@ def test_huber_takes_no_median_in_one_task(spark, monkeypatch):
     rows = [(float(i % 10), 3.0 * (i % 10) + i % 7 / 10 + (500.0 if i % 50 == 0 else 0.0)) for i in range(1000)]
     slope = regress.huber(spark.createDataFrame(rows, "x double, y double"), ["x"], "y")[1]
     assert abs(slope - 3.0) < 0.05
+
+
+def test_spearman_deals_groups_over_more_tasks_with_more_rows(spark, monkeypatch):
+    monkeypatch.setattr(stats, "RANKED", 20)
+    rnd = random.Random(2)
+    rows = [(g, float(rnd.randrange(6)), float(rnd.randrange(9))) for g in range(12) for _ in range(30)]
+    df = spark.createDataFrame(rows, "g int, x double, y double")
+    seen = []
+    own = stats.pearson
+    monkeypatch.setattr(stats, "pearson", lambda d, *a: seen.append(d.rdd.getNumPartitions()) or own(d, *a))
+    got = {r["g"]: r["rho"] for r in stats.spearman(df, "x", "y", ("g",)).collect()}
+    assert seen == [18]
+    mean = lambda v: [sum((a < b) + (a == b) / 2 for a in v) for b in v]
+    for g in range(12):
+        x, y = zip(*((a, b) for k, a, b in rows if k == g), strict=True)
+        assert abs(got[g] - np.corrcoef(mean(x), mean(y))[0, 1]) < 1e-9

@@ -23,6 +23,8 @@ from verdance.operators.ordering import numbered
 from verdance.session import checkpointed
 
 C = F.col
+#: Rows of groups that are ranked in a task, on average.
+RANKED = 250_000
 
 
 def dbl(c: str | Column) -> Column:
@@ -46,8 +48,14 @@ def ranked(df: DataFrame, v: str, by: tuple[str, ...] = (), ties: str = "average
 
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = (), ties: str = "average", order: str | None = None) -> DataFrame:
-    """Rank correlation with average or ordinal ties. Ranks need a group's rows in order, so ``by`` is what spreads the work."""
-    both = df.filter(C(x).isNotNull() & C(y).isNotNull())
+    """Rank correlation with average or ordinal ties. Ranks need a group's rows in order, so ``by`` is what spreads the work.
+
+    Groups are dealt over as many tasks as keep a task's rows at about ``RANKED``, however many there are.
+    """
+    both = df.filter(C(x).isNotNull() & C(y).isNotNull()).select(*dict.fromkeys([*by, x, y, *([order] if order else [])]))
+    parts = -(-both.count() // RANKED) if by else 1
+    if parts > 1:
+        both = both.repartition(parts, *by)
     own = both.select(*by, ranked(both, x, by, ties, order).alias("_x"), ranked(both, y, by, ties, order).alias("_y"))
     return pearson(own, "_x", "_y", by).withColumnRenamed("r", "rho")
 
