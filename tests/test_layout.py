@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
+import pytest
 
 from verdance.operators import layout
 
@@ -70,3 +72,39 @@ def test_seed_pixels_stay_in_the_image(spark):
     seeds = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0), (5.0, 5.0)], PIXELS)
     got = {(r["row"], r["col"]) for r in layout.seed_pixels(seeds, 0.0, 3.0, (0, 0, 9, 9)).collect()}
     assert got == {(r, c) for r in (0, 1) for c in (0, 1)} | {(r, c) for r in (4, 5, 6) for c in (4, 5, 6)}
+
+
+@pytest.mark.parametrize("diagonal", [False, True])
+def test_labels_spread_by_tiles_and_not_by_pixels(spark, monkeypatch, diagonal):
+    rnd = random.Random(9)
+    images = [{(r, c) for r in range(-9, 25) for c in range(-7, 30) if rnd.random() < 0.55}, {(r, c) for r in range(40) for c in range(40) if r % 2 == 0 or c == (39 if r % 4 == 1 else 0)}]
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if abs(a) + abs(b) == 1 or diagonal and a and b]
+    for side, px in ((8, images[0]), (16, images[1]), (256, images[1])):
+        monkeypatch.setattr(layout, "SIDE", side)
+        want, seen = {}, set()
+        for p in sorted(px):
+            stack = [p] if p not in seen else []
+            while stack:
+                q = stack.pop()
+                if q in seen:
+                    continue
+                seen.add(q)
+                want[q] = p[0] * 2**32 + p[1]
+                stack += [(q[0] + a, q[1] + b) for a, b in steps if (q[0] + a, q[1] + b) in px]
+        tables = []
+        own = layout.written
+        monkeypatch.setattr(layout, "written", lambda df, own=own: tables.append(1) or own(df))
+        got = layout.labelled(spark.createDataFrame(sorted(px), "row int, col int"), diagonal)
+        assert {(r["row"], r["col"]): r["label"] for r in got.collect()} == want
+        monkeypatch.setattr(layout, "written", own)
+        if side == 256:
+            assert len(tables) <= 3 + 1  # nothing crosses a tile
+
+
+def test_hulls_of_many_groups_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(layout, "CORNERS", 500)
+    rnd = random.Random(1)
+    rows = [(None if g == 0 else 2**60 + g, float(rnd.randrange(20)), float(rnd.randrange(20))) for g in range(150) for _ in range(1 + g % 9)]
+    made = layout.hulls(spark.createDataFrame(rows, "id long, x double, y double"), "id")
+    got = {r["id"]: [(p["x"], p["y"]) for p in r["ring"]] for r in made.collect()}
+    assert got == {k: layout.hull(np.array([(x, y) for i, x, y in rows if i == k])) for k in {r[0] for r in rows}}

@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,10 @@ from verdance.session import Appended, checkpointed, written
 C = F.col
 #: Rows of an ordered table that share a block.
 ROWS = 1 << 16
+#: Rows and columns of a tile in which components are found.
+SIDE = 256
+#: Corners of hulls that meet in a task, on average.
+CORNERS = 50_000
 
 
 def hull(points: np.ndarray) -> list[tuple[float, float]]:
@@ -39,24 +44,42 @@ def hull(points: np.ndarray) -> list[tuple[float, float]]:
     return [*ring, ring[0]]
 
 
-def hulls(df: DataFrame, by: str, chunks: int = 64) -> DataFrame:
+def _rings(t: pa.Table, by: str) -> tuple[pa.Array, list[tuple[int, list[tuple[float, float]]]]]:
+    """The values of ``by``, and (index into them, closed hull) of each group of a table (by, x, y)."""
+    own = t.column(by).combine_chunks().dictionary_encode(null_encoding="encode")
+    own = pa.concat_arrays(own.chunks) if isinstance(own, pa.ChunkedArray) else own
+    code, points = own.indices.to_numpy(zero_copy_only=False), np.column_stack([t.column("x").to_numpy(), t.column("y").to_numpy()])
+    order = np.argsort(code, kind="stable")
+    starts = np.flatnonzero(np.diff(code[order], prepend=-1)) if len(order) else []
+    return own.dictionary, [(int(code[at[0]]), hull(points[at])) for at in np.split(order, starts[1:]) if len(at)]
+
+
+def hulls(df: DataFrame, by: str) -> DataFrame:
     """(by, ring) from points (by, x, y).
 
-    Hulls of hashed chunks first, then the hull of their corners, so that a large
-    group is spread over tasks and what meets in the end are corners only.
+    Hulls of the groups of each batch of rows first, without a shuffle, then the hull of their corners: a large group is spread over
+    tasks, what meets in the end are corners only, and many small groups share a task.
     """
     kind = df.schema[by].dataType.simpleString()
+    own = df.select(by, C("x").cast("double").alias("x"), C("y").cast("double").alias("y")).filter("x is not null and y is not null")
 
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        ring = hull(pdf[["x", "y"]].to_numpy(float))[:-1]
-        return pd.DataFrame({by: pdf[by].iloc[0], "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
+    def corners(batches):
+        for batch in batches:
+            values, rings = _rings(pa.Table.from_batches([batch]), by)
+            n = [max(len(ring) - 1, 1) for _, ring in rings]
+            flat = np.array([p for (_, ring), k in zip(rings, n, strict=True) for p in ring[:k]], float).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(np.repeat([c for c, _ in rings], n).astype(np.int64))), pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=[by, "x", "y"])
 
-    def ring(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "ring": [[{"x": x, "y": y} for x, y in hull(pdf[["x", "y"]].to_numpy(float))]]})
+    def ring(t: pa.Table) -> pa.Table:
+        values, rings = _rings(t.select([by, "x", "y"]), by)
+        flat = np.array([p for _, r in rings for p in r], float).reshape(-1, 2)
+        ends = pa.array(np.cumsum([0, *(len(r) for _, r in rings)]), pa.int32())
+        held = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["x", "y"]))
+        return pa.table({by: values.take(pa.array([c for c, _ in rings], pa.int64())), "ring": held})
 
-    own = df.select(by, "x", "y").filter("x is not null and y is not null").withColumn("_c", F.pmod(F.xxhash64("x", "y"), F.lit(chunks)))
-    first = own.groupBy(by, "_c").applyInPandas(corners, f"{by} {kind}, x double, y double")
-    return first.groupBy(by).applyInPandas(ring, f"{by} {kind}, ring array<struct<x:double,y:double>>")
+    first = written(own.mapInArrow(corners, f"{by} {kind}, x double, y double"))
+    parts = max(1, -(-first.count() // CORNERS))
+    return first.withColumn("_c", F.pmod(F.xxhash64(by), F.lit(parts))).groupBy("_c").applyInArrow(ring, f"{by} {kind}, ring array<struct<x:double,y:double>>")
 
 
 def thinned(points: DataFrame, least: float) -> DataFrame:
@@ -86,18 +109,58 @@ def thinned(points: DataFrame, least: float) -> DataFrame:
     return kept.read()
 
 
+def joined_runs(row: np.ndarray, col: np.ndarray, diagonal: bool = False) -> np.ndarray:
+    """For pixels in the order (row, col), without repeats, the position of the first pixel of each one's connected component.
+
+    Pixels side by side are runs; a run meets those of the next row that it overlaps. The larger root of a meeting hangs on the smaller, all at once, until none does.
+    """
+    if not len(row):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1] + 1)
+    first = np.flatnonzero(new)
+    r, low, high = row[first], col[first], col[np.append(first[1:], len(row)) - 1]
+    reach, width = int(diagonal), int(col.max() - col.min()) + 4
+    at = lambda y, x: (y - row.min()) * width + (x - col.min() + 2)
+    start = np.searchsorted(at(r, high), at(r + 1, low - reach), "left")
+    count = np.maximum(np.searchsorted(at(r, low), at(r + 1, high + reach), "right") - start, 0)
+    a = np.repeat(np.arange(len(r)), count)
+    b = np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+    root = np.arange(len(r))
+    while True:
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return first[root][np.cumsum(new) - 1]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
     """Connected components of (row, col) pixels: label is the smallest row * 2^32 + col of each.
 
-    Smallest labels spread over neighbours, with labels of labels followed, until nothing changes.
+    Components are found in tiles first, each named by its smallest pixel. Only those that touch across the borders of tiles are then a graph, in
+    which smallest names spread over neighbours, with names of names followed, until nothing changes.
     """
     key = lambda r, c: r.cast("bigint") * F.lit(2**32) + c.cast("bigint")
     steps = [(0, 1), (1, 0), (0, -1), (-1, 0)] + ([(1, 1), (1, -1), (-1, 1), (-1, -1)] if diagonal else [])
-    own = pixels.select("row", "col").distinct()
-    near = F.array(*(key(C("row") + a, C("col") + b) for a, b in steps))
-    nodes = own.select(key(C("row"), C("col")).alias("id"))
-    edges = written(own.select(key(C("row"), C("col")).alias("id"), F.explode(near).alias("to")).join(nodes.select(C("id").alias("to")), "to"))
-    labels = written(nodes.withColumn("label", C("id")))
+
+    def parts(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, c = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        root = joined_runs(r, c, diagonal)
+        return pd.DataFrame({"row": r, "col": c, "part": r[root] * 2**32 + c[root]})
+
+    tile = lambda c: F.floor(C(c) / SIDE).cast("bigint")
+    own = pixels.select(C("row").cast("bigint").alias("row"), C("col").cast("bigint").alias("col")).dropna().distinct()
+    placed = written(own.withColumns({"_tr": tile("row"), "_tc": tile("col")}).groupBy("_tr", "_tc").applyInPandas(parts, "row bigint, col bigint, part bigint"))
+    rim = lambda c: F.pmod(C(c), F.lit(SIDE)).isin(0, SIDE - 1)
+    edge = placed.filter(rim("row") | rim("col")).select("row", "col", "part")
+    around = edge.select("part", F.explode(F.array(*(key(C("row") + a, C("col") + b) for a, b in steps))).alias("id"))
+    edges = around.join(edge.select(key(C("row"), C("col")).alias("id"), C("part").alias("to")), "id").filter("part != to").select(C("part").alias("id"), "to").distinct()
+    edges = written(edges)
+    labels = edges.select("id").distinct().withColumn("label", C("id"))
     while True:
         met = edges.join(labels.select(C("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("m"))
         step = labels.join(met, "id", "left").select("id", C("label").alias("was"), F.least("label", "m").alias("label"))
@@ -105,7 +168,7 @@ def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
         step = written(step.join(jump, C("label") == C("_l"), "left").select("id", "was", F.least("label", F.coalesce("_n", "label")).alias("label")))
         labels = step.select("id", "label")
         if step.filter("label != was").isEmpty():
-            return labels.select(F.floor(C("id") / F.lit(2**32)).cast("bigint").alias("row"), (C("id") % F.lit(2**32)).cast("bigint").alias("col"), "label")
+            return placed.join(labels.select(C("id").alias("part"), "label"), "part", "left").select("row", "col", F.coalesce("label", "part").alias("label"))
 
 
 def rotated(df: DataFrame, angle: float) -> DataFrame:
@@ -147,7 +210,7 @@ def spectrum(counts: np.ndarray, span: float, low: float, high: float) -> tuple[
 def grid_scan(points: DataFrame, low: float, high: float, angles: Sequence[float] = tuple(range(90))) -> DataFrame:
     """(angle, period_u, phase_u, period_v, phase_v, score, best): period and phase of the rows of points on both axes, by angle.
 
-    Points are turned by every angle and counted in bins about one unit wide inside
+    Points at one place are turned once, by every angle, and counted in bins about one unit wide inside
     the scan (partial counts; as many groups as the image is wide, an axis and
     angle). Only a histogram of one axis meets in a task, for its Fourier
     transform. ``best`` marks the first angle with the highest sum of both
@@ -155,14 +218,15 @@ def grid_scan(points: DataFrame, low: float, high: float, angles: Sequence[float
     """
     turns = F.array(*(F.struct(F.lit(float(a)).alias("angle"), F.lit(cos(a * pi / 180)).alias("c"), F.lit(sin(a * pi / 180)).alias("s")) for a in angles))
     u, v = C("x") * C("t.c") + C("y") * C("t.s"), C("y") * C("t.c") - C("x") * C("t.s")
-    own = points.filter("x is not null and y is not null").select("x", "y", F.explode(turns).alias("t"))
-    own = own.select(C("t.angle").alias("angle"), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"))
+    places = written(points.filter("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("m")))
+    own = places.select("x", "y", "m", F.explode(turns).alias("t"))
+    own = own.select(C("t.angle").alias("angle"), F.round(u, 6).alias("u"), F.round(v, 6).alias("v"), "m")
     ends = own.groupBy("angle").agg(*(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "uv"))
     both = own.join(F.broadcast(ends), "angle")  # one row an angle
     axes = F.array(*(F.struct(F.lit(c).alias("axis"), C(c).alias("at"), C(f"low_{c}").alias("low"), (C(f"high_{c}") - C(f"low_{c}")).alias("span")) for c in "uv"))
-    flat = both.select("angle", F.explode(axes).alias("a")).select("angle", "a.*").withColumn("n", F.greatest(F.floor("span"), F.lit(32)).cast("int"))
+    flat = both.select("angle", "m", F.explode(axes).alias("a")).select("angle", "m", "a.*").withColumn("n", F.greatest(F.floor("span"), F.lit(32)).cast("int"))
     place = F.when(C("span") > 0, F.least(F.floor((C("at") - C("low")) / (C("span") / C("n"))).cast("int"), C("n") - 1)).otherwise(0)
-    bins = flat.groupBy("angle", "axis", "low", "span", "n", place.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    bins = flat.groupBy("angle", "axis", "low", "span", "n", place.alias("bin")).agg(F.sum("m").alias("count"))
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
