@@ -186,3 +186,10 @@ def test_neighbours_of_copies_and_clusters(spark):
             assert [d[j] for j in (got[i][n] for n in range(1, 8))] == sorted(d[j] for j in others)[:7]
             if i < 240:  # copies at a place: the smallest keys
                 assert list(got[i][n] for n in range(1, 8)) == sorted(others, key=lambda j: (d[j], j))[:7]
+
+
+def test_dealt_in_arrays(spark):
+    """The column that arrays deal is that of the column function, and a permutation."""
+    df = spark.range(1000).select("id", deals.placed(F.col("id"), 1000, 77).alias("a"), deals.place(F.col("id"), 1000, F.lit(77)).alias("b"))
+    got = df.collect()
+    assert all(r["a"] == r["b"] for r in got) and {r["a"] for r in got} == set(range(1000))

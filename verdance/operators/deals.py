@@ -10,6 +10,7 @@ from __future__ import annotations
 from math import ceil, isqrt
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,6 +94,15 @@ def places(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def placed(i: Column, n: int, key: int) -> Column:
+    """``place`` by arrays, for passes over many rows: as a column function its loops are interpreted row by row."""
+
+    def moved(v: pd.Series) -> pd.Series:
+        return pd.Series(places(v.to_numpy(np.int64), n, key))
+
+    return F.pandas_udf(moved, "long")(i)
+
+
 def place_sql(source: str, name: str = "placed") -> str:
     """Recursive CTE ``name``: rows of ``source`` (i, n, key, ...), with ``x``, the place of i.
 
