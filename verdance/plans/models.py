@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from verdance.operators import detect, regress
 from verdance.plans.registry import PX, Registry, pixels, read, rounded
 from verdance.plans.statistics import f_sql
-from verdance.session import checkpointed, written
+from verdance.session import written
 
 R = Registry()
 C = F.col
@@ -205,8 +205,8 @@ def ml_knn(spark, sf):
 @R.add("ml_trees")
 def ml_trees(spark, sf):
     """Tree, forest and boosting with importances (ML-11..14, ML-19, ML-20)."""
-    px = checkpointed(pixels(spark, sf).select("k", "n", *XS, "v"))
-    rows = []
+    px = written(pixels(spark, sf).select((C("k") * 8 + C("n")).alias("key"), *XS, "v"))
+    rows, made = [], {}
     least = {"minInstancesPerNode": 10}
     models = (
         ("tree", "tree", {"maxDepth": 3}),
@@ -214,9 +214,9 @@ def ml_trees(spark, sf):
         ("boost", "boost", {"maxIter": 80, "maxDepth": 2, "stepSize": 0.1, **least}),
     )
     for name, kind, params in models:
-        m = regress.trees(px, XS, "v", kind, **params)
+        m = made[name] = regress.trees(px, XS, "v", kind, **params)
         rows += [(name, f"importance_{x}", m.featureImportances[i]) for i, x in enumerate(XS)]
-    rows += [("tree", f"permuted_{x}", v / 1e6) for x, v in regress.permutation_importance(regress.trees(px, XS, "v", "tree", maxDepth=3), px.withColumn("key", C("k") * 8 + C("n")), XS, "v", "key")]
+    rows += [("tree", f"permuted_{x}", v / 1e6) for x, v in regress.permutation_importance(made["tree"], px, XS, "v", "key")]
     return rounded(tidy(spark, rows), 3)
 
 
