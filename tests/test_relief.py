@@ -119,3 +119,18 @@ def test_distances_pass_through_places_without_a_row(spark):
         got = relief.distances(spark.createDataFrame([(*at, inside) for at, inside in px.items()], "row int, col int, inside boolean"))
         got = {(r["row"], r["col"]): r["d2"] for r in got.collect()}
         assert got == {(r, c): min((r - a) ** 2 + (c - b) ** 2 for a, b in out) for (r, c), inside in px.items() if inside}
+
+
+def test_floods_and_peaks_cross_tiles(spark, monkeypatch):
+    """Marks and plateaus that reach over small tiles, and floods over tiles of both sizes, are those of a plain loop."""
+    monkeypatch.setattr(relief, "TILE", 6)
+    monkeypatch.setattr(relief, "COARSE", 3)
+    rng = np.random.default_rng(11)
+    own = {(r, c): int(rng.integers(1, 4)) for r in range(40) for c in range(31) if rng.random() < 0.9}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in own.items()], "row bigint, col bigint, d2 bigint").coalesce(2)
+    found = relief.peaks(df, 2)
+    marks = {(r["row"], r["col"]) for r in found.collect()}
+    assert marks == peaks(own, 2)
+    some = sorted(marks)[::9]
+    got = relief.watershed(df, spark.createDataFrame(some, "row bigint, col bigint"))
+    assert {(r["row"], r["col"]): divmod(r["label"], 2**32) for r in got.collect()} == flooded(own, set(some))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdance.operators.match import closest, within
+from verdance.operators.match import closest
 from verdance.session import Appended, checkpointed, written
 
 C = F.col
@@ -23,6 +23,8 @@ C = F.col
 TILE = 256
 #: Places of an image a pixel, up to which those without a row are filled up.
 FILLED = 4
+#: Tiles beside each other that a second flood takes as one.
+COARSE = 16
 
 
 def pixel_id(row: Column, col: Column) -> Column:
@@ -181,26 +183,44 @@ def peaks(relief: DataFrame, apart: int) -> DataFrame:
     """(row, col, d2) of peaks more than ``apart`` pixels apart in rows or columns.
 
     Candidates are the largest of their square. Of candidates too close to each other (equally high, as in a
-    plateau) those are taken that come first in the order (height, row, col); as rounds over conflicts,
-    in which a candidate before all it conflicts with is taken, and drops those.
+    plateau) those are taken that come first in the order (height, row, col). Tiles settle their own in that order, as far as
+    none waits for one of a tile beside; rounds are as many as chains of conflicts cross tiles.
     """
     found = focal_maximum(relief.filter("d2 is not null"), "d2", apart, square=True).filter("d2 >= highest").select("row", "col", "d2")
-    found = checkpointed(found.withColumn("id", pixel_id(C("row"), C("col"))))
-    spots = found.select("id", C("col").cast("double").alias("x"), C("row").cast("double").alias("y"))
-    place = lambda side: found.select(C("id").alias(f"{side}_id"), C("row").alias(f"{side}_r"), C("col").alias(f"{side}_c"), C("d2").alias(f"{side}_d"))
-    both = within(spots, spots, apart * 2**0.5 + 1e-6).filter("left_id != right_id").join(place("left"), "left_id").join(place("right"), "right_id")
-    first = (C("left_d") > C("right_d")) | ((C("left_d") == C("right_d")) & (C("left_id") < C("right_id")))
-    close = (F.abs(C("left_r") - C("right_r")) <= apart) & (F.abs(C("left_c") - C("right_c")) <= apart)
-    edges = checkpointed(both.filter(first & close).select(C("left_id").alias("a"), C("right_id").alias("b")))
-    left = checkpointed(found.select("id"))
-    taken = Appended(relief.sparkSession, left.schema)
+    side = max(TILE, apart)
+    left = written(found.select(C("row").cast("bigint").alias("row"), C("col").cast("bigint").alias("col"), "d2", F.lit(0).alias("state")))
+    reach = lambda c: F.array_distinct(F.array(*(F.floor((C(c) + d) / side) for d in (-apart, 0, apart))))
+
+    def settled(pdf: pd.DataFrame) -> pd.DataFrame:
+        top, first = int(pdf["_tr"].iloc[0]) * side, int(pdf["_tc"].iloc[0]) * side
+        pdf = pdf.iloc[np.lexsort((pdf["col"], pdf["row"], -pdf["d2"].to_numpy()))]
+        r, c, was = pdf["row"].to_numpy() - top + 2 * apart, pdf["col"].to_numpy() - first + 2 * apart, pdf["state"].to_numpy()
+        own = (r >= 2 * apart) & (r < 2 * apart + side) & (c >= 2 * apart) & (c < 2 * apart + side)
+        taken, open_ = (np.zeros((side + 4 * apart,) * 2, bool) for _ in range(2))
+        now = was.copy()
+        taken[r[was == 1], c[was == 1]] = True
+        for i, (y, x) in enumerate(zip(r.tolist(), c.tolist(), strict=True)):
+            if was[i] == 0:
+                around = slice(y - apart, y + apart + 1), slice(x - apart, x + apart + 1)
+                if own[i] and taken[around].any():
+                    now[i] = 2
+                elif not own[i] or open_[around].any():
+                    open_[y, x] = True
+                else:
+                    now[i], taken[y, x] = 1, True
+        return pdf.assign(state=now)[own & (was == 0)][["row", "col", "d2", "state"]]
+
+    taken = Appended(relief.sparkSession, left.select("row", "col", "d2").schema)
     while not left.isEmpty():
-        now = checkpointed(left.join(edges.select(C("b").alias("id")).distinct(), "id", "left_anti"))
-        taken.add(now)
-        drop = edges.join(now.select(C("id").alias("a")), "a").select(C("b").alias("id")).distinct()
-        left = checkpointed(left.join(now, "id", "left_anti").join(drop, "id", "left_anti"))
-        edges = checkpointed(edges.join(left.select(C("id").alias("a")), "a").join(left.select(C("id").alias("b")), "b").select("a", "b"))
-    return found.join(taken.read(), "id").select("row", "col", "d2")
+        copied = left.withColumn("_tr", F.explode(reach("row"))).withColumn("_tc", F.explode(reach("col")))
+        step = written(copied.groupBy("_tr", "_tc").applyInPandas(settled, left.schema))
+        taken.add(step.filter("state = 1"))
+        waiting = step.filter("state = 0")
+        if waiting.isEmpty():
+            break
+        # What is taken is there once more, for what waits in the tiles beside.
+        left = written(waiting.unionByName(taken.read().withColumn("state", F.lit(1))))
+    return taken.read()
 
 
 def followed(moves: DataFrame) -> DataFrame:
@@ -221,30 +241,115 @@ def _beside(own: DataFrame, keep: list[Column]) -> DataFrame:
     return near.join(own.select(C("id").alias("to"), C("key").alias("to_key")), "to")
 
 
+def _forest(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root of each node, links that stay open) of a flood over links a - b ranked by low, then high: the highest first.
+
+    A link that closes a cycle is in no flood. One with an end (``ends``) on one side at most joins both sides; one between two ends stays open, whatever
+    lies outside. A root is the end of its tree where there is one.
+    """
+    n = len(ends)
+    whole, tree, full, open_ = list(range(n)), list(range(n)), ends.tolist(), []
+
+    def root(of: list[int], i: int) -> int:
+        while of[i] != i:
+            of[i] = of[of[i]]
+            i = of[i]
+        return i
+
+    order = np.lexsort((-high, -low))
+    for k, x, y in zip(order.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+        p, q = root(whole, x), root(whole, y)
+        if p == q:
+            continue
+        whole[p] = q
+        p, q = root(tree, x), root(tree, y)
+        if full[p] and full[q]:
+            open_.append(k)
+        elif full[p]:
+            tree[q] = p
+        else:
+            tree[p] = q
+    return np.array([root(tree, i) for i in range(n)], np.int64), np.array(open_, np.int64)
+
+
+#: Columns of a link: its basins, whether they have a mark, and its rank: the keys of its lower and of its higher end.
+LINK = ("a", "b", "a_full", "b_full", "low_d2", "low_at", "high_d2", "high_at")
+
+
+def _ranked(pdf: pd.DataFrame, end: str) -> np.ndarray:
+    """The rank of each link's lower or higher end among all ends of both kinds."""
+    keys = pd.concat([pdf[[f"{e}_d2", f"{e}_at"]].set_axis(["d2", "at"], axis=1) for e in ("low", "high")])
+    codes = pd.MultiIndex.from_frame(keys.drop_duplicates().sort_values(["d2", "at"]))
+    return codes.get_indexer(pd.MultiIndex.from_frame(pdf[[f"{end}_d2", f"{end}_at"]]))
+
+
 def watershed(relief: DataFrame, marks: DataFrame) -> DataFrame:
     """(row, col, label) of each pixel of ``relief`` (row, col, d2) that the flood from ``marks`` (row, col) reaches; label is the mark's pixel_id.
 
     The flood goes down from the marks, by the eight neighbours. Pixels are ordered by height and then by
     place, links between neighbours by their lower end and then by their higher end; the highest link
-    is taken first, unless both its sides have a mark. That is a spanning forest, and it is grown by
-    best links: every pixel hangs on its highest neighbour, so chains of pointers give basins; of links between
-    two basins only the highest counts; and basins without a mark, all at once, hang on the best they have, until none is left that has one.
-    Rounds are the logarithm of the longest chain, and of the number of basins.
+    is taken first, unless both its sides have a mark. That is a spanning forest. Tiles grow it first, with marks and rims as ends that stay apart;
+    what stays open between them, and the links across tiles, are grown again in tiles COARSE times as wide. Of what is then
+    left, basins without a mark, all at once, hang on the best they have, until none is left that has one.
     """
-    own = relief.filter("d2 is not null").select("row", "col", pixel_id(C("row"), C("col")).alias("id"), F.struct("d2", (-pixel_id(C("row"), C("col"))).alias("at")).alias("key"))
-    own = checkpointed(own)
-    marked = checkpointed(marks.select(pixel_id(C("row"), C("col")).alias("id")).distinct().withColumn("mark", C("id")))
-    near = _beside(own, [C("id"), C("key")])
-    best = near.filter(C("to_key") > C("key")).groupBy("id").agg(F.max(F.struct("to_key", "to")).alias("m"))
-    # A marked pixel hangs on nothing.
-    hung = best.join(marked.select("id"), "id", "left_anti").select("id", C("m.to").alias("to"))
-    basins = followed(own.select("id").join(hung, "id", "left").select("id", F.coalesce("to", "id").alias("to")))
-    placed = checkpointed(own.join(basins, "id").select("id", "row", "col", "key", C("to").alias("basin")))
-    sides = _beside(placed, [C("id"), C("key"), C("basin")]).filter(C("key") > C("to_key")).join(basins.select(C("id").alias("to"), C("to").alias("to_basin")), "to").filter("basin != to_basin")
-    # A link's rank: its lower end, then its higher end.
-    links = sides.groupBy(F.least("basin", "to_basin").alias("a"), F.greatest("basin", "to_basin").alias("b")).agg(F.max(F.struct(C("to_key").alias("low"), C("key").alias("high"))).alias("rank"))
-    links = checkpointed(links)
-    group = checkpointed(placed.select(C("basin").alias("id")).distinct().join(marked, "id", "left").select("id", C("id").alias("of"), C("mark").isNotNull().alias("full")))
+    d2 = dict(relief.dtypes)["d2"]
+    marked = written(marks.select(pixel_id(C("row"), C("col")).alias("id")).distinct().withColumn("mark", F.lit(True)))
+    own = relief.filter("d2 is not null").select("row", "col", "d2", pixel_id(C("row"), C("col")).alias("id")).join(marked, "id", "left").withColumn("mark", F.coalesce("mark", F.lit(False)))
+    tile = lambda c, side: F.floor(C(c) / side).cast("bigint")
+    kinds = dict(relief.dtypes)
+    link = f"a bigint, b bigint, a_full boolean, b_full boolean, low_d2 {d2}, low_at bigint, high_d2 {d2}, high_at bigint"
+
+    def rim(r, c, side):
+        return (r % side == 0) | (r % side == side - 1) | (c % side == 0) | (c % side == side - 1)
+
+    def flooded(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["d2", "id"], ascending=[True, False]).reset_index(drop=True)
+        r, c, ids, mark, h = (pdf[n].to_numpy() for n in ("row", "col", "id", "mark", "d2"))
+        at = np.full((TILE + 2, TILE + 2), -1, np.int64)
+        y, x = r.astype(np.int64) % TILE + 1, c.astype(np.int64) % TILE + 1
+        at[y, x] = np.arange(len(pdf))
+        sides = [(np.arange(len(pdf)), at[y + i, x + j]) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))]
+        p, q = (np.concatenate([s[k] for s in sides]) for k in (0, 1))
+        p, q = p[q >= 0], q[q >= 0]
+        low, high = np.minimum(p, q), np.maximum(p, q)
+        root, left = _forest(p, q, low, high, mark.astype(bool) | rim(r, c, TILE))
+        of = ids[root]
+        left = left[~(mark[root[p[left]]] & mark[root[q[left]]]).astype(bool)]
+        m, n, lo, hi = root[p[left]], root[q[left]], low[left], high[left]
+        made = pd.DataFrame({"a": ids[m], "b": ids[n], "a_full": mark[m], "b_full": mark[n], "low_d2": h[lo], "low_at": -ids[lo], "high_d2": h[hi], "high_at": -ids[hi]})
+        return pd.concat([pdf.assign(basin=of, full=mark[root])[["row", "col", "id", "d2", "basin", "full"]].astype(object), made.astype(object)], ignore_index=True)
+
+    both = written(own.withColumns({"_tr": tile("row", TILE), "_tc": tile("col", TILE)}).groupBy("_tr", "_tc").applyInPandas(flooded, f"row {kinds['row']}, col {kinds['col']}, id bigint, d2 {d2}, basin bigint, full boolean, {link}"))
+    placed = both.filter("id is not null").select("row", "col", "id", "d2", "basin", "full")
+    edge = placed.filter(rim(F.pmod(C("row"), F.lit(TILE)), F.pmod(C("col"), F.lit(TILE)), TILE))
+    edge = edge.select("row", "col", "id", F.struct("d2", (-C("id")).alias("at"), "basin", "full").alias("key"))
+    across = _beside(edge, [C("id"), C("key"), C("row"), C("col")]).withColumns({"_r": F.shiftright(C("to") + F.lit(2**31), 32), "_tr": tile("row", TILE), "_tc": tile("col", TILE)})
+    across = across.withColumn("_c", C("to") - C("_r") * F.lit(2**32)).filter((F.struct("key.d2", "key.at") > F.struct("to_key.d2", "to_key.at")) & ((tile("_r", TILE) != C("_tr")) | (tile("_c", TILE) != C("_tc"))))
+    across = across.filter("not (key.full and to_key.full)").select(C("key.basin").alias("a"), C("to_key.basin").alias("b"), C("key.full").alias("a_full"), C("to_key.full").alias("b_full"), C("to_key.d2").alias("low_d2"), C("to_key.at").alias("low_at"), C("key.d2").alias("high_d2"), C("key.at").alias("high_at"))
+    every = both.filter("id is null").select(*LINK).unionByName(across)
+    wide = TILE * COARSE
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, at = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), return_inverse=True)
+        a, b = at[: len(pdf)], at[len(pdf) :]
+        mark = np.zeros(len(ids), bool)
+        mark[a], mark[b] = pdf["a_full"].to_numpy(bool), pdf["b_full"].to_numpy(bool)
+        r = (ids + 2**31) // 2**32
+        root, left = _forest(a, b, _ranked(pdf, "low"), _ranked(pdf, "high"), mark | rim(r, ids - r * 2**32, wide))
+        m, n = root[a[left]], root[b[left]]
+        stays = pdf.iloc[left].assign(a=ids[m], b=ids[n], a_full=mark[m], b_full=mark[n])[~(mark[m] & mark[n])]
+        return pd.concat([pd.DataFrame({"id": ids, "to": ids[root]}).astype(object), stays[list(LINK)].astype(object)], ignore_index=True)
+
+    line = lambda c: F.shiftright(C(c) + F.lit(2**31), 32)
+    spot = lambda c: F.struct(F.floor(line(c) / wide).alias("r"), F.floor((C(c) - line(c) * F.lit(2**32)) / wide).alias("c"))
+    every = written(every.withColumn("_t", F.when(spot("a") == spot("b"), spot("a"))))
+    again = written(every.filter("_t is not null").groupBy("_t").applyInPandas(lambda pdf: joined(pdf), f"id bigint, `to` bigint, {link}"))
+    moved = again.filter("id is not null").select(C("id").alias("basin"), "to")
+    open_ = again.filter("id is null").select(*LINK).unionByName(every.filter("_t is null").select(*LINK))
+    rank = F.struct(F.struct("low_d2", "low_at").alias("low"), F.struct("high_d2", "high_at").alias("high"))
+    links = written(open_.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max(rank).alias("rank")))
+    nodes = links.select(C("a").alias("id")).unionByName(links.select(C("b").alias("id"))).unionByName(marked.select("id")).distinct()
+    group = written(nodes.join(marked, "id", "left").select("id", C("id").alias("of"), C("mark").isNotNull().alias("full")))
     while True:
         ends = group.select("of", "full").distinct()
         out = links.select(C("a").alias("of"), C("b").alias("to"), "rank").unionByName(links.select(C("b").alias("of"), C("a").alias("to"), "rank"))
@@ -261,8 +366,9 @@ def watershed(relief: DataFrame, marks: DataFrame) -> DataFrame:
         group = written(group.join(merged, "of").join(full, "_root", "left").select("id", C("_root").alias("of"), F.coalesce("_full", F.lit(False)).alias("full")))
         renamed = links.join(merged.select(C("of").alias("a"), C("_root").alias("_a")), "a").join(merged.select(C("of").alias("b"), C("_root").alias("_b")), "b").filter("_a != _b")
         links = written(renamed.groupBy(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).agg(F.max("rank").alias("rank")))
-    reached = group.filter("full").select(C("id").alias("basin"), C("of").alias("label"))
-    return placed.join(reached, "basin").select("row", "col", "label")
+    reached = group.filter("full").select(C("id").alias("_at"), C("of").alias("label"))
+    last = placed.join(moved, "basin", "left").withColumn("_at", F.coalesce("to", "basin"))
+    return last.join(reached, "_at").select("row", "col", "label")
 
 
 def allocated(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
