@@ -89,3 +89,10 @@ def test_one_large_object_and_none(spark):
     got = outline.outlines(df).collect()
     assert {(r["x"], r["y"]) for r in got} == {(0, 0), (200, 0), (200, 300), (0, 300)} and {r["length"] for r in got} == {1000}
     assert outline.outlines(df.limit(0)).isEmpty() and outline.simplified(outline.outlines(df.limit(0))).isEmpty()
+
+
+def test_outlines_send_no_side_to_the_driver(spark):
+    """Each join by merging: sides that are small enough to be broadcast would add up over the rounds."""
+    df = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (3, 3, 2)], "row bigint, col bigint, label bigint")
+    for made in (outline.outline_edges(df), outline.outlines(df)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()

@@ -158,14 +158,14 @@ def labelled(pixels: DataFrame, diagonal: bool = False) -> DataFrame:
     rim = lambda c: F.pmod(C(c), F.lit(SIDE)).isin(0, SIDE - 1)
     edge = placed.filter(rim("row") | rim("col")).select("row", "col", "part")
     around = edge.select("part", F.explode(F.array(*(key(C("row") + a, C("col") + b) for a, b in steps))).alias("id"))
-    edges = around.join(edge.select(key(C("row"), C("col")).alias("id"), C("part").alias("to")), "id").filter("part != to").select(C("part").alias("id"), "to").distinct()
+    edges = around.join(edge.select(key(C("row"), C("col")).alias("id"), C("part").alias("to")).hint("merge"), "id").filter("part != to").select(C("part").alias("id"), "to").distinct()
     edges = written(edges)
     labels = edges.select("id").distinct().withColumn("label", C("id"))
     while True:
-        met = edges.join(labels.select(C("id").alias("to"), "label"), "to").groupBy("id").agg(F.min("label").alias("m"))
-        step = labels.join(met, "id", "left").select("id", C("label").alias("was"), F.least("label", "m").alias("label"))
+        met = edges.join(labels.select(C("id").alias("to"), "label").hint("merge"), "to").groupBy("id").agg(F.min("label").alias("m"))
+        step = labels.join(met.hint("merge"), "id", "left").select("id", C("label").alias("was"), F.least("label", "m").alias("label"))
         jump = step.select(C("id").alias("_l"), C("label").alias("_n"))
-        step = written(step.join(jump, C("label") == C("_l"), "left").select("id", "was", F.least("label", F.coalesce("_n", "label")).alias("label")))
+        step = written(step.join(jump.hint("merge"), C("label") == C("_l"), "left").select("id", "was", F.least("label", F.coalesce("_n", "label")).alias("label")))
         labels = step.select("id", "label")
         if step.filter("label != was").isEmpty():
             return placed.join(labels.select(C("id").alias("part"), "label"), "part", "left").select("row", "col", F.coalesce("label", "part").alias("label"))

@@ -21,7 +21,7 @@ C = F.col
 BEYOND = ((-1, 0), (0, 1), (1, 0), (0, -1))
 AHEAD = ((0, 1), (1, 0), (0, -1), (-1, 0))
 START = ((0, 0), (0, 1), (1, 1), (1, 0))
-#: Doublings between two checkpoints.
+#: Doublings between two checkpoints. Joins are by merging: a broadcast of one side a round, each small enough, adds up in the driver.
 STRIDE = 2
 
 
@@ -36,8 +36,8 @@ def outline_edges(pixels: DataFrame) -> DataFrame:
     steps = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
     around = F.array(*(F.struct((C("row") + i).alias("_r"), (C("col") + j).alias("_c"), F.lit(1 << k).alias("_bit")) for k, (i, j) in enumerate(steps)))
     there = own.select(C("row").alias("_r"), C("col").alias("_c"), C("label").alias("_l"))
-    met = own.select("*", F.inline(around)).join(there, ["_r", "_c"]).filter(C("label") == C("_l")).groupBy("row", "col").agg(F.sum("_bit").alias("_bits"))
-    bits = own.join(met, ["row", "col"], "left").withColumn("_bits", F.coalesce("_bits", F.lit(0)))
+    met = own.select("*", F.inline(around)).join(there.hint("merge"), ["_r", "_c"]).filter(C("label") == C("_l")).groupBy("row", "col").agg(F.sum("_bit").alias("_bits"))
+    bits = own.join(met.hint("merge"), ["row", "col"], "left").withColumn("_bits", F.coalesce("_bits", F.lit(0)))
     has = lambda step: C("_bits").bitwiseAND(1 << steps.index(step)) != 0
     made = []
     for side in range(4):
@@ -59,7 +59,7 @@ def ring_names(edges: DataFrame) -> DataFrame:
         step = now
         for _ in range(STRIDE):
             ahead = step.select(C("id").alias("to"), C("to").alias("_to"), C("ring").alias("_ring"))
-            step = step.join(ahead, "to").select("id", C("_to").alias("to"), F.least("ring", "_ring").alias("ring"), (C("ring") != C("_ring")).alias("_new"))
+            step = step.join(ahead.hint("merge"), "to").select("id", C("_to").alias("to"), F.least("ring", "_ring").alias("ring"), (C("ring") != C("_ring")).alias("_new"))
         step = written(step)
         now = step.select("id", "to", "ring")
         if step.filter("_new").isEmpty():
@@ -68,14 +68,14 @@ def ring_names(edges: DataFrame) -> DataFrame:
 
 def ring_places(edges: DataFrame) -> DataFrame:
     """(id, ring, left): how many edges of its ring come behind each edge, the ring's first being its smallest id; steps to the last one double."""
-    named = checkpointed(edges.select("id", "next").join(ring_names(edges), "id"))
+    named = checkpointed(edges.select("id", "next").join(ring_names(edges).hint("merge"), "id"))
     last = C("next") == C("ring")
     now = written(named.select("id", "ring", F.when(last, C("id")).otherwise(C("next")).alias("to"), F.when(last, 0).otherwise(1).cast("bigint").alias("left")))
     while True:
         step = now
         for _ in range(STRIDE):
             ahead = step.select(C("id").alias("to"), C("to").alias("_to"), C("left").alias("_left"))
-            step = step.join(ahead, "to").select("id", "ring", C("_to").alias("to"), (C("left") + C("_left")).alias("left"), (C("to") != C("_to")).alias("_moved"))
+            step = step.join(ahead.hint("merge"), "to").select("id", "ring", C("_to").alias("to"), (C("left") + C("_left")).alias("left"), (C("to") != C("_to")).alias("_moved"))
         step = written(step)
         now = step.select("id", "ring", "to", "left")
         if step.filter("_moved").isEmpty():
@@ -85,10 +85,10 @@ def ring_places(edges: DataFrame) -> DataFrame:
 def outlines(pixels: DataFrame) -> DataFrame:
     """(label, ring, k, x, y, length): the corners of each ring in order, k from 0, where edges turn; ``length`` is the ring's."""
     edges = checkpointed(outline_edges(pixels))
-    placed = checkpointed(edges.join(ring_places(edges), "id"))
+    placed = checkpointed(edges.join(ring_places(edges).hint("merge"), "id"))
     sizes = placed.groupBy("ring").agg(F.count(F.lit(1)).alias("length"))
     before = placed.select(C("next").alias("id"), C("side").alias("_side"))
-    turns = placed.join(before, "id").filter(C("side") != C("_side")).join(sizes, "ring")
+    turns = placed.join(before.hint("merge"), "id").filter(C("side") != C("_side")).join(sizes.hint("merge"), "ring")
     return turns.select("label", "ring", (C("length") - 1 - C("left")).alias("k"), C("col").alias("x"), C("row").alias("y"), "length")
 
 

@@ -153,14 +153,14 @@ def up_outlines(spark, sf):
     """Length, corners and signed area of the rings around objects and their holes (UP-16, SNK-6)."""
     rings = checkpointed(outline.outlines(objects(spark, sf)))
     sizes = rings.groupBy("label", "ring").agg(F.max("length").alias("length"))
-    return sizes.join(outline.ring_areas(rings), "ring").select("label", "ring", "length", "corners", "area")
+    return sizes.join(outline.ring_areas(rings).hint("merge"), "ring").select("label", "ring", "length", "corners", "area")
 
 
 @R.add("up_polygons")
 def up_polygons(spark, sf):
     """Outer rings as polygons that leave out corners within 1 % of the ring's length: one text an object, as in a polygon file (UP-16, SNK-6)."""
     rings = checkpointed(outline.outlines(objects(spark, sf)))
-    outer = rings.join(outline.ring_areas(rings).filter("area > 0").select("ring"), "ring")
+    outer = rings.join(outline.ring_areas(rings).filter("area > 0").select("ring").hint("merge"), "ring")
     own = outline.simplified(outer).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "x", "y"))).alias("p"))
     text = F.array_join(F.transform("p", lambda p: F.concat(p["x"].cast("bigint").cast("string"), F.lit(" "), p["y"].cast("bigint").cast("string"))), ", ")
     return own.select("label", F.size("p").alias("corners"), text.alias("polygon"))
