@@ -113,3 +113,29 @@ def test_calibration_equals_loops(spark):
     assert (got[5].offset, got[5].score, got[5].method) == (3.0, None, "anchors")
     assert (got[6].offset, got[6].score, got[6].fell_back) == (3.0, 0.0, True)
     assert calibrate.calibrated(photos.limit(0), log, triggers, "flight", span=1.0, fine_span=0.1).count() == 0
+
+
+def test_calibration_over_many_cells_equals_loops(spark, monkeypatch):
+    """Cells shorter than a flight: pairs and triggers reach over cells, also over ones without photos, at times around 0 and far from it."""
+    monkeypatch.setattr(calibrate, "WIDE", 1, raising=False)
+    monkeypatch.setattr(calibrate, "ROWS", 200, raising=False)
+    later = lambda f, by: ([t + by for t in f[0]], [(r[0] + by, *r[1:]) for r in f[1]], [(r[0] + by, *r[1:]) for r in f[2]])
+    ends = flight(11, 12, 90)
+    thin = lambda f: ([t for t in f[0] if t < 30_000_000 or t > 120_000_000], f[1], f[2])
+    made = {1: later(flight(1, 12), 1_700_000_000_000_000), 2: later(flight(2, 0), -90_000_000), 3: thin(ends), 4: thin(later(flight(12, 0, 120), 500)), 5: ([t for t in ends[0] if t > 120_000_000], ends[1], ends[2])}
+    frame = lambda k, schema: spark.createDataFrame([(f"f{f}", *(r if isinstance(r, tuple) else (r,))) for f, m in made.items() for r in m[k]], "flight string, " + schema)
+    photos, log, triggers = frame(0, "at long"), frame(1, "at long, x double, y double, alt double, speed double"), frame(2, "at long, x double, y double")
+    got = {r.flight: r for r in calibrate.calibrated(photos, log, triggers, "flight", manual=3.0, span=6.0, coarse=0.5, fine_span=1.0, fine=0.1, limit=90.0).collect()}
+    assert {f: r.offset for f, r in got.items()} == {f"f{f}": pytest.approx(plain(*m, 3.0, 6.0, 0.5, 1.0, 0.1) / 1e6, abs=1e-9) for f, m in made.items()}
+
+
+def test_calibration_writes_no_row_an_offset(spark, monkeypatch):
+    """What is written is as long as the input and its copies at the ends of cells, for any number of offsets."""
+    photos, log, triggers = flight(1, 12)
+    frame = lambda rows, schema: spark.createDataFrame([(1, *(r if isinstance(r, tuple) else (r,))) for r in rows], "flight long, " + schema)
+    seen = []
+    for module, name in ((calibrate, "written"), (ordering, "checkpointed")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda df, real=real: seen.append((out := real(df)).count()) or out)
+    calibrate.calibrated(frame(photos, "at long"), frame(log, "at long, x double, y double, alt double, speed double"), frame(triggers, "at long, x double, y double"), "flight", manual=3.0).collect()
+    assert max(seen) <= 3 * (len(photos) + len(log) + len(triggers))
