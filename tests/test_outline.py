@@ -96,3 +96,42 @@ def test_outlines_send_no_side_to_the_driver(spark):
     df = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (3, 3, 2)], "row bigint, col bigint, label bigint")
     for made in (outline.outline_edges(df), outline.outlines(df)):
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rings_over_many_tiles(spark, monkeypatch):
+    """Rings that cross tiles, also some that come back to a tile, and rings inside of one; with few corners a task."""
+    monkeypatch.setattr(outline, "SIDE", 5, raising=False)
+    monkeypatch.setattr(outline, "CORNERS", 20, raising=False)
+    rng = np.random.default_rng(3)
+    labels = {(int(r) - 9, int(c) - 7): 1 for r, c in np.argwhere(rng.random((24, 30)) < 0.62)}
+    df = spark.createDataFrame([(r, c, v) for (r, c), v in labels.items()], "row bigint, col bigint, label int")
+    rings = outline.outlines(df)
+    rows = rings.collect()
+    got = read(rows)
+    assert sorted((label, n, normal(p)) for label, n, p in got.values()) == sorted((label, n, normal(p)) for label, n, p in walked(labels))
+    kept = {}
+    for r in sorted(outline.simplified(rings, 0.02).collect(), key=lambda r: (r["ring"], r["k"])):
+        kept.setdefault(r["ring"], []).append((r["x"], r["y"]))
+    for k, (_, n, p) in got.items():
+        far = max(range(len(p)), key=lambda i: (round((p[i][0] - p[0][0]) ** 2 + (p[i][1] - p[0][1]) ** 2, 9), -i))
+        assert kept[k] == peucker(p[: far + 1], n * 0.02) + peucker([*p[far:], p[0]], n * 0.02)
+    # The first corner comes at or after the ring's smallest edge.
+    edges = {r["id"]: r["next"] for r in outline.outline_edges(df).collect()}
+    for r in outline.ring_places(outline.outline_edges(df)).collect():
+        at, n = r["id"], 0
+        while edges[at] != r["ring"]:
+            at, n = edges[at], n + 1
+        assert r["left"] == n and r["ring"] <= r["id"]
+
+
+def test_rounds_do_not_grow_with_rings_inside_of_tiles(spark, monkeypatch):
+    """A comb of 120 rows has a ring of thousands of edges and corners; it takes no more writes than a square."""
+    seen = []
+    real = outline.written
+    monkeypatch.setattr(outline, "written", lambda df: seen.append(1) or real(df))
+    counts = []
+    for cells in ([(0, 0)], [(r, c) for r in range(120) for c in range(40) if r % 2 == 0 or c == 0]):
+        seen.clear()
+        outline.simplified(outline.outlines(spark.createDataFrame([(r, c, 1) for r, c in cells], "row bigint, col bigint, label int")), 1e-4).count()
+        counts.append(len(seen))
+    assert counts[0] == counts[1]
