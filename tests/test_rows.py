@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from verdance.operators import rows
+from verdance.operators import layout, rows
 
 PIXELS = "row long, col long"
 
@@ -83,3 +83,16 @@ def test_discs_in_a_row_come_apart(spark, turned):
 def test_no_pixels(spark):
     assert rows.split(spark.createDataFrame([], PIXELS)).count() == 0
     assert rows.split(spark.createDataFrame([(1, 1)], PIXELS), 5).count() == 0
+
+
+def test_longer_objects_take_no_more_rounds(spark, monkeypatch):
+    """Labels are found in tiles: a split of a long winding object writes as often as that of a disc."""
+    winding = {(y, x) for y in range(60) for x in range(40) if y % 2 == 0 or x == (39 if y % 4 == 1 else 0)}
+    seen, counts = [], []
+    real = layout.written
+    monkeypatch.setattr(layout, "written", lambda df: seen.append(1) or real(df))
+    for own in (disc(20, 20, 7), winding):
+        seen.clear()
+        rows.split(spark.createDataFrame(sorted(own), PIXELS), 5, opening=False).count()
+        counts.append(len(seen))
+    assert counts[0] == counts[1]
